@@ -17,6 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from regweave.functions.columns import all_salts, salt_of
+from regweave.session import cut_lineage
 
 _BASE_BITS = 7       # finest tile: 128 positions
 _STEP_BITS = 3       # each level is 8 times coarser
@@ -142,7 +143,9 @@ def union_intervals(a: DataFrame, b: DataFrame) -> DataFrame:
 def intersect_intervals(a: DataFrame, b: DataFrame) -> DataFrame:
     """Positions covered by both sets, as disjoint pieces."""
     cols = ["chrom", "start", "end"]
-    pairs = overlap_join(merge_intervals(a.select(*cols)), merge_intervals(b.select(*cols)))
+    # The overlap join reads each side twice (tile levels first), so keep the results.
+    left, right = (cut_lineage(merge_intervals(d.select(*cols))) for d in (a, b))
+    pairs = overlap_join(left, right)
     return merge_intervals(pair_intersection(pairs))
 
 
@@ -153,6 +156,7 @@ def subtract_intervals(df: DataFrame, holes: DataFrame, id_col: str) -> DataFram
     behind the end of every row makes the last piece an ordinary gap.
     """
     payload = [c for c in df.columns if c not in ("start", "end")]
+    holes = cut_lineage(holes)
     hits = overlap_join(df, holes.select("chrom", "start", "end"))
     cuts = hits.select(*payload, F.col("l_start").alias("start"), F.col("l_end").alias("end"),
                        F.col("r_start").alias("cut_start"), F.col("r_end").alias("cut_end"))

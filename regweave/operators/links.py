@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from regweave.operators.intervals import extend_intervals, overlap_join, to_tss
+from regweave.session import cut_lineage
 
 _REGION = ["region_id", "chrom", "start", "end"]
 _GENE = ["gene", "chrom", "start", "end"]
@@ -49,6 +50,8 @@ def link_three_tier(regions: DataFrame, genes: DataFrame, upstream: int = 100_00
     for i, dom in enumerate(tiers, start=1):
         hits = (overlap_join(open_regions, dom.select(*_GENE), min_overlap=2)
                 .select("gene", "region_id").distinct())
+        # Each tier's hits are read again by the tiers after it.
+        hits = cut_lineage(hits)
         parts.append(hits.withColumn("tier", F.lit(i)))
         open_regions = open_regions.join(hits.select("region_id"), "region_id", "left_anti")
     out = parts[0]

@@ -7,7 +7,6 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from regweave.functions.columns import region_name
 from regweave.operators import design as D
 from regweave.operators import models as M
 from regweave.operators.assay import aggregate_values, with_group
@@ -180,10 +179,3 @@ def infer_network(study: Study, genes: DataFrame | None = None, network_name: st
               **{k: v for k, v in candidate_options.items() if not isinstance(v, DataFrame)}}
     return Network(coefs, gof, c.targets, params)
 
-
-def term_text(region: str = "region_id", tf: str = "tf"):
-    return F.concat_ws(":", F.translate(region, "-", "_"), F.translate(tf, "-", "_"))
-
-
-def named_regions(df: DataFrame) -> DataFrame:
-    return df.withColumn("region_id", region_name())
