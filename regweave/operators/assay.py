@@ -133,7 +133,7 @@ def aggregate_custom(values: DataFrame, groups: DataFrame, fun: Callable) -> Dat
     rows = values.join(groups, "cell").join(sizes, "grp")
     rows = rows.select("grp", "feature", F.col("value").cast("double").alias("value"), "n")
 
-    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         n = int(pdf["n"].iloc[0])
         dense = pd.Series(0.0, index=range(n))
         dense.iloc[: len(pdf)] = pdf["value"].to_numpy()

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from regweave.functions.columns import all_salts, safe_divide, salt_of
 from regweave.operators.gram import gram_sums
 from regweave.operators.skew import running_counts, salted_join
+from regweave.session import cut_lineage
 
 
 def _weighted(values: DataFrame, obs: DataFrame | None) -> DataFrame:
@@ -147,7 +148,7 @@ def kendall_pairs(x: DataFrame, y: DataFrame, pairs: DataFrame, obs: DataFrame)
     xv = x.select("cell", F.col("feature").alias("x"), F.col("value").cast("double").alias("vx"))
     yv = y.select("cell", F.col("feature").alias("y"), F.col("value").cast("double").alias("vy"))
     pairs = pairs.select("x", "y").distinct()
-    joint = (salted_join(xv.filter("vx <> 0"), pairs, ["x"], ["cell"])
+    joint = cut_lineage(salted_join(xv.filter("vx <> 0"), pairs, ["x"], ["cell"])
              .join(yv.filter("vy <> 0"), ["cell", "y"])
              .groupBy("x", "y", "vx", "vy").agg(F.count(F.lit(1)).alias("c")))
     mx = xv.filter("vx <> 0").groupBy("x", "vx").agg(F.count(F.lit(1)).alias("m"))
@@ -162,12 +163,13 @@ def kendall_pairs(x: DataFrame, y: DataFrame, pairs: DataFrame, obs: DataFrame)
                     ["x", "y", "vy"], "left")
               .select("x", "y", F.lit(0.0).alias("vx"), "vy",
                       (F.col("m") - F.coalesce("j", F.lit(0))).alias("c")))
-    some = joint.unionByName(x_only).unionByName(y_only).filter("c > 0")
+    some = cut_lineage(joint.unionByName(x_only).unionByName(y_only).filter("c > 0"))
     neither = (pairs.join(some.groupBy("x", "y").agg(F.sum("c").alias("j")), ["x", "y"], "left")
                .select("x", "y", F.lit(0.0).alias("vx"), F.lit(0.0).alias("vy"),
                        (n.cast("bigint") - F.coalesce("j", F.lit(0))).alias("c"))
                .filter("c > 0"))
-    table = some.unionByName(neither)
+    # Read by every count below; about one row per distinct value combination.
+    table = cut_lineage(some.unionByName(neither))
 
     def pairs_of(c):
         return c * (c - 1) / 2
@@ -210,8 +212,12 @@ def correlate(x: DataFrame, obs: DataFrame, y: DataFrame | None = None,
             raise ValueError("name the candidate pairs when correlating two assays")
         pairs = all_pairs(x.select("feature").distinct())
     if method in ("pearson", "spearman"):
-        xv = rank_shift(x, obs) if method == "spearman" else x
-        yv = xv if y is None else (rank_shift(y, obs) if method == "spearman" else y)
+        if method == "spearman":
+            # Ranks feed both the moments and the products.
+            xv = cut_lineage(rank_shift(x, obs))
+            yv = xv if y is None else cut_lineage(rank_shift(y, obs))
+        else:
+            xv, yv = x, x if y is None else y
         products = cross_products_within(xv, obs) if whole else None
         r = covariance_pairs(xv, yv, pairs, obs, products).select("x", "y", "cor")
     elif method == "kendall":

@@ -174,7 +174,7 @@ def fit_bagging_ridge(design: DataFrame, obs: DataFrame, alpha: float = 1.0,
     bags = bags.join(bag_totals(obs, bagging_number, seed), "rep")
     ttype = design.schema["target"].dataType.simpleString()
 
-    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         target, rep = key
         sys = System.from_rows(pdf["i"], pdf["j"], pdf["s"], float(pdf["n"].iloc[0]))
         p = len(sys.xy)
