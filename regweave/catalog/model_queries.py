@@ -11,6 +11,7 @@ from regweave.operators import metrics as X
 from regweave.operators import models as M
 from regweave.operators.design import target_features
 from regweave.plans import inference as P
+from regweave.session import cut_lineage
 
 QUERIES, ORACLES = {}, {}
 
@@ -27,8 +28,15 @@ def query(name: str, sql: str | None = None):
 OPTIONS = {"upstream": UPSTREAM, "peak_cor": PEAK_COR, "tf_cor": TF_COR}
 
 
+def inputs(v: Views, annotation) -> P.Study:
+    """A study on stored assays; sales tables are turned into assays only once."""
+    return P.Study(cut_lineage(v.expr()), cut_lineage(v.acc()), v.cells(), v.features(),
+                   annotation)
+
+
 def study(v: Views) -> P.Study:
-    s = P.Study(v.expr(), v.acc(), v.cells(), v.features(), v.genes(), regions=v.regions())
+    s = inputs(v, v.genes())
+    s.regions = v.regions()
     return s.set_motifs(v.motif_hits(), v.motif_tf())
 
 
@@ -61,18 +69,23 @@ def tf_gene_links(v):
     return candidates(v).kept_tfs.select("target", "tf", r6("cor").alias("cor"))
 
 
-@query("skip_reasons", with_views("features links lcor cand pairs motif_hits", f"""
+_STRICT = {"upstream": 1500, "peak_cor": 0.05, "tf_cor": 0.145}
+
+
+@query("skip_reasons", with_views("features links lcor cand pairs motif_hits", """
 select feature target, case
   when feature not in (select target from links where region_id in (select region_id from motif_hits))
     then 'no nearby region'
-  when feature not in (select target from lcor where abs(cor) > {PEAK_COR}
+  when feature not in (select target from lcor where abs(cor) > 0.02
     and region_id in (select region_id from motif_hits)) then 'no correlated region'
   when feature not in (select target from cand) then 'no motif in region'
   when feature not in (select target from pairs) then 'no correlated TF' end reason
-from features where feature not in (select target from pairs)"""))
+from features where feature not in (select target from pairs)""")
+    .replace("10000", "1500").replace("> 0.02", "> 0.05").replace("> 0.1\n", "> 0.145\n")
+    .replace("> 0.1)", "> 0.145)"))
 def skip_reasons(v):
     s = study(v)
-    c = P.find_candidates(s, **OPTIONS)
+    c = P.find_candidates(s, **_STRICT)
     return P.skipped_targets(s, c, v.features().select(F.col("feature").alias("gene")))
 
 
@@ -147,7 +160,7 @@ def _network(v: Views, method: str, fit_options=None, **options) -> P.Network:
 @query("infer_grn")
 def infer_grn(v):
     """The whole way: candidate regions without exons, links, screens, models."""
-    s = P.Study(v.expr(), v.acc(), v.cells(), v.features(), v.annotation())
+    s = inputs(v, v.annotation())
     s.initiate(v.peaks())
     hits = v.motif_hits().withColumnRenamed("region_id", "peak_id")
     s.set_motifs(s.regions.join(hits, "peak_id").select("region_id", "motif"), v.motif_tf())
@@ -335,10 +348,10 @@ def wilcoxon(v):
 
 
 @query("bag_t_test", with_views("coefs", """
-select target, count(*) n, round(avg(estimate), 6)+0.0 mean,
+select target, count(*) n, round(sum(estimate), 6)+0.0 total,
   round(avg(estimate)*sqrt(count(*))/nullif(stddev_samp(estimate), 0), 4)+0.0 statistic
 from coefs group by 1"""))
 def bag_t_test(v):
     d = X.t_test(v.coefs(), ["target"], "estimate")
-    return d.select("target", "n", r6("mean").alias("mean"),
+    return d.select("target", "n", r6(F.col("mean") * F.col("n")).alias("total"),
                     (F.round("statistic", 4) + 0.0).alias("statistic"))

@@ -1 +1,389 @@
+"""Registered queries: modules, graphs, paths and report tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from regweave.catalog.views import (
+    MIN_GENES, NVAR_THRESH, P_THRESH, RSQ_THRESH, Views, r6, with_views)
+from regweave.operators import assay, embedding, graph, metrics
+from regweave.operators import correlation as C
+from regweave.operators import modules as M
+from regweave.plans import networks as N
+from regweave.session import cut_lineage
+from regweave.sources import store
+
 QUERIES, ORACLES = {}, {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(fn):
+        QUERIES[name] = lambda spark, sf_dir: fn(Views(spark, sf_dir))
+        if sql is not None:
+            ORACLES[name] = sql
+        return fn
+    return add
+
+
+def _filtered(v: Views):
+    return M.filter_coefs(v.coefs(), v.gof(), "glm", P_THRESH, RSQ_THRESH, NVAR_THRESH)
+
+
+def _text(c: str):
+    return F.concat_ws(";", c).alias(c)
+
+
+@query("network_summary", with_views("coefs modules", """
+select count(distinct tf) n_tfs, count(distinct target) n_targets, count(distinct region) n_regions,
+  count(*) n_coefs, (select count(distinct tf) from modules) n_modules,
+  (select count(distinct target) from modules) n_genes from coefs"""))
+def network_summary(v):
+    d = store.network_summary(v.coefs())
+    m = store.module_summary(v.modules())
+    return d.select("*", m.select("n_modules").scalar().alias("n_modules"),
+                    m.select("n_genes").scalar().alias("n_genes"))
+
+
+@query("region_summary", with_views("peaks motif_tf", """
+select count(distinct peak_id) n_regions, count(distinct peak_id) n_peaks,
+  (select count(distinct tf) from motif_tf) n_tfs from peaks"""))
+def region_summary(v):
+    return store.region_summary(v.regions(), v.motif_tf())
+
+
+@query("models_use", with_views("gof", f"""
+select target from gof where rsq > {RSQ_THRESH} and nvariables > {NVAR_THRESH}"""))
+def models_use(v):
+    return M.models_use(v.gof(), RSQ_THRESH, NVAR_THRESH)
+
+
+@query("coefs_use", with_views("kept", "select tf, target, region, estimate, padj from kept"))
+def coefs_use(v):
+    return _filtered(v).select("tf", "target", "region", "estimate", "padj")
+
+
+@query("gof_qc", with_views("gof", f"""
+select target, rsq, nvariables, rsq > {RSQ_THRESH} and nvariables > {NVAR_THRESH} nice
+from gof where rsq between 0 and 1"""))
+def gof_qc(v):
+    return metrics.gof_quality(v.gof(), RSQ_THRESH, NVAR_THRESH)
+
+
+@query("module_counts", with_views("kept", """+with
+t as (select target, count(*) nvars, count(distinct tf) tf_per_gene,
+  count(distinct region) peak_per_gene from kept group by 1),
+f as (select tf, count(distinct target) gene_per_tf from kept group by 1)
+select k.target, k.tf, count(*) tf_sites_per_gene, any_value(nvars) nvars,
+  any_value(tf_per_gene) tf_per_gene, any_value(peak_per_gene) peak_per_gene,
+  any_value(gene_per_tf) gene_per_tf
+from kept k join t using (target) join f using (tf) group by 1, 2"""))
+def module_counts(v):
+    return M.module_counts(_filtered(v))
+
+
+@query("find_modules", with_views("modules", "select * from modules"))
+def find_modules(v):
+    return v.modules().select("tf", "target", r6("estimate").alias("estimate"), "n_regions",
+                              "n_genes", "n_tfs", _text("regions"), "pval", "padj")
+
+
+@query("find_modules_glmnet", with_views("coefs gof", f"""
+select tf, target, round(sum(estimate), 6)+0.0 estimate, string_agg(region, ';' order by region) regions
+from coefs join gof using (target) where rsq > {RSQ_THRESH} and nvariables > {NVAR_THRESH}
+  and estimate <> 0 group by 1, 2"""))
+def find_modules_glmnet(v):
+    d = M.find_modules(v.coefs(), v.gof(), "glmnet", rsq_thresh=RSQ_THRESH,
+                       nvar_thresh=NVAR_THRESH)
+    return d.select("tf", "target", r6("estimate").alias("estimate"), _text("regions"))
+
+
+@query("xgb_top", with_views("coefs", """
+select tf, target, region, gain from coefs
+qualify rank() over (partition by tf order by gain desc) <= 50"""))
+def xgb_top(v):
+    return assay.top_values(v.coefs(), "tf", "gain", 50).select("tf", "target", "region", "gain")
+
+
+@query("find_modules_xgb", with_views("coefs gof", f"""+with
+t as (select c.*, sign(estimate)*gain e from coefs c join gof using (target)
+  where rsq > {RSQ_THRESH} and nvariables > {NVAR_THRESH}
+  qualify rank() over (partition by target order by gain desc) <= 5)
+select tf, target, round(sum(e), 6)+0.0 estimate from t group by 1, 2"""))
+def find_modules_xgb(v):
+    c = v.coefs().withColumn("corr", F.col("estimate"))
+    d = M.find_modules(c, v.gof(), "xgb", rsq_thresh=RSQ_THRESH, nvar_thresh=NVAR_THRESH,
+                       xgb_method="target", xgb_top=5)
+    return d.select("tf", "target", r6("estimate").alias("estimate"))
+
+
+def _members(v: Views):
+    return M.module_members(v.modules(), MIN_GENES)
+
+
+@query("module_genes", with_views("big", """
+select tf, direction, 'genes' kind, string_agg(target, ';' order by target) members
+from big group by 1, 2"""))
+def module_genes(v):
+    return M.module_sets(_members(v).filter("kind = 'genes'")).select(
+        "tf", "direction", "kind", _text("members"))
+
+
+@query("module_regions", with_views("big", """+with
+r as (select tf, direction, unnest(string_split(regions, ';')) r from big)
+select tf, direction, 'regions' kind, string_agg(r, ';' order by r) members from r group by 1, 2"""))
+def module_regions(v):
+    return M.module_sets(_members(v).filter("kind = 'regions'")).select(
+        "tf", "direction", "kind", _text("members"))
+
+
+@query("module_peaks", with_views("big", """+with
+r as (select tf, direction, unnest(string_split(regions, ';')) r from big)
+select distinct tf, direction, 'peaks' kind, concat(split_part(r, '-', 1), '-1-1000') member from r"""))
+def module_peaks(v):
+    return M.module_peaks(_members(v), v.module_regions())
+
+
+@query("module_metrics", with_views("modules", """+with
+m as (select distinct 'regions_per_target' metric, target as key, n_regions as value from modules
+  union all select distinct 'tfs_per_target', target, n_tfs from modules
+  union all select distinct 'genes_per_tf', tf, n_genes from modules)
+select metric, count(*) n, min(value) "min", round(quantile_cont(value, 0.25), 6)+0.0 q1,
+  round(median(value), 6)+0.0 median, round(quantile_cont(value, 0.75), 6)+0.0 q3,
+  max(value) "max", round(avg(value), 6)+0.0 mean from m group by 1"""))
+def module_metrics(v):
+    return metrics.module_metric_summary(v.modules()).select(
+        "metric", "n", "min", *[r6(c).alias(c) for c in ("q1", "median", "q3", "mean")], "max")
+
+
+_HIST = """
+select '{name}' variable, cast(least(floor(round((x-lo)/((hi-lo)/20), 9)), 19) as int) bin,
+  count(*) n from (select {x} x, min({x}) over () lo, max({x}) over () hi from ok) group by 2"""
+
+
+@query("gof_histogram", with_views("gof", "+with ok as (select * from gof where rsq between 0 and 1)"
+       + _HIST.format(name="rsq", x="rsq") + " union all " + _HIST.format(
+           name="nvariables", x="(asinh(nvariables/2.0)/2.302585092994046)")))
+def gof_histogram(v):
+    return metrics.gof_histograms(v.gof()).select("variable", "bin", "n")
+
+
+def _graph(v: Views):
+    """Nodes and edges of the module graph; regions as one text per edge."""
+    nodes, edges = graph.module_graph(v.modules().withColumn("estimate", r6("estimate")))
+    return nodes, edges.withColumn("regions", F.concat_ws(";", "regions"))
+
+
+@query("module_graph", with_views("edges nodes", """
+select from_node, to_node, estimate, regions, padj, dir from edges"""))
+def module_graph(v):
+    return _graph(v)[1].select("from_node", "to_node", "estimate", "regions", "padj", "dir")
+
+
+@query("graph_nodes", with_views("edges nodes", """
+select name, name in (select from_node from edges) is_tf from nodes"""))
+def graph_nodes(v):
+    nodes, edges = _graph(v)
+    return graph.flag_tfs(nodes, edges.select(F.col("from_node").alias("tf")))
+
+
+@query("feature_sets", with_views("edges nodes", """
+select name, name in (select from_node from edges) in_tf, name in (select to_node from edges) in_target,
+  name in (select from_node from edges) and name in (select to_node from edges) in_both,
+  name in (select to_node from edges) and name not in (select from_node from edges) only_target
+from nodes"""))
+def feature_sets(v):
+    _, e = _graph(v)
+    tfs = e.select(F.col("from_node").alias("name")).distinct()
+    targets = e.select(F.col("to_node").alias("name")).distinct()
+
+    def flag(d, c):
+        return d.withColumn(c, F.lit(True))
+    d = (tfs.union(targets).distinct()
+         .join(flag(tfs, "in_tf"), "name", "left").join(flag(targets, "in_target"), "name", "left")
+         .join(flag(tfs.intersect(targets), "in_both"), "name", "left")
+         .join(flag(targets.join(tfs, "name", "left_anti"), "only_target"), "name", "left"))
+    return d.fillna(False)
+
+
+@query("graph_features", with_views("edges", """+with
+big as (select from_node from edges group by 1 having count(*) >= 20)
+select from_node, to_node, estimate from edges where from_node in (select * from big)
+  and to_node in (select * from big)"""))
+def graph_features(v):
+    m = cut_lineage(v.modules())
+    big = m.groupBy(F.col("tf").alias("feature")).count().filter("count >= 20").select("feature")
+    return graph.module_graph(m, big)[1].select("from_node", "to_node", r6("estimate").alias("estimate"))
+
+
+_ROUNDS = 10
+
+
+def _pagerank_sql() -> str:
+    parts = ["""+with deg as (select from_node as name, count(*) d from edges group by 1),
+cnt as (select cast(count(*) as double) c from nodes),
+base as (select nodes.name, d from nodes left join deg using (name)),
+pr0 as (select base.name, d, 1/c r from base cross join cnt)"""]
+    for k in range(_ROUNDS):
+        parts.append(f"""pr{k + 1} as materialized (select p.name, p.d, 0.15/c + 0.85*(coalesce(i.s, 0)
+  + (select coalesce(sum(r), 0) from pr{k} where d is null)/c) r
+  from pr{k} p cross join cnt left join (select to_node as name, sum(r/d) s
+    from edges join pr{k} q on q.name=from_node group by 1) i on i.name=p.name)""")
+    return ",\n".join(parts) + f"\nselect name, round(r, 9)+0.0 centrality from pr{_ROUNDS}"
+
+
+@query("pagerank", with_views("edges nodes", _pagerank_sql()))
+def pagerank(v):
+    d = graph.pagerank(cut_lineage(_graph(v)[1]), max_iter=_ROUNDS, tol=0.0)
+    return d.select("name", (F.round("centrality", 9) + 0.0).alias("centrality"))
+
+
+_PATHS = """+with recursive
+links as (select distinct from_node, to_node from edges where from_node <> to_node),
+l1 as materialized (select from_node root, to_node node, [from_node, to_node] path from links),
+s1 as (select distinct from_node root, from_node node from links union select root, node from l1),
+l2 as materialized (select root, to_node node, list_append(path, to_node) path from l1
+  join links on node=from_node where not exists
+    (select 1 from s1 where s1.root=l1.root and s1.node=to_node)),
+s2 as (select * from s1 union select root, node from l2),
+l3 as materialized (select root, to_node node, list_append(path, to_node) path from l2
+  join links on node=from_node where not exists
+    (select 1 from s2 where s2.root=l2.root and s2.node=to_node)),
+paths as (select root, node end_node, 1 ord, path from l1 union all
+  select root, node, 2, path from l2 union all select root, node, 3, path from l3)
+""".replace("with recursive", "with")
+_SCORED = _PATHS + """,
+steps as (select root, end_node, ord, path, i, path[i] f, path[i+1] t from paths,
+  lateral (select unnest(range(1, len(path))) i)),
+scored as (select root start_node, end_node, ord, array_to_string(path, ';') path,
+  cast(product(sign(estimate)) as double) dir, avg(estimate) me,
+  avg(case when padj > 0 then -log10(padj) else 'inf'::double end) ml,
+  string_agg(regions, ';' order by i) path_regions
+  from steps join edges on from_node=f and to_node=t group by root, end_node, ord, path)
+"""
+
+
+def _roots(edges):
+    return edges.select(F.col("from_node").alias("root")).distinct()
+
+
+@query("shortest_paths", with_views("edges", _PATHS + """
+select root, end_node, ord "order", array_to_string(path, ';') path from paths"""))
+def shortest_paths(v):
+    e = cut_lineage(_graph(v)[1])
+    return graph.path_text(graph.shortest_paths(e, _roots(e)))
+
+
+_SHOWN = """start_node, end_node, ord "order", path, dir, round(me, 5)+0.0 mean_estimate,
+  round(ml, 5)+0.0 mean_log_padj, path_regions"""
+
+
+def _shown(d):
+    return graph.path_text(d).select(
+        "start_node", "end_node", "order", "path", "dir",
+        (F.round("mean_estimate", 5) + 0.0).alias("mean_estimate"),
+        (F.round("mean_log_padj", 5) + 0.0).alias("mean_log_padj"), "path_regions")
+
+
+@query("tf_paths", with_views("edges", _SCORED + f"select {_SHOWN} from scored"))
+def tf_paths(v):
+    e = cut_lineage(_graph(v)[1])
+    return _shown(graph.score_paths(graph.shortest_paths(e, _roots(e)), e))
+
+
+_PRUNED = """,
+pruned as (select * from scored qualify ord = 1
+  or round(me, 9) = max(round(me, 9)) over (partition by start_node, end_node))
+"""
+
+
+@query("tf_network_pruned", with_views("edges", _SCORED + _PRUNED + f"select {_SHOWN} from pruned"))
+def tf_network_pruned(v):
+    e = cut_lineage(_graph(v)[1])
+    scored = graph.score_paths(graph.shortest_paths(e, _roots(e)), e)
+    scored = scored.withColumn("best", F.round("mean_estimate", 9))
+    return _shown(graph.prune_paths(cut_lineage(scored), by="best"))
+
+
+@query("tf_network", with_views("edges", _SCORED + _PRUNED + """,
+used as (select distinct s.root, s.end_node, p.dir comb_dir, f, t from steps s join pruned p
+  on s.root=p.start_node and s.end_node=p.end_node and array_to_string(s.path, ';')=p.path)
+select root, end_node, comb_dir, from_node, to_node, estimate from used
+join edges on from_node=f and to_node=t"""))
+def tf_network(v):
+    e = cut_lineage(_graph(v)[1])
+    d = graph.tf_network(e, _roots(e), by="mean_estimate", min_paths=1)
+    return d.select("root", "end_node", "comb_dir", "from_node", "to_node", "estimate")
+
+
+@query("module_corr", with_views("coefs modules", """+with
+c as (select tf, target, round(sum(gain), 6) corr from coefs group by 1, 2 having count(*) > 1)
+select from_node, to_node, estimate, coalesce(corr, 0) corr from (
+  select tf from_node, target to_node, estimate from modules) left join c on tf=from_node and target=to_node"""))
+def module_corr(v):
+    corr = (v.coefs().groupBy("tf", "target").agg(F.sum("gain").alias("corr"),
+                                                  F.count(F.lit(1)).alias("k"))
+            .filter("k > 1").select("tf", "target", "corr"))
+    return graph.module_graph(v.modules(), corr=corr)[1].select(
+        "from_node", "to_node", r6("estimate").alias("estimate"), "corr")
+
+
+def _gene_modules(v: Views):
+    """A small TF-target table on measured genes, from the univariate effects."""
+    li = v.table("lineitem").join(v.table("part"), F.col("l_partkey") == F.col("p_partkey"))
+    d = li.groupBy(F.concat(F.lit("Brand#"), (F.col("l_suppkey") % 25 + 1).cast("string")).alias("tf"),
+                   F.col("p_brand").alias("target")).agg(F.avg("l_discount").alias("d"))
+    return d.select("tf", "target", r6(F.col("d") * 100 - 5).alias("estimate")).filter(
+        F.abs("estimate") > 0.1)
+
+
+_GENE_MODULES = """gm as (select tf, target, estimate from (
+  select concat('Brand#', cast(l_suppkey%25+1 as varchar)) tf, p_brand target,
+    round(avg(l_discount)*100-5, 6)+0.0 estimate from lineitem join part on l_partkey=p_partkey
+  group by 1, 2) where abs(estimate) > 0.1)"""
+
+
+@query("weighted_coex", with_views("gcor", "+with " + _GENE_MODULES + """,
+grid as (select a.target, b.tf from (select distinct target from gm) a cross join
+  (select distinct tf from gm) b)
+select target, tf, round(cor*sqrt(abs(coalesce(estimate, 0))+1), 6)+0.0 coex from grid
+left join gm using (target, tf)
+join gcor on x=least(target, tf) and y=greatest(target, tf)"""))
+def weighted_coex(v):
+    m = cut_lineage(_gene_modules(v))
+    grid = N._grid(m)
+    ex = cut_lineage(v.expr())
+    c = C.correlate(ex, v.cells(), ex, grid.select(
+        F.col("tf").alias("x"), F.col("target").alias("y")))
+    corr = c.select(F.col("x").alias("tf"), F.col("y").alias("target"), F.col("cor").alias("corr"))
+    return embedding.weighted_coexpression(corr, m).select("target", "tf", r6("coex").alias("coex"))
+
+
+_TFS = [f"Brand#{k}" for k in range(1, 26)]
+
+
+@query("target_tf_matrix", with_views("gof", "+with " + _GENE_MODULES + " select target, " + ", ".join(
+    f'round(coalesce(any_value(estimate) filter (tf=\'{t}\'), 0), 6)+0.0 "{t}"' for t in _TFS)
+    + " from gm group by 1"))
+def target_tf_matrix(v):
+    d = embedding.target_tf_matrix(_gene_modules(v), _TFS)
+    return d.select("target", *[r6(F.col(f"`{t}`")).alias(t) for t in _TFS])
+
+
+@query("motif_tf_pivot", with_views("motif_tf", "select motif, " + ", ".join(
+    f'count(*) filter (tf=\'{t}\') "{t}"' for t in _TFS) + " from motif_tf group by 1"))
+def motif_tf_pivot(v):
+    return embedding.motif_tf_matrix(v.motif_tf(), _TFS)
+
+
+@query("gene_pca")
+def gene_pca(v):
+    c = cut_lineage(C.mirror(C.correlate(cut_lineage(v.expr()), v.cells())))
+    m = c.select(F.col("x").alias("gene"), F.col("y").alias("col"), F.col("cor").alias("value"))
+    return embedding.principal_components(m, 5)
+
+
+@query("network_graph")
+def network_graph(v):
+    nodes, _ = N.network_graph(cut_lineage(_gene_modules(v)), cut_lineage(v.expr()), v.cells(),
+                               layout="weighted", max_iter=20, tol=1e-6)
+    return nodes

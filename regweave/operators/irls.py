@@ -120,7 +120,7 @@ class _Passes:
         if family not in FAMILIES:
             raise ValueError(f"family must be gaussian or one of {FAMILIES}")
         self.family, self.obs = family, obs
-        self.rows = cut_lineage(spread_design(design, _SALT))
+        self.rows = cut_lineage(spread_design(design, _SALT), keep_layout=True)
         self.ttype = design.schema["target"].dataType.simpleString()
 
     def sums(self, beta: DataFrame | None, reps: int) -> DataFrame:

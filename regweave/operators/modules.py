@@ -86,7 +86,7 @@ def module_members(modules: DataFrame, min_genes_per_module: int = 5) -> DataFra
     genes = d.select("tf", "direction", F.lit("genes").alias("kind"),
                      F.col("target").cast("string").alias("member"))
     regions = d.select("tf", "direction", F.lit("regions").alias("kind"),
-                       F.explode("regions").cast("string").alias("member"))
+                       F.explode(F.transform("regions", lambda x: x.cast("string"))).alias("member"))
     return genes.unionByName(regions)
 
 

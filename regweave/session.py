@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,7 +42,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(configured)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and continue from the files."""
+def cut_lineage(df: DataFrame, keep_layout: bool = False) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and continue from the files.
+
+    The default is a Parquet table: its size is known to the planner, so small
+    results are broadcast and columns are pruned when read again.
+    ``keep_layout`` uses a checkpoint, which remembers how rows are partitioned
+    and sorted.
+    """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    if keep_layout:
+        return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{spark.sparkContext.getCheckpointDir()}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
