@@ -255,7 +255,7 @@ _SCORED = _PATHS + """,
 steps as (select root, end_node, ord, path, i, path[i] f, path[i+1] t from paths,
   lateral (select unnest(range(1, len(path))) i)),
 scored as (select root start_node, end_node, ord, array_to_string(path, ';') path,
-  cast(product(sign(estimate)) as double) dir, avg(estimate) me,
+  cast(product(sign(estimate)) as double)+0.0 dir, avg(estimate) me,
   avg(case when padj > 0 then -log10(padj) else 'inf'::double end) ml,
   string_agg(regions, ';' order by i) path_regions
   from steps join edges on from_node=f and to_node=t group by root, end_node, ord, path)
@@ -300,8 +300,7 @@ pruned as (select * from scored qualify ord = 1
 def tf_network_pruned(v):
     e = cut_lineage(_graph(v)[1])
     scored = graph.score_paths(graph.shortest_paths(e, _roots(e)), e)
-    scored = scored.withColumn("best", F.round("mean_estimate", 9))
-    return _shown(graph.prune_paths(cut_lineage(scored), by="best"))
+    return _shown(graph.prune_paths(cut_lineage(scored)))
 
 
 @query("tf_network", with_views("edges", _SCORED + _PRUNED + """,
@@ -311,7 +310,7 @@ select root, end_node, comb_dir, from_node, to_node, estimate from used
 join edges on from_node=f and to_node=t"""))
 def tf_network(v):
     e = cut_lineage(_graph(v)[1])
-    d = graph.tf_network(e, _roots(e), by="mean_estimate", min_paths=1)
+    d = graph.tf_network(e, _roots(e), min_paths=1)
     return d.select("root", "end_node", "comb_dir", "from_node", "to_node", "estimate")
 
 

@@ -49,7 +49,7 @@ def _orthonormal(df: DataFrame, names: list[str], key: str) -> tuple[DataFrame,
     return _combine(df, names, vec * scale, names, key), ev
 
 
-def principal_components(matrix: DataFrame, n_pcs: int = 30, iterations: int = 15,
+def principal_components(matrix: DataFrame, n_pcs: int = 30, iterations: int = 8,
                          seed: int = 111) -> DataFrame:
     """``(gene, pc_1..pc_k)`` scores of ``matrix(gene, col, value)``, columns centred.
 
@@ -84,7 +84,6 @@ def principal_components(matrix: DataFrame, n_pcs: int = 30, iterations: int = 1
             (F.col(a) - F.col("mu") * F.lit(float(tot[b] or 0.0))).alias(a)
             for a, b in zip(q, y)])
         right, _ = _orthonormal(cut_lineage(new), q, "col")
-        right = cut_lineage(right)
     # Rotate scores so that components are uncorrelated and sorted by variance.
     ev, vec = np.linalg.eigh(_inner(left, y))
     vec = vec[:, np.argsort(ev)[::-1]]

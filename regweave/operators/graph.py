@@ -149,7 +149,7 @@ def score_paths(paths: DataFrame, edges: DataFrame) -> DataFrame:
     cols = ["from_node", "to_node", "estimate", "regions"]
     has_p = "padj" in edges.columns
     e = edges.select(*cols, *(["padj"] if has_p else []))
-    aggs = [F.product(F.signum("estimate")).alias("dir"),
+    aggs = [(F.product(F.signum("estimate")) + F.lit(0.0)).alias("dir"),
             F.avg("estimate").alias("mean_estimate"),
             F.array_sort(F.collect_list(F.struct("pos", "regions"))).alias("r")]  # <= order items
     if has_p:
@@ -175,9 +175,11 @@ def prune_paths(scored: DataFrame, order: int | None = 3, keep_all: bool = False
     if keep_all:
         return d
     keys = ["start_node", "end_node"]
-    best = d.groupBy(*keys).agg(F.max(by).alias("_best"))
+    # Equal means may differ in the last bits with the order of summation.
+    score = F.round(by, 12)
+    best = d.groupBy(*keys).agg(F.max(score).alias("_best"))
     return (salted_join(d, best, keys, ["path"])
-            .filter((F.col("order") == 1) | (F.col(by) == F.col("_best"))).drop("_best"))
+            .filter((F.col("order") == 1) | (score == F.col("_best"))).drop("_best"))
 
 
 def tf_network(edges: DataFrame, roots: DataFrame, features: DataFrame | None = None,

@@ -228,7 +228,7 @@ def _glm_rows(state: DataFrame) -> DataFrame:
 
 def fit_penalised(design: DataFrame, obs: DataFrame, family: str, cv: bool = False,
                   alpha: float = 0.5, n_lambda: int = 100, max_iter: int = 25,
-                  tol: float = 1e-6) -> DataFrame:
+                  tol: float = 1e-5) -> DataFrame:
     """Elastic net for counts or classes: every penalty of the path at once.
 
     One pass computes a weighted Gram per penalty; the coordinate descent then
@@ -306,7 +306,7 @@ def fit_penalised(design: DataFrame, obs: DataFrame, family: str, cv: bool = Fal
     return coefs.unionByName(gof, allowMissingColumns=True)
 
 
-def _weighted_descent(c, q, lam, alpha, start, tol=1e-9, max_iter=10_000):
+def _weighted_descent(c, q, lam, alpha, start, tol=1e-8, max_iter=10_000):
     """Coordinate descent for a quadratic with unequal curvatures."""
     beta = start.copy()
     grad = q - c @ beta
