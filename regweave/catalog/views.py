@@ -127,8 +127,10 @@ class Views:
                         r6(F.col("d") * 12 - 0.1).alias("rsq"), "nvariables"))
 
     def modules(self) -> DataFrame:
-        return find_modules(self.coefs(), self.gof(), "glm", p_thresh=P_THRESH,
-                            rsq_thresh=RSQ_THRESH, nvar_thresh=NVAR_THRESH)
+        d = find_modules(self.coefs(), self.gof(), "glm", p_thresh=P_THRESH,
+                         rsq_thresh=RSQ_THRESH, nvar_thresh=NVAR_THRESH)
+        # Estimates that cancel out must be exactly zero on both engines.
+        return d.withColumn("estimate", r6("estimate"))
 
     def sequences(self) -> DataFrame:
         return self.table("documents").select(
