@@ -233,12 +233,12 @@ def gbt_importance(v):
 
 
 @query("coef_with_corr", with_views("coefs expr cells", """+with c as (
-  select target, tf, round(avg(estimate), 6)+0.0 corr from coefs group by 1, 2 having count(*) > 1)
+  select target, tf, round(sum(estimate), 6)+0.0 corr from coefs group by 1, 2 having count(*) > 1)
 select tf, target, region, estimate, corr from coefs left join c using (target, tf)"""))
 def coef_with_corr(v):
     c = v.coefs()
     corr = c.groupBy("target", "tf").agg(
-        F.avg("estimate").alias("e"), F.count(F.lit(1)).alias("k")).filter("k > 1")
+        F.sum("estimate").alias("e"), F.count(F.lit(1)).alias("k")).filter("k > 1")
     corr = corr.select("target", "tf", r6("e").alias("cor"))
     return coefficients.attach_correlation(c.select("tf", "target", "region", "estimate"), corr)
 

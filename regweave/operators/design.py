@@ -36,9 +36,9 @@ def candidate_tf_targets(links: DataFrame, region_tf: DataFrame) -> DataFrame:
             .select("target", "region_id", "tf"))
 
 
-def model_pairs(links: DataFrame, region_tf: DataFrame, tf_links: DataFrame) -> DataFrame:
+def model_pairs(candidates: DataFrame, tf_links: DataFrame) -> DataFrame:
     """Region-TF pairs of each target after both correlation filters."""
-    return (candidate_tf_targets(links, region_tf)
+    return (candidates
             .join(tf_links.select("target", "tf"), ["target", "tf"], "left_semi")
             .select("target", "region_id", "tf").distinct())
 

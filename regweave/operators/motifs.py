@@ -19,6 +19,7 @@ from regweave.operators.skew import running_counts, salted_join
 _BASES = "ACGT"
 _NO_MATCH = -(10**9)
 _PWM_ROWS = 200_000      # matrix entries shipped with one scan
+_SCAN_BASES = 2_000_000  # bases scored together inside a batch
 
 
 def log_odds(pfm: DataFrame, background: dict[str, float] | None = None,
@@ -62,6 +63,14 @@ def _encode(seqs) -> tuple[np.ndarray, np.ndarray]:
     return codes, np.r_[0, ends[:-1]]
 
 
+def _slices(pdf: pd.DataFrame, seq_col: str) -> Iterator[pd.DataFrame]:
+    """Consecutive whole sequences of about ``_SCAN_BASES`` bases."""
+    part = pdf[seq_col].str.len().to_numpy().cumsum() // _SCAN_BASES
+    cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1), len(pdf)]
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        yield pdf.iloc[a:b]
+
+
 def _window_scores(codes: np.ndarray, m: np.ndarray) -> np.ndarray:
     n = len(codes) - len(m) + 1
     if n <= 0:
@@ -86,7 +95,7 @@ def best_scores(sequences: DataFrame, pwms: DataFrame, id_col: str = "region_id"
     itype = sequences.schema[id_col].dataType.simpleString()
     for mats in _chunks(pwms):
         def run(batches: Iterator[pd.DataFrame], mats=mats) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
+            for pdf in (piece for batch in batches for piece in _slices(batch, seq_col)):
                 codes, starts = _encode(pdf[seq_col].tolist())
                 ids = pdf[id_col].to_numpy()
                 for motif, m in mats.items():
@@ -107,7 +116,7 @@ def score_histogram(sequences: DataFrame, pwms: DataFrame, seq_col: str = "seq")
     src = sequences.select(seq_col).filter(F.length(seq_col) > 0)
     for mats in _chunks(pwms):
         def run(batches: Iterator[pd.DataFrame], mats=mats) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
+            for pdf in (piece for batch in batches for piece in _slices(batch, seq_col)):
                 codes, _ = _encode(pdf[seq_col].tolist())
                 for motif, m in mats.items():
                     s = np.concatenate([_window_scores(codes, m),

@@ -134,14 +134,14 @@ def find_candidates(study: Study, genes: DataFrame | None = None, method: str =
     link_cor = link_cor.select(F.col("y").alias("target"), F.col("x").alias("region_id"),
                                clean_correlation(F.col("cor")).alias("cor"))
     kept = cut_lineage(D.peak_gene_filter(link_cor, peak_cor))
-    cand = D.candidate_tf_targets(kept, region_tfs(study.motif_hits, study.motif_tf))
+    cand = cut_lineage(D.candidate_tf_targets(
+        kept, region_tfs(study.motif_hits, study.motif_tf)))
     tf_pairs = cand.select(F.col("tf").alias("x"), F.col("target").alias("y")).distinct()
     tf_links = covariance_pairs(ex, ex, tf_pairs, obs).select(
         F.col("y").alias("target"), F.col("x").alias("tf"),
         clean_correlation(F.col("cor")).alias("cor"))
     kept_tfs = cut_lineage(tf_links.filter(F.abs("cor") > tf_cor))
-    pairs = cut_lineage(D.model_pairs(
-        kept, region_tfs(study.motif_hits, study.motif_tf), kept_tfs))
+    pairs = cut_lineage(D.model_pairs(cand, kept_tfs))
     return Candidates(targets, links, kept, cand, tf_links, kept_tfs, pairs, ex, ac, obs)
 
 
