@@ -17,9 +17,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from regweave.functions.columns import salt_of
+from regweave.session import cut_lineage
 
 RESPONSE, INTERCEPT = -1, 0
 _BLOCK_CELLS = 4_000_000     # dense entries per multiplied block
+_BAGS_PER_PASS = 50          # replicates accumulated together in a task
 
 
 def bag_weights(h: np.ndarray, bag: int, seed: int) -> np.ndarray:
@@ -38,8 +40,9 @@ def bag_weights(h: np.ndarray, bag: int, seed: int) -> np.ndarray:
 class _Block:
     """Running weighted cross-products of one target inside one task."""
 
-    def __init__(self, target, intercept: bool, bags: int, seed: int):
+    def __init__(self, target, intercept: bool, bags: int, seed: int, first: int):
         self.target, self.intercept, self.bags, self.seed = target, intercept, bags, seed
+        self.first = first
         self.labels = pd.Index([INTERCEPT] if intercept else [], dtype="object")
         self.g = np.zeros((max(bags, 1), len(self.labels), len(self.labels)))
 
@@ -69,7 +72,7 @@ class _Block:
                 continue
             h = np.asarray(cells[lo:lo + n])
             for k in range(self.bags):
-                self.g[k] += m.T @ (m * (cw * bag_weights(h, k, self.seed))[:, None])
+                self.g[k] += m.T @ (m * (cw * bag_weights(h, self.first + k, self.seed))[:, None])
 
     def rows(self) -> pd.DataFrame:
         iu, ju = np.triu_indices(len(self.labels))
@@ -78,12 +81,12 @@ class _Block:
         labels = self.labels.to_numpy()
         a, b = labels[iu[pos]], labels[ju[pos]]
         swap = np.array([x > y for x, y in zip(a, b)], dtype=bool)
-        return pd.DataFrame({"target": self.target, "rep": rep.astype("int32"),
+        return pd.DataFrame({"target": self.target, "rep": (rep + self.first).astype("int32"),
                              "i": np.where(swap, b, a), "j": np.where(swap, a, b),
                              "s": s[rep, pos]})
 
 
-def _partials(intercept: bool, bags: int, seed: int):
+def _partials(intercept: bool, bags: int, seed: int, first: int = 0):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         block, held = None, None
         for pdf in batches:
@@ -95,13 +98,13 @@ def _partials(intercept: bool, bags: int, seed: int):
                 if block is None or block.target != part["target"].iloc[0]:
                     if block is not None:
                         yield block.rows()
-                    block = _Block(part["target"].iloc[0], intercept, bags, seed)
+                    block = _Block(part["target"].iloc[0], intercept, bags, seed, first)
                 _feed(block, part, bags)
         if held is not None and len(held):
             if block is None or block.target != held["target"].iloc[0]:
                 if block is not None:
                     yield block.rows()
-                block = _Block(held["target"].iloc[0], intercept, bags, seed)
+                block = _Block(held["target"].iloc[0], intercept, bags, seed, first)
             _feed(block, held, bags)
         if block is not None:
             yield block.rows()
@@ -145,7 +148,15 @@ def gram_sums(design: DataFrame, intercept: bool = True, bags: int = 0, seed: in
     ttype = design.schema["target"].dataType.simpleString()
     jtype = design.schema["j"].dataType.simpleString()
     schema = f"target {ttype}, rep int, i {jtype}, j {jtype}, s double"
-    part = rows.select(*cols).mapInPandas(_partials(intercept, bags, seed), schema)
+    rows = rows.select(*cols)
+    if bags > _BAGS_PER_PASS:
+        # Several passes bound a task's memory; a checkpoint keeps cells together.
+        rows = cut_lineage(rows, keep_layout=True)
+    part = None
+    for first in range(0, max(bags, 1), _BAGS_PER_PASS):
+        n = min(_BAGS_PER_PASS, bags - first) if bags else 0
+        one = rows.mapInPandas(_partials(intercept, n, seed, first), schema)
+        part = one if part is None else part.unionByName(one)
     keys = ["target", "rep", "i", "j"] if bags else ["target", "i", "j"]
     return part.groupBy(*keys).agg(F.sum("s").alias("s"))
 

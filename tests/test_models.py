@@ -158,6 +158,20 @@ def test_every_method_finds_the_signal(spark, data, method, kw):
         assert rows[1]["estimate"] > 0.05 and rows[3]["estimate"] < 0
 
 
+def test_bags_do_not_depend_on_the_number_of_passes(spark, data, monkeypatch):
+    from regweave.operators import gram
+    ex, ac, obs, pairs = tables(spark, data)
+    rows = D.design_rows(D.model_terms(pairs), ex, ac, obs)
+
+    def sums():
+        return {(r["rep"], r["i"], r["j"]): r["s"]
+                for r in gram.gram_sums(rows, bags=5, seed=3).collect()}
+    whole = sums()
+    monkeypatch.setattr(gram, "_BAGS_PER_PASS", 2)
+    assert sums() == pytest.approx(whole)
+    assert {k[0] for k in whole} == set(range(5))
+
+
 def test_bayesian_ridge_fixed_point():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(200, 4))
