@@ -26,6 +26,8 @@ P_THRESH, RSQ_THRESH, NVAR_THRESH, MIN_GENES = 0.015, 0.45, 25, 5
 class Views:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir.rstrip("/")
+        # Epoch seconds of event times must not depend on the machine's zone.
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
