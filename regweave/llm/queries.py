@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from regweave.llm.chat import format_conversations, loss_text
+from regweave.llm.decontaminate import benchmark_hits
+from regweave.llm.mixing import mix_sources
 from regweave.llm.substring import repeated_spans
 from regweave.llm.suffix import remove_repeats
 
@@ -19,11 +22,43 @@ def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = benchmark_hits(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), 10)
+    return out.select("doc_id", "n_words", F.size("hits").cast("long").alias("n_hit"),
+                      F.size("items").cast("long").alias("n_items"),
+                      F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+                      (F.size("hits") > 0).alias("contaminated"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = repeated_spans(_table(spark, sf_dir, "documents"), 13)
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op5_substring_dedup)}
+def op6_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mix_sources(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "size", "source_size", "target",
+                      (F.col("size") * F.col("times")).alias("taken"))
+
+
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    out = format_conversations(rows.unionByName(extra))
+    line = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return out.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(line, ""), 256).alias("turns_sha256"),
+        F.length(loss_text(F.col("turns"))).cast("long").alias("loss_chars"),
+        F.sha2(loss_text(F.col("turns")), 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_suffix_array_dedup, op3_benchmark_decontamination, op5_substring_dedup, op6_mixing_sources,
+    op8_chat_formatting)}
 
 ORACLES: dict[str, str] = {}
