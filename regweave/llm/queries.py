@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from regweave.llm.chat import format_conversations, loss_text
 from regweave.llm.decontaminate import benchmark_hits
+from regweave.llm.language import identify_languages
 from regweave.llm.mixing import mix_sources
 from regweave.llm.substring import repeated_spans
 from regweave.llm.suffix import remove_repeats
@@ -57,8 +58,12 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_suffix_array_dedup, op3_benchmark_decontamination, op5_substring_dedup, op6_mixing_sources,
-    op8_chat_formatting)}
+    op8_chat_formatting, op9_language_id)}
 
 ORACLES: dict[str, str] = {}
