@@ -12,6 +12,8 @@ from regweave.llm.mixing import mix_sources
 from regweave.llm.substring import repeated_spans
 from regweave.llm.suffix import remove_repeats
 
+from regweave.llm.warc import new_folder, read_archives, write_archives
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -31,6 +33,12 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
                       (F.size("hits") > 0).alias("contaminated"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_folder(spark)
+    write_archives(_table(spark, sf_dir, "pages"), folder)
+    return read_archives(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = repeated_spans(_table(spark, sf_dir, "documents"), 13)
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -63,7 +71,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_suffix_array_dedup, op3_benchmark_decontamination, op5_substring_dedup, op6_mixing_sources,
-    op8_chat_formatting, op9_language_id)}
+    op1_suffix_array_dedup, op3_benchmark_decontamination, op4_warc, op5_substring_dedup,
+    op6_mixing_sources, op8_chat_formatting, op9_language_id)}
 
 ORACLES: dict[str, str] = {}
