@@ -9,6 +9,7 @@ from regweave.llm.chat import format_conversations, loss_text
 from regweave.llm.decontaminate import benchmark_hits
 from regweave.llm.language import identify_languages
 from regweave.llm.mixing import mix_sources
+from regweave.llm.quality import classify
 from regweave.llm.substring import repeated_spans
 from regweave.llm.suffix import remove_repeats
 
@@ -25,6 +26,10 @@ def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = benchmark_hits(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), 10)
     return out.select("doc_id", "n_words", F.size("hits").cast("long").alias("n_hit"),
@@ -71,7 +76,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_suffix_array_dedup, op3_benchmark_decontamination, op4_warc, op5_substring_dedup,
+    op1_suffix_array_dedup, op2_quality_classifier, op3_benchmark_decontamination, op4_warc, op5_substring_dedup,
     op6_mixing_sources, op8_chat_formatting, op9_language_id)}
 
 ORACLES: dict[str, str] = {}
