@@ -21,6 +21,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,21 +50,35 @@ def text_bytes(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def text_slices(batches: Iterator[pa.RecordBatch], column: int, most: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in slices of about ``most`` bytes of text."""
+    for b in batches:
+        at, size = 0, 0
+        for i, n in enumerate(pc.binary_length(b.column(column)).fill_null(0).to_pylist()):
+            if size + n > most and i > at:
+                yield b.slice(at, i - at)
+                at, size = i, 0
+            size += n
+        if at < len(b):
+            yield b.slice(at)
+
+
 def write_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(block, payload, n_bytes), in the shared folder.
 
     A payload holds whole documents (id, text), ``block_bytes`` of text at most
-    unless a single document is longer.
+    unless a single document is longer, and 2**20 documents at most. Block numbers
+    are below 2**43.
     """
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
+        number = TaskContext.get().partitionId() << 24
         for b in batches:
             sizes = np.diff(np.frombuffer(b.column(1).buffers()[1], np.int32)[b.column(1).offset:][:len(b) + 1])
             ends, at = np.cumsum(sizes, dtype=np.int64), 0
             while at < len(b):
                 start = ends[at - 1] if at else 0
-                to = max(at + 1, int(np.searchsorted(ends, start + block_bytes, "right")))
+                to = max(at + 1, min(int(np.searchsorted(ends, start + block_bytes, "right")), at + (1 << 20)))
                 # the copy leaves behind the part of the buffers outside the slice
                 part = b.take(pa.array(np.arange(at, to)))
                 yield pa.RecordBatch.from_arrays(
@@ -133,34 +148,36 @@ Answers = dict[int, dict[int, bytes]]
 
 
 def each_block(blocks: DataFrame, answers: list[DataFrame],
-               fn: Callable[[int, pa.Table, Answers], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+               fn: Callable[[int, pa.Table, Answers], Iterator[pa.RecordBatch]], schema: str,
+               opened: Callable = unpacked) -> DataFrame:
     """Apply ``fn(block, documents, answers by level and bucket)`` to every block."""
     def run(batches):
         for block, rows in _grouped(batches):
             got: Answers = {}
             for _, level, bucket, data in rows[1:]:
                 got.setdefault(level, {})[bucket] = data
-            yield from fn(block, unpacked(rows[0][3]), got)
+            if rows[0][1] == -1:  # else nothing but answers
+                yield from fn(block, opened(rows[0][3]), got)
 
     return with_answers(blocks, answers).mapInArrow(run, schema)
 
 
 def send(blocks: DataFrame, answers: list[DataFrame],
-         fn: Callable[[pa.Table, Answers], Iterable[tuple[int, bytes]]]) -> DataFrame:
+         fn: Callable[[pa.Table, Answers], Iterable[tuple[int, bytes]]], opened: Callable = unpacked) -> DataFrame:
     """Messages (bucket, block, data) of every block."""
     def run(block, docs, got):
         yield from _message_batches(((bucket, block, data) for bucket, data in fn(docs, got)),
                                     ["bucket", "block", "data"])
-    return each_block(blocks, answers, run, MESSAGES)
+    return each_block(blocks, answers, run, MESSAGES, opened)
 
 
-def resolve(sent: DataFrame, level: int,
-            fn: Callable[[list[int], list[bytes]], Iterable[bytes]]) -> DataFrame:
-    """Answer each bucket's messages by ``fn(blocks, messages)``, one answer a message."""
+def relay(sent: DataFrame, level: int,
+          fn: Callable[[list[int], list[bytes]], Iterable[tuple[int, bytes]]]) -> DataFrame:
+    """What each bucket says to blocks: ``fn(blocks, messages)`` gives (block, data)."""
     def run(batches):
         def rows():
             for bucket, got in _grouped(batches):
-                for (_, block, _), data in zip(got, fn([r[1] for r in got], [r[2] for r in got])):
+                for block, data in fn([r[1] for r in got], [r[2] for r in got]):
                     yield block, level, bucket, data
         yield from _message_batches(rows(), ["block", "level", "bucket", "data"])
 
@@ -169,6 +186,30 @@ def resolve(sent: DataFrame, level: int,
                        .mapInArrow(run, ANSWERS))
 
 
+def resolve(sent: DataFrame, level: int,
+            fn: Callable[[list[int], list[bytes]], Iterable[bytes]]) -> DataFrame:
+    """Answer each bucket's messages by ``fn(blocks, messages)``, one answer a message."""
+    return relay(sent, level, lambda blocks, messages: zip(blocks, fn(blocks, messages)))
+
+
+WIDTH = 6
+
+
+def short_message(hashes: np.ndarray, several: np.ndarray) -> bytes:
+    """Hashes cut to ``WIDTH`` bytes, and whether each stands for more than one document."""
+    return len(hashes).to_bytes(4, "little") + cut_low(hashes, WIDTH) + bits(several)
+
+
+def in_two(_: list[int], messages: list[bytes]) -> list[bytes]:
+    """Which hashes of short messages are in two of them or flagged in one."""
+    counts = [int.from_bytes(m[:4], "little") for m in messages]
+    keys = np.concatenate([from_low(m[4:4 + n * WIDTH], WIDTH) for n, m in zip(counts, messages)])
+    flags = np.concatenate([from_bits(m[4 + n * WIDTH:], n) for n, m in zip(counts, messages)])
+    groups = Groups(keys)
+    kept = (groups.reduce(np.add, flags.astype(np.int64)) + groups.counts() > 1)[groups.inverse]
+    return [bits(x) for x in np.split(kept, np.cumsum(counts)[:-1])]
+
+
 # -- fingerprints ---------------------------------------------------------------------------
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)

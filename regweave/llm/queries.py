@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from regweave.llm.chat import format_conversations, loss_text
 from regweave.llm.decontaminate import benchmark_hits
+from regweave.llm.jaccard import similar_documents
 from regweave.llm.language import identify_languages
 from regweave.llm.mixing import mix_sources
 from regweave.llm.quality import classify
@@ -75,8 +76,13 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(_table(spark, sf_dir, "documents"))
 
 
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = similar_documents(_table(spark, sf_dir, "documents"), 75, 5)
+    return out.select("doc_id", "n_shingles", "component_id", "class_id", "n_links")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_suffix_array_dedup, op2_quality_classifier, op3_benchmark_decontamination, op4_warc, op5_substring_dedup,
-    op6_mixing_sources, op8_chat_formatting, op9_language_id)}
+    op6_mixing_sources, op8_chat_formatting, op9_language_id, op10_ngram_jaccard_join)}
 
 ORACLES: dict[str, str] = {}

@@ -25,7 +25,6 @@ from regweave.llm import blocks as B
 LAST_ID = np.iinfo(np.int64).max
 KEPT = ("doc_id long, n_words long, n_removed long, "
         "spans array<struct<from_word:long,to_word:long>>, kept string")
-_WIDTH = 6
 
 
 def level_lengths(length: int, base: int = 7) -> list[int]:
@@ -119,7 +118,7 @@ def repeated_spans(docs: DataFrame, length: int = 13, base: int = 7,
     answers: list[DataFrame] = []
     for j in range(len(lengths) - 1):
         sent = B.send(blocks, answers, _short_sender(lengths, j, buckets))
-        answers.append(B.resolve(sent, j, _in_two))
+        answers.append(B.resolve(sent, j, B.in_two))
     last = len(lengths) - 1
     sent = B.send(blocks, answers, _full_sender(lengths, buckets))
     answers.append(B.resolve(sent, last, _least_ids))
@@ -136,20 +135,10 @@ def _short_sender(lengths: list[int], j: int, buckets: int):
         several = least != most
         # rows of one id in different blocks also count as two; the last level sorts that out
         for bucket, idx in B.route(B.buckets_of(block.high(j, at, groups), buckets)):
-            yield bucket, len(idx).to_bytes(4, "little") + B.cut_low(groups.values[idx], _WIDTH) + B.bits(several[idx])
+            yield bucket, B.short_message(groups.values[idx], several[idx])
     return fn
 
 
-def _in_two(_: list[int], messages: list[bytes]) -> list[bytes]:
-    """Which hashes are in two messages or flagged in one."""
-    counts = [int.from_bytes(m[:4], "little") for m in messages]
-    keys = np.concatenate([B.from_low(m[4:4 + n * _WIDTH], _WIDTH) for n, m in zip(counts, messages)])
-    flags = np.concatenate([B.from_bits(m[4 + n * _WIDTH:], n) for n, m in zip(counts, messages)])
-    groups = B.Groups(keys)
-    kept = (groups.reduce(np.add, flags.astype(np.int64)) + groups.counts() > 1)[groups.inverse]
-    return [B.bits(x) for x in np.split(kept, np.cumsum(counts)[:-1])]
-
-
 def _full_sender(lengths: list[int], buckets: int):
     words = B.Words()
     last = len(lengths) - 1
