@@ -10,6 +10,7 @@ from regweave.llm.decontaminate import benchmark_hits
 from regweave.llm.jaccard import similar_documents
 from regweave.llm.language import identify_languages
 from regweave.llm.mixing import mix_sources
+from regweave.llm.neighbours import nearest
 from regweave.llm.quality import classify
 from regweave.llm.substring import repeated_spans
 from regweave.llm.suffix import remove_repeats
@@ -56,6 +57,11 @@ def op6_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
                       (F.col("size") * F.col("times")).alias("taken"))
 
 
+def op7_approximate_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings")
+    return nearest(rows, rows.filter(F.col("vec_id") % 20 == 0), 20)
+
+
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -83,6 +89,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_suffix_array_dedup, op2_quality_classifier, op3_benchmark_decontamination, op4_warc, op5_substring_dedup,
-    op6_mixing_sources, op8_chat_formatting, op9_language_id, op10_ngram_jaccard_join)}
+    op6_mixing_sources, op7_approximate_nearest_neighbours, op8_chat_formatting, op9_language_id,
+    op10_ngram_jaccard_join)}
 
 ORACLES: dict[str, str] = {}
