@@ -1,15 +1,57 @@
-"""Cleaning and mixing of a corpus, stage by stage."""
+"""Cleaning and mixing of a corpus, stage by stage.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the one before it
+kept; all but the last return the columns of documents. Stages handle null and
+empty texts, repeated rows and ids, extra columns and empty tables as their
+operators state.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from regweave.llm.decontaminate import without_hits
+from regweave.llm.jaccard import one_of_each
+from regweave.llm.mixing import mix_sources
+from regweave.llm.quality import filter_quality
+from regweave.llm.suffix import without_repeats
+from regweave.session import cut_lineage
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject."""
+    return filter_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, that of smallest id."""
+    return one_of_each(docs, 75, 5)
+
+
+def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the strings of 400 bytes that occur more than once."""
+    return without_repeats(docs, 400)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no ten words in a row of a benchmark item."""
+    return without_hits(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), 10)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents of the mix, with the number of times each is taken."""
+    return mix_sources(docs).filter("times > 0")
+
+
+STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("repeated_strings", repeated_strings),
+          ("decontamination", decontamination), ("mixing", mixing)]
+#: Several stages cannot be told in SQL; the tests compare with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply all stages to documents; each result is written before the next stage reads it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = cut_lineage(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -64,10 +64,11 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: int, most: int = BLOC
 
 
 def write_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                 block_bytes: int = BLOCK_BYTES) -> DataFrame:
+                 block_bytes: int = BLOCK_BYTES, carry: tuple[str, ...] = ()) -> DataFrame:
     """(block, payload, n_bytes), in the shared folder.
 
-    A payload holds whole documents (id, text), ``block_bytes`` of text at most
+    A payload holds whole documents (id, text and the columns of ``carry``, named
+    0, 1, ..), ``block_bytes`` of text at most
     unless a single document is longer, and 2**20 documents at most. Block numbers
     are below 2**43.
     """
@@ -87,7 +88,8 @@ def write_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 number, at = number + 1, to
 
     narrow = docs.select(F.col(id_col).cast("long").alias("id"),
-                         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+                         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
+                         *(F.col(c).alias(str(i)) for i, c in enumerate(carry)))
     return cut_lineage(narrow.mapInArrow(build, "block long, payload binary, n_bytes long"))
 
 

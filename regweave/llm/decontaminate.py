@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -154,6 +155,22 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, length: int = 10, id_c
     return out.drop("again")
 
 
+def without_hits(docs: DataFrame, benchmark: DataFrame, length: int = 10, text_col: str = "text",
+                 item_col: str = "item_id") -> DataFrame:
+    """The rows of ``docs`` without a word in a benchmark window, with all their columns."""
+    out = docs
+    for part in _parts(benchmark, item_col, "text"):
+        scan = _scanner(part, length, (id(part), length))
+
+        def clean(batches, scan=scan):
+            for b in batches:
+                text = b.column(b.schema.names.index(text_col)).cast(pa.string())
+                got = next(scan(iter([pa.RecordBatch.from_arrays([pa.nulls(len(b), pa.int64()), text], ["id", "text"])])))
+                yield b.filter(pc.equal(pc.list_value_length(got.column("hits")), 0))
+        out = out.mapInArrow(clean, docs.schema)
+    return out
+
+
 def _joined(x: list[dict], y: list[dict]) -> list[dict]:
     """Union of two lists of character runs."""
     out: list[dict] = []

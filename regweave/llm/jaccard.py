@@ -408,18 +408,21 @@ def _members(size: int, buckets: int):
                              for i, d in enumerate(sets.digests)))
         yield pa.RecordBatch.from_arrays(
             [docs["id"].combine_chunks(), pa.array([len(s) for s in sets.sets], pa.int64()),
-             pa.array(nodes, pa.int64()), pa.array(least, pa.int64())],
-            ["doc_id", "n_shingles", "node", "least_id"])
+             pa.array(nodes, pa.int64()), pa.array(least, pa.int64()),
+             pa.array([block << 20 | i for i in range(len(sets.sets))], pa.int64()),
+             pa.array([hashlib.sha256(t).hexdigest() for t in B.text_bytes(docs["text"])])],
+            ["doc_id", "n_shingles", "node", "least_id", "row", "text_sha256"])
     return run
 
 
 def similar_documents(docs: DataFrame, per_cent: int = 75, shingle: int = 5, id_col: str = "doc_id",
                       text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, class_id, n_links, component_id) of every document.
+    """(doc_id, n_shingles, class_id, n_links, component_id, first, text_sha256) of every document.
 
     Documents of one class have equal sets; n_links counts the other classes whose
     similarity is ``per_cent`` or more; component_id is the smallest id reachable
-    by links and equality.
+    by links and equality, and first marks one document of each component, that of
+    this id.
     """
     spark = docs.sparkSession
     blocks = B.write_blocks(docs, id_col, text_col)
@@ -443,12 +446,23 @@ def similar_documents(docs: DataFrame, per_cent: int = 75, shingle: int = 5, id_
     counts = _pairs(found.filter("block = 0"), "node", "n_links")
     roots = connected_components(_pairs(found.filter("block = 1"), "u", "v"))
     members = cut_lineage(B.each_block(blocks, [equal], _members(shingle, buckets),
-                                       "doc_id long, n_shingles long, node long, least_id long"))
+                                       "doc_id long, n_shingles long, node long, least_id long, row long, text_sha256 string"))
     linked = counts.join(roots, "node")
     least = members.select("node", "least_id").distinct().join(roots, "node").groupBy("root").agg(
-        F.min("least_id").alias("component"))
-    linked = linked.join(least, "root").select("node", "n_links", "component")
+        F.min(F.struct("least_id", "node")).alias("first"))
+    linked = linked.join(least, "root").select(
+        "node", "n_links", F.col("first.least_id").alias("component"), F.col("first.node").alias("keeper"))
     own = F.when(F.col("least_id") != NO_ID, F.col("least_id"))
     return members.join(linked, "node", "left").select(
         "doc_id", "n_shingles", own.alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"),
-        F.when(F.coalesce("component", "least_id") != NO_ID, F.coalesce("component", "least_id")).alias("component_id"))
+        F.when(F.coalesce("component", "least_id") != NO_ID, F.coalesce("component", "least_id")).alias("component_id"),
+        (F.col("row") == F.coalesce("keeper", "node")).alias("first"), "text_sha256")
+
+
+def one_of_each(docs: DataFrame, per_cent: int = 75, shingle: int = 5) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text, ..) that come first in their component, one of each."""
+    kept = similar_documents(docs, per_cent, shingle).filter("first").select(
+        F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
+    keyed = docs.withColumn("__h", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
+    rows = keyed.join(kept, keyed["doc_id"].eqNullSafe(kept["__id"]) & (keyed["__h"] == kept["__sha"]), "left_semi")
+    return rows.dropDuplicates(["doc_id", "__h"]).drop("__h")

@@ -21,9 +21,11 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from regweave.llm import blocks as B
 
@@ -349,7 +351,7 @@ def _again(found: _Candidates, answers: dict[int, bytes]) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
-def _remover(length: int, buckets: int):
+def _remover(length: int, buckets: int, carry: tuple[str, ...]):
     def fn(_: int, docs: pa.Table, got: B.Answers) -> Iterator[pa.RecordBatch]:
         block = _Block(docs, length)
         found = _Candidates(block, got.get(0, {}), buckets)
@@ -365,22 +367,45 @@ def _remover(length: int, buckets: int):
             [docs["id"].combine_chunks(), pa.array(n, pa.int64()), pa.array(gone, pa.int64()),
              pa.array([[{"from_byte": a, "to_byte": b} for a, b in s] for s in spans],
                       pa.list_(pa.struct([("from_byte", pa.int64()), ("to_byte", pa.int64())]))),
-             pa.array(kept, pa.binary())],
-            ["doc_id", "n_bytes", "n_removed", "spans", "kept"])
+             pa.array(kept, pa.binary()), *(c.combine_chunks() for c in docs.columns[2:])],
+            ["doc_id", "n_bytes", "n_removed", "spans", "kept", *carry])
     return fn
 
 
 def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id",
-                   text_col: str = "text") -> DataFrame:
+                   text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """Remove each byte in a string of ``length`` bytes that also starts anywhere else.
 
-    Returns (doc_id, n_bytes, n_removed, spans, kept): removed byte runs and the
-    remaining bytes, which may cut a character.
+    Returns (doc_id, n_bytes, n_removed, spans, kept) and the columns named in
+    ``carry``: removed byte runs and the remaining bytes, which may cut a character.
     """
     if length < ANCHOR:
         raise ValueError(f"length must be {ANCHOR} bytes at least")
-    blocks = B.write_blocks(docs, id_col, text_col)
+    clash = {"doc_id", "n_bytes", "n_removed", "spans", "kept"} & set(carry)
+    if clash:
+        raise ValueError(f"columns to carry have names of the result: {sorted(clash)}")
+    blocks = B.write_blocks(docs, id_col, text_col, carry=carry)
     buckets = B.bucket_count(blocks, 0.3)
     anchors = B.resolve(B.send(blocks, [], _anchor_sender(length, buckets)), 0, _count_anchors)
     cells = B.resolve(B.send(blocks, [anchors], _cell_sender(length, buckets)), 1, _decider(length))
-    return B.each_block(blocks, [anchors, cells], _remover(length, buckets), KEPT)
+    schema = KEPT + "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
+    return B.each_block(blocks, [anchors, cells], _remover(length, buckets, carry), schema)
+
+
+def without_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
+    """``docs`` (doc_id, text, n_chars, ..) with the repeated strings cut out of the texts.
+
+    Where a cut goes through a character, the rest of it goes too; documents stay
+    even if nothing is left of their text.
+    """
+    others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
+    out = remove_repeats(docs, length, carry=others)
+    text = whole_characters(F.col("kept"))
+    return out.select("doc_id", text.alias("text"), *others).withColumn(
+        "n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+@F.pandas_udf("string")
+def whole_characters(kept: pd.Series) -> pd.Series:
+    """Text of UTF-8 bytes, without characters that are cut."""
+    return kept.map(lambda b: bytes(b).decode("utf-8", "ignore"))
