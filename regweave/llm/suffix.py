@@ -24,7 +24,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from regweave.llm import blocks as B
@@ -405,7 +405,8 @@ def without_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
         "n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
-@F.pandas_udf("string")
-def whole_characters(kept: pd.Series) -> pd.Series:
+def whole_characters(column: Column) -> Column:
     """Text of UTF-8 bytes, without characters that are cut."""
-    return kept.map(lambda b: bytes(b).decode("utf-8", "ignore"))
+    def decode(kept: pd.Series) -> pd.Series:
+        return kept.map(lambda b: bytes(b).decode("utf-8", "ignore"))
+    return F.pandas_udf(decode, "string")(column)
