@@ -83,6 +83,8 @@ def estimate(patterns: dict[str, int], rounds: int = 1000, tol: float = 1e-9) ->
     its own odds against the overall ones. Abstaining says nothing.
     """
     keys = sorted(patterns)
+    if not keys:
+        return {}, np.zeros((0, 2))
     n = np.array([patterns[k] for k in keys], float)
     v = np.array([[int(c) for c in k] for k in keys], int).reshape(len(keys), -1)
     start = np.tile([0.5, START_BAD, START_GOOD], (v.shape[1], 1))
@@ -93,7 +95,7 @@ def estimate(patterns: dict[str, int], rounds: int = 1000, tol: float = 1e-9) ->
         odds = np.log(right / (1 - right)) * np.array([0.0, -1.0, 1.0]) - overall * np.array([0.0, 1.0, 1.0])
         log = sum((odds[j][v[:, j]] for j in range(v.shape[1])), np.full(len(keys), overall))
         new = 1 / (1 + np.exp(-np.clip(log, -50, 50)))
-        done = len(keys) == 0 or np.abs(new - good).max() < tol
+        done = np.abs(new - good).max() < tol
         good = new
         if done:
             break
