@@ -193,7 +193,7 @@ def classify(docs: DataFrame, labels: DataFrame | None = None, threshold: float
     return narrow.select("text", "doc_id").mapInArrow(run, SCORED)
 
 
-def filter_quality(docs: DataFrame, labels: DataFrame | None = None, threshold: float = 0.5,
+def filter_quality(docs: DataFrame, labels: DataFrame | None = None, threshold: float = 0.3,
                    sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that are kept, with all their columns."""
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
