@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -100,7 +99,7 @@ def bucket_count(blocks: DataFrame, per_byte: float, bucket_bytes: int = 4 << 20
     return max(least, math.ceil(total * per_byte / bucket_bytes))
 
 
-def _message_batches(rows: Iterable[tuple], names: list[str], limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def message_batches(rows: Iterable[tuple], names: list[str], limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     held, size = [], 0
     types = [pa.int64()] * (len(names) - 1) + [pa.binary()]
     if "level" in names:
@@ -120,7 +119,7 @@ def _message_batches(rows: Iterable[tuple], names: list[str], limit: int = 8 <<
         yield flush()
 
 
-def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
+def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
     """Runs of rows that share the first column."""
     key, held = None, []
     for b in batches:
@@ -154,7 +153,7 @@ def each_block(blocks: DataFrame, answers: list[DataFrame],
                opened: Callable = unpacked) -> DataFrame:
     """Apply ``fn(block, documents, answers by level and bucket)`` to every block."""
     def run(batches):
-        for block, rows in _grouped(batches):
+        for block, rows in grouped(batches):
             got: Answers = {}
             for _, level, bucket, data in rows[1:]:
                 got.setdefault(level, {})[bucket] = data
@@ -168,7 +167,7 @@ def send(blocks: DataFrame, answers: list[DataFrame],
          fn: Callable[[pa.Table, Answers], Iterable[tuple[int, bytes]]], opened: Callable = unpacked) -> DataFrame:
     """Messages (bucket, block, data) of every block."""
     def run(block, docs, got):
-        yield from _message_batches(((bucket, block, data) for bucket, data in fn(docs, got)),
+        yield from message_batches(((bucket, block, data) for bucket, data in fn(docs, got)),
                                     ["bucket", "block", "data"])
     return each_block(blocks, answers, run, MESSAGES, opened)
 
@@ -178,10 +177,10 @@ def relay(sent: DataFrame, level: int,
     """What each bucket says to blocks: ``fn(blocks, messages)`` gives (block, data)."""
     def run(batches):
         def rows():
-            for bucket, got in _grouped(batches):
+            for bucket, got in grouped(batches):
                 for block, data in fn([r[1] for r in got], [r[2] for r in got]):
                     yield block, level, bucket, data
-        yield from _message_batches(rows(), ["block", "level", "bucket", "data"])
+        yield from message_batches(rows(), ["block", "level", "bucket", "data"])
 
     n = int(sent.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return cut_lineage(sent.repartition(n, "bucket").sortWithinPartitions("bucket", "block")
@@ -303,26 +302,28 @@ def from_low(data: bytes, width: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-class Words(dict):
-    """Number of each word seen, with two independent 64-bit hashes of it."""
-
-    def __init__(self, limit: int = 400_000):
-        super().__init__()
-        self.limit, self.pairs = limit, []
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-        self[word] = n = len(self.pairs)
-        self.pairs.append(xxhash.xxh3_128_digest(word))
-        return n
-
-    def numbered(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Both hashes of all words in sequence, and where each text begins."""
-        if len(self) > self.limit:
-            self.clear()
-            self.pairs.clear()
-        ids = np.fromiter(map(self.__getitem__, chain.from_iterable(texts)), np.int64)
-        both = np.frombuffer(b"".join(self.pairs), np.uint64).reshape(-1, 2)
-        starts = np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)])
-        return both[ids, 0] if len(ids) else np.zeros(0, np.uint64), \
-            both[ids, 1] if len(ids) else np.zeros(0, np.uint64), starts
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_BYTE = mix(np.arange(256, dtype=np.uint64) + np.uint64(1))
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every word (run of bytes other than ASCII white space) and where each text's begin.
+
+    A word's hash is the sum of a random value of each byte times a random odd
+    number of its place, scrambled.
+    """
+    joined = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+    space = _SPACE[joined]
+    edge = np.flatnonzero(np.diff(space, prepend=True))
+    begins, ends = edge[::2], edge[1::2]
+    offsets = np.cumsum([0] + [len(t) + 1 for t in texts])
+    at = np.searchsorted(begins, offsets)
+    if not len(begins):
+        return np.zeros(0, np.uint64), at
+    sizes = ends - begins
+    first = np.cumsum(sizes) - sizes
+    letters = joined[~space]
+    place = mix(np.arange(int(sizes.max()), dtype=np.uint64) + np.uint64(1 << 32)) | np.uint64(1)
+    terms = _BYTE[letters] * place[np.arange(len(letters)) - np.repeat(first, sizes)]
+    return mix(np.add.reduceat(terms, first) + sizes.astype(np.uint64)), at

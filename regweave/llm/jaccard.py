@@ -2,16 +2,16 @@
 
 A document is its set of distinct shingles. Under any one order of all shingles,
 two sets of similarity ``t`` share a token among the first ``n - ceil(t n) + 1`` of
-each. The first order puts tokens that few documents hold in front, by a count
-sketch of fixed size over the whole corpus, and generates candidates; the same must
-hold under further orders, which differ within each frequency class, and a pair is
-verified only if it passes all of them.
+each. The first order puts tokens that few documents hold in front, by frequency
+classes counted over the whole corpus, and generates candidates; the same must
+hold under further orders, which differ within each class, and a pair is verified
+only if it passes all of them.
 
 Steps, between blocks of documents and buckets of tokens:
 
 1. equal sets meet by digest and are represented by one document;
-2. prefix tokens that no other set has in its prefix are dropped, and with them
-   the sets that have no other prefix token;
+2. buckets tell the frequency class of every token; sets without a token in their
+   prefix that occurs elsewhere have no partner;
 3. the remaining sets are dealt to blocks by their least token, so that most near
    copies are neighbours;
 4. each token's bucket tells the blocks which sets to send to which other block.
@@ -42,27 +42,32 @@ from regweave.llm import blocks as B
 from regweave.llm.components import connected_components
 from regweave.session import cut_lineage
 
-SKETCH = 1 << 18
-SLICES = 32
 ORDERS = 3
+#: Frequencies from which a token is in class 1, 2 and 3.
+CLASSES = np.array([2, 8, 64])
 SET_BYTES = 1 << 20
+#: Buckets whose spanning forests are combined.
+FAN_IN = 16
 #: Bytes of a token: two sets of a thousand tokens agree in one by chance with odds of 1 to 70 billion.
 WIDTH = 7
 _MASK = np.uint64((1 << 8 * WIDTH) - 1)
+#: Bytes of a token that are counted, besides its bucket. Tokens that agree in them share a class.
+COUNTED = 3
 NO_ID = np.iinfo(np.int64).max
+DESCRIBED = "row long, doc_id long, n_shingles long, digest binary, text_sha256 string"
 
 
-def shingle_sets(texts: list[bytes], words: B.Words, size: int) -> list[np.ndarray]:
+def shingle_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
     """Ascending hashes of the distinct shingles of each text, of ``WIDTH`` bytes."""
-    own = [t.lower().split() for t in texts]
-    lo, _, at = words.numbered(own)
-    h = B.window_hash(lo, size, seed=3) & _MASK if len(lo) >= size else np.zeros(0, np.uint64)
+    words, at = B.word_hashes([t.lower() for t in texts])
+    h = B.window_hash(words, size, seed=3) & _MASK if len(words) >= size else np.zeros(0, np.uint64)
     out = []
-    for a, b in zip(at[:-1], at[1:]):
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
         if b - a >= size:
-            out.append(np.unique(h[a:b - size + 1]))
+            own = np.sort(h[a:b - size + 1])
+            out.append(own[np.append(True, own[1:] != own[:-1])])
         elif b > a:
-            out.append(B.window_hash(lo[a:b], int(b - a), seed=4 + int(b - a)) & _MASK)
+            out.append(B.window_hash(words[a:b], b - a, seed=4 + b - a) & _MASK)
         else:
             out.append(np.zeros(0, np.uint64))
     return out
@@ -72,170 +77,110 @@ def prefix_size(n: int, per_cent: int) -> int:
     return n - (per_cent * n + 99) // 100 + 1
 
 
-def in_order(tokens: np.ndarray, classes: np.ndarray, order: int) -> np.ndarray:
-    """Indices of ``tokens`` in one of the global orders."""
-    key = tokens if order == 0 else B.mix(tokens * B.odd(900 + order))
-    return np.lexsort([key, classes[_counter(tokens)]])
-
-
-def _counter(tokens: np.ndarray) -> np.ndarray:
-    return (B.mix(tokens ^ B.odd(77)) & np.uint64(SKETCH - 1)).astype(np.int64)
+def prefix(keys: np.ndarray, order: int, per_cent: int) -> np.ndarray:
+    """First of ``keys`` (class above token, ascending) in one of the global orders."""
+    n = prefix_size(len(keys), per_cent)
+    if order == 0:
+        return keys[:n]
+    other = (keys & ~_MASK) | (B.mix(keys * B.odd(900 + order)) & _MASK)
+    return keys[np.argpartition(other, n - 1)[:n]]
 
 
 def _digest(tokens: np.ndarray) -> bytes:
     return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
 
 
-def _bucket_of_digest(digest: bytes, buckets: int) -> int:
-    return int.from_bytes(digest[:8], "little") * buckets >> 64
-
-
-class _Sets:
-    """Distinct sets of a block, each owned by its document of smallest id."""
-
-    def __init__(self, docs: pa.Table, words: B.Words, size: int, buckets: int):
-        self.ids = [NO_ID if x is None else x for x in docs["id"].to_pylist()]
-        self.sets = shingle_sets(B.text_bytes(docs["text"]), words, size)
-        self.owner: dict[bytes, int] = {}
-        self.digests: list[bytes | None] = []
-        for i, s in enumerate(self.sets):
-            d = _digest(s) if len(s) else None
-            self.digests.append(d)
-            if d is not None and (d not in self.owner or self.ids[i] < self.ids[self.owner[d]]):
-                self.owner[d] = i
-        self.by_bucket: dict[int, list[bytes]] = {}
-        for d in sorted(self.owner):
-            self.by_bucket.setdefault(_bucket_of_digest(d, buckets), []).append(d)
-
-    def classes(self, answers: dict[int, bytes]) -> dict[bytes, tuple[int, int]]:
-        """(representative node, smallest id) of each digest."""
-        out = {}
-        for bucket, own in self.by_bucket.items():
-            pairs = np.frombuffer(answers[bucket], np.int64).reshape(-1, 2)
-            out.update(zip(own, map(tuple, pairs.tolist())))
-        return out
-
-    def represented(self, block: int, answers: dict[int, bytes]) -> list[int]:
-        """Documents of this block that stand for their set."""
-        found = self.classes(answers)
-        return sorted(i for d, i in self.owner.items() if found[d][0] == block << 20 | i)
+def _describe(size: int):
+    """Id, size and digest of the set of each document."""
+    def run(block, docs, _):
+        texts = B.text_bytes(docs["text"])
+        sets = shingle_sets(texts, size)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([block << 20 | i for i in range(len(sets))], pa.int64()), docs["id"].combine_chunks(),
+             pa.array([len(s) for s in sets], pa.int64()),
+             pa.array([_digest(s) if len(s) else None for s in sets], pa.binary()),
+             pa.array([hashlib.sha256(t).hexdigest() for t in texts])],
+            ["row", "doc_id", "n_shingles", "digest", "text_sha256"])
+    return run
 
 
-def _digest_sender(size: int, buckets: int):
-    words = B.Words()
+class _Tokens:
+    """Distinct tokens of a block, and in how many of its distinct sets each is."""
 
-    def fn(docs: pa.Table, _: B.Answers) -> Iterator[tuple[int, bytes]]:
-        sets = _Sets(docs, words, size, buckets)
-        for bucket, own in sets.by_bucket.items():
-            at = [sets.owner[d] for d in own]
-            yield bucket, b"".join(own) + np.array([[sets.ids[i], i] for i in at], np.int64).tobytes()
-        tokens = [sets.sets[i] for i in sets.owner.values()]
-        if tokens:
-            sketch = np.bincount(_counter(np.concatenate(tokens)), minlength=SKETCH).astype(np.uint32)
-            import zstandard
-            squeeze = zstandard.ZstdCompressor(level=1)
-            for k, part in enumerate(np.split(sketch, SLICES)):
-                yield -1 - k, squeeze.compress(part.tobytes())
-    return fn
+    def __init__(self, docs: pa.Table, size: int, buckets: int):
+        self.sets = shingle_sets(B.text_bytes(docs["text"]), size)
+        distinct = {s.tobytes(): s for s in self.sets if len(s)}
+        self.groups = B.Groups(np.concatenate(list(distinct.values())) if distinct else np.zeros(0, np.uint64))
+        self.routes = list(B.route(B.buckets_of(B.mix(self.groups.values), buckets)))
 
+    def classes(self, answers: dict[int, bytes]) -> np.ndarray:
+        out = np.zeros(len(self.groups.values), np.uint64)
+        for bucket, idx in self.routes:
+            data, n = answers[bucket], (len(idx) + 7) // 8
+            out[idx] = B.from_bits(data[:n], len(idx)) + 2 * B.from_bits(data[n:], len(idx)).astype(np.uint64)
+        return out
 
-def _equal_sets(blocks: list[int], messages: list[bytes]) -> list[bytes]:
-    """Representative node and smallest id of each digest."""
-    best: dict[bytes, tuple[int, int]] = {}
-    read = []
-    for block, m in zip(blocks, messages):
-        n = len(m) // 32
-        own = [m[16 * i:16 * i + 16] for i in range(n)]
-        read.append(own)
-        for d, (doc, i) in zip(own, np.frombuffer(m, np.int64, 2 * n, 16 * n).reshape(-1, 2).tolist()):
-            new = (doc, block << 20 | i)
-            if d not in best or new < best[d]:
-                best[d] = new
-    return [np.array([best[d][::-1] for d in own], np.int64).tobytes() for own in read]
-
-
-def _sum_sketches(_: list[int], messages: list[bytes]) -> list[tuple[int, bytes]]:
-    import zstandard
-    expand = zstandard.ZstdDecompressor()
-    total = np.zeros(SKETCH // SLICES, np.int64)
-    for m in messages:
-        total += np.frombuffer(expand.decompress(m), np.uint32)
-    return [(0, total.tobytes())]
-
-
-def _frequency_classes(sent: DataFrame) -> np.ndarray:
-    """Class of each counter: 0 up to twice the mean, one more for each doubling."""
-    rows = B.relay(sent, 0, _sum_sketches).select("bucket", "data").collect()  # SLICES rows
-    sketch = np.zeros(SKETCH, np.int64)
-    for r in rows:
-        k, n = -1 - r["bucket"], SKETCH // SLICES
-        sketch[k * n:(k + 1) * n] = np.frombuffer(r["data"], np.int64)
-    mean = max(1.0, sketch.mean())
-    return np.maximum(0, np.floor(np.log2(np.maximum(sketch, 1) / mean))).astype(np.uint8)
-
-
-class _Prefixes:
-    """First-order prefixes of the represented sets of a block."""
-
-    def __init__(self, block: int, sets: _Sets, got: B.Answers, classes: np.ndarray, per_cent: int):
-        self.docs = sets.represented(block, got.get(0, {}))
-        ordered = []
-        for i in self.docs:
-            s = sets.sets[i]
-            ordered.append(s[in_order(s, classes, 0)[:prefix_size(len(s), per_cent)]])
-        self.tokens = np.concatenate(ordered) if ordered else np.zeros(0, np.uint64)
-        self.doc = np.repeat(np.arange(len(ordered)), [len(x) for x in ordered]) if ordered else np.zeros(0, np.int64)
-        self.groups = B.Groups(self.tokens)
-
-
-def _prefix_sender(size: int, buckets: int, classes, per_cent: int):
-    words = B.Words()
-
-    def run(block, docs, got):
-        p = _Prefixes(block, _Sets(docs, words, size, buckets), got, classes.value, per_cent)
-        g = p.groups
-        rows = [(bucket, block, B.short_message(g.values[idx], g.counts()[idx] > 1))
-                for bucket, idx in B.route(B.buckets_of(B.mix(g.values), buckets))]
-        yield from B._message_batches(rows, ["bucket", "block", "data"])
-    return run
 
+def _token_counts(size: int, buckets: int):
+    def fn(docs: pa.Table, _: B.Answers) -> Iterator[tuple[int, bytes]]:
+        tokens = _Tokens(docs, size, buckets)
+        counts = np.minimum(tokens.groups.counts(), 255).astype(np.uint8)
+        for bucket, idx in tokens.routes:
+            several = counts[idx] > 1
+            yield bucket, b"".join([len(idx).to_bytes(4, "little"), B.cut_low(tokens.groups.values[idx], COUNTED),
+                                    B.bits(several), counts[idx][several].tobytes()])
+    return fn
 
-def _dealer(size: int, buckets: int, classes, per_cent: int, homes: int):
-    """Send each set that still has a prefix token to the home of its least token."""
-    words = B.Words()
 
+def _classify(_: list[int], messages: list[bytes]) -> list[bytes]:
+    """Class of each token: two bit arrays a message."""
+    sizes = [int.from_bytes(m[:4], "little") for m in messages]
+    keys, counts = [], []
+    for n, m in zip(sizes, messages):
+        keys.append(B.from_low(m[4:4 + n * COUNTED], COUNTED))
+        at = 4 + n * COUNTED
+        several = B.from_bits(m[at:at + (n + 7) // 8], n)
+        c = np.ones(n, np.int64)
+        c[several] = np.frombuffer(m, np.uint8, -1, at + (n + 7) // 8)
+        counts.append(c)
+    groups = B.Groups(np.concatenate(keys))
+    total = groups.reduce(np.add, np.concatenate(counts))[groups.inverse]
+    of = np.searchsorted(CLASSES, total, "right")
+    return [B.bits(x & 1 > 0) + B.bits(x & 2 > 0) for x in np.split(of, np.cumsum(sizes)[:-1])]
+
+
+def _dealer(size: int, buckets: int, per_cent: int, homes: int):
+    """Send each represented set that has a common prefix token to the home of its least token."""
     def run(block, docs, got):
-        sets = _Sets(docs, words, size, buckets)
-        p = _Prefixes(block, sets, got, classes.value, per_cent)
-        g = p.groups
-        shared = np.zeros(len(g.values), bool)
-        for bucket, idx in B.route(B.buckets_of(B.mix(g.values), buckets)):
-            shared[idx] = B.from_bits(got[1][bucket], len(idx))
-        mine = shared[g.inverse]
+        mine = np.frombuffer(got.get(0, {}).get(0, b""), np.int64) & ((1 << 20) - 1)
+        if not len(mine):
+            return
+        tokens = _Tokens(docs, size, buckets)
+        of, values = tokens.classes(got.get(1, {})), tokens.groups.values
         parts: dict[int, list] = {}
-        for k in np.unique(p.doc[mine]):
-            i = p.docs[k]
-            s = sets.sets[i]
-            home = int(B.buckets_of(B.mix(s[:1]), homes)[0])
-            positions = np.flatnonzero(mine[p.doc == k]).astype(np.uint32)
-            parts.setdefault(home, []).append((int(s[0]), block << 20 | int(i), sets.ids[i], s, positions))
-        yield from B._message_batches(((home, block, pickle.dumps(x, 5)) for home, x in parts.items()),
-                                      ["bucket", "block", "data"])
+        for i in mine.tolist():
+            s = tokens.sets[i]
+            keys = np.sort(of[np.searchsorted(values, s)] << np.uint64(8 * WIDTH) | s)
+            if keys[prefix_size(len(s), per_cent) - 1] > _MASK:
+                home = int(B.buckets_of(B.mix(s[:1]), homes)[0])
+                parts.setdefault(home, []).append((int(s[0]), block << 20 | i, keys))
+        yield from B.message_batches(((home, block, pickle.dumps(x, 5)) for home, x in parts.items()),
+                                     ["bucket", "block", "data"])
     return run
 
 
 def _settle(_: list[int], messages: list[bytes]) -> Iterator[tuple[int, bytes]]:
-    """Blocks of neighbouring sets, of a bounded size, from what one home received."""
+    """Blocks of neighbouring sets, of a bounded size, from what one home received; each has the number of its first node."""
     held = sorted((x for m in messages for x in pickle.loads(m)), key=lambda x: x[:2])
     part, size = [], 0
     for x in held:
         part.append(x[1:])
-        size += x[3].nbytes
+        size += x[2].nbytes
         if size > SET_BYTES:
-            yield 0, pickle.dumps(part, 5)
+            yield part[0][0], pickle.dumps(part, 5)
             part, size = [], 0
     if part:
-        yield 0, pickle.dumps(part, 5)
+        yield part[0][0], pickle.dumps(part, 5)
 
 
 class _Index:
@@ -259,18 +204,15 @@ class _Index:
         return np.bincount(self.doc[at], minlength=self.n)
 
 
-def _prefix(tokens: np.ndarray, classes: np.ndarray, order: int, per_cent: int) -> np.ndarray:
-    return tokens[in_order(tokens, classes, order)[:prefix_size(len(tokens), per_cent)]]
-
-
-def _token_sender(buckets: int, classes, per_cent: int):
-    """Shared prefix tokens of the settled sets: (token, set, size, position)."""
+def _token_sender(buckets: int, per_cent: int):
+    """Common prefix tokens of the settled sets: (token, set, size)."""
     def fn(part: list, _: B.Answers) -> Iterator[tuple[int, bytes]]:
         rows = []
-        for k, (_node, _id, s, positions) in enumerate(part):
-            first = _prefix(s, classes.value, 0, per_cent)[positions]
+        for k, (_node, keys) in enumerate(part):
+            first = prefix(keys, 0, per_cent)
+            first = first[first > _MASK]
             e = np.zeros(len(first), _TOKEN)
-            e["token"], e["set"], e["size"], e["position"] = first, k, len(s), positions
+            e["token"], e["set"], e["size"] = first, k, len(keys)
             rows.append(e)
         entries = np.concatenate(rows)
         for bucket, idx in B.route(B.buckets_of(B.mix(entries["token"]), buckets)):
@@ -278,7 +220,7 @@ def _token_sender(buckets: int, classes, per_cent: int):
     return fn
 
 
-_TOKEN = np.dtype([("token", "<u8"), ("set", "<u4"), ("size", "<u4"), ("position", "<u4")])
+_TOKEN = np.dtype([("token", "<u8"), ("set", "<u4"), ("size", "<u4")])
 
 
 def _requests(per_cent: int):
@@ -317,37 +259,37 @@ def _shipper(part: list, got: B.Answers) -> Iterator[tuple[int, bytes]]:
     if not pairs:
         return
     pairs = np.unique(np.concatenate(pairs), axis=0)
-    for to, idx in B.route(pairs[:, 1]):
+    to = pairs[:, 1]
+    for idx in np.split(order := np.argsort(to, kind="stable"), np.flatnonzero(np.diff(to[order])) + 1):
         own = [part[k] for k in pairs[idx, 0]]
-        sizes = np.array([len(x[2]) for x in own], np.int64)
-        yield to, len(own).to_bytes(4, "little") + np.array([x[0] for x in own], np.int64).tobytes() + sizes.tobytes() + B.cut_low(
-            np.concatenate([x[2] for x in own]), WIDTH)
+        yield int(to[idx[0]]), b"".join([
+            len(own).to_bytes(4, "little"), np.array([x[0] for x in own], np.int64).tobytes(),
+            np.array([len(x[1]) for x in own], np.int64).tobytes(), *(x[1].tobytes() for x in own)])
 
 
-def _verifier(classes, per_cent: int, homes: int):
+def _verifier(per_cent: int, homes: int):
     """Links of each block, both ways, to the bucket of their first node."""
     def run(block, part, got):
         nodes = np.array([x[0] for x in part], np.int64)
-        sets = [x[2] for x in part]
+        sets = [x[1] for x in part]
         sizes = np.array([len(s) for s in sets], np.int64)
         full = _Index(sets)
-        index = [_Index([_prefix(s, classes.value, k, per_cent) for s in sets]) for k in range(ORDERS)]
+        index = [_Index([prefix(s, k, per_cent) for s in sets]) for k in range(ORDERS)]
         links = []
 
-        def partners(node, tokens, after):
-            n = len(tokens)
+        def partners(node, keys, after):
+            n = len(keys)
             ok = (sizes * 100 >= per_cent * n) & (n * 100 >= per_cent * sizes)
             ok[:after] = False
             for k in range(ORDERS):
                 if not ok.any():
                     return
-                ok &= index[k].shared(_prefix(tokens, classes.value, k, per_cent)) > 0
+                ok &= index[k].shared(prefix(keys, k, per_cent)) > 0
             if not ok.any():
                 return
-            same = full.shared(tokens)
+            same = full.shared(keys)
             ok &= same * 100 >= per_cent * (sizes + n - same)
-            for other in nodes[ok]:
-                links.append((node, int(other)))
+            links.extend((node, other) for other in nodes[ok].tolist())
 
         for i, s in enumerate(sets):
             partners(int(nodes[i]), s, i + 1)
@@ -355,22 +297,19 @@ def _verifier(classes, per_cent: int, homes: int):
             n = int.from_bytes(data[:4], "little")
             theirs = np.frombuffer(data, np.int64, n, 4)
             size = np.frombuffer(data, np.int64, n, 4 + 8 * n)
-            tokens = np.split(B.from_low(data[4 + 16 * n:], WIDTH), np.cumsum(size)[:-1])
-            for node, s in zip(theirs.tolist(), tokens):
+            for node, s in zip(theirs.tolist(), np.split(np.frombuffer(data, np.uint64, -1, 4 + 16 * n), np.cumsum(size)[:-1])):
                 partners(node, s, 0)
         if links:
             both = np.array(links, np.int64)
             both = np.concatenate([both, both[:, ::-1]])
             rows = [(bucket, block, both[idx].tobytes()) for bucket, idx in
                     B.route(B.buckets_of(B.mix(both[:, 0].astype(np.uint64)), homes))]
-            yield from B._message_batches(rows, ["bucket", "block", "data"])
+            yield from B.message_batches(rows, ["bucket", "block", "data"])
     return run
 
 
-def _forest(_: list[int], messages: list[bytes]) -> Iterator[tuple[int, bytes]]:
-    """Number of links of each node, and edges that connect what the links of this bucket connect."""
-    pairs = np.unique(np.concatenate([np.frombuffer(m, np.int64).reshape(-1, 2) for m in messages]), axis=0)
-    node, n = np.unique(pairs[:, 0], return_counts=True)
+def _spanning(pairs: np.ndarray) -> bytes:
+    """Edges that connect what ``pairs`` connect, one fewer than nodes at most."""
     parent: dict[int, int] = {}
 
     def root(x):
@@ -385,8 +324,20 @@ def _forest(_: list[int], messages: list[bytes]) -> Iterator[tuple[int, bytes]]:
         if a != b:
             parent[max(a, b)] = min(a, b)
             edges.append((u, v))
+    return np.array(edges, np.int64).tobytes()
+
+
+def _forest(_: list[int], messages: list[bytes]) -> Iterator[tuple[int, bytes]]:
+    """Number of links of each node, and a spanning forest of the links of this bucket."""
+    pairs = np.unique(np.concatenate([np.frombuffer(m, np.int64).reshape(-1, 2) for m in messages]), axis=0)
+    node, n = np.unique(pairs[:, 0], return_counts=True)
     yield 0, np.stack([node, n], axis=1).astype(np.int64).tobytes()
-    yield 1, np.array(edges, np.int64).tobytes()
+    yield 1, _spanning(pairs)
+
+
+def _one_forest(_: list[int], messages: list[bytes]) -> Iterator[tuple[int, bytes]]:
+    """One spanning forest of those of a few buckets, which a large group of near copies has in common."""
+    yield 1, _spanning(np.concatenate([np.frombuffer(m, np.int64).reshape(-1, 2) for m in messages]))
 
 
 def _pairs(rows: DataFrame, first: str, second: str) -> DataFrame:
@@ -398,21 +349,17 @@ def _pairs(rows: DataFrame, first: str, second: str) -> DataFrame:
     return rows.select("data").mapInArrow(fn, f"{first} long, {second} long")
 
 
-def _members(size: int, buckets: int):
-    words = B.Words()
+def _packed_rows(rows: DataFrame) -> DataFrame:
+    """The ids in ``row`` as one answer to each block."""
+    def fn(batches):
+        def out():
+            for block, held in B.grouped(batches):
+                yield block, 0, 0, np.array([r[1] for r in held], np.int64).tobytes()
+        yield from B.message_batches(out(), ["block", "level", "bucket", "data"])
 
-    def run(block, docs, got):
-        sets = _Sets(docs, words, size, buckets)
-        found = sets.classes(got.get(0, {}))
-        nodes, least = zip(*(found[d] if d is not None else (block << 20 | i, sets.ids[i])
-                             for i, d in enumerate(sets.digests)))
-        yield pa.RecordBatch.from_arrays(
-            [docs["id"].combine_chunks(), pa.array([len(s) for s in sets.sets], pa.int64()),
-             pa.array(nodes, pa.int64()), pa.array(least, pa.int64()),
-             pa.array([block << 20 | i for i in range(len(sets.sets))], pa.int64()),
-             pa.array([hashlib.sha256(t).hexdigest() for t in B.text_bytes(docs["text"])])],
-            ["doc_id", "n_shingles", "node", "least_id", "row", "text_sha256"])
-    return run
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = rows.select(F.shiftright("row", 20).alias("block"), "row")
+    return cut_lineage(keyed.repartition(n, "block").sortWithinPartitions("block", "row").mapInArrow(fn, B.ANSWERS))
 
 
 def similar_documents(docs: DataFrame, per_cent: int = 75, shingle: int = 5, id_col: str = "doc_id",
@@ -424,39 +371,38 @@ def similar_documents(docs: DataFrame, per_cent: int = 75, shingle: int = 5, id_
     by links and equality, and first marks one document of each component, that of
     this id.
     """
-    spark = docs.sparkSession
     blocks = B.write_blocks(docs, id_col, text_col)
-    buckets = B.bucket_count(blocks, 0.4)
-    sent = cut_lineage(B.send(blocks, [], _digest_sender(shingle, buckets)))
-    equal = B.resolve(sent.filter("bucket >= 0"), 0, _equal_sets)
-    classes = spark.sparkContext.broadcast(_frequency_classes(sent.filter("bucket < 0")))  # SKETCH bytes
-    prefixes = B.each_block(blocks, [equal], _prefix_sender(shingle, buckets, classes, per_cent), B.MESSAGES)
-    shared = B.resolve(prefixes, 1, B.in_two)
+    buckets = B.bucket_count(blocks, 0.5, 1 << 20)
+    described = cut_lineage(B.each_block(blocks, [], _describe(shingle), DESCRIBED))
+    order = F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("least_id"), F.col("row").alias("node"))
+    equal = cut_lineage(described.filter("digest is not null").groupBy("digest").agg(F.min(order).alias("first"))
+                        .select("digest", "first.*"))
+    reps = _packed_rows(equal.select(F.col("node").alias("row")))
+    classes = B.resolve(B.send(blocks, [], _token_counts(shingle, buckets)), 1, _classify)
     homes = max(1, math.ceil(buckets / 2))
-    dealt = B.each_block(blocks, [equal, shared], _dealer(shingle, buckets, classes, per_cent, homes), B.MESSAGES)
-    settled = B.relay(dealt, 0, _settle)
-    # number the settled blocks; they are written, so the numbers hold
-    settled = cut_lineage(settled.select(F.monotonically_increasing_id().alias("block"), F.col("data").alias("payload")))
-    tokens = B.send(settled, [], _token_sender(buckets, classes, per_cent), pickle.loads)
+    dealt = B.each_block(blocks, [reps, classes], _dealer(shingle, buckets, per_cent, homes), B.MESSAGES)
+    settled = B.relay(dealt, 0, _settle).select("block", F.col("data").alias("payload"))
+    tokens = B.send(settled, [], _token_sender(buckets, per_cent), pickle.loads)
     wanted = B.relay(tokens, 2, _requests(per_cent))
     shipped = B.send(settled, [wanted], _shipper, pickle.loads)
     arrived = shipped.select(F.col("bucket").alias("block"), F.lit(3).alias("level"), F.col("block").alias("bucket"), "data")
-    links = B.each_block(settled, [arrived], _verifier(classes, per_cent, homes), B.MESSAGES, pickle.loads)
+    links = B.each_block(settled, [arrived], _verifier(per_cent, homes), B.MESSAGES, pickle.loads)
     found = B.relay(links, 0, _forest)
     counts = _pairs(found.filter("block = 0"), "node", "n_links")
-    roots = connected_components(_pairs(found.filter("block = 1"), "u", "v"))
-    members = cut_lineage(B.each_block(blocks, [equal], _members(shingle, buckets),
-                                       "doc_id long, n_shingles long, node long, least_id long, row long, text_sha256 string"))
+    forests = found.filter("block = 1").select(F.floor(F.col("bucket") / FAN_IN).alias("bucket"),
+                                               F.col("bucket").alias("block"), "data")
+    roots = connected_components(_pairs(B.relay(forests, 0, _one_forest), "u", "v"))
     linked = counts.join(roots, "node")
-    least = members.select("node", "least_id").distinct().join(roots, "node").groupBy("root").agg(
-        F.min(F.struct("least_id", "node")).alias("first"))
+    least = equal.join(roots, "node").groupBy("root").agg(F.min(F.struct("least_id", "node")).alias("first"))
     linked = linked.join(least, "root").select(
         "node", "n_links", F.col("first.least_id").alias("component"), F.col("first.node").alias("keeper"))
-    own = F.when(F.col("least_id") != NO_ID, F.col("least_id"))
-    return members.join(linked, "node", "left").select(
-        "doc_id", "n_shingles", own.alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"),
-        F.when(F.coalesce("component", "least_id") != NO_ID, F.coalesce("component", "least_id")).alias("component_id"),
-        (F.col("row") == F.coalesce("keeper", "node")).alias("first"), "text_sha256")
+    members = described.join(equal.join(linked, "node", "left"), "digest", "left")
+    valid = lambda c: F.when(c != NO_ID, c)
+    return members.select(
+        "doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(valid(F.col("least_id"))).alias("class_id"),
+        F.coalesce("n_links", F.lit(0)).alias("n_links"),
+        F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(valid(F.coalesce("component", "least_id"))).alias("component_id"),
+        (F.col("row") == F.coalesce("keeper", "node", "row")).alias("first"), "text_sha256")
 
 
 def one_of_each(docs: DataFrame, per_cent: int = 75, shingle: int = 5) -> DataFrame:

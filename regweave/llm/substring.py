@@ -38,10 +38,10 @@ def level_lengths(length: int, base: int = 7) -> list[int]:
 class _Block:
     """The windows of one block of documents and the candidates among them."""
 
-    def __init__(self, docs: pa.Table, lengths: list[int], words: B.Words):
+    def __init__(self, docs: pa.Table, lengths: list[int]):
         self.ids = np.array([LAST_ID if x is None else x for x in docs["id"].to_pylist()], np.int64)
-        self.words = [t.split() for t in B.text_bytes(docs["text"])]
-        self.lo, self.hi, self.at = words.numbered(self.words)
+        self.texts = B.text_bytes(docs["text"])
+        self.words, self.at = B.word_hashes(self.texts)
         self.lengths, n = lengths, lengths[-1]
         sizes = np.diff(self.at)
         doc = np.repeat(np.arange(len(sizes)), np.maximum(0, sizes - n + 1))
@@ -54,7 +54,7 @@ class _Block:
         """For each window, where the short window of least hash inside it begins."""
         if not len(self.starts):
             return self.starts
-        h = B.window_hash(self.lo, length, seed=1)
+        h = B.window_hash(self.words, length, seed=1)
         best_at = self.starts.copy()
         best = h[best_at]
         for j in range(1, reach):
@@ -72,13 +72,12 @@ class _Block:
         at, back = np.unique(q, return_inverse=True)
         owner = np.empty(len(at), np.int64)
         owner[back] = doc
-        lo = _at(self.lo, at, length, 2 + j)
-        return back, owner, B.Groups(lo), at
+        return back, owner, B.Groups(_at(self.words, at, length, 2 + j)), at
 
     def high(self, j: int, at: np.ndarray, groups: B.Groups) -> np.ndarray:
-        """Second hash of each distinct window."""
+        """Second, independent hash of each distinct window."""
         firsts = at[groups.order[groups.starts]] if len(groups.starts) else at[:0]
-        return _at(self.hi, firsts, self.lengths[j], 50 + j)
+        return _at(self.words, firsts, self.lengths[j], 50 + j)
 
 
 def _at(values: np.ndarray, at: np.ndarray, length: int, seed: int) -> np.ndarray:
@@ -126,10 +125,9 @@ def repeated_spans(docs: DataFrame, length: int = 13, base: int = 7,
 
 
 def _short_sender(lengths: list[int], j: int, buckets: int):
-    words = B.Words()
 
     def fn(docs: pa.Table, got: B.Answers) -> Iterator[tuple[int, bytes]]:
-        block = _Block(docs, lengths, words)
+        block = _Block(docs, lengths)
         _, owner, groups, at = block.level(j, _survivors(block, got, buckets, j))
         least, most = _flagged(block, owner, groups)
         several = least != most
@@ -140,11 +138,10 @@ def _short_sender(lengths: list[int], j: int, buckets: int):
 
 
 def _full_sender(lengths: list[int], buckets: int):
-    words = B.Words()
     last = len(lengths) - 1
 
     def fn(docs: pa.Table, got: B.Answers) -> Iterator[tuple[int, bytes]]:
-        block = _Block(docs, lengths, words)
+        block = _Block(docs, lengths)
         _, owner, groups, at = block.level(last, _survivors(block, got, buckets, last))
         least, _ = _flagged(block, owner, groups)
         for bucket, idx in B.route(B.buckets_of(block.high(last, at, groups), buckets)):
@@ -179,11 +176,10 @@ def _least_ids(_: list[int], messages: list[bytes]) -> list[bytes]:
 
 
 def _remover(lengths: list[int], buckets: int):
-    words = B.Words()
     last = len(lengths) - 1
 
     def fn(_: int, docs: pa.Table, got: B.Answers) -> Iterator[pa.RecordBatch]:
-        block = _Block(docs, lengths, words)
+        block = _Block(docs, lengths)
         alive = _survivors(block, got, buckets, last)
         back, owner, groups, at = block.level(last, alive)
         least, _most = _flagged(block, owner, groups)
@@ -192,9 +188,10 @@ def _remover(lengths: list[int], buckets: int):
             lower = B.from_bits(data, len(idx))
             least[idx[lower]] = np.frombuffer(data, np.int64, int(lower.sum()), (len(idx) + 7) // 8)
         hit = least[groups.inverse][back] < block.ids[block.doc[alive]]
-        removed = B.cover(len(block.lo), block.starts[alive][hit], lengths[-1])
+        removed = B.cover(len(block.words), block.starts[alive][hit], lengths[-1])
         rows = []
-        for i, own in enumerate(block.words):
+        for i, text in enumerate(block.texts):
+            own = text.split()
             mask = removed[block.at[i]:block.at[i + 1]]
             kept = [w for w, r in zip(own, mask) if not r] if mask.any() else own
             rows.append((len(own), int(mask.sum()), B.spans_of(mask).tolist(), b" ".join(kept)))
