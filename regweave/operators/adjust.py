@@ -43,7 +43,8 @@ def adjusted_values(df: DataFrame, p: str = "pval", method: str = "fdr") -> Data
     """``(value, c, total, adj)`` per distinct non-null p-value."""
     if method not in METHODS:
         raise ValueError(f"method must be one of {METHODS}")
-    counts = (df.filter(F.col(p).isNotNull()).groupBy(F.col(p).cast("double").alias("value"))
+    counts = (df.filter(F.col(p).isNotNull() & ~F.isnan(F.col(p).cast("double")))
+              .groupBy(F.col(p).cast("double").alias("value"))
               .agg(F.count(F.lit(1)).alias("c")))
     r = running_counts(counts, [], bucket=unit_bucket(F.col("value")))
     one, n = F.lit(1.0), F.col("total")
@@ -78,12 +79,12 @@ def harmonic(n):
 
 def adjust_pvalues(df: DataFrame, p: str = "pval", out: str = "padj",
                    method: str = "fdr") -> DataFrame:
-    """Add adjusted p-values; NULL p-values stay NULL and are not counted."""
+    """Add adjusted p-values; NULL and NaN p-values get NULL and are not counted."""
     adj = adjusted_values(df, p, method).select(
         F.col("value").alias("_p"), F.col("adj").alias(out),
         (F.col("c") * _HOT_SHARE > F.col("total")).alias("_hot"))
     key = F.col(p).cast("double")
-    rows = df.withColumn("_p", key)
+    rows = df.withColumn("_p", F.when(~F.isnan(key), key))
     # At most 1,000 values can each hold more than 1/1000 of the rows.
     hot = F.broadcast(adj.filter("_hot").select("_p", out))
     tagged = rows.join(hot, "_p", "left")

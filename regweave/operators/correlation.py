@@ -144,6 +144,8 @@ def kendall_pairs(x: DataFrame, y: DataFrame, pairs: DataFrame, obs: DataFrame)
     running count along y says how many agree and how many disagree. That is
     n log n rows of group-and-window work.
     """
+    if "weight" in obs.columns:
+        raise ValueError("Kendall's correlation takes no observation weights")
     n = observation_count(obs)
     xv = x.select("cell", F.col("feature").alias("x"), F.col("value").cast("double").alias("vx"))
     yv = y.select("cell", F.col("feature").alias("y"), F.col("value").cast("double").alias("vy"))

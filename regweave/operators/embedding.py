@@ -14,6 +14,9 @@ from regweave.operators.skew import salted_join
 from regweave.session import cut_lineage
 
 
+_ALL = 32      # up to so many directions all are carried, which is exact at once
+
+
 def _cols(p: str, k: int) -> list[str]:
     return [f"{p}{i}" for i in range(k)]
 
@@ -49,18 +52,23 @@ def _orthonormal(df: DataFrame, names: list[str], key: str) -> tuple[DataFrame,
     return _combine(df, names, vec * scale, names, key), ev
 
 
-def principal_components(matrix: DataFrame, n_pcs: int = 30, iterations: int = 8,
-                         seed: int = 111) -> DataFrame:
+def principal_components(matrix: DataFrame, n_pcs: int = 30, max_iterations: int = 300,
+                         tol: float = 1e-10, extra: int = 10, seed: int = 111) -> DataFrame:
     """``(gene, pc_1..pc_k)`` scores of ``matrix(gene, col, value)``, columns centred.
 
     Absent entries are zeros; centring is applied to the products, so the matrix
-    stays sparse. The sign of a component makes its largest sum positive.
+    stays sparse. The iteration carries at least ``extra`` directions more than
+    asked for (all of them where there are few) and ends when the eigenvalues
+    asked for move by less than ``tol``; it is an error if they still do after
+    ``max_iterations``. The sign of a component makes its largest sum positive.
     """
     m = cut_lineage(matrix.select("gene", "col", F.col("value").cast("double").alias("value")))
     genes = cut_lineage(m.select("gene").distinct())
     n = genes.count()
     means = cut_lineage(m.groupBy("col").agg((F.sum("value") / F.lit(float(n))).alias("mu")))
-    k = min(n_pcs, n - 1, means.count())
+    rank = min(n - 1, means.count())
+    wanted = min(n_pcs, rank)
+    k = rank if rank <= _ALL else min(wanted + extra, rank)
     q, y = _cols("q", k), _cols("y", k)
 
     def unit(i):
@@ -68,14 +76,15 @@ def principal_components(matrix: DataFrame, n_pcs: int = 30, iterations: int = 8
         return (h / F.lit(1_000_003.0) - F.lit(0.5)).alias(q[i])
     right = means.select("col", *[unit(i) for i in range(k)])
     right, _ = _orthonormal(cut_lineage(right), q, "col")
-    for it in range(iterations + 1):
+    last, done = None, False
+    for it in range(max_iterations + 1):
         shift = means.join(right, "col").agg(
             *[F.sum(F.col("mu") * F.col(c)).alias(c) for c in q]).first()
         left = (salted_join(m, right, ["col"], ["gene"]).groupBy("gene")
                 .agg(*[F.sum(F.col("value") * F.col(a)).alias(b) for a, b in zip(q, y)]))
         left = cut_lineage(left.select(
             "gene", *[(F.col(b) - F.lit(float(shift[a] or 0.0))).alias(b) for a, b in zip(q, y)]))
-        if it == iterations:
+        if done:
             break
         tot = left.agg(*[F.sum(c).alias(c) for c in y]).first()
         new = (salted_join(m, left, ["gene"], ["col"]).groupBy("col")
@@ -83,11 +92,16 @@ def principal_components(matrix: DataFrame, n_pcs: int = 30, iterations: int = 8
         new = means.join(new, "col").select("col", *[
             (F.col(a) - F.col("mu") * F.lit(float(tot[b] or 0.0))).alias(a)
             for a, b in zip(q, y)])
-        right, _ = _orthonormal(cut_lineage(new), q, "col")
+        right, ev = _orthonormal(cut_lineage(new), q, "col")
+        now = np.sqrt(ev[:wanted])
+        done = last is not None and bool(np.all(np.abs(now - last) <= tol * max(now[0], 1e-300)))
+        last = now
+    else:
+        raise ValueError("principal components did not converge")
     # Rotate scores so that components are uncorrelated and sorted by variance.
     ev, vec = np.linalg.eigh(_inner(left, y))
-    vec = vec[:, np.argsort(ev)[::-1]]
-    names = [f"pc_{i + 1}" for i in range(k)]
+    vec = vec[:, np.argsort(ev)[::-1][:wanted]]
+    names = [f"pc_{i + 1}" for i in range(wanted)]
     pcs = _combine(left, y, vec, names, "gene")
     cubes = pcs.agg(*[F.sum(F.pow(F.col(c), F.lit(3.0))).alias(c) for c in names]).first()
     return pcs.select("gene", *[

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from regweave.operators.skew import salted_join
-from regweave.session import cut_lineage
+from regweave.session import cut_lineage, discard
 
 
 def module_graph(modules: DataFrame, features: DataFrame | None = None,
@@ -58,7 +58,7 @@ def pagerank(edges: DataFrame, damping: float = 0.85, max_iter: int = 100,
     n = nodes.count()
     if n == 0:
         return nodes.select("name", F.lit(0.0).alias("centrality"))
-    ranks = nodes.withColumn("rank", F.lit(1.0 / n))
+    ranks, kept = nodes.withColumn("rank", F.lit(1.0 / n)), None
     for _ in range(max_iter):
         share = (ranks.filter("deg is not null")
                  .select(F.col("name").alias("from_node"),
@@ -72,7 +72,9 @@ def pagerank(edges: DataFrame, damping: float = 0.85, max_iter: int = 100,
         nxt = cut_lineage(ranks.join(inflow, "name", "left")
                           .select("name", "deg", new.alias("rank"),
                                   F.abs(new - F.col("rank")).alias("moved")))
-        ranks = nxt.drop("moved")
+        if kept is not None:
+            discard(kept)
+        kept, ranks = nxt, nxt.drop("moved")
         if tol > 0 and nxt.agg(F.sum("moved")).first()[0] < tol:
             break
     return ranks.select("name", F.col("rank").alias("centrality"))
@@ -155,7 +157,8 @@ def score_paths(paths: DataFrame, edges: DataFrame) -> DataFrame:
     if has_p:
         strength = F.when(F.col("padj") > 0, -F.log10("padj")).when(
             F.col("padj") == 0, F.lit(float("inf")))
-        aggs.append(F.avg(strength).alias("mean_log_padj"))
+        # one missing value makes the mean missing
+        aggs.append(F.when(F.count("padj") == F.count(F.lit(1)), F.avg(strength)).alias("mean_log_padj"))
     d = path_edges(paths).join(e, ["from_node", "to_node"])
     d = d.groupBy("root", "end_node", "order", "path").agg(*aggs)
     return (d.withColumn("path_regions", F.concat_ws(";", F.transform("r", lambda s: s["regions"])))

@@ -19,7 +19,7 @@ from regweave.functions.columns import all_salts
 from regweave.functions.solvers import independent_columns, lambda_path
 from regweave.operators.correlation import observation_count
 from regweave.operators.gram import RESPONSE, spread_design
-from regweave.session import cut_lineage
+from regweave.session import cut_lineage, discard
 
 FAMILIES = ("poisson", "binomial")
 _DEVIANCE, _CELLS = -3, -4      # labels of the deviance and stored-cell entries
@@ -120,6 +120,11 @@ class _Passes:
         if family not in FAMILIES:
             raise ValueError(f"family must be gaussian or one of {FAMILIES}")
         self.family, self.obs = family, obs
+        # a response outside the family's range has no fit
+        y = F.when(F.col("j") == RESPONSE, F.col("v"))
+        wrong = y < 0 if family == "poisson" else (y < 0) | (y > 1)
+        bad = design.filter(F.coalesce(wrong | F.isnan(y), F.lit(False))).select("target").distinct()
+        design = design.join(bad, "target", "left_anti")
         self.rows = cut_lineage(spread_design(design, _SALT), keep_layout=True)
         self.ttype = design.schema["target"].dataType.simpleString()
 
@@ -186,8 +191,13 @@ def fit_glm(design: DataFrame, obs: DataFrame, family: str = "poisson", max_iter
         b0 = pdf["b0"].iloc[0]
         g, dev = _assemble(pdf, family, None if pd.isna(b0) else float(b0))
         a, c = g[1:, 1:], g[1:, 0]
-        keep = independent_columns(a, np.diag(a))
-        inv = np.linalg.inv(a[np.ix_(keep, keep)])
+        try:
+            if not np.isfinite(g).all():
+                raise np.linalg.LinAlgError
+            keep = independent_columns(a, np.diag(a))
+            inv = np.linalg.inv(a[np.ix_(keep, keep)])
+        except np.linalg.LinAlgError:      # a fit that fails leaves the table
+            return pd.DataFrame({"target": [], "beta": [], "se": [], "dev": []})
         beta, se = np.zeros(len(c)), np.full(len(c), np.nan)
         beta[keep], se[keep] = inv @ c[keep], np.sqrt(np.maximum(np.diag(inv), 0))
         return pd.DataFrame({"target": [pdf["target"].iloc[0]], "beta": [[beta.tolist()]],
@@ -205,10 +215,16 @@ def fit_glm(design: DataFrame, obs: DataFrame, family: str = "poisson", max_iter
             gap = F.abs(F.col("dev") - F.col("old")) / (F.abs("dev") + 0.1)
             moved = new.join(state.select("target", F.col("dev").alias("old")), "target")
             worst = moved.agg(F.max(gap)).first()[0]
+            if worst is not None and worst >= tol and it == max_iter:
+                state = moved.filter(gap < tol).drop("old")      # fits that still move are no result
+                break
+            discard(state)
             state = new
             if worst is None or worst < tol:
                 break
         else:
+            if state is not None:
+                discard(state)
             state = new
     return _glm_rows(state.join(passes.null_deviance(), "target", "left"))
 
@@ -227,7 +243,7 @@ def _glm_rows(state: DataFrame) -> DataFrame:
 
 
 def fit_penalised(design: DataFrame, obs: DataFrame, family: str, cv: bool = False,
-                  alpha: float = 0.5, n_lambda: int = 100, max_iter: int = 25,
+                  alpha: float = 0.5, n_lambda: int = 100, max_iter: int = 100,
                   tol: float = 1e-5) -> DataFrame:
     """Elastic net for counts or classes: every penalty of the path at once.
 
@@ -289,10 +305,12 @@ def fit_penalised(design: DataFrame, obs: DataFrame, family: str, cv: bool = Fal
     for _ in range(max_iter):
         s = passes.sums(state.select("target", "beta"), n_lambda)
         s = s.join(state.select("target", "beta", "lambdas"), "target").join(sds, "target")
-        state = cut_lineage(s.groupBy("target").applyInPandas(step, schema))
+        old, state = state, cut_lineage(s.groupBy("target").applyInPandas(step, schema))
+        discard(old)
         if (state.agg(F.max("shift")).first()[0] or 0.0) < tol:
             break
-    d = state.join(passes.null_deviance(), "target")
+    # fits that still move are no result
+    d = state.filter(F.col("shift") < tol).join(passes.null_deviance(), "target")
     ratio = F.transform("dev", lambda x: 1 - x / F.col("null_dev"))
     d = d.withColumn("ratio", ratio)
     k = F.array_position(F.transform(

@@ -189,7 +189,8 @@ def fit_bagging_ridge(design: DataFrame, obs: DataFrame, alpha: float = 1.0,
     test = metrics.wilcoxon_test if p_method == "wilcox" else metrics.t_test
     coefs = (mean.join(test(draws, ["target", "j"], "b").select("target", "j", "pval"),
                        ["target", "j"], "left")
-             .withColumn("neglog10p", -F.log10(F.coalesce("pval", F.lit(1.0)))))
+             .withColumn("neglog10p", F.when(F.col("pval") == 0, F.lit(float("inf")))
+                         .otherwise(-F.log10(F.coalesce("pval", F.lit(1.0))))))
     gram = gram_with_size(design, obs)
     est = coefs.select("target", F.col("j").alias("i"), F.col("estimate").alias("s"),
                        F.lit(-2).alias("j"), F.lit(0.0).alias("n"))

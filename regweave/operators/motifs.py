@@ -156,17 +156,19 @@ def region_sequences(regions: DataFrame, genome: DataFrame, chunk: int) -> DataF
     """``(region_id, seq)`` cut from ``genome(chrom, offset, seq)``.
 
     Chunks are ``chunk`` bases long and start at 0-based multiples of it; a
-    region collects only the chunks it touches.
+    region collects only the chunks it touches. Bases of missing or short chunks
+    are ``N``, so that no window spans a gap.
     """
     first = F.floor((F.col("start") - 1) / chunk)
     last = F.floor((F.col("end") - 1) / chunk)
     want = regions.select("region_id", "chrom", "start", "end",
                           F.explode(F.sequence(first, last)).alias("k"))
     parts = genome.select("chrom", F.floor(F.col("offset") / chunk).alias("k"), "offset", "seq")
-    lo = F.greatest(F.col("start") - 1 - F.col("offset"), F.lit(0))
-    hi = F.least(F.col("end") - F.col("offset"), F.length("seq"))
-    piece = F.substr(F.col("seq"), (lo + 1).cast("int"), (hi - lo).cast("int"))
-    return (want.join(parts, ["chrom", "k"])
+    at = F.col("k") * chunk
+    lo = F.greatest(F.col("start") - 1 - at, F.lit(0))
+    n = (F.least(F.col("end") - at, F.lit(chunk)) - lo).cast("int")
+    piece = F.rpad(F.substr(F.coalesce("seq", F.lit("")), (lo + 1).cast("int"), n), n, F.lit("N"))
+    return (want.join(parts, ["chrom", "k"], "left")
             .groupBy("region_id")
             .agg(F.array_sort(F.collect_list(F.struct("k", piece.alias("s")))).alias("p"))
             .select("region_id", F.concat_ws("", F.transform("p", lambda x: x["s"])).alias("seq")))

@@ -41,15 +41,18 @@ def extract_modules(net: Network, regions: DataFrame | None = None,
 def network_graph(mods: DataFrame, expression: DataFrame | None = None,
                   obs: DataFrame | None = None, features: DataFrame | None = None,
                   layout: str = "weighted", n_pcs: int = 2, max_iter: int = 100,
-                  tol: float = 1e-9) -> tuple[DataFrame, DataFrame]:
+                  tol: float = 1e-9, targets: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """``(nodes, edges)`` with PageRank and, unless ``layout='none'``, coordinates.
 
     ``weighted`` embeds co-expression weighted by the coefficients, ``corr``
     plain co-expression, ``coef`` the coefficients. Nodes without coordinates
-    are dropped, as in an inner join.
+    are dropped, as in an inner join. Without ``features`` the graph is that of
+    the attempted ``targets(gene)``, where they are given.
     """
     if layout not in ("weighted", "corr", "coef", "none"):
         raise ValueError("layout must be weighted, corr, coef or none")
+    if features is None and targets is not None:
+        features = targets.select(F.col("gene").alias("feature"))
     use = features
     if layout in ("weighted", "corr"):
         measured = expression.select("feature").distinct()

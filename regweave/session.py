@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 def build_session(app: str = "regweave", master: str | None = None, **conf) -> SparkSession:
     """A session with the settings the operators are written for.
 
-    No broadcast is forced anywhere in the library: adaptive execution measures
-    each shuffled side and switches to a broadcast join only below the limit.
+    Adaptive execution measures each shuffled side and switches to a broadcast
+    join only below the limit; forced broadcasts are of counted sizes.
     """
     b = SparkSession.builder.appName(app)
     if master:
@@ -30,13 +31,16 @@ def build_session(app: str = "regweave", master: str | None = None, **conf) -> S
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the session's checkpoint folder; make one only for local runs."""
+    """Use the folder in ``spark.checkpoint.dir``.
+
+    Where it is unset, a folder is made only if the driver is the only process.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is not None:
         return
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured is None:
-        if not sc.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         configured = tempfile.mkdtemp(prefix="spark-")
     sc.setCheckpointDir(configured)
@@ -56,4 +60,16 @@ def cut_lineage(df: DataFrame, keep_layout: bool = False) -> DataFrame:
     spark = df.sparkSession
     path = f"{spark.sparkContext.getCheckpointDir()}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._table_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the table behind a result of ``cut_lineage`` that nothing reads any more."""
+    written = df.__dict__.get("_table_path")
+    if written is None:
+        return
+    sc = df.sparkSession.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(written)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)

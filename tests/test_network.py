@@ -89,10 +89,26 @@ def test_principal_components(spark):
     m = rng.normal(size=(30, 6)) * [5, 3, 2, 1, 1, 1]
     rows = [(f"g{i}", f"c{j}", float(m[i, j])) for i in range(30) for j in range(6)]
     d = embedding.principal_components(
-        spark.createDataFrame(rows, "gene string, col string, value double"), 2, iterations=12)
+        spark.createDataFrame(rows, "gene string, col string, value double"), 2)
     got = d.toPandas().set_index("gene").loc[[f"g{i}" for i in range(30)]].to_numpy()
     u, s, _ = np.linalg.svd(m - m.mean(0), full_matrices=False)
-    assert np.allclose(np.abs(got), np.abs(u[:, :2] * s[:2]), atol=0.05)
+    assert np.allclose(np.abs(got), np.abs(u[:, :2] * s[:2]), atol=1e-6)
+
+
+def test_principal_components_of_a_flat_spectrum(spark, monkeypatch):
+    monkeypatch.setattr(embedding, "_ALL", 0)
+    rng = np.random.default_rng(1)
+    m = rng.normal(size=(40, 25))
+    rows = [(f"g{i}", f"c{j}", float(m[i, j])) for i in range(40) for j in range(25)]
+    d = embedding.principal_components(
+        spark.createDataFrame(rows, "gene string, col string, value double"), 3)
+    got = d.toPandas().set_index("gene").loc[[f"g{i}" for i in range(40)]].to_numpy()
+    u, s, _ = np.linalg.svd(m - m.mean(0), full_matrices=False)
+    cosine = np.abs((got / np.linalg.norm(got, axis=0) * u[:, :3]).sum(axis=0))
+    assert cosine.min() > 0.999
+    with pytest.raises(ValueError):
+        embedding.principal_components(
+            spark.createDataFrame(rows, "gene string, col string, value double"), 3, max_iterations=1)
 
 
 @pytest.fixture(scope="module")
@@ -195,3 +211,20 @@ def test_term_parsing_accepts_either_order(spark):
                                  "target string, term string, pval double")
     got = {(r["tf"], r["region"]) for r in coefficients.format_coefs(plus, "+").collect()}
     assert got == {(None, "chr1-10-20"), ("T1", None)}
+
+
+def test_path_score_with_a_missing_value(spark):
+    e = spark.createDataFrame([("a", "b", 1.0, "r", 0.01), ("b", "c", 1.0, "s", None)],
+                              "from_node string, to_node string, estimate double, regions string, padj double")
+    paths = graph.shortest_paths(e, spark.createDataFrame([("a",)], "root string"))
+    got = {r["end_node"]: r["mean_log_padj"] for r in graph.score_paths(paths, e).collect()}
+    assert got == {"b": 2.0, "c": None}
+
+
+def test_attempted_targets_are_the_features_of_a_graph(spark, net):
+    regions = spark.createDataFrame([("c-1-9", "peak1"), ("c-20-29", "peak1")], "region_id string, peak_id string")
+    mods = N.extract_modules(net, regions, min_genes_per_module=1).modules
+    nodes, _ = N.network_graph(mods, layout="none", targets=net.targets)
+    assert nodes.count() == 0      # the TF is no attempted target
+    both = net.targets.unionByName(spark.createDataFrame([("T",)], "gene string"))
+    assert N.network_graph(mods, layout="none", targets=both)[0].count() == 4
