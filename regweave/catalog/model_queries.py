@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from regweave.catalog import regression_sql as S
 from regweave.catalog.views import PEAK_COR, TF_COR, UPSTREAM, Views, r6, with_views
 from regweave.operators import adjust, coefficients
 from regweave.operators import design as D
@@ -169,14 +170,20 @@ def infer_grn(v):
     return P.infer_network(s, **OPTIONS).coefs
 
 
-@query("glm_gaussian")
+def _estimates(coefs):
+    return coefs.select("target", "tf", "region", r6("estimate").alias("estimate"), r6("std_err").alias("std_err"),
+                        (F.round("statistic", 5) + 0.0).alias("statistic"))
+
+
+@query("glm_gaussian", with_views("pairs expr acc n", S.least_squares(S.PAIR_TERMS, S.COEFFICIENTS)))
 def glm_gaussian(v):
-    return _network(v, "glm").coefs
+    return _estimates(_network(v, "glm").coefs)
 
 
-@query("glm_scaled")
+@query("glm_scaled", with_views("pairs expr acc n emom amom cells",
+                                S.least_squares(S.SCALED_TERMS, S.COEFFICIENTS)))
 def glm_scaled(v):
-    return _network(v, "glm", scale=True).coefs
+    return _estimates(_network(v, "glm", scale=True).coefs)
 
 
 @query("glm_metacells")
@@ -187,9 +194,9 @@ def glm_metacells(v):
                            **OPTIONS).coefs
 
 
-@query("glm_gof")
+@query("glm_gof", with_views("pairs expr acc n", S.least_squares(S.MAIN_TERMS, S.FITS)))
 def glm_gof(v):
-    return _network(v, "glm", interaction="+").gof
+    return _network(v, "glm", interaction="+").gof.select("target", r6("rsq").alias("rsq"), "nvariables")
 
 
 @query("glm_poisson")
