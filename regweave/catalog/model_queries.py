@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from regweave.catalog import regression_sql as S
+from regweave.catalog.region_queries import WITHOUT_EXONS
 from regweave.catalog.views import PEAK_COR, TF_COR, UPSTREAM, Views, r6, with_views
 from regweave.operators import adjust, coefficients
 from regweave.operators import design as D
@@ -158,7 +159,10 @@ def _network(v: Views, method: str, fit_options=None, **options) -> P.Network:
                            **{**OPTIONS, **options})
 
 
-@query("infer_grn")
+@query("infer_grn", with_views("pairs expr acc n tcor", S.least_squares(S.PAIR_TERMS, """
+select tf, target, region_id region, concat_ws(':', translate(region_id, '-', '_'), translate(tf, '-', '_')) term,
+  round(est, 6)+0.0 estimate, round(se, 6)+0.0 std_err, round(est/se, 5)+0.0 statistic, round(cor, 6)+0.0 corr
+from coef join t using (target, j) left join tcor using (target, tf)"""), WITHOUT_EXONS))
 def infer_grn(v):
     """The whole way: candidate regions without exons, links, screens, models."""
     s = inputs(v, v.annotation())
@@ -167,7 +171,9 @@ def infer_grn(v):
     s.set_motifs(s.regions.join(hits, "peak_id").select("region_id", "motif"), v.motif_tf())
     genes = s.annotation
     s.annotation = genes.filter("type = 'gene'")
-    return P.infer_network(s, **OPTIONS).coefs
+    d = P.infer_network(s, **OPTIONS).coefs
+    return d.select("tf", "target", "region", "term", r6("estimate").alias("estimate"), r6("std_err").alias("std_err"),
+                    (F.round("statistic", 5) + 0.0).alias("statistic"), r6("corr").alias("corr"))
 
 
 def _estimates(coefs):

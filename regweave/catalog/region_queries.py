@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from regweave.catalog.views import MIN_GENES, Views, r6, with_views  # noqa: F401
+from regweave.catalog.views import SQL_VIEWS, MIN_GENES, Views, r6, with_views  # noqa: F401
 from regweave.functions.columns import region_name, split_region
 from regweave.operators import intervals as I
 from regweave.operators import links as L
@@ -186,15 +186,25 @@ def link_support(v):
     return L.collapse_links(hits)
 
 
-@query("initiate_regions", with_views("peaks annotation", "+with ex as (select * from annotation "
-       "where type='exon'), " + _merged("ex") + """,
+_INITIATED = ("ex as (select * from annotation where type='exon'), " + _merged("ex") + """,
 h as (select p.chrom, peak_id, p."start" s, p."end" e, m."start" cs, m."end" ce from peaks p
   join ex_m m on p.chrom=m.chrom and p."start"<=m."end" and m."start"<=p."end"
   union all select chrom, peak_id, "start", "end", "end"+1, null from peaks),
 g as (select chrom, peak_id, greatest(coalesce(lag(ce) over (partition by peak_id order by cs)+1, s), s) lo,
   least(cs-1, e) hi from h)
 select concat(chrom, '-', lo, '-', hi) region_id, chrom, lo as "start", hi as "end", peak_id
-from g where lo <= hi"""))
+from g where lo <= hi""")
+#: The views from candidate regions without exons on: they take the place of the peaks.
+WITHOUT_EXONS = {
+    "peaks_": (SQL_VIEWS["peaks"], []), "acc_": (SQL_VIEWS["acc"], []), "hits_": (SQL_VIEWS["motif_hits"], []),
+    "regions_": ("with " + _INITIATED.replace("from peaks", "from peaks_"), ["peaks_", "annotation"]),
+    "peaks": ('select region_id peak_id, chrom, "start", "end" from regions_', ["regions_"]),
+    "acc": ("select cell, region_id feature, value from acc_ join regions_ on peak_id=feature", ["acc_", "regions_"]),
+    "motif_hits": ("select r.region_id, motif from hits_ h join regions_ r on r.peak_id=h.region_id", ["hits_", "regions_"]),
+}
+
+
+@query("initiate_regions", with_views("peaks annotation", "+with " + _INITIATED))
 def initiate_regions(v):
     return R.initiate_regions(v.peaks(), v.annotation())
 

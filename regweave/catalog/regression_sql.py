@@ -39,7 +39,8 @@ def least_squares(terms: str, result: str) -> str:
     """``result`` selected from ``coef(target, j, est, se)`` and ``fit(target, rsq)``.
 
     The cross-products are extended by an identity and the response column, and
-    every pivot clears its column; the inverse and the solution remain.
+    every pivot clears its column; the inverse and the solution remain. A term
+    whose pivot vanishes is a combination of earlier ones and left out.
     """
     return f"""+with {terms},
 rows_ as (select target, cell, cast(j as bigint) j, v from d where v <> 0
@@ -55,15 +56,18 @@ wide as (select base.target, p, r, list_concat(list_concat(b,
     list_transform(range(0, p+1), lambda q: case when q=r then cast(1 as double) else cast(0 as double) end)),
     [coalesce(y.s, cast(0 as double))]) w
   from base left join sy y on y.target=base.target and y.i=r and y.j=-1),
-m0 as (select target, p, cast(0 as bigint) k, list(w order by r) a from wide group by 1, 2),
-rec as (select target, p, k, a from m0 union all
-  select target, p, k+1, list_transform(a, lambda rw, i: case when i=k+1
-    then list_transform(a[k+1], lambda x: x/a[k+1][k+1])
-    else list_transform(rw, lambda x, q: x-rw[k+1]*a[k+1][q]/a[k+1][k+1]) end)
+m0 as (select target, p, cast(0 as bigint) k, list(w order by r) a, list(w[r+1] order by r) raw,
+  cast([] as boolean[]) alias_ from wide group by 1, 2),
+rec as (select target, p, k, a, raw, alias_ from m0 union all
+  select target, p, k+1, case when a[k+1][k+1] <= 1e-9*raw[k+1] then a
+    else list_transform(a, lambda rw, i: case when i=k+1
+      then list_transform(a[k+1], lambda x: x/a[k+1][k+1])
+      else list_transform(rw, lambda x, q: x-rw[k+1]*a[k+1][q]/a[k+1][k+1]) end) end,
+    raw, list_append(alias_, a[k+1][k+1] <= 1e-9*raw[k+1])
   from rec where k<=p),
-sol as (select target, p, unnest(range(0, p+1)) j, a from rec where k=p+1),
-beta as (select target, p, j, a[j+1][2*p+3] est, a[j+1][p+j+2] inv from sol),
-fit as (select b.target, p, n-p-1 df, yy.s-sum(est*coalesce(xy.s, 0)) rss,
+sol as (select target, p, unnest(range(0, p+1)) j, a, alias_ from rec where k=p+1),
+beta as (select target, p, j, a[j+1][2*p+3] est, a[j+1][p+j+2] inv from sol where not alias_[j+1]),
+fit as (select b.target, p, n-count(*) df, yy.s-sum(est*coalesce(xy.s, 0)) rss,
     yy.s-my.s*my.s/n tss from beta b cross join n
   join sy yy on yy.target=b.target and yy.i=-1 and yy.j=-1 join sy my on my.target=b.target and my.i=0 and my.j=-1
   left join sy xy on xy.target=b.target and xy.i=b.j and xy.j=-1 group by b.target, p, n, yy.s, my.s),

@@ -266,18 +266,23 @@ _NEEDS = {
 UPSTREAM, PEAK_COR, TF_COR = 10_000, 0.02, 0.1
 
 
-def with_views(names: str, body: str) -> str:
-    """``body`` behind the definitions of the named views and what they need."""
+def with_views(names: str, body: str, changed: dict[str, tuple[str, list[str]]] | None = None) -> str:
+    """``body`` behind the definitions of the named views and what they need.
+
+    ``changed`` has other definitions of views, each with the views it needs.
+    """
     order: list[str] = []
+    texts = {**SQL_VIEWS, **{k: sql for k, (sql, _) in (changed or {}).items()}}
+    needs = {**_NEEDS, **{k: v for k, (_, v) in (changed or {}).items()}}
 
     def visit(v: str) -> None:
-        for d in _NEEDS.get(v, []):
+        for d in needs.get(v, []):
             visit(d)
         if v not in order:
             order.append(v)
     for v in names.split():
         visit(v)
-    ctes = ",\n".join(f"{v} as materialized ({SQL_VIEWS[v]})" for v in order)
+    ctes = ",\n".join(f"{v} as materialized ({texts[v]})" for v in order)
     extra = body.lstrip()
     if extra.startswith("+with"):
         return f"with recursive {ctes},\n{extra[5:]}"
