@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from regweave.session import cut_lineage
+from regweave.session import cut_lineage, discard
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -25,7 +25,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = large.unionByName(least.filter("m < u").select("u", F.col("m").alias("v"))).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = cut_lineage(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        old, e = e, cut_lineage(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        discard(old)
         new = _state(e)
         if new == state:
             break

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from regweave.llm import queries_sql
 from regweave.llm.chat import format_conversations, loss_text
 from regweave.llm.decontaminate import benchmark_hits
 from regweave.llm.jaccard import similar_documents
@@ -92,4 +93,8 @@ QUERIES = {f.__name__: f for f in (
     op6_mixing_sources, op7_approximate_nearest_neighbours, op8_chat_formatting, op9_language_id,
     op10_ngram_jaccard_join)}
 
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op3_benchmark_decontamination": queries_sql.DECONTAMINATION, "op4_warc": queries_sql.WARC,
+    "op5_substring_dedup": queries_sql.SUBSTRINGS, "op8_chat_formatting": queries_sql.CHAT,
+    "op10_ngram_jaccard_join": queries_sql.JACCARD,
+}
