@@ -28,8 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from regweave.session import cut_lineage
+
 DIMENSIONS = 1 << 18
 SAMPLE = 8_000
+#: What makes a word or the beginning of a word a toxic term.
+WORD_SHARE, LEAST, KINDS, MOST, PREFIXES = 0.08, 10, 4, 0.02, (4, 5, 6)
 #: Terms that count as toxic besides those learned from labels.
 TOXIC_TERMS = ("idiot", "moron", "stupid", "scum", "trash", "loser", "worthless", "pathetic", "disgusting", "clown")
 ABSTAIN, BAD, GOOD = 0, 1, 2
@@ -49,8 +53,15 @@ _PLAIN = re.compile(r"(?<!\S)\w[^\W\d_A-Z]*[.,;:]?(?!\S)")
 _SYMBOLS = re.compile(r"[#$%&*!?@^~=+<>]{2,}")
 
 
-def signals(text: str, terms: frozenset) -> tuple[list[float], set[str]]:
-    """Values of the labellers' signals, and the distinct lower-case words."""
+Terms = tuple[frozenset, frozenset]
+
+
+def signals(text: str, terms: Terms) -> tuple[list[float], set[str]]:
+    """Values of the labellers' signals, and the distinct lower-case words.
+
+    ``terms``: words, and beginnings of words, that count as toxic.
+    """
+    toxic, begins = terms
     words = text.split()
     n = len(words)
     own = set(_LETTERS.findall(text.lower()))
@@ -65,7 +76,7 @@ def signals(text: str, terms: frozenset) -> tuple[list[float], set[str]]:
         words.count("|") / m,
         # share of words that are repeats, in excess of what long texts have anyway
         max(0.0, 1 - len(set(words)) / min(n, 400)) if n >= few else 0.0,
-        float(len(own & terms)),
+        float(len(own & toxic) + sum(w[:n] in begins for w in own for n in PREFIXES) if begins else len(own & toxic)),
         0.0,
         len(_PLAIN.findall(text)) / m,
     ], own
@@ -132,7 +143,7 @@ def _values(f: list[int]) -> np.ndarray:
     return np.concatenate([np.ones(n), np.full(len(f) - n, 1 / np.sqrt(max(1, len(f) - n)))])
 
 
-def _scan(terms: frozenset):
+def _scan(terms: Terms):
     """Vote pattern of each document."""
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -142,30 +153,41 @@ def _scan(terms: frozenset):
     return fn
 
 
-def learned_terms(docs: DataFrame, labels: DataFrame, least: float = 0.08, most: float = 0.002,
-                  sample: int = SAMPLE) -> frozenset:
-    """Words in at least ``least`` of the distinct toxic texts and at most ``most`` of the others."""
-    marked = labels.filter(F.col("toxic").isNotNull()).select("doc_id", "toxic")
+def learned_terms(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[frozenset, frozenset]:
+    """Words, and beginnings of words, that mark toxic texts.
+
+    From the distinct texts of at most ``sample`` labelled rows: words in ``WORD_SHARE``
+    of the toxic texts or more, and beginnings that ``KINDS`` or more words share and
+    that occur ``LEAST`` times or more; of neither may more than ``MOST`` be elsewhere.
+    """
+    marked = labels.filter(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     share = min(1.0, sample / max(1, marked.count()))
     marked = marked.filter(F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
     texts = docs.select("doc_id", "text").join(marked, "doc_id").select("text", "toxic").distinct()
 
     def words(batches):
+        counts: dict[str, list[int]] = {}
         for b in batches:
-            rows = [(w, k) for t, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist())
-                    for w in {*_LETTERS.findall((t or "").lower()), ""}]
-            w, k = zip(*rows) if rows else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(w, pa.string()), pa.array(k, pa.int32())], ["word", "toxic"])
-
-    counts = texts.select("text", F.col("toxic").cast("int")).mapInArrow(words, "word string, toxic int").groupBy("word").agg(
-        F.sum((F.col("toxic") == 1).cast("long")).alias("bad"), F.sum((F.col("toxic") != 1).cast("long")).alias("good"))
+            for t, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                for w in {*_LETTERS.findall((t or "").lower()), ""}:
+                    counts.setdefault(w, [0, 0])[k == 1] += 1
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(counts), pa.string()), pa.array([c[1] for c in counts.values()], pa.int64()),
+             pa.array([c[0] for c in counts.values()], pa.int64())], ["word", "bad", "good"])
+
+    counts = cut_lineage(texts.mapInArrow(words, "word string, bad long, good long").groupBy("word").agg(
+        F.sum("bad").alias("bad"), F.sum("good").alias("good")))
     total = counts.filter("word = ''").first()
     if total is None or not total["bad"]:
-        return frozenset()
-    found = counts.filter((F.col("word") != "") & (F.col("bad") >= max(5, least * total["bad"]))
-                          & (F.col("good") <= most * total["good"]))
-    # at least 8 % of the toxic texts each: bounded by the words of the sampled texts
-    return frozenset(r["word"] for r in found.collect())
+        return frozenset(), frozenset()
+    clear = F.col("good") <= MOST * (F.col("bad") + F.col("good"))
+    found = counts.filter((F.col("word") != "") & (F.col("bad") >= max(5, WORD_SHARE * total["bad"])) & clear)
+    begins = (counts.select(F.explode(F.array(*(F.lit(n) for n in PREFIXES))).alias("n"), "word", "bad", "good")
+              .filter(F.length("word") >= F.col("n")).groupBy(F.expr("substring(word, 1, n)").alias("begin"))
+              .agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"), F.count(F.when(F.col("bad") > 0, 1)).alias("kinds"))
+              .filter((F.col("bad") >= LEAST) & (F.col("kinds") >= KINDS) & clear))
+    # bounded by the words of the sampled texts
+    return frozenset(r["word"] for r in found.collect()), frozenset(r["begin"] for r in begins.collect())
 
 
 def fit_scorer(features: list[list[int]], target: np.ndarray, epochs: int = 200, ridge: float = 1e-6) -> np.ndarray:
@@ -185,7 +207,7 @@ def fit_scorer(features: list[list[int]], target: np.ndarray, epochs: int = 200,
     return w
 
 
-def classify(docs: DataFrame, labels: DataFrame | None = None, threshold: float = 0.3, sample: int = SAMPLE,
+def classify(docs: DataFrame, labels: DataFrame | None = None, threshold: float = 0.2, sample: int = SAMPLE,
              id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score, votes, posterior, keep) of every document."""
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -193,7 +215,7 @@ def classify(docs: DataFrame, labels: DataFrame | None = None, threshold: float
     return narrow.select("text", "doc_id").mapInArrow(run, SCORED)
 
 
-def filter_quality(docs: DataFrame, labels: DataFrame | None = None, threshold: float = 0.3,
+def filter_quality(docs: DataFrame, labels: DataFrame | None = None, threshold: float = 0.2,
                    sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that are kept, with all their columns."""
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -225,9 +247,8 @@ def _with_verdict(voted: DataFrame, verdicts: DataFrame) -> DataFrame:
 
 
 def _scorer(narrow: DataFrame, labels: DataFrame | None, threshold: float, sample: int):
-    terms = frozenset(TOXIC_TERMS)
-    if labels is not None:
-        terms |= learned_terms(narrow, labels, sample=sample)
+    words, begins = learned_terms(narrow, labels, sample) if labels is not None else (frozenset(), frozenset())
+    terms = (words | frozenset(TOXIC_TERMS), begins)
     verdicts = _verdicts(labels, narrow)
     counted = _with_verdict(narrow.mapInArrow(_scan(terms), "doc_id long, votes string"), verdicts)
     patterns = {r["votes"]: r["count"] for r in counted.groupBy("votes").count().collect()}  # a few per labeller
