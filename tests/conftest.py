@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -12,7 +13,7 @@ from regweave.session import build_session  # noqa: E402
 def spark():
     s = build_session("tests", "local[8]", **{
         "spark.sql.shuffle.partitions": 8, "spark.ui.enabled": "false",
-        "spark.driver.memory": "8g"})
+        "spark.driver.memory": "8g", "spark.checkpoint.dir": tempfile.mkdtemp(prefix="spark-")})
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
