@@ -1,7 +1,9 @@
 """WARC archives of web pages: deterministic sharded writer and reader.
 
 Writer. Payload digests are taken in SQL; for each digest the page of largest id
-is the response, all others revisit it. Records are range-sorted by page id. The
+is the response, all others revisit it. Only digests that occur more than once are
+joined, without the payloads, and reach the shards that hold them. Records are
+range-sorted by page id. The
 range limits come from a hash-chosen sample of ids, so they depend on the ids
 alone. A task writes its range into files that roll at ``roll_bytes`` of
 compressed size; each record is its own gzip member. A file is written under a
@@ -30,6 +32,8 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -112,13 +116,21 @@ def _writer(folder: str, roll_bytes: int):
                  pa.array([hashlib.sha256(data).hexdigest()])],
                 ["shard", "roll", "path", "records", "bytes", "sha256"])
 
+        targets: dict[str, int] = {}
         for b in batches:
-            for own, page, url, payload, is_revisit, target in zip(*(c.to_pylist() for c in b.columns)):
-                if held and (own != shard or size >= roll_bytes):
+            for own, kind, page, url, payload, digest, target in zip(*(c.to_pylist() for c in b.columns)):
+                if own != shard:
+                    if held:
+                        yield close()
+                    shard, roll, held, size, n, targets = own, 0, [], 0, 0, {}
+                if kind == 0:  # the shard's repeated payloads come before its pages
+                    targets[digest] = target
+                    continue
+                if held and size >= roll_bytes:
                     yield close()
-                    roll = roll + 1 if own == shard else 0
-                    held, size, n = [], 0, 0
-                shard = own
+                    roll, held, size, n = roll + 1, [], 0, 0
+                target = targets.get(hashlib.sha1(payload).hexdigest()) if targets else None
+                is_revisit = target is not None and page != target
                 held.append(gzip.compress(record(page, url, payload, is_revisit, target), 6, mtime=0))
                 size, n = size + len(held[-1]), n + 1
         if held:
@@ -133,22 +145,28 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, roll_byt
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"),
         F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("payload"))
-    digest = F.when(F.length("payload") >= least_bytes, F.sha1("payload"))
-    largest = rows.select(digest.alias("digest"), "page_id").filter("digest is not null").groupBy("digest").agg(
-        F.max("page_id").alias("target"))
-    marked = rows.withColumn("digest", digest).join(largest, "digest", "left")
-    marked = marked.withColumn("is_revisit", F.coalesce(
-        F.col("target").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("target")), F.lit(False)))
     total = rows.agg(F.sum(F.length("payload"))).first()[0] or 0
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     limits = _limits(rows.select("page_id"), max(least, math.ceil(total / shard_bytes)))
-    edges = F.lit(limits).cast("array<bigint>") if limits else F.array().cast("array<bigint>")
-    # number of limits at or below the id: the shard
-    shard = F.coalesce(_rank(edges, len(limits), F.col("page_id")), F.lit(0)).cast("int")
-    ordered = (marked.withColumn("shard", shard)
-               .select("shard", "page_id", "url", "payload", "is_revisit", "target")
+    edges = np.array(limits, np.int64)
+
+    def number(page: pd.Series) -> pd.Series:
+        """How many limits are at or below the id."""
+        return pd.Series(np.searchsorted(edges, page.to_numpy(), "right"))
+
+    shard = F.pandas_udf(number, "int")(F.coalesce("page_id", F.lit(-(1 << 63))))
+    placed = rows.withColumn("shard", shard)
+    digests = cut_lineage(placed.filter(F.length("payload") >= least_bytes).select(
+        "shard", "page_id", F.sha1("payload").alias("digest")))
+    repeated = digests.groupBy("digest").agg(F.max("page_id").alias("target"), F.count("*").alias("n")).filter("n > 1")
+    targets = digests.select("shard", "digest").distinct().join(repeated, "digest").filter("target is not null")
+    none = lambda kind: F.lit(None).cast(kind)
+    ordered = (placed.select("shard", F.lit(1).alias("kind"), "page_id", "url", "payload",
+                             none("string").alias("digest"), none("long").alias("target"))
+               .unionByName(targets.select("shard", F.lit(0).alias("kind"), none("long").alias("page_id"),
+                                           none("string").alias("url"), none("binary").alias("payload"), "digest", "target"))
                .repartition(len(limits) + 1, "shard")
-               .sortWithinPartitions("shard", "page_id", "url", F.sha1("payload")))
+               .sortWithinPartitions("shard", "kind", "page_id", "url", F.sha1("payload")))
     from pyarrow import fs
     store, base = fs.FileSystem.from_uri(folder)
     store.create_dir(base, recursive=True)
@@ -157,16 +175,6 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, roll_byt
     return spark.read.schema(MANIFEST).parquet(f"{folder}/_manifest")
 
 
-def _rank(edges, n: int, value):
-    """Binary search of ``value`` in an ascending array of ``n``, as an expression."""
-    at = F.lit(0)
-    step = 1 << max(0, n.bit_length() - 1) if n else 0
-    while step:
-        at = F.when((at + step <= n) & (F.get(edges, at + step - 1) <= value), at + step).otherwise(at)
-        step //= 2
-    return at
-
-
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     """Every record of the archives that the manifest lists."""
     listed = spark.read.schema(MANIFEST).parquet(f"{folder}/_manifest")
