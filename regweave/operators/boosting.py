@@ -16,7 +16,7 @@ from regweave.functions.columns import safe_divide
 from regweave.operators.correlation import observation_count
 from regweave.operators.gram import RESPONSE
 from regweave.operators.skew import salted_join
-from regweave.session import cut_lineage
+from regweave.session import cut_lineage, discard
 
 
 def _binned(design: DataFrame, bins: int) -> DataFrame:
@@ -113,12 +113,15 @@ def fit_boosting(design: DataFrame, obs: DataFrame, max_depth: int = 3, eta: flo
                      F.sum("w").alias("h"))
                 .select("target", "node",
                         (F.lit(eta) * F.col("g") / (F.col("h") + F.lit(reg_lambda))).alias("step")))
-        state = cut_lineage(
+        old, state = state, cut_lineage(
             salted_join(cur, leaf, ["target", "node"], ["cell"])
             .select("target", "cell", "y", "w", "js", "bins",
                     (F.col("f") + F.col("step")).alias("f"), F.lit(1).alias("node")))
+        discard(old)
         if len(used) > 60:
-            used = [cut_lineage(_sum_importance(used))]
+            parts, used = used, [cut_lineage(_sum_importance(used))]
+            for p in parts:
+                discard(p)
     imp = _sum_importance(used)
     wt = W.partitionBy("target")
     shares = imp.select("target", F.col("sj").alias("j"), *[
