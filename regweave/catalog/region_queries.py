@@ -24,7 +24,9 @@ def query(name: str, sql: str | None = None):
 
 
 def _side(v: Views, kind: str, tag: str):
-    return v.intervals().filter(F.col("event_type") == kind).select(
+    """The clicks, or all other events: together the whole table."""
+    is_click = F.col("event_type") == "click"
+    return v.intervals().filter(is_click if kind == "click" else ~is_click).select(
         "chrom", "start", "end", F.col("event_id").alias(f"{tag}_id"))
 
 
@@ -40,33 +42,33 @@ def parse_regions(v):
 
 def _overlap_sql(width: int) -> str:
     return with_views("intervals", f"""
-select a.event_id click_id, b.event_id view_id, a.chrom,
+select a.event_id click_id, b.event_id other_id, a.chrom,
   least(a."end", b."end") - greatest(a."start", b."start") + 1 width
 from intervals a join intervals b on a.chrom=b.chrom and a."start"<=b."end" and b."start"<=a."end"
-where a.event_type='click' and b.event_type='view'
+where a.event_type='click' and b.event_type<>'click'
   and least(a."end", b."end") - greatest(a."start", b."start") + 1 >= {width}""")
 
 
 @query("interval_overlap", _overlap_sql(1))
 def interval_overlap(v):
-    return I.overlap_join(_side(v, "click", "click"), _side(v, "view", "view")).select(
-        "click_id", "view_id", "chrom", "width")
+    return I.overlap_join(_side(v, "click", "click"), _side(v, "other", "other")).select(
+        "click_id", "other_id", "chrom", "width")
 
 
 @query("interval_overlap_min2", _overlap_sql(2))
 def interval_overlap_min2(v):
-    return I.overlap_join(_side(v, "click", "click"), _side(v, "view", "view"),
-                          min_overlap=2).select("click_id", "view_id", "chrom", "width")
+    return I.overlap_join(_side(v, "click", "click"), _side(v, "other", "other"),
+                          min_overlap=2).select("click_id", "other_id", "chrom", "width")
 
 
 @query("candidate_regions", with_views("intervals", """
 select a.event_id peak_id, a.chrom, greatest(a."start", b."start") as "start",
   least(a."end", b."end") as "end"
 from intervals a join intervals b on a.chrom=b.chrom and a."start"<=b."end" and b."start"<=a."end"
-where a.event_type='click' and b.event_type='view' group by all"""))
+where a.event_type='click' and b.event_type<>'click' group by all"""))
 def candidate_regions(v):
     peaks = _side(v, "click", "peak")
-    return R.candidate_regions(peaks, _side(v, "view", "view")).select(
+    return R.candidate_regions(peaks, _side(v, "other", "other")).select(
         "peak_id", "chrom", "start", "end")
 
 
@@ -89,7 +91,7 @@ def interval_merge(v):
 
 
 @query("interval_subtract", with_views("intervals", "+with holes as (select * from intervals "
-       "where event_type='view'), " + _merged("holes") + """,
+       "where event_type<>'click'), " + _merged("holes") + """,
 h as (select a.event_id, a."start" s, a."end" e, m."start" cs, m."end" ce from intervals a
   join holes_m m on a.chrom=m.chrom and a."start"<=m."end" and m."start"<=a."end"
   where a.event_type='click'
@@ -98,26 +100,26 @@ g as (select event_id, e, greatest(coalesce(lag(ce) over (partition by event_id
   least(cs-1, e) hi from h)
 select event_id click_id, lo as "start", hi as "end" from g where lo <= hi"""))
 def interval_subtract(v):
-    holes = I.merge_intervals(_side(v, "view", "view").select("chrom", "start", "end"))
+    holes = I.merge_intervals(_side(v, "other", "other").select("chrom", "start", "end"))
     return I.subtract_intervals(_side(v, "click", "click"), holes, "click_id").select(
         "click_id", "start", "end")
 
 
-@query("interval_union", with_views("intervals", "+with both_sets as (select * from intervals "
-       "where event_type in ('click', 'view')), " + _merged("both_sets") + """
+@query("interval_union", with_views("intervals", "+with both_sets as (select * from intervals), "
+       + _merged("both_sets") + """
 select * from both_sets_m"""))
 def interval_union(v):
-    return I.union_intervals(_side(v, "click", "c"), _side(v, "view", "v"))
+    return I.union_intervals(_side(v, "click", "c"), _side(v, "other", "o"))
 
 
 @query("interval_intersect", with_views("intervals", "+with ca as (select * from intervals "
-       "where event_type='click'), vb as (select * from intervals where event_type='view'), "
+       "where event_type='click'), vb as (select * from intervals where event_type<>'click'), "
        + _merged("ca") + ", " + _merged("vb") + """,
 x as (select a.chrom, greatest(a."start", b."start") as "start", least(a."end", b."end") as "end"
   from ca_m a join vb_m b on a.chrom=b.chrom and a."start"<=b."end" and b."start"<=a."end"), """
        + _merged("x") + " select * from x_m"))
 def interval_intersect(v):
-    return I.intersect_intervals(_side(v, "click", "c"), _side(v, "view", "v"))
+    return I.intersect_intervals(_side(v, "click", "c"), _side(v, "other", "o"))
 
 
 @query("interval_extend", with_views("intervals", """
