@@ -102,9 +102,13 @@ def design_rows(terms: DataFrame, expression: DataFrame, accessibility: DataFram
 
 
 def skip_reasons(targets: DataFrame, annotated: DataFrame, links: DataFrame,
-                 kept_links: DataFrame, candidates: DataFrame,
-                 pairs: DataFrame) -> DataFrame:
-    """``(target, reason)`` for targets that get no model, by the first test failed."""
+                 kept_links: DataFrame, candidates: DataFrame, pairs: DataFrame,
+                 fitted: DataFrame | None = None) -> DataFrame:
+    """``(target, reason)`` for targets that get no model, by the first test failed.
+
+    ``fitted(target)`` lists the models that were fitted; without it, a fit that
+    failed is not told.
+    """
     def flag(df, col, name):
         return df.select(F.col(col).alias("target")).distinct().withColumn(name, F.lit(True))
     d = (targets.select(F.col("gene").alias("target"))
@@ -118,4 +122,7 @@ def skip_reasons(targets: DataFrame, annotated: DataFrame, links: DataFrame,
               .when(F.col("f3").isNull(), "no correlated region")
               .when(F.col("f4").isNull(), "no motif in region")
               .when(F.col("f5").isNull(), "no correlated TF"))
+    if fitted is not None:
+        d = d.join(flag(fitted, "target", "f6"), "target", "left")
+        reason = reason.when(F.col("f6").isNull(), "fit failed")
     return d.select("target", reason.alias("reason")).filter("reason is not null")

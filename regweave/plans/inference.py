@@ -145,8 +145,11 @@ def find_candidates(study: Study, genes: DataFrame | None = None, method: str =
     return Candidates(targets, links, kept, cand, tf_links, kept_tfs, pairs, ex, ac, obs)
 
 
-def skipped_targets(study: Study, c: Candidates, genes: DataFrame) -> DataFrame:
-    return D.skip_reasons(genes, study.annotation, c.links, c.kept_links, c.candidates, c.pairs)
+def skipped_targets(study: Study, c: Candidates, genes: DataFrame,
+                    network: Network | None = None) -> DataFrame:
+    """Why ``genes`` have no model; with the fitted ``network`` also which fits failed."""
+    return D.skip_reasons(genes, study.annotation, c.links, c.kept_links, c.candidates, c.pairs,
+                          None if network is None else network.gof)
 
 
 def infer_network(study: Study, genes: DataFrame | None = None, network_name: str | None = None,

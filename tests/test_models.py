@@ -236,3 +236,29 @@ def test_motif_scan_and_sequences(spark):
         "motif string, pos int, base string, score int")
     best = {r["region_id"]: r["score"] for r in motifs.best_scores(seqs, pwm).collect()}
     assert best == {"r1": 5, "r2": 15}      # AGT is the reverse complement of ACT
+
+
+def test_failed_fits_are_left_out_and_told(spark, data):
+    ex, ac, obs, pairs = tables(spark, data)
+    negative = ex.unionByName(spark.createDataFrame([(0, "B", -3.0), (1, "B", 2.0)], ex.schema))
+    both = pairs.unionByName(spark.createDataFrame([("B", "c-1-9", "T1")], pairs.schema))
+    rows = D.design_rows(D.model_terms(both, ":"), negative, ac, obs)
+    got = {r["target"] for r in M.fit_models(rows, obs, "glm", "poisson").collect()}
+    assert got == {"G"}
+    one = both.select(F.col("target").alias("gene")).distinct()
+    named = one.withColumnRenamed("gene", "target")
+    told = D.skip_reasons(one, one, named, named, named, named, spark.createDataFrame([("G",)], "target string"))
+    assert [tuple(r) for r in told.collect()] == [("B", "fit failed")]
+
+
+def test_missing_p_values_are_not_counted(spark):
+    from regweave.operators.adjust import adjust_pvalues
+    d = spark.createDataFrame([(0.01,), (0.02,), (float("nan"),), (None,)], "pval double")
+    got = {str(r["pval"]): r["padj"] for r in adjust_pvalues(d).collect()}
+    assert got == {"0.01": 0.02, "0.02": 0.02, "nan": None, "None": None}
+
+
+def test_missing_chunks_are_unknown_bases(spark):
+    genome = spark.createDataFrame([("c", 0, "AAAA"), ("c", 8, "CCCC")], "chrom string, offset long, seq string")
+    region = spark.createDataFrame([("r", "c", 1, 12)], "region_id string, chrom string, start long, end long")
+    assert motifs.region_sequences(region, genome, 4).first()["seq"] == "AAAANNNNCCCC"
