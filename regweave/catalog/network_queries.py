@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from regweave.catalog import regression_sql as S
 from regweave.catalog.views import (
     MIN_GENES, NVAR_THRESH, P_THRESH, RSQ_THRESH, Views, r6, with_views)
 from regweave.operators import assay, embedding, graph, metrics
@@ -374,11 +375,12 @@ def motif_tf_pivot(v):
     return embedding.motif_tf_matrix(v.motif_tf(), _TFS)
 
 
-@query("gene_pca")
+@query("gene_pca", with_views("gcor emom", S.principal_scores(5)))
 def gene_pca(v):
     c = cut_lineage(C.mirror(C.correlate(cut_lineage(v.expr()), v.cells())))
     m = c.select(F.col("x").alias("gene"), F.col("y").alias("col"), F.col("cor").alias("value"))
-    return embedding.principal_components(m, 5)
+    pcs = embedding.principal_components(m, 5)
+    return pcs.select("gene", *[r6(c).alias(c) for c in pcs.columns[1:]])
 
 
 @query("network_graph")

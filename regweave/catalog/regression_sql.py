@@ -78,3 +78,39 @@ coef as (select beta.target, j, est, sqrt(inv*rss/df) se from beta join fit usin
 COEFFICIENTS = """select target, tf, region_id region, round(est, 6)+0.0 estimate, round(se, 6)+0.0 std_err,
   round(est/se, 5)+0.0 statistic from coef join t using (target, j)"""
 FITS = "select target, round(1-rss/tss, 6)+0.0 rsq, (select count(*) from pairs where pairs.target=fit.target) nvariables from fit"
+
+
+def principal_scores(k: int, sweeps: int = 12) -> str:
+    """Scores of the columns of the gene correlation matrix by cyclic Jacobi rotations of its covariance."""
+    scores = ", ".join(f"round(s[{q}], 6)+0.0 pc_{q}" for q in range(1, k + 1))
+    return f"""+with cors as (select x, y, cor from gcor union select y, x, cor from gcor),
+ids as (select feature, row_number() over (order by feature) i from emom),
+rows_ as (select a.i, list(cast(cor as double) order by b.i) r from cors join ids a on x=a.feature
+  join ids b on y=b.feature group by 1),
+m0 as (select list(r order by i) m, count(*) n from rows_),
+m1 as (select m, n, list_transform(range(1, n+1), lambda c: list_sum(list_transform(m, lambda r: r[c]))/n) mu from m0),
+m2 as (select n, list_transform(m, lambda r: list_transform(r, lambda e, c: e-mu[c])) x from m1),
+m3 as materialized (select n, x, list_transform(range(1, n+1), lambda p: list_transform(range(1, n+1),
+    lambda q: list_sum(list_transform(x, lambda r: r[p]*r[q])))) a,
+  list_transform(range(1, n+1), lambda p: list_transform(range(1, n+1),
+    lambda q: case when p=q then cast(1 as double) else cast(0 as double) end)) v,
+  (select list([p.i, q.i] order by p.i, q.i) from ids p join ids q on p.i<q.i) ij from m2),
+rec as (select cast(0 as bigint) k, a, v, ij from m3 union all
+  select k+1, list_transform(b, lambda r, h: case when h=i then list_transform(b[i], lambda e, c: co*e-si*b[j][c])
+      when h=j then list_transform(b[j], lambda e, c: si*b[i][c]+co*e) else r end),
+    list_transform(v, lambda r: list_transform(r, lambda e, c: case when c=i then co*r[i]-si*r[j]
+      when c=j then si*r[i]+co*r[j] else e end)), ij
+  from (select *, list_transform(a, lambda r: list_transform(r, lambda e, c: case when c=i then co*r[i]-si*r[j]
+      when c=j then si*r[i]+co*r[j] else e end)) b from (
+    select *, t/sqrt(t*t+1) si, 1/sqrt(t*t+1) co from (
+      select *, case when abs(z) < 1e-15 then cast(0 as double) when th < 0 then -1/(sqrt(th*th+1)-th)
+        else 1/(th+sqrt(th*th+1)) end t from (
+        select *, a[i][j] z, (a[j][j]-a[i][i])/(2*nullif(a[i][j], 0)) th from (
+          select *, ij[k%len(ij)+1][1] i, ij[k%len(ij)+1][2] j from rec where k < {sweeps}*len(ij)) s1) s2) s3) s4) s5),
+fin as (select a, v from rec where k = {sweeps}*len(ij)),
+ev as (select q, a[q][q] e, list_transform(v, lambda r: r[q]) w from fin cross join (select i q from ids) z),
+top as (select row_number() over (order by e desc) rk, w from ev qualify rk <= {k}),
+sc as (select rk, g, list_sum(list_transform(x[g], lambda e, c: e*w[c])) s from top cross join m3 cross join (select i g from ids) z),
+fl as (select rk, case when sum(s*s*s) < 0 then -1 else 1 end f from sc group by 1),
+out_ as (select g, list(s*f order by sc.rk) s from sc join fl on fl.rk=sc.rk group by 1)
+select feature gene, {scores} from out_ join ids on i=g"""
