@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from regweave.catalog import regression_sql as S
 from regweave.catalog.region_queries import WITHOUT_EXONS
-from regweave.catalog.views import PEAK_COR, TF_COR, UPSTREAM, Views, r6, with_views
+from regweave.catalog.views import PEAK_COR, SQL_VIEWS, TF_COR, UPSTREAM, Views, r6, with_views
 from regweave.operators import adjust, coefficients
 from regweave.operators import design as D
 from regweave.operators import metrics as X
@@ -192,12 +192,27 @@ def glm_scaled(v):
     return _estimates(_network(v, "glm", scale=True).coefs)
 
 
-@query("glm_metacells")
+def _group_means(view: str) -> str:
+    """Each cell gets the mean of its pool and batch."""
+    return f"""select c.cell, feature, s/k as value from (
+  select concat_ws('_', pool, batch) g, feature, sum(value) s from {view} join cells using (cell) group by 1, 2) q
+  join sizes on sizes.g=q.g join cells c on concat_ws('_', c.pool, c.batch)=q.g"""
+
+
+_METACELLS = {
+    "expr_": (SQL_VIEWS["expr"], []), "acc_": (SQL_VIEWS["acc"], []),
+    "sizes": ("select concat_ws('_', pool, batch) g, count(*) k from cells group by 1", ["cells"]),
+    "expr": (_group_means("expr_"), ["expr_", "cells", "sizes"]),
+    "acc": (_group_means("acc_"), ["acc_", "cells", "sizes"]),
+}
+
+
+@query("glm_metacells", with_views("pairs expr acc n", S.least_squares(S.PAIR_TERMS, S.COEFFICIENTS), _METACELLS))
 def glm_metacells(v):
     s = study(v)
     s.cells = v.cells().withColumn("meta", F.concat_ws("_", "pool", "batch"))
-    return P.infer_network(s, aggregate_rna_col="meta", aggregate_peaks_col="meta",
-                           **OPTIONS).coefs
+    return _estimates(P.infer_network(s, aggregate_rna_col="meta", aggregate_peaks_col="meta",
+                                      **OPTIONS).coefs)
 
 
 @query("glm_gof", with_views("pairs expr acc n", S.least_squares(S.MAIN_TERMS, S.FITS)))
@@ -227,7 +242,7 @@ def cv_glmnet(v):
 
 @query("bagging_ridge")
 def bagging_ridge(v):
-    return _network(v, "bagging_ridge", {"bagging_number": 50}).coefs
+    return _network(v, "bagging_ridge").coefs
 
 
 @query("bayesian_ridge")
