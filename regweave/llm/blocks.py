@@ -32,6 +32,16 @@ MESSAGES = "bucket long, block long, data binary"
 ANSWERS = "block long, level int, bucket long, data binary"
 
 
+def release() -> None:
+    """Give memory that a task no longer uses back to the system; workers live on."""
+    import ctypes
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def packed(batch: pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
     options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))
@@ -85,6 +95,7 @@ def write_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     [pa.array([number], pa.int64()), pa.array([packed(part)], pa.binary()),
                      pa.array([int(sizes[at:to].sum())], pa.int64())], ["block", "payload", "n_bytes"])
                 number, at = number + 1, to
+        release()
 
     narrow = docs.select(F.col(id_col).cast("long").alias("id"),
                          F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
@@ -159,6 +170,8 @@ def each_block(blocks: DataFrame, answers: list[DataFrame],
                 got.setdefault(level, {})[bucket] = data
             if rows[0][1] == -1:  # else nothing but answers
                 yield from fn(block, opened(rows[0][3]), got)
+            del rows, got
+        release()
 
     return with_answers(blocks, answers).mapInArrow(run, schema)
 
@@ -181,6 +194,7 @@ def relay(sent: DataFrame, level: int,
                 for block, data in fn([r[1] for r in got], [r[2] for r in got]):
                     yield block, level, bucket, data
         yield from message_batches(rows(), ["block", "level", "bucket", "data"])
+        release()
 
     n = int(sent.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return cut_lineage(sent.repartition(n, "bucket").sortWithinPartitions("bucket", "block")

@@ -95,7 +95,7 @@ def _scanner(items: list[tuple], length: int, key: tuple):
             _built.clear()
             _built[key] = _automaton(items, length)
         automaton = _built[key]
-        for b in batches:
+        for b in B.text_slices(batches, 1):
             rows = [scan(t or "", automaton) for t in b.column(1).to_pylist()]
             n, hits, found, spans = zip(*rows) if rows else ((), (), (), ())
             yield pa.RecordBatch.from_arrays(
@@ -141,7 +141,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, length: int = 10, id_c
         scan = _scanner(part, length, (id(part), length))
 
         def more(batches, scan=scan):
-            for b in batches:
+            for b in B.text_slices(batches, -1):
                 got = next(scan(iter([pa.RecordBatch.from_arrays(
                     [b.column("doc_id"), b.column("again")], ["id", "text"])])))
                 merged = [[sorted(set(x) | set(y)) for x, y in zip(b.column(c).to_pylist(), got.column(c).to_pylist())]
@@ -158,13 +158,13 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, length: int = 10, id_c
 def without_hits(docs: DataFrame, benchmark: DataFrame, length: int = 10, text_col: str = "text",
                  item_col: str = "item_id") -> DataFrame:
     """The rows of ``docs`` without a word in a benchmark window, with all their columns."""
-    out = docs
+    out, place = docs, docs.columns.index(text_col)
     for part in _parts(benchmark, item_col, "text"):
         scan = _scanner(part, length, (id(part), length))
 
         def clean(batches, scan=scan):
-            for b in batches:
-                text = b.column(b.schema.names.index(text_col)).cast(pa.string())
+            for b in B.text_slices(batches, place):
+                text = b.column(place).cast(pa.string())
                 got = next(scan(iter([pa.RecordBatch.from_arrays([pa.nulls(len(b), pa.int64()), text], ["id", "text"])])))
                 yield b.filter(pc.equal(pc.list_value_length(got.column("hits")), 0))
         out = out.mapInArrow(clean, docs.schema)

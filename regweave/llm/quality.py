@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from regweave.llm.blocks import release, text_slices
 from regweave.session import cut_lineage
 
 DIMENSIONS = 1 << 18
@@ -137,16 +138,18 @@ def _features(vote: str, own: set[str], slots: _Slots) -> list[int]:
     return [slots[f"\0{j}:{c}"] for j, c in enumerate(vote)] + sorted({slots[w] for w in own})
 
 
-def _values(f: list[int]) -> np.ndarray:
-    """A vote counts 1; the words of a text have length 1 together."""
-    n = len(LABELLERS)
-    return np.concatenate([np.ones(n), np.full(len(f) - n, 1 / np.sqrt(max(1, len(f) - n)))])
+def _values(n: int) -> np.ndarray:
+    """Values of ``n`` features: a vote counts 1; the words of a text have length 1 together."""
+    votes_ = len(LABELLERS)
+    out = np.full(n, 1 / np.sqrt(max(1, n - votes_)))
+    out[:votes_] = 1.0
+    return out
 
 
 def _scan(terms: Terms):
     """Vote pattern of each document."""
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in text_slices(batches, 1):
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([votes(signals(t or "", terms)[0]) for t in b.column(1).to_pylist()], pa.string())],
                 ["doc_id", "votes"])
@@ -167,7 +170,7 @@ def learned_terms(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> t
 
     def words(batches):
         counts: dict[str, list[int]] = {}
-        for b in batches:
+        for b in text_slices(batches, 0):
             for t, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 for w in {*_LETTERS.findall((t or "").lower()), ""}:
                     counts.setdefault(w, [0, 0])[k == 1] += 1
@@ -190,18 +193,23 @@ def learned_terms(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> t
     return frozenset(r["word"] for r in found.collect()), frozenset(r["begin"] for r in begins.collect())
 
 
-def fit_scorer(features: list[list[int]], target: np.ndarray, epochs: int = 200, ridge: float = 1e-6) -> np.ndarray:
-    """Logistic regression towards soft labels, by adaptive gradient steps over all rows; slot 0 .. and a bias last."""
-    w, seen = np.zeros(DIMENSIONS + 1), np.full(DIMENSIONS + 1, 1e-8)
-    sizes = np.array([len(f) + 1 for f in features])
-    if not features:
+def fit_scorer(slots: np.ndarray, sizes: np.ndarray, target: np.ndarray, epochs: int = 200,
+               ridge: float = 1e-6) -> np.ndarray:
+    """Logistic regression towards soft labels by adaptive gradient steps over all rows.
+
+    Row i has the next ``sizes[i]`` of ``slots``. Returns a weight per slot, and the bias last.
+    """
+    w, seen, n = np.zeros(DIMENSIONS + 1), np.full(DIMENSIONS + 1, 1e-8), len(sizes)
+    if not n:
         return w
-    flat = np.concatenate([np.array([*f, DIMENSIONS]) for f in features])
-    x = np.concatenate([np.append(_values(f), 1.0) for f in features])
+    ends = np.cumsum(sizes)
+    flat = np.insert(slots.astype(np.int32), ends, DIMENSIONS)
+    x = np.insert(np.concatenate([_values(k) for k in sizes]), ends, 1.0)
+    sizes = sizes + 1
     starts = np.cumsum(sizes) - sizes
     for _ in range(epochs):
         p = 1 / (1 + np.exp(-np.clip(np.add.reduceat(w[flat] * x, starts), -30, 30)))
-        g = np.bincount(flat, np.repeat(p - target, sizes) * x, DIMENSIONS + 1) / len(features) + ridge * w
+        g = np.bincount(flat, np.repeat(p - target, sizes) * x, DIMENSIONS + 1) / n + ridge * w
         seen += g * g
         w -= 0.5 * g / np.sqrt(seen)
     return w
@@ -222,11 +230,15 @@ def filter_quality(docs: DataFrame, labels: DataFrame | None = None, threshold:
     run = _scorer(narrow, labels, threshold, sample)
 
     def keep(batches):
-        for b in batches:
-            text = b.column(b.schema.names.index(text_col)).cast(pa.string())
-            ids = pa.nulls(len(b), pa.int64())
-            got = next(run(iter([pa.RecordBatch.from_arrays([text, ids], ["text", "doc_id"])])))
-            yield b.filter(got.column("keep"))
+        for b in text_slices(batches, place):
+            if len(b):
+                ids = pa.nulls(len(b), pa.int64())
+                text = b.column(place).cast(pa.string())
+                got = next(run(iter([pa.RecordBatch.from_arrays([text, ids], ["text", "doc_id"])])))
+                yield b.filter(got.column("keep"))
+        release()
+
+    place = docs.columns.index(text_col)
 
     return docs.mapInArrow(keep, docs.schema)
 
@@ -258,7 +270,7 @@ def _scorer(narrow: DataFrame, labels: DataFrame | None, threshold: float, sampl
 
     def describe(batches):
         slots = _Slots()
-        for b in batches:
+        for b in text_slices(batches, 1):
             rows = []
             for t in b.column(1).to_pylist():
                 values, own = signals(t or "", terms)
@@ -266,23 +278,27 @@ def _scorer(narrow: DataFrame, labels: DataFrame | None, threshold: float, sampl
                 rows.append((v, _features(v, own, slots)))
             v, f = zip(*rows) if rows else ((), ())
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(v, pa.string()), pa.array(f, pa.list_(pa.int32()))], ["doc_id", "votes", "f"])
-
-    got = _with_verdict(chosen.mapInArrow(describe, "doc_id long, votes string, f array<int>"), verdicts).select(
-        "f", "votes").toArrow()
-    rows = sorted((f, posterior[v]) for f, v in zip(got["f"].to_pylist(), got["votes"].to_pylist()))
-    weights = fit_scorer([f for f, _ in rows], np.array([p for _, p in rows]))
+                [b.column(0), b.column(2), pa.array(v, pa.string()), pa.array(f, pa.list_(pa.int32()))],
+                ["doc_id", "h", "votes", "f"])
+
+    described = chosen.withColumn("h", F.xxhash64("doc_id", "text")).mapInArrow(
+        describe, "doc_id long, h long, votes string, f array<int>")
+    got = _with_verdict(described, verdicts).select("h", "f", "votes").toArrow().combine_chunks()
+    got = got.sort_by("h")  # whatever the order of the tasks
+    f = got["f"].combine_chunks()
+    weights = fit_scorer(f.flatten().to_numpy(), np.diff(f.offsets.to_numpy()),
+                         np.array([posterior[v] for v in got["votes"].to_pylist()]))
     shared = narrow.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots, w = _Slots(), shared.value
-        for b in batches:
+        for b in text_slices(batches, 0):
             rows = []
             for t in b.column(0).to_pylist():
                 values, own = signals(t or "", terms)
                 v = votes(values)
                 f = _features(v, own, slots)
-                z = float(w[f] @ _values(f) + w[DIMENSIONS])
+                z = float(w[f] @ _values(len(f)) + w[DIMENSIONS])
                 s = 1 / (1 + np.exp(-max(-30.0, min(30.0, z))))
                 rows.append((s, v, posterior.get(v + "0"), s >= threshold))
             s, v, p, k = zip(*rows) if rows else ((), (), (), ())
