@@ -5,7 +5,8 @@ labels, where it has a row, is one more labeller. Votes are counted by pattern o
 all documents, and expectation-maximisation on these counts estimates how often
 each labeller is right when it votes good or bad, and from that the probability of
 good for each pattern. A linear scorer over hashed words and heuristic votes (never
-the labels) is then trained towards these posteriors and scores all documents.
+the labels) is then trained towards these posteriors and scores all documents. A
+document is rejected by its score, or by a posterior of its votes below ``DOUBT``.
 
 Training of the scorer uses at most ``SAMPLE`` documents, and the vocabulary of
 the toxicity labeller at most ``SAMPLE`` labelled rows, both chosen by hash; votes,
@@ -19,7 +20,7 @@ are used. Other columns of the input are kept by ``filter_quality``.
 
 from __future__ import annotations
 
-import re
+import string
 from collections.abc import Iterator
 from operator import eq
 
@@ -40,46 +41,51 @@ TOXIC_TERMS = ("idiot", "moron", "stupid", "scum", "trash", "loser", "worthless"
 ABSTAIN, BAD, GOOD = 0, 1, 2
 #: Labellers: name, vote, from and to which value of the signal they cast it. They abstain otherwise.
 LABELLERS = (
-    ("upper", BAD, 0.3, 9e9), ("repeated", BAD, 0.15, 9e9), ("symbols", BAD, 0.1, 9e9), ("tables", BAD, 0.08, 9e9),
-    ("variety", BAD, 0.85, 9e9), ("toxic", BAD, 1.0, 9e9), ("empty", BAD, 1.0, 9e9), ("prose", GOOD, 0.85, 9e9),
+    ("upper", BAD, 0.3, 9e9), ("repeated", BAD, 0.15, 9e9), ("symbols", BAD, 0.25, 9e9), ("tables", BAD, 0.08, 9e9),
+    ("variety", BAD, 0.85, 9e9), ("toxic", BAD, 1.0, 9e9), ("empty", BAD, 1.0, 9e9), ("prose", GOOD, 0.7, 9e9),
 )
 #: Accuracies that bad, good and label votes start with, and how many times its votes this counts
 #: against what is observed.
 START_BAD, START_GOOD, START_LABEL, TRUST = 0.97, 0.7, 0.999, 0.2
 #: Share of good documents to start with.
 BALANCE = 0.9
+DOUBT = 0.2
 SCORED = "doc_id long, score double, votes string, posterior double, keep boolean"
-_LETTERS = re.compile(r"[^\W\d_]+")
-_PLAIN = re.compile(r"(?<!\S)\w[^\W\d_A-Z]*[.,;:]?(?!\S)")
-_SYMBOLS = re.compile(r"[#$%&*!?@^~=+<>]{2,}")
+_SYMBOLS = b"#$%&*!?@^~=+<>"
+_PUNCTUATION = string.punctuation.encode()
 
 
-Terms = tuple[frozenset, frozenset]
+Terms = tuple[frozenset, frozenset, tuple]
 
 
-def signals(text: str, terms: Terms) -> tuple[list[float], set[str]]:
-    """Values of the labellers' signals, and the distinct lower-case words.
+def bare_words(text: str) -> set[bytes]:
+    """Distinct lower-case words (UTF-8) without ASCII punctuation."""
+    return set(text.lower().encode("utf-8", "replace").translate(None, _PUNCTUATION).split())
 
-    ``terms``: words, and beginnings of words, that count as toxic.
+
+def signals(text: str, terms: Terms) -> tuple[list[float], set[bytes]]:
+    """Values of the labellers' signals, and the bare words.
+
+    ``terms``: words, and beginnings of words with their lengths, that count as toxic.
     """
-    toxic, begins = terms
-    words = text.split()
+    toxic, begins, lengths = terms
+    words, raw = text.split(), text.encode("utf-8", "replace")
     n = len(words)
-    own = set(_LETTERS.findall(text.lower()))
+    own = bare_words(text)
     if not n:
         return [0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0], own
     few = 20  # shares of fewer words are damped
     m = max(n, few)
     return [
-        sum(len(w) > 1 and w.isupper() for w in words) / m,
+        sum(map(str.isupper, words)) / m,
         sum(map(eq, words, words[1:])) / m,
-        len(_SYMBOLS.findall(text)) / m,
+        (len(raw) - len(raw.translate(None, _SYMBOLS))) / m,
         words.count("|") / m,
         # share of words that are repeats, in excess of what long texts have anyway
-        max(0.0, 1 - len(set(words)) / min(n, 400)) if n >= few else 0.0,
-        float(len(own & toxic) + sum(w[:n] in begins for w in own for n in PREFIXES) if begins else len(own & toxic)),
+        max(0.0, 1 - len(own) / min(n, 400)) if n >= few else 0.0,
+        float(len(own & toxic) + sum(w[:k] in begins for k in lengths for w in own)),
         0.0,
-        len(_PLAIN.findall(text)) / m,
+        sum(map(str.islower, words)) / m,
     ], own
 
 
@@ -120,9 +126,9 @@ def estimate(patterns: dict[str, int], rounds: int = 1000, tol: float = 1e-9) ->
     return dict(zip(keys, good.tolist())), right[:, 1:]
 
 
-def _slot(name: str) -> int:
+def _slot(name: str | bytes) -> int:
     import xxhash
-    return xxhash.xxh3_64_intdigest(name.encode()) % DIMENSIONS
+    return xxhash.xxh3_64_intdigest(name) % DIMENSIONS
 
 
 class _Slots(dict):
@@ -133,9 +139,23 @@ class _Slots(dict):
         return s
 
 
-def _features(vote: str, own: set[str], slots: _Slots) -> list[int]:
+class _Weights(dict):
+    """Weight of each word or vote in the scorer."""
+
+    def __init__(self, weights: np.ndarray):
+        super().__init__()
+        self.all = weights.astype(float).tolist()
+
+    def __missing__(self, word: str | bytes) -> float:
+        if len(self) > 500_000:
+            self.clear()
+        self[word] = x = self.all[_slot(word)]
+        return x
+
+
+def _features(vote: str, own: set[bytes], slots: _Slots) -> list[int]:
     """Slots of the votes cast, one for each labeller, and after them those of the distinct words."""
-    return [slots[f"\0{j}:{c}"] for j, c in enumerate(vote)] + sorted({slots[w] for w in own})
+    return [slots[f"\0{j}:{c}"] for j, c in enumerate(vote)] + sorted(slots[w] for w in own)
 
 
 def _values(n: int) -> np.ndarray:
@@ -172,10 +192,10 @@ def learned_terms(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> t
         counts: dict[str, list[int]] = {}
         for b in text_slices(batches, 0):
             for t, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for w in {*_LETTERS.findall((t or "").lower()), ""}:
+                for w in {*bare_words(t or ""), b""}:
                     counts.setdefault(w, [0, 0])[k == 1] += 1
         yield pa.RecordBatch.from_arrays(
-            [pa.array(list(counts), pa.string()), pa.array([c[1] for c in counts.values()], pa.int64()),
+            [pa.array(list(counts), pa.binary()).cast(pa.string()), pa.array([c[1] for c in counts.values()], pa.int64()),
              pa.array([c[0] for c in counts.values()], pa.int64())], ["word", "bad", "good"])
 
     counts = cut_lineage(texts.mapInArrow(words, "word string, bad long, good long").groupBy("word").agg(
@@ -215,7 +235,7 @@ def fit_scorer(slots: np.ndarray, sizes: np.ndarray, target: np.ndarray, epochs:
     return w
 
 
-def classify(docs: DataFrame, labels: DataFrame | None = None, threshold: float = 0.2, sample: int = SAMPLE,
+def classify(docs: DataFrame, labels: DataFrame | None = None, threshold: float = 0.35, sample: int = SAMPLE,
              id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score, votes, posterior, keep) of every document."""
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -223,7 +243,7 @@ def classify(docs: DataFrame, labels: DataFrame | None = None, threshold: float
     return narrow.select("text", "doc_id").mapInArrow(run, SCORED)
 
 
-def filter_quality(docs: DataFrame, labels: DataFrame | None = None, threshold: float = 0.2,
+def filter_quality(docs: DataFrame, labels: DataFrame | None = None, threshold: float = 0.35,
                    sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that are kept, with all their columns."""
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -260,7 +280,8 @@ def _with_verdict(voted: DataFrame, verdicts: DataFrame) -> DataFrame:
 
 def _scorer(narrow: DataFrame, labels: DataFrame | None, threshold: float, sample: int):
     words, begins = learned_terms(narrow, labels, sample) if labels is not None else (frozenset(), frozenset())
-    terms = (words | frozenset(TOXIC_TERMS), begins)
+    begins = frozenset(x.encode() for x in begins if not any(x[:n] in begins for n in range(1, len(x))))
+    terms = (frozenset(w.encode() for w in (*words, *TOXIC_TERMS)), begins, tuple(sorted({len(x) for x in begins})))
     verdicts = _verdicts(labels, narrow)
     counted = _with_verdict(narrow.mapInArrow(_scan(terms), "doc_id long, votes string"), verdicts)
     patterns = {r["votes"]: r["count"] for r in counted.groupBy("votes").count().collect()}  # a few per labeller
@@ -291,16 +312,18 @@ def _scorer(narrow: DataFrame, labels: DataFrame | None, threshold: float, sampl
     shared = narrow.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots, w = _Slots(), shared.value
+        weight = _Weights(shared.value)
+        bias = weight.all[DIMENSIONS]
         for b in text_slices(batches, 0):
             rows = []
             for t in b.column(0).to_pylist():
                 values, own = signals(t or "", terms)
                 v = votes(values)
-                f = _features(v, own, slots)
-                z = float(w[f] @ _values(len(f)) + w[DIMENSIONS])
+                z = bias + sum(weight[f"\0{j}:{c}"] for j, c in enumerate(v))
+                z += sum(map(weight.__getitem__, own)) / max(1, len(own)) ** 0.5
                 s = 1 / (1 + np.exp(-max(-30.0, min(30.0, z))))
-                rows.append((s, v, posterior.get(v + "0"), s >= threshold))
+                known = posterior.get(v + "0", s)
+                rows.append((s, v, known, s >= threshold and known >= DOUBT))
             s, v, p, k = zip(*rows) if rows else ((), (), (), ())
             yield pa.RecordBatch.from_arrays(
                 [b.column(1), pa.array(s, pa.float64()), pa.array(v, pa.string()), pa.array(p, pa.float64()),
