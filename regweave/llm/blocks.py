@@ -17,6 +17,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterable, Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -144,6 +146,12 @@ def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple
         yield key, held
 
 
+def each_row(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for b in batches:
+        for i in range(len(b)):
+            yield tuple(c[i].as_py() for c in b.columns)
+
+
 def with_answers(blocks: DataFrame, answers: list[DataFrame]) -> DataFrame:
     """(block, level, bucket, data): each block's payload, level -1, then its answers."""
     out = blocks.select("block", F.lit(-1).alias("level"), F.lit(0).cast("long").alias("bucket"),
@@ -176,6 +184,20 @@ def each_block(blocks: DataFrame, answers: list[DataFrame],
     return with_answers(blocks, answers).mapInArrow(run, schema)
 
 
+def stream_blocks(blocks: DataFrame, answers: list[DataFrame],
+                  fn: Callable[[int, pa.Table, Iterator[tuple[int, int, bytes]]], Iterator[pa.RecordBatch]], schema: str,
+                  opened: Callable = unpacked) -> DataFrame:
+    """Like ``each_block``, but the answers (level, bucket, data) come one after another and are not held."""
+    def run(batches):
+        for block, rows in groupby(each_row(batches), itemgetter(0)):
+            _, level, _, payload = next(rows)
+            if level == -1:  # else nothing but answers
+                yield from fn(block, opened(payload), (r[1:] for r in rows))
+        release()
+
+    return with_answers(blocks, answers).mapInArrow(run, schema)
+
+
 def send(blocks: DataFrame, answers: list[DataFrame],
          fn: Callable[[pa.Table, Answers], Iterable[tuple[int, bytes]]], opened: Callable = unpacked) -> DataFrame:
     """Messages (bucket, block, data) of every block."""

@@ -12,12 +12,14 @@ Steps, between blocks of documents and buckets of tokens:
 1. equal sets meet by digest and are represented by one document;
 2. buckets tell the frequency class of every token; sets without a token in their
    prefix that occurs elsewhere have no partner;
-3. the remaining sets are dealt to blocks by their least token, so that most near
-   copies are neighbours;
+3. the remaining sets are sorted by their least token and cut into blocks, so that
+   most near copies are neighbours; ranges of (token, set) split the sets of a
+   token that very many have;
 4. each token's bucket tells the blocks which sets to send to which other block.
    No pair is listed: a block finds the partners of a set that it receives through
-   an index of its own sets;
-5. verified links are counted for each document and reduced to a spanning forest
+   an index of its own sets, one message after another;
+5. each pair is verified in one block, which keeps the number of links of each set
+   and a spanning forest of them; the numbers are summed, and the forests combined
    before components are computed.
 
 Edge cases: a document without words has no shingles, no links and its own id as
@@ -48,13 +50,16 @@ CLASSES = np.array([2, 8, 64])
 SET_BYTES = 1 << 20
 #: Buckets whose spanning forests are combined.
 FAN_IN = 16
+#: Requests that a bucket holds before it sends them.
+REQUESTS = 1 << 20
 #: Bytes of a token: two sets of a thousand tokens agree in one by chance with odds of 1 to 70 billion.
 WIDTH = 7
 _MASK = np.uint64((1 << 8 * WIDTH) - 1)
 #: Bytes of a token that are counted, besides its bucket. Tokens that agree in them share a class.
 COUNTED = 3
 NO_ID = np.iinfo(np.int64).max
-DESCRIBED = "row long, doc_id long, n_shingles long, digest binary, text_sha256 string"
+DESCRIBED = "row long, doc_id long, n_shingles long, least long, digest binary, text_sha256 string"
+DEALT = "home long, least long, node long, data binary"
 
 
 def shingle_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
@@ -97,10 +102,10 @@ def _describe(size: int):
         sets = shingle_sets(texts, size)
         yield pa.RecordBatch.from_arrays(
             [pa.array([block << 20 | i for i in range(len(sets))], pa.int64()), docs["id"].combine_chunks(),
-             pa.array([len(s) for s in sets], pa.int64()),
+             pa.array([len(s) for s in sets], pa.int64()), pa.array([int(s[0]) if len(s) else None for s in sets], pa.int64()),
              pa.array([_digest(s) if len(s) else None for s in sets], pa.binary()),
              pa.array([hashlib.sha256(t).hexdigest() for t in texts])],
-            ["row", "doc_id", "n_shingles", "digest", "text_sha256"])
+            ["row", "doc_id", "n_shingles", "least", "digest", "text_sha256"])
     return run
 
 
@@ -149,38 +154,45 @@ def _classify(_: list[int], messages: list[bytes]) -> list[bytes]:
     return [B.bits(x & 1 > 0) + B.bits(x & 2 > 0) for x in np.split(of, np.cumsum(sizes)[:-1])]
 
 
-def _dealer(size: int, buckets: int, per_cent: int, homes: int):
-    """Send each represented set that has a common prefix token to the home of its least token."""
+def _dealer(size: int, buckets: int, per_cent: int):
+    """(home, least token, node, keys) of each represented set that has a common prefix token."""
     def run(block, docs, got):
-        mine = np.frombuffer(got.get(0, {}).get(0, b""), np.int64) & ((1 << 20) - 1)
+        mine = np.frombuffer(got.get(0, {}).get(0, b""), np.int64).reshape(-1, 2)
         if not len(mine):
             return
         tokens = _Tokens(docs, size, buckets)
         of, values = tokens.classes(got.get(1, {})), tokens.groups.values
-        parts: dict[int, list] = {}
-        for i in mine.tolist():
-            s = tokens.sets[i]
-            keys = np.sort(of[np.searchsorted(values, s)] << np.uint64(8 * WIDTH) | s)
-            if keys[prefix_size(len(s), per_cent) - 1] > _MASK:
-                home = int(B.buckets_of(B.mix(s[:1]), homes)[0])
-                parts.setdefault(home, []).append((int(s[0]), block << 20 | i, keys))
-        yield from B.message_batches(((home, block, pickle.dumps(x, 5)) for home, x in parts.items()),
-                                     ["bucket", "block", "data"])
+
+        def rows():
+            for node, home in mine.tolist():
+                s = tokens.sets[node & ((1 << 20) - 1)]
+                keys = np.sort(of[np.searchsorted(values, s)] << np.uint64(8 * WIDTH) | s)
+                if keys[prefix_size(len(s), per_cent) - 1] > _MASK:
+                    yield home, int(s[0]), node, keys.tobytes()
+        yield from B.message_batches(rows(), ["home", "least", "node", "data"])
     return run
 
 
-def _settle(_: list[int], messages: list[bytes]) -> Iterator[tuple[int, bytes]]:
-    """Blocks of neighbouring sets, of a bounded size, from what one home received; each has the number of its first node."""
-    held = sorted((x for m in messages for x in pickle.loads(m)), key=lambda x: x[:2])
-    part, size = [], 0
-    for x in held:
-        part.append(x[1:])
-        size += x[2].nbytes
-        if size > SET_BYTES:
-            yield part[0][0], pickle.dumps(part, 5)
-            part, size = [], 0
-    if part:
-        yield part[0][0], pickle.dumps(part, 5)
+def _settle(dealt: DataFrame, set_bytes: int) -> DataFrame:
+    """(block, payload): runs of the sets of a home by (least token, node), of a bounded size; a block has the number of its first node."""
+    def run(batches):
+        def out():
+            part, held, of = [], 0, None
+            for home, _, node, data in B.each_row(batches):
+                if part and (home != of or held > set_bytes):
+                    yield part[0][0], pickle.dumps(part, 5)
+                    part, held = [], 0
+                of = home
+                part.append((node, np.frombuffer(data, np.uint64)))
+                held += len(data)
+            if part:
+                yield part[0][0], pickle.dumps(part, 5)
+        yield from B.message_batches(out(), ["block", "payload"])
+        B.release()
+
+    n = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut_lineage(dealt.repartition(n, "home").sortWithinPartitions("home", "least", "node")
+                       .mapInArrow(run, "block long, payload binary"))
 
 
 class _Index:
@@ -223,87 +235,125 @@ def _token_sender(buckets: int, per_cent: int):
 _TOKEN = np.dtype([("token", "<u8"), ("set", "<u4"), ("size", "<u4")])
 
 
-def _requests(per_cent: int):
-    """For each set, the other blocks that hold sets of fitting size with the same token."""
+def _requests(per_cent: int, most_held: int = REQUESTS):
+    """For each set, the other blocks that hold sets of fitting size with the same token, in bounded pieces."""
     def fn(blocks: list[int], messages: list[bytes]) -> Iterator[tuple[int, bytes]]:
         e = np.concatenate([np.frombuffer(m, _TOKEN) for m in messages])
         home = np.repeat(np.array(blocks, np.int64), [len(m) // _TOKEN.itemsize for m in messages])
         order = np.lexsort([home, e["token"]])
         e, home = e[order], home[order]
         cuts = np.flatnonzero(np.append(True, e["token"][1:] != e["token"][:-1]))
-        wanted: dict[int, set] = {}
+        wanted: dict[int, list[np.ndarray]] = {}
+        held = 0
+
+        def flush():
+            for block, pairs in wanted.items():
+                yield block, np.unique(np.concatenate(pairs), axis=0).tobytes()
+            wanted.clear()
+
         for a, b in zip(cuts, np.append(cuts[1:], len(e))):
             if b - a < 2 or home[a] == home[b - 1]:
                 continue  # neighbours find each other at home
-            size, at = e["size"][a:b].astype(np.int64), home[a:b]
+            size, at, number = e["size"][a:b].astype(np.int64), home[a:b], e["set"][a:b].astype(np.int64)
             ends = np.flatnonzero(np.append(at[1:] != at[:-1], True)) + 1
             begins = np.concatenate([[0], ends[:-1]])
             least = np.minimum.reduceat(size, begins)
             most = np.maximum.reduceat(size, begins)
-            for k, first in enumerate(begins):
+            for k, (first, end) in enumerate(zip(begins[:-1].tolist(), ends[:-1].tolist())):
                 # sets of block k go to the blocks after it
-                for i in range(first, ends[k]):
-                    n = size[i]
-                    fits = (most[k + 1:] * 100 >= per_cent * n) & (n * 100 >= per_cent * least[k + 1:])
-                    if fits.any():
-                        wanted.setdefault(int(at[i]), set()).update(
-                            zip([int(e["set"][a + i])] * int(fits.sum()), at[begins[k + 1:]][fits].tolist()))
-        for block, pairs in wanted.items():
-            yield block, np.array(sorted(pairs), np.int64).tobytes()
+                step = max(1, most_held // (len(begins) - k))
+                for i in range(first, end, step):
+                    n = size[i:min(i + step, end), None]
+                    row, to = np.nonzero((most[None, k + 1:] * 100 >= per_cent * n) & (n * 100 >= per_cent * least[None, k + 1:]))
+                    if len(row):
+                        wanted.setdefault(int(at[i]), []).append(np.stack([number[i + row], at[begins[k + 1 + to]]], axis=1))
+                        held += len(row)
+                    if held > most_held:
+                        yield from flush()
+                        held = 0
+        yield from flush()
     return fn
 
 
-def _shipper(part: list, got: B.Answers) -> Iterator[tuple[int, bytes]]:
+def _shipper(block: int, part: list, got: Iterator[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
     """Copies of the requested sets, packed by the block they go to."""
-    pairs = [np.frombuffer(d, np.int64).reshape(-1, 2) for d in got.get(2, {}).values()]
-    if not pairs:
+    pairs, held, size = np.zeros((0, 2), np.int64), [], 0
+    for _, _, data in got:
+        held.append(np.frombuffer(data, np.int64).reshape(-1, 2))
+        size += len(held[-1])
+        if size > max(REQUESTS, len(pairs)):
+            pairs, held, size = np.unique(np.concatenate([pairs, *held]), axis=0), [], 0
+    pairs = np.unique(np.concatenate([pairs, *held]), axis=0)
+    if not len(pairs):
         return
-    pairs = np.unique(np.concatenate(pairs), axis=0)
-    to = pairs[:, 1]
-    for idx in np.split(order := np.argsort(to, kind="stable"), np.flatnonzero(np.diff(to[order])) + 1):
-        own = [part[k] for k in pairs[idx, 0]]
-        yield int(to[idx[0]]), b"".join([
-            len(own).to_bytes(4, "little"), np.array([x[0] for x in own], np.int64).tobytes(),
-            np.array([len(x[1]) for x in own], np.int64).tobytes(), *(x[1].tobytes() for x in own)])
+
+    def out():
+        for to, idx in B.route(pairs[:, 1]):
+            own = [part[k] for k in pairs[idx, 0]]
+            yield to, block, b"".join([
+                len(own).to_bytes(4, "little"), np.array([x[0] for x in own], np.int64).tobytes(),
+                np.array([len(x[1]) for x in own], np.int64).tobytes(), *(x[1].tobytes() for x in own)])
+    yield from B.message_batches(out(), ["bucket", "block", "data"])
 
 
 def _verifier(per_cent: int, homes: int):
-    """Links of each block, both ways, to the bucket of their first node."""
+    """Of the links of each block: their number by node, to even buckets by node, and a spanning forest, to an odd one."""
     def run(block, part, got):
         nodes = np.array([x[0] for x in part], np.int64)
         sets = [x[1] for x in part]
         sizes = np.array([len(s) for s in sets], np.int64)
         full = _Index(sets)
         index = [_Index([prefix(s, k, per_cent) for s in sets]) for k in range(ORDERS)]
-        links = []
+        n_links = np.zeros(len(part), np.int64)
+        group = np.arange(len(part))  # sets of the block that are connected so far
+        others, edges = [], []
 
-        def partners(node, keys, after):
+        def partners(keys, after):
+            """Sets from ``after`` on that are similar to ``keys``."""
             n = len(keys)
             ok = (sizes * 100 >= per_cent * n) & (n * 100 >= per_cent * sizes)
             ok[:after] = False
             for k in range(ORDERS):
                 if not ok.any():
-                    return
+                    return np.zeros(0, np.int64)
                 ok &= index[k].shared(prefix(keys, k, per_cent)) > 0
             if not ok.any():
-                return
+                return np.zeros(0, np.int64)
             same = full.shared(keys)
-            ok &= same * 100 >= per_cent * (sizes + n - same)
-            links.extend((node, other) for other in nodes[ok].tolist())
+            return np.flatnonzero(ok & (same * 100 >= per_cent * (sizes + n - same)))
+
+        def connect(node, found, own):
+            """``own``: the group of ``node`` itself, or -1."""
+            groups, one = np.unique(group[found], return_index=True)
+            new = groups != own
+            edges.extend((node, other) for other in nodes[found[one[new]]].tolist())
+            if len(groups) > 1 or new.any():
+                group[np.isin(group, groups)] = groups[0] if own < 0 else own
 
         for i, s in enumerate(sets):
-            partners(int(nodes[i]), s, i + 1)
-        for data in got.get(3, {}).values():
+            found = partners(s, i + 1)
+            if len(found):
+                n_links[i] += len(found)
+                n_links[found] += 1
+                connect(int(nodes[i]), found, group[i])
+        for _, _, data in got:
             n = int.from_bytes(data[:4], "little")
             theirs = np.frombuffer(data, np.int64, n, 4)
             size = np.frombuffer(data, np.int64, n, 4 + 8 * n)
             for node, s in zip(theirs.tolist(), np.split(np.frombuffer(data, np.uint64, -1, 4 + 16 * n), np.cumsum(size)[:-1])):
-                partners(node, s, 0)
-        if links:
-            both = np.array(links, np.int64)
-            both = np.concatenate([both, both[:, ::-1]])
-            rows = [(bucket, block, both[idx].tobytes()) for bucket, idx in
-                    B.route(B.buckets_of(B.mix(both[:, 0].astype(np.uint64)), homes))]
+                found = partners(s, 0)
+                if len(found):
+                    others.append((node, len(found)))
+                    n_links[found] += 1
+                    connect(node, found, -1)
+        if edges:
+            linked = np.flatnonzero(n_links)
+            counts = np.concatenate([np.stack([nodes[linked], n_links[linked]], axis=1),
+                                     np.array(others, np.int64).reshape(-1, 2)])
+            rows = [(2 * bucket, block, counts[idx].tobytes()) for bucket, idx in
+                    B.route(B.buckets_of(B.mix(counts[:, 0].astype(np.uint64)), homes))]
+            to = int(B.buckets_of(B.mix(np.array([block], np.uint64)), homes)[0])
+            rows.append((2 * to + 1, block, np.array(edges, np.int64).tobytes()))
             yield from B.message_batches(rows, ["bucket", "block", "data"])
     return run
 
@@ -327,16 +377,15 @@ def _spanning(pairs: np.ndarray) -> bytes:
     return np.array(edges, np.int64).tobytes()
 
 
-def _forest(_: list[int], messages: list[bytes]) -> Iterator[tuple[int, bytes]]:
-    """Number of links of each node, and a spanning forest of the links of this bucket."""
-    pairs = np.unique(np.concatenate([np.frombuffer(m, np.int64).reshape(-1, 2) for m in messages]), axis=0)
-    node, n = np.unique(pairs[:, 0], return_counts=True)
-    yield 0, np.stack([node, n], axis=1).astype(np.int64).tobytes()
-    yield 1, _spanning(pairs)
+def _sum_counts(_: list[int], messages: list[bytes]) -> Iterator[tuple[int, bytes]]:
+    """Number of links of each node: each pair is verified in one block only."""
+    pairs = np.concatenate([np.frombuffer(m, np.int64).reshape(-1, 2) for m in messages])
+    groups = B.Groups(pairs[:, 0])
+    yield 0, np.stack([groups.values, groups.reduce(np.add, pairs[:, 1])], axis=1).tobytes()
 
 
 def _one_forest(_: list[int], messages: list[bytes]) -> Iterator[tuple[int, bytes]]:
-    """One spanning forest of those of a few buckets, which a large group of near copies has in common."""
+    """One spanning forest of those of a few blocks or buckets, which a large group of near copies has in common."""
     yield 1, _spanning(np.concatenate([np.frombuffer(m, np.int64).reshape(-1, 2) for m in messages]))
 
 
@@ -349,16 +398,22 @@ def _pairs(rows: DataFrame, first: str, second: str) -> DataFrame:
     return rows.select("data").mapInArrow(fn, f"{first} long, {second} long")
 
 
+def _homes(sets: DataFrame, n: int) -> DataFrame:
+    """(row, home): ranges of about equal numbers of sets by (least token, node), so that no token's sets need one home."""
+    return sets.repartitionByRange(n, "least", "node").select(
+        F.col("node").alias("row"), F.spark_partition_id().cast("long").alias("home"))
+
+
 def _packed_rows(rows: DataFrame) -> DataFrame:
-    """The ids in ``row`` as one answer to each block."""
+    """The (row, home) of ``rows`` as one answer to each block."""
     def fn(batches):
         def out():
             for block, held in B.grouped(batches):
-                yield block, 0, 0, np.array([r[1] for r in held], np.int64).tobytes()
+                yield block, 0, 0, np.array([r[1:] for r in held], np.int64).tobytes()
         yield from B.message_batches(out(), ["block", "level", "bucket", "data"])
 
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = rows.select(F.shiftright("row", 20).alias("block"), "row")
+    keyed = rows.select(F.shiftright("row", 20).alias("block"), "row", "home")
     return cut_lineage(keyed.repartition(n, "block").sortWithinPartitions("block", "row").mapInArrow(fn, B.ANSWERS))
 
 
@@ -375,22 +430,22 @@ def similar_documents(docs: DataFrame, per_cent: int = 75, shingle: int = 5, id_
     buckets = B.bucket_count(blocks, 0.5, 1 << 20)
     described = cut_lineage(B.each_block(blocks, [], _describe(shingle), DESCRIBED))
     order = F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("least_id"), F.col("row").alias("node"))
-    equal = cut_lineage(described.filter("digest is not null").groupBy("digest").agg(F.min(order).alias("first"))
-                        .select("digest", "first.*"))
-    reps = _packed_rows(equal.select(F.col("node").alias("row")))
+    equal = cut_lineage(described.filter("digest is not null").groupBy("digest").agg(F.min(order).alias("first"), F.first("least").alias("least"))
+                        .select("digest", "least", "first.*"))
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    reps = _packed_rows(_homes(equal, 4 * n))
     classes = B.resolve(B.send(blocks, [], _token_counts(shingle, buckets)), 1, _classify)
     homes = max(1, math.ceil(buckets / 2))
-    dealt = B.each_block(blocks, [reps, classes], _dealer(shingle, buckets, per_cent, homes), B.MESSAGES)
-    settled = B.relay(dealt, 0, _settle).select("block", F.col("data").alias("payload"))
+    dealt = B.each_block(blocks, [reps, classes], _dealer(shingle, buckets, per_cent), DEALT)
+    settled = _settle(dealt, SET_BYTES)
     tokens = B.send(settled, [], _token_sender(buckets, per_cent), pickle.loads)
     wanted = B.relay(tokens, 2, _requests(per_cent))
-    shipped = B.send(settled, [wanted], _shipper, pickle.loads)
+    shipped = B.stream_blocks(settled, [wanted], _shipper, B.MESSAGES, pickle.loads)
     arrived = shipped.select(F.col("bucket").alias("block"), F.lit(3).alias("level"), F.col("block").alias("bucket"), "data")
-    links = B.each_block(settled, [arrived], _verifier(per_cent, homes), B.MESSAGES, pickle.loads)
-    found = B.relay(links, 0, _forest)
-    counts = _pairs(found.filter("block = 0"), "node", "n_links")
-    forests = found.filter("block = 1").select(F.floor(F.col("bucket") / FAN_IN).alias("bucket"),
-                                               F.col("bucket").alias("block"), "data")
+    links = cut_lineage(B.stream_blocks(settled, [arrived], _verifier(per_cent, homes), B.MESSAGES, pickle.loads))
+    counts = _pairs(B.relay(links.filter("bucket % 2 = 0"), 0, _sum_counts), "node", "n_links")
+    forests = B.relay(links.filter("bucket % 2 = 1"), 0, _one_forest).select(
+        F.floor(F.col("bucket") / (2 * FAN_IN)).alias("bucket"), F.col("bucket").alias("block"), "data")
     roots = connected_components(_pairs(B.relay(forests, 0, _one_forest), "u", "v"))
     linked = counts.join(roots, "node")
     least = equal.join(roots, "node").groupBy("root").agg(F.min(F.struct("least_id", "node")).alias("first"))

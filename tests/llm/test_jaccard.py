@@ -1,9 +1,13 @@
 """Jaccard join against brute force."""
 
 import collections
+import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from regweave.llm import jaccard
 from regweave.llm.components import connected_components
 from regweave.llm.jaccard import one_of_each, similar_documents
 
@@ -61,3 +65,40 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 7), (200, 201), (203, 201), (5, 5)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {**{i: 1 for i in range(1, 41)}, 100: 1, 200: 200, 201: 200, 203: 200}
+
+
+def near_copies(n, words=100):
+    """Different texts, each with one word of its own."""
+    r = random.Random(1)
+    base = [f"w{r.randrange(10**6)}" for _ in range(words)]
+    texts = []
+    for i in range(n):
+        base[i % words], old = f"own{i}", base[i % words]
+        texts.append(" ".join(base))
+        base[i % words] = old
+    return texts
+
+
+def test_links_of_a_group_are_counted_not_listed():
+    sets = jaccard.shingle_sets([t.encode() for t in near_copies(300)], 5)
+    part = [(i, np.sort(s | np.uint64(1 << 56))) for i, s in enumerate(sets)]
+    rows = [(b, np.frombuffer(d, np.int64).reshape(-1, 2)) for batch in jaccard._verifier(75, 4)(0, part, {})
+            for b, d in zip(batch["bucket"].to_pylist(), batch["data"].to_pylist())]
+    assert sum(len(x) for _, x in rows) < 2 * len(sets)  # 89,700 when both ways of all pairs are kept
+    counts = np.concatenate([x for b, x in rows if b % 2 == 0])
+    assert sorted(counts.tolist()) == [[i, 299] for i in range(300)]
+
+
+def test_sets_of_one_least_token_have_several_homes(spark):
+    sets = spark.range(1000).select(F.lit(7).cast("long").alias("least"), F.col("id").alias("node"))
+    sizes = [r["count"] for r in jaccard._homes(sets, 8).groupBy("home").count().collect()]
+    assert sum(sizes) == 1000 and len(sizes) > 4 and max(sizes) < 400
+
+
+def test_a_group_over_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "SET_BYTES", 8_000)
+    texts = near_copies(120) + near_copies(20, 60)
+    rows = list(enumerate(texts + texts[:3]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = similar_documents(docs).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in got} == brute(rows)
