@@ -42,7 +42,7 @@ ABSTAIN, BAD, GOOD = 0, 1, 2
 #: Labellers: name, vote, from and to which value of the signal they cast it. They abstain otherwise.
 LABELLERS = (
     ("upper", BAD, 0.3, 9e9), ("repeated", BAD, 0.15, 9e9), ("symbols", BAD, 0.25, 9e9), ("tables", BAD, 0.08, 9e9),
-    ("variety", BAD, 0.85, 9e9), ("toxic", BAD, 1.0, 9e9), ("empty", BAD, 1.0, 9e9), ("prose", GOOD, 0.7, 9e9),
+    ("variety", BAD, 0.85, 9e9), ("toxic", BAD, 0.01, 9e9), ("empty", BAD, 1.0, 9e9), ("prose", GOOD, 0.7, 9e9),
 )
 #: Accuracies that bad, good and label votes start with, and how many times its votes this counts
 #: against what is observed.
@@ -58,9 +58,9 @@ _PUNCTUATION = string.punctuation.encode()
 Terms = tuple[frozenset, frozenset, tuple]
 
 
-def bare_words(text: str) -> set[bytes]:
-    """Distinct lower-case words (UTF-8) without ASCII punctuation."""
-    return set(text.lower().encode("utf-8", "replace").translate(None, _PUNCTUATION).split())
+def bare_words(text: str) -> list[bytes]:
+    """Lower-case words (UTF-8) without ASCII punctuation."""
+    return text.lower().encode("utf-8", "replace").translate(None, _PUNCTUATION).split()
 
 
 def signals(text: str, terms: Terms) -> tuple[list[float], set[bytes]]:
@@ -71,11 +71,14 @@ def signals(text: str, terms: Terms) -> tuple[list[float], set[bytes]]:
     toxic, begins, lengths = terms
     words, raw = text.split(), text.encode("utf-8", "replace")
     n = len(words)
-    own = bare_words(text)
+    bare = bare_words(text)
+    own = set(bare)
     if not n:
         return [0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0], own
     few = 20  # shares of fewer words are damped
     m = max(n, few)
+    hits = own & toxic
+    hits.update(w for k in lengths for w in own if w[:k] in begins)
     return [
         sum(map(str.isupper, words)) / m,
         sum(map(eq, words, words[1:])) / m,
@@ -83,7 +86,8 @@ def signals(text: str, terms: Terms) -> tuple[list[float], set[bytes]]:
         words.count("|") / m,
         # share of words that are repeats, in excess of what long texts have anyway
         max(0.0, 1 - len(own) / min(n, 400)) if n >= few else 0.0,
-        float(len(own & toxic) + sum(w[:k] in begins for k in lengths for w in own)),
+        # one such word among many is left to the scorer
+        sum(map(hits.__contains__, bare)) / m if hits else 0.0,
         0.0,
         sum(map(str.islower, words)) / m,
     ], own

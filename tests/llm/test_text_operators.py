@@ -12,7 +12,7 @@ from regweave.llm.chat import format_conversations, loss_text
 from regweave.llm.decontaminate import benchmark_hits, without_hits
 from regweave.llm.language import UNKNOWN, identify_languages
 from regweave.llm.mixing import fill, mix_sources, targets
-from regweave.llm.quality import BAD, GOOD, classify, estimate, filter_quality
+from regweave.llm.quality import ABSTAIN, BAD, GOOD, TOXIC_TERMS, classify, estimate, filter_quality, signals, votes
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
@@ -167,3 +167,16 @@ def test_quality(spark, odd_documents, no_documents):
     odd = classify(odd_documents).collect()
     assert len(odd) == 7 and not any(r.keep for r in odd if r.votes[6] == str(BAD)) and sum(r.votes[6] == str(BAD) for r in odd) == 2
     assert classify(no_documents).count() == 0
+
+
+def test_one_toxic_word_does_not_reject_a_long_text(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    clean = docs.join(labels.filter("quality = 1 and coalesce(toxic, 0) = 0").select("doc_id"), "doc_id", "left_semi")
+    long = clean.filter(F.size(F.split("text", " ")) > 600).orderBy("doc_id").limit(5)
+    added = long.withColumn("doc_id", F.col("doc_id") + 10**9).withColumn("text", F.concat("text", F.lit(" trash")))
+    got = classify(docs.unionByName(added), labels).filter(F.col("doc_id") >= 10**9).collect()
+    assert len(got) > 1 and all(r.keep and r.votes[5] == str(ABSTAIN) for r in got)
+    terms = (frozenset(t.encode() for t in TOXIC_TERMS), frozenset(), ())
+    prose = " ".join(f"word{i}" for i in range(40))
+    assert votes(signals(f"{prose} you stupid, stupid idiot", terms)[0])[5] == str(BAD)
+    assert votes(signals(" ".join([prose, "stupid idiot"] * 50), terms)[0])[5] == str(BAD)  # however long
