@@ -192,11 +192,16 @@ class _Block:
         return self.joined[self.first[i]:self.last[i] + self.length]
 
 
+def _bucket(anchors: np.ndarray, n: int) -> np.ndarray:
+    """Bucket of anchors: their hashes are the least of many and so crowd near 0 unless mixed again."""
+    return B.buckets_of(B.mix(anchors), n)
+
+
 def _anchor_sender(length: int, buckets: int):
     def fn(docs: pa.Table, _: B.Answers) -> Iterator[tuple[int, bytes]]:
         g = _Block(docs, length).groups
         counts = np.minimum(g.counts(), 65535).astype(np.uint16)
-        for bucket, idx in B.route(B.buckets_of(g.values, buckets)):
+        for bucket, idx in B.route(_bucket(g.values, buckets)):
             several = counts[idx] > 1
             yield bucket, b"".join([len(idx).to_bytes(4, "little"), B.cut_low(g.values[idx], _WIDTH),
                                     B.bits(several), counts[idx][several].tobytes()])
@@ -225,7 +230,7 @@ class _Candidates:
     def __init__(self, block: _Block, answers: dict[int, bytes], buckets: int):
         g = block.groups
         repeated, hot = np.zeros(len(g.values), bool), np.zeros(len(g.values), bool)
-        for bucket, idx in B.route(B.buckets_of(g.values, buckets)):
+        for bucket, idx in B.route(_bucket(g.values, buckets)):
             data, n = answers[bucket], (len(idx) + 7) // 8
             repeated[idx] = B.from_bits(data[:n], len(idx))
             hot[idx] = B.from_bits(data[n:], len(idx))
@@ -242,7 +247,7 @@ class _Candidates:
                 texts.setdefault(block.cell(i), []).append(i)
         for text, cells in texts.items():
             h = block.hash[cells[0]]
-            bucket = int(B.buckets_of(np.array([h]), buckets)[0])
+            bucket = int(_bucket(np.array([h]), buckets)[0])
             self.cold.setdefault(bucket, []).append([int(h), text, cells])
         for entries in self.cold.values():
             entries.sort(key=lambda e: (e[0], e[1]))
