@@ -17,6 +17,10 @@ from regweave.llm.quality import filter_quality
 from regweave.llm.suffix import without_repeats
 from regweave.session import cut_lineage
 
+#: Passages of over 50 words have 250 bytes at least. On check_s after near duplicates, strings of 250 bytes touch
+#: 0.997 of the documents that share 51 words in a row with another and 0.098 of the rest (400 bytes: 0.800 and 0.067).
+REPEAT_BYTES = 250
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
@@ -29,8 +33,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the strings of 400 bytes that occur more than once."""
-    return without_repeats(docs, 400)
+    """All documents, without the strings of 250 bytes that occur more than once."""
+    return without_repeats(docs, REPEAT_BYTES)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
