@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from regweave.llm import queries_sql
+from regweave.llm.alignment import align_tokenizers
 from regweave.llm.chat import format_conversations, loss_text
 from regweave.llm.decontaminate import benchmark_hits
+from regweave.llm.divergence import source_divergence
 from regweave.llm.jaccard import similar_documents
 from regweave.llm.language import identify_languages
+from regweave.llm.licenses import scan_licenses
 from regweave.llm.mixing import mix_sources
 from regweave.llm.neighbours import nearest
 from regweave.llm.quality import classify
@@ -88,13 +91,31 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_shingles", "component_id", "class_id", "n_links")
 
 
+def op11_source_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(_table(spark, sf_dir, "documents"), min_docs=30, top=50)
+
+
+def op12_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = align_tokenizers(_table(spark, sf_dir, "documents"))
+    return out.withColumn("groups_sha256", F.when(F.col("n_a") > 0, F.sha2("alignment", 256)).otherwise("")).drop("alignment")
+
+
+def op13_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scan_licenses(_table(spark, sf_dir, "documents"))
+    base, found = F.col("base.label"), F.col("detections.label")
+    joined = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+    return out.select("doc_id", "n_words", F.size("base").cast("long").alias("n_base"),
+                      F.array_min("base.word").alias("first_word"), F.array_max("base.word").alias("last_word"),
+                      joined(base).alias("base_labels"), joined(F.concat(base, found)).alias("labels"), "score")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_suffix_array_dedup, op2_quality_classifier, op3_benchmark_decontamination, op4_warc, op5_substring_dedup,
     op6_mixing_sources, op7_approximate_nearest_neighbours, op8_chat_formatting, op9_language_id,
-    op10_ngram_jaccard_join)}
+    op10_ngram_jaccard_join, op11_source_divergence_audit, op12_cross_tokenizer_alignment, op13_license_scans)}
 
 ORACLES = {
     "op3_benchmark_decontamination": queries_sql.DECONTAMINATION, "op4_warc": queries_sql.WARC,
     "op5_substring_dedup": queries_sql.SUBSTRINGS, "op8_chat_formatting": queries_sql.CHAT,
-    "op10_ngram_jaccard_join": queries_sql.JACCARD,
+    "op10_ngram_jaccard_join": queries_sql.JACCARD, "op11_source_divergence_audit": queries_sql.DIVERGENCE,
 }

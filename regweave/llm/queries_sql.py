@@ -74,3 +74,28 @@ lk as (select a, count(distinct class_id) n_links from both_ join cls on cls.doc
 select w.doc_id, coalesce(n.n, 0) n_shingles, component_id, class_id, coalesce(n_links, 0) n_links
 from w join cls on cls.doc_id=w.doc_id join comp on comp.a=w.doc_id left join n on n.doc_id=w.doc_id
 left join lk on lk.a=w.doc_id"""
+
+DIVERGENCE = f"""
+with d as (select row_number() over () r, coalesce(lang, '') lang, coalesce(source, '') source,
+    regexp_extract_all({_LOWERED}, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') ws from documents),
+t as (select r, lang, source, unnest(ws) term from d),
+c as (select lang, source, term, count(*) c, count(distinct r) d from t group by 1, 2, 3),
+kept as (select lang, term, sum(c) c from c group by 1, 2 having sum(d) >= 30),
+l as (select lang, count(*) v, sum(c) n from kept group by 1),
+g as (select distinct lang, source from d),
+n as (select lang, source, sum(c.c) n from c join kept using (lang, term) group by 1, 2),
+p as (select g.lang, g.source, kept.term, coalesce(c.c, 0) c, kept.c lang_c, l.n lang_n, l.v,
+    cast(1 + (1000000000::hugeint * (coalesce(c.c, 0) + 5)) // (coalesce(n.n, 0) + 5 * l.v) as bigint) p,
+    cast(1 + (1000000000::hugeint * (kept.c + 5)) // (l.n + 5 * l.v) as bigint) q
+  from g join kept on kept.lang = g.lang join l on l.lang = g.lang
+  left join n on n.lang = g.lang and n.source = g.source
+  left join c on c.lang = g.lang and c.source = g.source and c.term = kept.term),
+far as (select a.lang, a.source, b.source item, sum(abs(a.p - b.p)) f from p a join p b
+  on a.lang = b.lang and a.term = b.term and a.source <> b.source group by 1, 2, 3),
+pair as (select a.lang, a.source, 'pair' part, b.source item, cast(coalesce(f, 0) as bigint) "value"
+  from g a join g b on a.lang = b.lang and a.source <> b.source
+  left join far on far.lang = a.lang and far.source = a.source and far.item = b.source),
+term as (select lang, source, 'term' part, term item, p - q "value" from p where c > 0 and p > q),
+ranked as (select *, cast(row_number() over (partition by lang, source, part order by "value" desc, item) as int) rank
+  from (select * from pair union all select * from term) u)
+select * from ranked where part = 'pair' or rank <= 50"""

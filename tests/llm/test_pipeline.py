@@ -19,7 +19,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_registered():
     names = set(entry.queries())
-    assert {f"op{i}_" for i in range(1, 11)} == {re.match(r"op\d+_", n)[0] for n in names if n.startswith("op")}
+    assert {f"op{i}_" for i in range(1, 14)} == {re.match(r"op\d+_", n)[0] for n in names if n.startswith("op")}
     assert "pipeline" in names and len(corpus_pipeline.STAGES) == 5
 
 
@@ -34,7 +34,7 @@ def test_stages(spark):
     assert first.columns == columns
     assert sorted(r.doc_id for r in first.collect()) == sorted({v[1] for v in links.values()})
     cut = stages["repeated_strings"](spark, first, SF)
-    expected = brute_bytes([(r.doc_id, r.text) for r in first.collect()], 400)
+    expected = brute_bytes([(r.doc_id, r.text) for r in first.collect()], corpus_pipeline.REPEAT_BYTES)
     assert cut.columns == columns
     assert {r.doc_id: r.text for r in cut.collect()} == {k: v[3].decode("utf-8", "ignore") for k, v in expected.items()}
     assert all(r.n_chars == len(r.text) for r in cut.collect())
