@@ -257,7 +257,7 @@ def bayes_linear(v):
 
 @query("gbt_importance")
 def gbt_importance(v):
-    return _network(v, "xgb", {"nrounds": 3, "eta": 0.3}).coefs
+    return _network(v, "xgb").coefs
 
 
 @query("coef_with_corr", with_views("coefs expr cells", """+with c as (

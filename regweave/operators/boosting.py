@@ -1,22 +1,40 @@
-"""Gradient-boosted trees for all targets in the same Spark jobs.
+"""Gradient-boosted trees, one model per target.
 
-State has one row per (target, cell) with the stored terms as small arrays.
-Every tree level is one histogram aggregation over (target, node, term, bin);
-zeros are never stored, their share is the node total minus the stored bins.
-Cells without stored values are one weighted row per target.
+Spark bins the terms and brings the rows of a target together: one row per (target,
+cell) with the stored terms as small arrays, and one weighted row for the cells
+without stored values. Trees grow on histograms over (node, term, bin); zeros are
+never stored, their share is the node total minus the stored bins, and of two
+siblings only the smaller is counted, the other is the rest of the parent.
+
+A target of at most ``HELD`` stored terms is fitted by one task. The rows of a larger
+one are dealt by cell to all tasks of a barrier stage; after each level the tasks
+exchange the histograms of what they hold, add them in the same order and so grow the
+same tree. Large targets go in slices that bound what a task holds and sends.
+A lost executor restarts its group's fit, or its slice.
 """
 
 from __future__ import annotations
 
+import base64
+from collections.abc import Generator, Iterator
+from typing import NamedTuple
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import BarrierTaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from regweave.functions.columns import safe_divide
 from regweave.operators.correlation import observation_count
 from regweave.operators.gram import RESPONSE
 from regweave.operators.skew import salted_join
-from regweave.session import cut_lineage, discard
+from regweave.session import cut_lineage
+
+#: Stored terms that one task holds, and bytes of histograms that it sends at once.
+HELD = 8_000_000
+SENT = 4 << 20
+RESULT = "target string, j int, gain double, cover double, frequency double, rsq double"
 
 
 def _binned(design: DataFrame, bins: int) -> DataFrame:
@@ -34,7 +52,8 @@ def _binned(design: DataFrame, bins: int) -> DataFrame:
     return b.withColumn("bin", F.when(F.col("v") > 0, above + 1).otherwise(-below - 1))
 
 
-def _initial_state(design: DataFrame, obs: DataFrame, bins: int, base: float) -> DataFrame:
+def _rows(design: DataFrame, obs: DataFrame, bins: int) -> DataFrame:
+    """``(target, cell, y, w, js, bins)``: terms and bins of the stored values."""
     feats = (_binned(design, bins).groupBy("target", "cell").agg(
         F.collect_list(F.struct("j", "bin")).alias("x")))      # bounded by the term count
     y = design.filter(F.col("j") == RESPONSE).select("target", "cell", F.col("v").alias("y"))
@@ -49,99 +68,239 @@ def _initial_state(design: DataFrame, obs: DataFrame, bins: int, base: float) ->
             .select("target", F.lit(None).cast(ctype).alias("cell"), F.lit(0.0).alias("y"), "w",
                     F.lit(None).cast("array<int>").alias("js"),
                     F.lit(None).cast("array<int>").alias("bins")))
-    return (rows.unionByName(rest).withColumns({"f": F.lit(base), "node": F.lit(1)}))
-
-
-def _best_splits(state: DataFrame, lam: float, min_child: float) -> DataFrame:
-    """``(target, node, sj, sbin, gain, cover)``: rows with bin <= sbin go left."""
-    g = F.col("w") * (F.col("y") - F.col("f"))
-    tot = state.groupBy("target", "node").agg(F.sum(g).alias("gt"), F.sum("w").alias("ht"))
-    hist = (state.select("target", "node", g.alias("g"), "w",
-                         F.explode(F.arrays_zip("js", "bins")).alias("e"))
-            .groupBy("target", "node", F.col("e.js").alias("j"), F.col("e.bins").alias("bin"))
-            .agg(F.sum("g").alias("g"), F.sum("w").alias("h")))
-    stored = hist.groupBy("target", "node", "j").agg(F.sum("g").alias("gs"), F.sum("h").alias("hs"))
-    zero = (stored.join(tot, ["target", "node"])
-            .select("target", "node", "j", F.lit(0).alias("bin"),
-                    (F.col("gt") - F.col("gs")).alias("g"), (F.col("ht") - F.col("hs")).alias("h")))
-    # A histogram has at most bins + 1 rows per (target, node, term).
-    w = (W.partitionBy("target", "node", "j").orderBy("bin")
-         .rowsBetween(W.unboundedPreceding, W.currentRow))
-    cum = (hist.unionByName(zero).withColumns({"gl": F.sum("g").over(w), "hl": F.sum("h").over(w)})
-           .join(tot, ["target", "node"]))
-    gr, hr = F.col("gt") - F.col("gl"), F.col("ht") - F.col("hl")
-
-    def score(a, b):
-        return a * a / (b + F.lit(lam))
-    gain = score(F.col("gl"), F.col("hl")) + score(gr, hr) - score(F.col("gt"), F.col("ht"))
-    best = (cum.filter((F.col("hl") >= min_child) & (hr >= min_child))
-            .withColumn("gain", gain).filter("gain > 1e-9")
-            .groupBy("target", "node")
-            .agg(F.max_by(F.struct("j", "bin", "gain", "ht"),
-                          F.struct(F.round("gain", 9), -F.col("j"), -F.col("bin"))).alias("b")))
-    return best.select("target", "node", F.col("b.j").alias("sj"), F.col("b.bin").alias("sbin"),
-                       F.col("b.gain").alias("gain"), F.col("b.ht").alias("cover"))
-
-
-def _descend(state: DataFrame, splits: DataFrame) -> DataFrame:
-    at = F.array_position("js", F.col("sj")).cast("int")
-    own = F.coalesce(F.when(at > 0, F.element_at("bins", F.when(at > 0, at).otherwise(1))),
-                     F.lit(0))
-    s = salted_join(state, splits.select("target", "node", "sj", "sbin"),
-                    ["target", "node"], ["cell"], how="left")
-    return (s.withColumn("node", F.when(F.col("sj").isNull(), F.col("node")).otherwise(
-        F.col("node") * 2 + F.when(own <= F.col("sbin"), 0).otherwise(1)))
-        .drop("sj", "sbin"))
+    return rows.unionByName(rest)
+
+
+class Options(NamedTuple):
+    """How trees are grown. ``objective`` is gaussian, poisson or binomial."""
+
+    max_depth: int = 3
+    eta: float = 0.01
+    nrounds: int = 1000
+    reg_lambda: float = 1.0
+    min_child_weight: float = 1.0
+    base_score: float = 0.5
+    bins: int = 64
+    objective: str = "gaussian"
+
+    def start(self) -> float:
+        """The first score of a row: the base score on the scale of the link."""
+        return {"gaussian": self.base_score, "poisson": float(np.log(self.base_score)),
+                "binomial": float(np.log(self.base_score / (1 - self.base_score)))}[self.objective]
+
+    def mean(self, f: np.ndarray) -> np.ndarray:
+        if self.objective == "gaussian":
+            return f
+        return np.exp(f) if self.objective == "poisson" else 1 / (1 + np.exp(-f))
+
+    def slopes(self, y: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Gradient and curvature of the log likelihood of each row."""
+        mu = self.mean(f)
+        curve = {"gaussian": np.ones_like(mu), "poisson": mu * np.exp(0.7), "binomial": mu * (1 - mu)}
+        return y - mu, curve[self.objective]
+
+
+class Held:
+    """The rows of a target that one task holds, and their stored bins by term."""
+
+    def __init__(self, table: pa.Table, terms: np.ndarray, bins: int):
+        self.y, self.w = (table[c].to_numpy().astype(np.float64) for c in ("y", "w"))
+        js, own = (table[c].combine_chunks() for c in ("js", "bins"))
+        counts = np.nan_to_num(js.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+        term = np.searchsorted(terms, js.flatten().to_numpy(zero_copy_only=False))
+        order = np.argsort(term, kind="stable")
+        self.row = np.repeat(np.arange(len(self.y)), counts)[order]
+        self.bin = own.flatten().to_numpy(zero_copy_only=False).astype(np.int64)[order]
+        self.width, self.n_terms = 2 * bins + 1, len(terms)
+        self.place = term[order] * self.width + self.bin + bins
+        self.upto = np.searchsorted(term[order], np.arange(len(terms) + 1))
+
+    def histograms(self, slot: np.ndarray, n: int, values: tuple[np.ndarray, ...]) -> np.ndarray:
+        """(slot, value, place) sums of the rows in each slot (below 0: in none); the last place has the total."""
+        size = self.n_terms * self.width
+        out = np.zeros((n, len(values), size + 1))
+        at = slot[self.row]
+        used = np.flatnonzero(at >= 0)
+        key, rows, inside = at[used] * size + self.place[used], self.row[used], slot >= 0
+        for k, v in enumerate(values):
+            out[:, k, :-1] = np.bincount(key, v[rows], n * size).reshape(n, size)
+            out[:, k, -1] = np.bincount(slot[inside], v[inside], n)
+        return out
+
+    def goes_left(self, node: np.ndarray, of: int, term: int, cut: int) -> np.ndarray:
+        """Rows of node ``of`` whose bin of ``term`` is ``cut`` at most."""
+        left = np.full(len(node), cut >= 0)
+        span = slice(self.upto[term], self.upto[term + 1])
+        left[self.row[span]] = self.bin[span] <= cut
+        return left & (node == of)
+
+
+def best_split(hist: np.ndarray, n_terms: int, o: Options) -> tuple[float, int, int, np.ndarray] | None:
+    """(gain, term, last bin to the left, (g, h) to the left) of a node; ties go to the smaller term and bin."""
+    total = hist[:, -1]
+    cells = hist[:, :-1].reshape(2, n_terms, -1).copy()
+    cells[:, :, o.bins] += total[:, None] - cells.sum(axis=2)
+    (gl, hl), (gt, ht) = np.cumsum(cells, axis=2), total
+    gr, hr = gt - gl, ht - hl
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gain = gl * gl / (hl + o.reg_lambda) + gr * gr / (hr + o.reg_lambda) - gt * gt / (ht + o.reg_lambda)
+    gain = np.where((hl >= o.min_child_weight) & (hr >= o.min_child_weight) & np.isfinite(gain), gain, -np.inf)
+    if not gain.size:
+        return None
+    term, place = divmod(int(np.argmax(np.round(gain, 9))), gain.shape[1])
+    best = float(gain[term, place])
+    return (best, term, place - o.bins, np.array([gl[term, place], hl[term, place]])) if best > 1e-9 else None
+
+
+def grow(held: Held, o: Options) -> Generator[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """Grow all trees; yields sums over the rows held and is sent those over all rows.
+
+    Returns (gain, cover, frequency) by term, and (rss, yy, sy, n) of the fit.
+    """
+    f, importance = np.full(len(held.y), o.start()), np.zeros((3, held.n_terms))
+    for _ in range(o.nrounds):
+        slope, curve = o.slopes(held.y, f)
+        values = (held.w * slope, held.w * curve)
+        node, step = np.zeros(len(f), np.int64), np.zeros(len(f))
+        hists = list((yield held.histograms(node, 1, values)))
+        for depth in range(1, o.max_depth + 1):
+            parents, slot, after = [], np.full(len(f), -1), np.full(len(f), -1)
+            for k, hist in enumerate(hists):
+                split = best_split(hist, held.n_terms, o)
+                if split is None:
+                    g, h = hist[:, -1]
+                    step[node == k] = o.eta * g / (h + o.reg_lambda)
+                    continue
+                gain, term, cut, left = split
+                importance[:, term] += gain, hist[1, -1], 1
+                goes, here, n = held.goes_left(node, k, term, cut), node == k, len(parents)
+                after[here] = 2 * n + 1
+                after[goes] = 2 * n
+                small = goes if left[1] <= hist[1, -1] - left[1] else here & ~goes
+                slot[small] = n
+                parents.append((hist, left, bool(left[1] <= hist[1, -1] - left[1])))
+                if depth == o.max_depth:
+                    for (g, h), rows in ((left, goes), (hist[:, -1] - left, here & ~goes)):
+                        step[rows] = o.eta * g / (h + o.reg_lambda)
+            if depth == o.max_depth or not parents:
+                break
+            smaller, hists, node = (yield held.histograms(slot, len(parents), values)), [], after
+            for (hist, _, first), own in zip(parents, smaller):
+                hists += [own, hist - own] if first else [hist - own, own]
+        f += step
+    left = held.w * (held.y - o.mean(f)) ** 2
+    sums = yield np.array([left.sum(), (held.w * held.y ** 2).sum(), (held.w * held.y).sum(), held.w.sum()])
+    return importance, sums
+
+
+def _alone(growing: Generator) -> tuple[np.ndarray, np.ndarray]:
+    sums = next(growing)
+    while True:
+        try:
+            sums = growing.send(sums)
+        except StopIteration as done:
+            return done.value
+
+
+def _together(growing: list[Generator], exchange) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Drive the fits in step, with one exchange for all of them."""
+    sums, results = {i: next(g) for i, g in enumerate(growing)}, {}
+    while sums:
+        flat = exchange(np.concatenate([x.ravel() for x in sums.values()]))
+        cuts = np.cumsum([x.size for x in sums.values()])[:-1]
+        told, sums = {i: t.reshape(x.shape) for (i, x), t in zip(sums.items(), np.split(flat, cuts))}, {}
+        for i, t in told.items():
+            try:
+                sums[i] = growing[i].send(t)
+            except StopIteration as done:
+                results[i] = done.value
+    return [results[i] for i in range(len(growing))]
+
+
+def _report(target: str, terms: np.ndarray, result: tuple[np.ndarray, np.ndarray]) -> list[dict]:
+    """Shares of the importance of each term used, and R2 under j = -1."""
+    importance, (rss, yy, sy, n) = result
+    used = np.flatnonzero(importance[2])
+    shares = importance[:, used] / importance[:, used].sum(axis=1, keepdims=True) if len(used) else importance[:, used]
+    around = yy - sy * sy / n if n else 0.0
+    rows = [{"target": target, "j": int(j), "gain": a, "cover": b, "frequency": c, "rsq": None}
+            for j, a, b, c in zip(terms[used], *shares.tolist())]
+    return [*rows, {"target": target, "j": -1, "gain": None, "cover": None, "frequency": None,
+                    "rsq": 1 - rss / around if around else None}]
+
+
+_ARROW = pa.schema([("target", pa.string()), ("j", pa.int32()), ("gain", pa.float64()), ("cover", pa.float64()),
+                    ("frequency", pa.float64()), ("rsq", pa.float64())])
+
+
+def _fit_small(rows: DataFrame, o: Options) -> DataFrame:
+    def fit(table: pa.Table) -> pa.Table:
+        terms = np.unique(table["js"].combine_chunks().flatten().to_numpy(zero_copy_only=False))
+        found = _alone(grow(Held(table.select(["y", "w", "js", "bins"]), terms, o.bins), o))
+        return pa.Table.from_pylist(_report(table["target"][0].as_py(), terms, found), _ARROW)
+    return rows.groupBy("target").applyInArrow(fit, RESULT)
+
+
+def _fit_slice(rows: DataFrame, targets: list[tuple[str, list[int]]], o: Options, tasks: int) -> DataFrame:
+    """Fit some large targets in one barrier stage; every task holds the rows of some cells."""
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context, got = BarrierTaskContext.get(), list(batches)
+        names = ["target", "y", "w", "js", "bins"]
+        table = pa.Table.from_batches(got) if got else pa.table(
+            {"target": pa.array([], pa.string()), "y": pa.array([], pa.float64()), "w": pa.array([], pa.float64()),
+             "js": pa.array([], pa.list_(pa.int32())), "bins": pa.array([], pa.list_(pa.int32()))})
+
+        def exchange(own: np.ndarray) -> np.ndarray:
+            out = np.zeros(len(own))
+            for message in context.allGather(base64.b64encode(own.tobytes()).decode()):
+                out += np.frombuffer(base64.b64decode(message))
+            return out
+
+        growing = [grow(Held(table.select(names).filter(pc.equal(table["target"], t)), np.array(j), o.bins), o)
+                   for t, j in targets]
+        found = _together(growing, exchange)
+        if context.partitionId() == 0:  # all tasks have the same result
+            for (t, j), result in zip(targets, found):
+                yield from pa.Table.from_pylist(_report(t, np.array(j), result), _ARROW).to_batches()
+
+    mine = rows.filter(F.col("target").isin([t for t, _ in targets])).select("target", "y", "w", "js", "bins", "cell")
+    return mine.repartition(tasks, "cell").drop("cell").mapInArrow(fit, RESULT, barrier=True)
+
+
+def _slices(large: list[tuple[str, list[int], int]], o: Options, tasks: int) -> Iterator[list[tuple[str, list[int]]]]:
+    """Consecutive targets that together stay below ``HELD`` per task and ``SENT``, one at least."""
+    part, held, sent = [], 0, 0
+    for target, terms, n in large:
+        size = 16 * (len(terms) * (2 * o.bins + 1) + 1) * 2 ** max(0, o.max_depth - 2)
+        if part and (held + n > HELD * tasks or sent + size > SENT):
+            yield part
+            part, held, sent = [], 0, 0
+        part, held, sent = [*part, (target, terms)], held + n, sent + size
+    if part:
+        yield part
 
 
 def fit_boosting(design: DataFrame, obs: DataFrame, max_depth: int = 3, eta: float = 0.01,
                  nrounds: int = 1000, reg_lambda: float = 1.0, min_child_weight: float = 1.0,
-                 base_score: float = 0.5, bins: int = 64) -> DataFrame:
+                 base_score: float = 0.5, bins: int = 64, objective: str = "gaussian") -> DataFrame:
     """Importance ``gain, cover, frequency`` per term (shares of the target's
-    total) and training R2, in the common solution layout."""
+    total) and training R2, in the common solution layout.
+
+    ``objective`` is gaussian, poisson or binomial; the response of the last lies in
+    0..1. Of the large targets the driver holds names and terms, not rows.
+    """
     from regweave.operators.models import _superset
-    state = cut_lineage(_initial_state(design, obs, bins, base_score))
-    used = []
-    for _ in range(nrounds):
-        cur = state
-        for _ in range(max_depth):
-            splits = cut_lineage(_best_splits(cur, reg_lambda, min_child_weight))
-            used.append(splits)
-            cur = _descend(cur, splits)
-        leaf = (cur.groupBy("target", "node")
-                .agg(F.sum(F.col("w") * (F.col("y") - F.col("f"))).alias("g"),
-                     F.sum("w").alias("h"))
-                .select("target", "node",
-                        (F.lit(eta) * F.col("g") / (F.col("h") + F.lit(reg_lambda))).alias("step")))
-        old, state = state, cut_lineage(
-            salted_join(cur, leaf, ["target", "node"], ["cell"])
-            .select("target", "cell", "y", "w", "js", "bins",
-                    (F.col("f") + F.col("step")).alias("f"), F.lit(1).alias("node")))
-        discard(old)
-        if len(used) > 60:
-            parts, used = used, [cut_lineage(_sum_importance(used))]
-            for p in parts:
-                discard(p)
-    imp = _sum_importance(used)
-    wt = W.partitionBy("target")
-    shares = imp.select("target", F.col("sj").alias("j"), *[
-        safe_divide(F.col(c), F.sum(c).over(wt)).alias(c)
-        for c in ("gain", "cover", "frequency")])
-    fit = state.groupBy("target").agg(
-        F.sum(F.col("w") * F.pow(F.col("y") - F.col("f"), F.lit(2))).alias("rss"),
-        F.sum(F.col("w") * F.col("y") * F.col("y")).alias("yy"),
-        F.sum(F.col("w") * F.col("y")).alias("sy"), F.sum("w").alias("n"))
-    gof = fit.select("target", F.lit(-1).alias("j"), (1 - safe_divide(
-        F.col("rss"), F.col("yy") - F.col("sy") * F.col("sy") / F.col("n"))).alias("rsq"))
-    both = shares.unionByName(gof, allowMissingColumns=True)
-    return _superset(both, extra=("gain", "cover", "frequency"))
-
-
-def _sum_importance(parts: list[DataFrame]) -> DataFrame:
-    out = None
-    for p in parts:
-        p = p if "frequency" in p.columns else p.withColumn("frequency", F.lit(1.0))
-        p = p.select("target", "sj", "gain", "cover", "frequency")
-        out = p if out is None else out.unionByName(p)
-    return out.groupBy("target", "sj").agg(*[
-        F.sum(c).alias(c) for c in ("gain", "cover", "frequency")])
+    if objective not in ("gaussian", "poisson", "binomial"):
+        raise ValueError("objective must be gaussian, poisson or binomial")
+    o = Options(max_depth, eta, nrounds, reg_lambda, min_child_weight, base_score, bins, objective)
+    rows = cut_lineage(_rows(design, obs, bins))
+    sizes = rows.groupBy("target").agg(F.sum(F.greatest(F.size("js"), F.lit(1))).alias("n")).filter(F.col("n") > HELD)
+    names = [(r.target, r.n) for r in sizes.orderBy("target").collect()]
+    out = _fit_small(rows.filter(~F.col("target").isin([t for t, _ in names])) if names else rows, o)
+    if names:
+        terms = {r.target: sorted(r.js) for r in rows.filter(F.col("target").isin([t for t, _ in names])).select(
+            "target", F.explode("js").alias("j")).groupBy("target").agg(F.collect_set("j").alias("js")).collect()}
+        tasks = max(2, rows.sparkSession.sparkContext.defaultParallelism)
+        for part in _slices([(t, terms.get(t, []), n) for t, n in names], o, tasks):
+            out = out.unionByName(cut_lineage(_fit_slice(rows, part, o, tasks)))
+    return _superset(out, extra=("gain", "cover", "frequency"))

@@ -251,6 +251,8 @@ def fit_models(design: DataFrame, obs: DataFrame, method: str = "glm",
         if method in ("glmnet", "cv.glmnet"):
             return _superset(irls.fit_penalised(design, obs, family,
                                                 cv=method == "cv.glmnet", **options))
+        if method == "xgb":
+            return boosting.fit_boosting(design, obs, objective=family, **options)
         raise ValueError(f"family {family!r} is not available for {method!r}")
     if method == "cv.glmnet":
         return fit_cv_elastic_net(design, obs, **options)
