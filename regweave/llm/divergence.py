@@ -29,6 +29,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from regweave.llm import blocks as B
+from regweave.operators.skew import salted_join
 from regweave.session import cut_lineage
 
 SCALE = 1_000_000_000
@@ -113,14 +114,16 @@ class Shares:
         kept = counts.groupBy("lang", "term").agg(F.sum("c").alias("c"), F.sum("d").alias("d"))
         kept = cut_lineage(kept.filter(F.col("d") >= min_docs).drop("d"))
         langs = kept.groupBy("lang").agg(F.count("*").alias("v"), F.sum("c").alias("n"))
-        blocks = kept.join(langs, "lang").withColumn("_n", F.ceil(F.col("v") / TERM_BLOCK))
+        # salted: else all terms of a language would meet in one task, and stay there to be numbered
+        blocks = salted_join(kept, langs, ["lang"], ["term"]).withColumn("_n", F.ceil(F.col("v") / TERM_BLOCK))
         self.vocabulary = cut_lineage(_numbered(blocks, "term", "lang", "term_block", "term_place", "_n").drop("_n"))
         own = counts.join(self.vocabulary.withColumn("q", _share("c", "n", "v")).drop("c", "n"), ["lang", "term"])
         own = own.select("lang", "source", "term", "c", "q", "term_block", "term_place")
         totals = own.groupBy("lang", "source").agg(F.sum("c").alias("n"))
         groups = _groups(docs, lang_col, source_col).distinct()
         sizes = groups.groupBy("lang").agg(F.ceil(F.count("*") / GROUP_BLOCK).alias("group_blocks"))
-        groups = (groups.join(sizes, "lang").join(langs.select("lang", "v"), "lang", "left")
+        sizes = sizes.join(langs.select("lang", "v"), "lang", "left")
+        groups = (salted_join(groups, sizes, ["lang"], ["source"])
                   .join(totals, ["lang", "source"], "left").fillna(0, ["v", "n"]))
         groups = _numbered(groups, "source", "lang", "group_block", "group_place", "group_blocks")
         self.groups = cut_lineage(groups.withColumn("least", _share(F.lit(0), "n", "v")))
