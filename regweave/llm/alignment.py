@@ -9,10 +9,12 @@ many documents hold a pair of ids linked is counted per task, then by Spark, and
 blocks fetch the counts of their own pairs through buckets of the pair table, so no
 process holds that table.
 
-A text is cut before single spaces between other characters. Neither tokenizer has
-a token across such a cut (A's pattern begins a new piece there; no piece of B has a
-space after another character, which is checked), so the parts are encoded one by
-one and a part that comes again is encoded once.
+A long text is cut before single spaces between other characters. Neither tokenizer
+has a token across such a cut (A's pattern begins a new piece there; no piece of B has
+a space after another character, which is checked), so the parts are encoded one by one.
+Where each merge of A's file makes the next id, joining the pair of least id is the same
+as its list of merges, and a faster encoder of that kind is used for texts of characters
+whose classes are the same in all versions of Unicode in use.
 
 Edge cases: a null or empty text, and a text whose A or B tokens do not spell out a
 space and the text, has no tokens; repeated rows are judged one by one; an empty
@@ -21,6 +23,7 @@ table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -38,8 +41,11 @@ from regweave.session import cut_lineage
 FOLDER = "/opt/tokenizers"
 CUT = re.compile(r"(?<=\S)(?= \S)")
 BLOCK_CHARS = 1 << 20
-#: Parts that a task remembers, and the longest of them in characters.
-PARTS, PART_CHARS = 100_000, 48
+#: Characters of a part of a text, about.
+PART_CHARS = 1 << 16
+#: Latin, punctuation, kana, CJK and Hangul: characters that were classed before the encoders' tables part.
+_SETTLED = re.compile("[\x00-\u024f\u2010-\u2027\u2030-\u205e\u20ac\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]*")
+_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PAIRS = 2_000_000
 ALIGNED = ("doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, "
            "alignment string")
@@ -59,7 +65,6 @@ class Tokenizers:
 
     def __init__(self, byte_level: str, pieces: str):
         self.paths = byte_level, pieces
-        self.known: dict[str, tuple[list[int], list[int]]] = {}
 
     def __reduce__(self):
         return Tokenizers, self.paths
@@ -77,14 +82,35 @@ class Tokenizers:
         import sentencepiece
         return sentencepiece.SentencePieceProcessor(model_file=self.paths[1])
 
+    @cached_property
+    def file(self) -> dict:
+        with open(self.paths[0], encoding="utf-8") as f:
+            return json.load(f)
+
     @cached_property
     def a_bytes(self) -> list[bytes]:
-        alphabet, vocabulary = byte_alphabet(), self.a.get_vocab(with_added_tokens=True)
-        out = [b""] * (max(vocabulary.values()) + 1)
+        alphabet, vocabulary = byte_alphabet(), self.file["model"]["vocab"]
+        special = {t["content"]: t["id"] for t in self.file["added_tokens"]}
+        out = [b""] * (max([*vocabulary.values(), *special.values()]) + 1)
         for entry, i in vocabulary.items():
             out[i] = bytes(alphabet[c] for c in entry) if all(c in alphabet for c in entry) else entry.encode()
+        for entry, i in special.items():
+            out[i] = entry.encode()
         return out
 
+    @cached_property
+    def by_least_id(self):
+        """The faster encoder, or None where A's file is not of the kind that allows it."""
+        vocabulary, split = self.file["model"]["vocab"], self.file["pre_tokenizer"]
+        merged = [m if isinstance(m, str) else " ".join(m) for m in self.file["model"]["merges"]]
+        plain = (split["type"] == "ByteLevel" and split.get("use_regex", True) and not split["add_prefix_space"]
+                 and self.file["normalizer"] is None and not self.file["model"].get("ignore_merges"))
+        if not plain or any(vocabulary.get(m.replace(" ", "", 1)) != 256 + i for i, m in enumerate(merged)):
+            return None
+        import tiktoken
+        return tiktoken.Encoding("a", pat_str=_PIECES, special_tokens={},
+                                 mergeable_ranks={self.a_bytes[i]: i for i in range(256 + len(merged))})
+
     @cached_property
     def b_bytes(self) -> list[bytes]:
         names = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
@@ -97,38 +123,33 @@ class Tokenizers:
         """Bytes of each entry of A and of B."""
         return [np.array([len(x) for x in t], np.uint16) for t in (self.a_bytes, self.b_bytes)]
 
-    def encode(self, parts: list[str]) -> list[tuple[list[int], list[int]]]:
-        """Ids of A and of B of each part; a part begins with the space before it. Empty where they do not spell it."""
-        known = self.known
-        if len(known) > PARTS:
-            known.clear()
-        fresh = list(dict.fromkeys(p for p in parts if p not in known))
-        a = (e.ids for e in self.a.encode_batch_fast(fresh, add_special_tokens=False))
-        b = self.b.encode([p[1:] for p in fresh], num_threads=1)
-        now = {}
-        for p, x, y in zip(fresh, a, b):
-            raw = p.encode()
-            ok = b"".join(map(self.a_bytes.__getitem__, x)) == raw == b"".join(map(self.b_bytes.__getitem__, y))
-            (known if len(p) <= PART_CHARS else now)[p] = (x, y) if ok else ([], [])
-        return [known[p] if p in known else now[p] for p in parts]
-
-    def documents(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of A and of B of each text."""
-        parts, ends = [], []
-        for t in texts:
-            if t:
-                parts += CUT.split(" " + t)
-            ends.append(len(parts))
-        coded, at, a, b = self.encode(parts), 0, [], []
-        for end in ends:
-            own = coded[at:end]
-            whole = all(x for x, _ in own)
-            a.append([i for x, _ in own for i in x] if whole else [])
-            b.append([i for _, y in own for i in y] if whole else [])
-            at = end
+    def encode_a(self, text: str) -> list[int]:
+        if self.by_least_id is not None and _SETTLED.fullmatch(text):
+            return self.by_least_id.encode_ordinary(text)
+        return self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def document(self, text: str | None) -> tuple[list[int], list[int]]:
+        """Ids of A and of B; empty where they do not spell a space and the text."""
+        a, b = [], []
+        for part in parts(" " + text) if text else ():
+            raw, x, y = part.encode(), self.encode_a(part), self.b.encode(part[1:])
+            if not b"".join(map(self.a_bytes.__getitem__, x)) == raw == b"".join(map(self.b_bytes.__getitem__, y)):
+                return [], []
+            a += x
+            b += y
         return a, b
 
 
+def parts(text: str) -> Iterator[str]:
+    """``text`` cut at the first allowed place after every ``PART_CHARS`` characters."""
+    at = 0
+    while at < len(text):
+        cut = CUT.search(text, at + PART_CHARS)
+        end = cut.start() if cut else len(text)
+        yield text[at:end]
+        at = end
+
+
 def token_blocks(docs: DataFrame, both: Tokenizers, id_col: str = "doc_id",
                  text_col: str = "text") -> DataFrame:
     """(block, payload, n_bytes) in the shared folder; a payload has (id, a, b) of whole documents."""
@@ -136,7 +157,7 @@ def token_blocks(docs: DataFrame, both: Tokenizers, id_col: str = "doc_id",
         number = TaskContext.get().partitionId() << 24
         for part in B.text_slices(batches, 1, BLOCK_CHARS):
             texts = part.column(1).to_pylist()
-            a, b = both.documents(texts)
+            a, b = zip(*map(both.document, texts))
             held = pa.RecordBatch.from_arrays(
                 [part.column(0), *(pa.array(x, pa.list_(pa.uint32())) for x in (a, b))], ["id", "a", "b"])
             yield pa.RecordBatch.from_arrays(

@@ -57,17 +57,27 @@ def test_vocabulary_bytes():
 
 
 @pytest.mark.parametrize("seed", range(3))
-def test_parts_are_encoded_as_whole_texts(seed):
+def test_parts_are_encoded_as_whole_texts(seed, monkeypatch):
+    monkeypatch.setattr(alignment, "PART_CHARS", 1)
     r, both = random.Random(seed), Tokenizers(A, B)
-    bits = [" ", " ", "  ", "\n", "\t", "\xa0", "a", "The", "is", "'s", "12", ".", "é", " ", "▁", "日", "\x1c", "\x85", "x y", "́"]
+    bits = [" ", " ", "  ", "\n", "\t", "\xa0", "a", "The", "is", "'s", "12", ".", "é", " ", "▁", "日", "\x1c", "\x85", "x y", "́", "Ω", "१", "aaaaaaa"]
     for text in ["".join(r.choice(bits) for _ in range(r.randint(1, 40))) for _ in range(400)]:
-        (a,), (b,) = both.documents([text])
+        a, b = both.document(text)
         whole = both.a.encode(" " + text, add_special_tokens=False).ids, both.b.encode(text)
         raw = (" " + text).encode()
         same = b"".join(both.a_bytes[i] for i in whole[0]) == raw == b"".join(both.b_bytes[i] for i in whole[1])
         assert (a, b) == (whole if same else ([], [])), repr(text)
 
 
+def test_both_encoders_of_a_agree(documents):
+    both, r = Tokenizers(A, B), random.Random(9)
+    assert both.by_least_id is not None
+    texts = [x.text for x in documents.collect() if x.text]
+    texts += ["".join(r.choice("aaabtheinrs 'dl\n  .,-019éßçÀ—’日の한") for _ in range(r.randint(1, 200))) for _ in range(1500)]
+    for text in texts:
+        assert both.encode_a(text) == both.a.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_coalesce():
     a, b = np.array([[0, 2], [2, 5], [5, 9], [9, 10]]).T, np.array([[0, 3], [3, 5], [5, 6], [6, 9], [9, 10]]).T
     groups = coalesce(*a, *b)
