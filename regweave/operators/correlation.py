@@ -8,14 +8,21 @@ Moments come from per-feature sums; zeros are never materialised.
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from regweave.functions.columns import all_salts, safe_divide, salt_of
-from regweave.operators.gram import gram_sums
 from regweave.operators.skew import running_counts, salted_join
 from regweave.session import cut_lineage
 
+#: Features of a block and stored values of a slice, about.
+FEATURE_BLOCK = 1024
+SLICE_VALUES = 200_000
+
 
 def _weighted(values: DataFrame, obs: DataFrame | None) -> DataFrame:
     """``(cell, feature, value, w)``; the weight is how many cells a row stands for."""
@@ -84,14 +91,53 @@ def all_pairs(features: DataFrame, salt: int = 32) -> DataFrame:
 def cross_products_within(x: DataFrame, obs: DataFrame | None = None) -> DataFrame:
     """``(x, y, sxy)`` for all co-occurring pairs within one assay, ``x <= y``.
 
-    Each task multiplies blocks of cells and sends on one partial sum per pair,
-    so pairs are never emitted per cell.
+    Features are dealt to blocks and cells to salts, both by the measured size. The
+    stored values of a (feature block, salt) are one packed slice; a task multiplies
+    the two slices of a (block, block, salt) and sends on one partial sum per pair,
+    so pairs are never emitted per cell and no array is wider than a block.
     """
-    v = _weighted(x, obs).select(F.lit("all").alias("target"), "cell",
-                                 F.col("feature").alias("j"), F.col("value").alias("v"), "w")
-    return (gram_sums(v, intercept=False)
-            .select(F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"),
-                    F.col("s").alias("sxy")))
+    v = _weighted(x, obs)
+    n, features = v.agg(F.count(F.lit(1)), F.approx_count_distinct("feature")).first()
+    blocks = max(1, math.ceil(features / FEATURE_BLOCK))
+    salts = max(1, math.ceil(n / (blocks * SLICE_VALUES)))
+    slices = (v.groupBy(salt_of("cell", buckets=salts).alias("salt"), salt_of("feature", buckets=blocks).alias("block"))
+              .agg(F.collect_list(F.struct("cell", "feature", "value", "w")).alias("entries")))
+    cells = slices.withColumn("other", all_salts(blocks)).select(
+        "salt", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block", "entries")
+    ftype = x.schema["feature"].dataType.simpleString()
+    partial = cells.groupBy("salt", "a", "b").applyInArrow(_multiply, f"x {ftype}, y {ftype}, sxy double")
+    return (partial.groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+            .agg(F.sum("sxy").alias("sxy")))
+
+
+def _multiply(table: pa.Table) -> pa.Table:
+    """Weighted products of two slices, or of one with itself; none where a block pair has one slice only."""
+    out = {"x": [], "y": [], "sxy": []}
+    alone = table["a"][0].as_py() == table["b"][0].as_py()
+    if alone or len(table) == 2:
+        lists = table["entries"].combine_chunks()
+        slices = [lists[i].values for i in range(len(table))]
+        columns = [[s.field(c).to_numpy(zero_copy_only=False) for c in ("cell", "feature", "value", "w")] for s in slices]
+        cells, at = np.unique(np.concatenate([c[0] for c in columns]), return_inverse=True)
+        rows = np.split(at, np.cumsum([len(c[0]) for c in columns])[:-1])
+        named = [np.unique(c[1], return_inverse=True) for c in columns]
+        weight = np.ones(len(cells))
+        for r, c in zip(rows, columns):
+            weight[r] = c[3]
+        total = np.zeros((len(named[0][0]), len(named[-1][0])))
+        step = max(1, 4_000_000 // max(total.shape))
+        for lo in range(0, len(cells), step):
+            parts = []
+            for r, c, (names, place) in zip(rows, columns, named):
+                own = np.flatnonzero((r >= lo) & (r < lo + step))
+                part = np.zeros((min(step, len(cells) - lo), len(names)))
+                np.add.at(part, (r[own] - lo, place[own]), c[2][own])
+                parts.append(part)
+            total += parts[0].T @ (parts[-1] * weight[lo:lo + step, None])
+        i, j = np.nonzero(np.triu(total) if alone else total)
+        out = {"x": named[0][0][i], "y": named[-1][0][j], "sxy": total[i, j]}
+    kind = table.schema.field("entries").type.value_type.field("feature").type
+    return pa.table({"x": pa.array(out["x"], kind), "y": pa.array(out["y"], kind), "sxy": pa.array(out["sxy"], pa.float64())})
 
 
 def clean_correlation(c: Column, allow_neg: bool = True) -> Column:
