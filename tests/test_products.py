@@ -24,7 +24,7 @@ def test_against_dense(spark, assay, monkeypatch, block, values, weighted):
     m, x = assay
     w = np.arange(60) % 3 + 1.0 if weighted else np.ones(60)
     obs = spark.createDataFrame([(f"c{i}", float(w[i])) for i in range(60)], "cell string, weight double") if weighted else None
-    got = {(r.x, r.y): r.sxy for r in C.cross_products_within(x, obs).collect()}
+    got = {(r.x, r.y): r.sxy for r in C.cross_products_within(x, obs).collect() if r.sxy}  # partial sums may cancel
     full = m.T @ (m * w[:, None])
     expected = {tuple(sorted((f"f{i}", f"f{j}"))): full[i, j] for i in range(23) for j in range(i, 23) if full[i, j]}
     assert all(a <= b for a, b in got) and set(got) == set(expected)
