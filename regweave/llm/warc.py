@@ -176,33 +176,43 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, roll_byt
 
 
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
-    """Every record of the archives that the manifest lists."""
+    """Every record of the archives that the manifest lists.
+
+    A listed file that is absent, or whose digest or number of records is another than
+    listed, raises an error.
+    """
     listed = spark.read.schema(MANIFEST).parquet(f"{folder}/_manifest")
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.warc.gz").load(folder)
     named = files.select(F.element_at(F.split("path", "/"), -1).alias("path"), "content")
 
     def run(batches):
         for b in batches:
-            for sha, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                sound = hashlib.sha256(content).hexdigest() == sha
+            for path, sha, listed_records, content in zip(*(c.to_pylist() for c in b.columns)):
+                if hashlib.sha256(content).hexdigest() != sha:
+                    raise ValueError(f"{path}: not the bytes that were written")
                 rows = []
                 for fields, block in records(content):
                     is_revisit = fields["WARC-Type"] == "revisit"
                     payload = None if is_revisit else block.partition(b"\r\n\r\n")[2]
                     digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
-                    intact = sound and base32_sha1(block) == fields["WARC-Block-Digest"].removeprefix("sha1:") and (
+                    intact = base32_sha1(block) == fields["WARC-Block-Digest"].removeprefix("sha1:") and (
                         is_revisit or base32_sha1(payload) == digest)
                     page = fields["X-Page-ID"]
                     rows.append((int(page) if page else None, int(fields["X-Payload-Length"]), digest,
                                  fields["WARC-Type"], int(fields["X-Refers-To-Page"]) if is_revisit else None,
                                  fields["WARC-Target-URI"], payload, intact))
+                if len(rows) != listed_records:
+                    raise ValueError(f"{path}: {len(rows)} records instead of {listed_records}")
                 columns = list(zip(*rows))
                 types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary(), pa.bool_()]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(columns, types)],
                     ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "payload", "intact"])
 
-    return listed.join(named, "path").select("sha256", "content").mapInArrow(run, RECORDS)
+    absent = listed.join(named.select("path"), "path", "left_anti").limit(5).collect()  # names only, no contents
+    if absent:
+        raise ValueError(f"absent archives: {[r.path for r in absent]}")
+    return listed.join(named, "path").select("path", "sha256", "records", "content").mapInArrow(run, RECORDS)
 
 
 def new_folder(spark: SparkSession) -> str:
