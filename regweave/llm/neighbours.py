@@ -207,7 +207,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(n, -1)
 
 
-def _shard_search(k: int, longest: float, width: int):
+def _shard_search(k: int, width: int):
     """For one shard: the graph over its candidates, and the best k for each block of queries."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         graph, shard, rows = None, None, []
@@ -221,7 +221,7 @@ def _shard_search(k: int, longest: float, width: int):
                     rows.append(part)
                     continue
                 if graph is None and rows:
-                    graph = _Shard(rows, longest)
+                    graph = _Shard(rows)
                 if graph is not None:
                     for at in range(0, len(part), QUERY_ROWS):
                         yield graph.answer(part.slice(at, QUERY_ROWS), k, width)
@@ -237,20 +237,34 @@ def _runs(*columns) -> list[tuple[int, int]]:
 
 
 class _Shard:
-    def __init__(self, parts: list[pa.RecordBatch], longest: float):
+    def __init__(self, parts: list[pa.RecordBatch]):
         ids = np.concatenate([p.column(2).to_numpy() for p in parts])
         v = np.concatenate([_matrix(p.column(3)) for p in parts])
         self.v, group = np.unique(v, axis=0, return_inverse=True)
         order = np.lexsort([ids, group.ravel()])
         self.ids, self.group = ids[order], group.ravel()[order]
         self.first = np.searchsorted(self.group, np.arange(len(self.v) + 1))
-        # one more component makes all vectors equally long
-        rest = np.sqrt(np.maximum(0, longest - (self.v ** 2).sum(axis=1)))
-        self.graph = Graph(np.concatenate([self.v, rest[:, None]], axis=1))
+        # one more component makes all vectors of a graph equally long; it would hide the others beside a much
+        # longer vector, so vectors of about one length (a factor of four) have a graph of their own
+        square = (self.v ** 2).sum(axis=1)
+        band = np.floor(np.log2(np.maximum(square, np.finfo(float).tiny)) / 4 + 0.5)
+        self.graphs = []
+        for b in np.unique(band):
+            members = np.flatnonzero(band == b)
+            rest = np.sqrt(np.maximum(0, square[members].max() - square[members]))
+            x = np.concatenate([self.v[members], rest[:, None]], axis=1)
+            # inner products of one graph keep their order when all its vectors are divided by one number
+            self.graphs.append((members, Graph(x / (np.sqrt(square[members].max()) or 1.0))))
 
     def answer(self, part: pa.RecordBatch, k: int, width: int) -> pa.RecordBatch:
         own, q = part.column(2).to_numpy(), _matrix(part.column(3))
-        found = self.graph.search(np.concatenate([q, np.zeros((len(q), 1))], axis=1), width)
+        unit = q / np.maximum(np.sqrt((q ** 2).sum(axis=1, keepdims=True)), np.finfo(float).tiny)
+        asked = np.concatenate([unit, np.zeros((len(q), 1))], axis=1)
+        found = []
+        for members, graph in self.graphs:
+            near = graph.search(asked, width)
+            found.append(np.where(near >= 0, members[np.maximum(near, 0)], -1))
+        found = np.concatenate(found, axis=1)
         query, vec, score = [], [], []
         for i, vertices in enumerate(found):
             vertices = vertices[vertices >= 0]
@@ -281,8 +295,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, width: int = WIDTH
     """(query_id, rank, vec_id, score): the ``k`` nearest found for each query, its own id left out."""
     candidates = cut_lineage(usable_vectors(rows, id_col, vector_col))
     asked = usable_vectors(queries, id_col, vector_col)
-    n, longest, dims = candidates.agg(
-        F.count("*"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)), F.count_distinct(F.size("v"))).first()
+    n, dims = candidates.agg(F.count("*"), F.count_distinct(F.size("v"))).first()
     if dims > 1:
         raise ValueError("vectors differ in length")
     shards = max(1, math.ceil(n / SHARD_ROWS))
@@ -291,6 +304,6 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, width: int = WIDTH
     every = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"),
                          F.lit(True).alias("is_query"), "id", "v")
     found = (dealt.unionByName(every).repartition(4 * shards, "shard").sortWithinPartitions("shard", "is_query", "id")
-             .mapInArrow(_shard_search(k, longest or 0.0, width), FOUND))
+             .mapInArrow(_shard_search(k, width), FOUND))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

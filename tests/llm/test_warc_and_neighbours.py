@@ -51,6 +51,23 @@ def test_round_trip(spark, least, roll):
     assert sorted((r.path, r.sha256) for r in again) == sorted((r.path, r.sha256) for r in manifest)
 
 
+def test_lost_or_changed_archives_are_told(spark):
+    import os
+    folder = new_folder(spark)
+    manifest = write_archives(pages(spark, ROWS), folder, 0, 600).collect()
+    path = os.path.join(folder.removeprefix("file://").removeprefix("file:"), manifest[0].path)
+    data = open(path, "rb").read()
+    with open(path, "wb") as f:
+        f.write(data[:-9] + bytes([data[-9] ^ 1]) + data[-8:])
+    os.remove(os.path.join(os.path.dirname(path), f".{manifest[0].path}.crc")) if os.path.exists(
+        os.path.join(os.path.dirname(path), f".{manifest[0].path}.crc")) else None
+    with pytest.raises(Exception, match="not the bytes"):
+        read_archives(spark, folder).collect()
+    os.remove(path)
+    with pytest.raises(ValueError, match="absent archives"):
+        read_archives(spark, folder)
+
+
 def test_no_pages(spark):
     folder = new_folder(spark)
     assert write_archives(pages(spark, []), folder).count() == 0 and read_archives(spark, folder).count() == 0
@@ -94,6 +111,24 @@ def test_recall(spark, monkeypatch, normed, shard):
     assert np.mean(found) >= 0.9
 
 
+@pytest.mark.parametrize("times", [1_000, 10_000, 1e12])
+def test_recall_beside_a_long_vector(spark, times):
+    r = np.random.default_rng(6)
+    x = r.normal(size=(1200, 24)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[17] *= times
+    d, df = x.astype(np.float64), vectors(spark, [(i, v.tolist(), 0) for i, v in enumerate(x)])
+    got = collections.defaultdict(set)
+    for g in nearest(df, df.filter("vec_id % 20 = 0"), 20).collect():
+        got[g.query_id].add(g.vec_id)
+    found = []
+    for q in range(0, 1200, 20):
+        s = d @ d[q]
+        s[q] = -np.inf
+        found.append(len(got[q] & set(np.lexsort([np.arange(1200), -s])[:20].tolist())) / 20)
+    assert np.mean(found) >= 0.9
+
+
 def test_odd_vectors(spark):
     rows = [(0, [1.0, 0.0], 1), (20, [1.0, 0.0], 1), (1, None, 1), (2, [0.0, 0.0], 1), (3, [None, 1.0], 1),
             (4, [float("nan"), 1.0], 1), (5, [float("inf"), 1.0], 1), (6, [0.5, 0.5], 1), (40, None, 1)]
