@@ -121,7 +121,10 @@ def _fit(pdf: pd.DataFrame) -> pd.DataFrame:
 def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, share: float = 1.5, most: float = 2.0,
                 seed: int = 7, id_col: str = "doc_id", text_col: str = "text",
                 source_col: str = "source") -> DataFrame:
-    """``docs`` with size, source_size, target and times (how often the mix takes the document)."""
+    """``docs`` with size, source_size, target and times (how often the mix takes the document).
+
+    Columns of ``docs`` that have one of these four names are replaced.
+    """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     order = F.xxhash64(F.lit(seed), F.col(id_col), text)
     clash = [c for c in ("size", "source_size", "target", "times") if c in docs.columns]
@@ -148,10 +151,10 @@ def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, share: float = 1.5, m
     offsets = (offsets.join(fitted, F.col("__source").eqNullSafe(F.col("source")) & (offsets["size"] == fitted["size"]))
                .join(plan.withColumnRenamed("source", "__plan"), F.col("__source").eqNullSafe(F.col("__plan")))
                .select(F.col("__source").alias("__s"), offsets["size"].alias("__z"), F.col("__part").alias("__p"),
-                       "__offset", "more", "passes", "source_size", "target"))
+                       "__offset", F.col("more").alias("__more"), F.col("passes").alias("__passes"), "source_size", "target"))
     # parts wholly taken or wholly left need no numbering, but numbering them is cheap
     joined = keyed.join(offsets, F.col("__source").eqNullSafe(F.col("__s")) & (F.col("size") == F.col("__z"))
                         & (F.col("__part") == F.col("__p")))
     rank = F.row_number().over(Window.partitionBy("__s", "__z", "__p").orderBy("__order", F.col(id_col)))
-    return (joined.withColumn("times", F.col("passes") + (rank + F.col("__offset") <= F.col("more")).cast("long"))
-            .drop("__s", "__z", "__p", "__offset", "__order", "__part", "__source", "more", "passes"))
+    return (joined.withColumn("times", F.col("__passes") + (rank + F.col("__offset") <= F.col("__more")).cast("long"))
+            .drop("__s", "__z", "__p", "__offset", "__order", "__part", "__source", "__more", "__passes"))

@@ -404,9 +404,10 @@ def without_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
     even if nothing is left of their text.
     """
     others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
-    out = remove_repeats(docs, length, carry=others)
+    private = tuple(f"_carried_{i}" for i in range(len(others)))  # apart from the names of the result
+    out = remove_repeats(docs.withColumnsRenamed(dict(zip(others, private))), length, carry=private)
     text = whole_characters(F.col("kept"))
-    return out.select("doc_id", text.alias("text"), *others).withColumn(
+    return out.select("doc_id", text.alias("text"), *(F.col(p).alias(c) for p, c in zip(private, others))).withColumn(
         "n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 

@@ -104,3 +104,15 @@ def test_cut_characters(spark):
     got = without_repeats(docs, 400)
     assert got.columns == docs.columns
     assert sorted((r.text, r.n_chars) for r in got.collect()) == [("a", 1), ("b", 1)]
+
+
+def test_columns_named_like_the_result(spark):
+    from regweave.llm.mixing import mix_sources
+    names = "kept spans n_bytes n_removed id block more passes size target times source_size n __s".split()
+    docs = spark.createDataFrame([(i, "word " * 90 + str(i), "en", "s", 1, *range(len(names))) for i in range(3)],
+                                 "doc_id long, text string, lang string, source string, n_chars long, "
+                                 + ", ".join(f"{n} long" for n in names))
+    got = without_repeats(docs, 200).collect()
+    assert len(got) == 3 and all(tuple(r[n] for n in names) == tuple(range(len(names))) for r in got)
+    mixed = mix_sources(docs.drop("__s")).collect()
+    assert len(mixed) == 3 and all(r["more"] == 6 and r["passes"] == 7 and r["size"] == 91 for r in mixed)
