@@ -375,6 +375,26 @@ def wilcoxon(v):
     return d.select("target", r6("v").alias("v"), "n", r6("z").alias("z"))
 
 
+@query("wilcoxon_exact", with_views("coefs", """+with
+d as (select 0 n, 0 s, 1::hugeint c union all
+  select n+1 n, s, sum(c)::hugeint c from (select n, unnest([s, s+n+1]) s, c from d where n < 49) group by 1, 2),
+t as (select n, s, sum(c) over (partition by n order by s)/(2.0::double^n) p from d),
+m as (select target, max(estimate) x from coefs where estimate <> 0 group by target, abs(estimate)),
+a as (select target, x, rank() over (partition by target order by abs(x)) r from m),
+s as (select target, cast(sum(case when x > 0 then r else 0 end) as int) v, cast(count(*) as int) n from a
+  group by 1 having count(*) < 50)
+select target, cast(v as double) v, cast(s.n as double) n, round(least(1, 2*case when 4*v > s.n*(s.n+1)
+  then 1-coalesce(lo.p, 0) else hi.p end), 6)+0.0 pval
+from s join t hi on hi.n=s.n and hi.s=v left join t lo on lo.n=s.n and lo.s=v-1"""))
+def wilcoxon_exact(v):
+    coefs = v.coefs()
+    m = coefs.filter("estimate <> 0").groupBy("target", F.abs("estimate")).agg(F.max("estimate").alias("estimate"))
+    few = m.groupBy("target").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") < X.EXACT_BELOW)
+    plain = m.join(few, "target", "left_semi")
+    d = X.wilcoxon_test(plain, ["target"], "estimate")
+    return d.select("target", r6("v").alias("v"), "n", r6("pval").alias("pval"))
+
+
 @query("bag_t_test", with_views("coefs", """
 select target, count(*) n, round(sum(estimate), 6)+0.0 total,
   round(avg(estimate)*sqrt(count(*))/nullif(stddev_samp(estimate), 0), 4)+0.0 statistic

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -12,6 +13,9 @@ from regweave.functions.columns import pseudo_log10, safe_divide
 from regweave.operators.skew import running_counts
 
 
+#: Draws from which the signed-rank test uses the normal distribution.
+EXACT_BELOW = 50
+
 def normal_p(z):
     """Two-sided normal p-value of a column."""
     @F.pandas_udf("double")
@@ -47,6 +51,10 @@ def wilcoxon_statistic(df: DataFrame, keys: list[str], x: str) -> DataFrame:
     Zeros are dropped, ties share their average rank, and the variance carries
     the tie correction; ``z`` uses a continuity correction of one half.
     """
+    return _signed_ranks(df, keys, x).drop("ties")
+
+
+def _signed_ranks(df: DataFrame, keys: list[str], x: str) -> DataFrame:
     v = F.col(x)
     counts = (df.filter(v.isNotNull() & (v != 0))
               .groupBy(*keys, F.abs(v).alias("value"))
@@ -60,11 +68,47 @@ def wilcoxon_statistic(df: DataFrame, keys: list[str], x: str) -> DataFrame:
     d = d.withColumn("diff", F.col("v") - n * (n + 1) / 4)
     sigma = F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48)
     z = safe_divide(F.col("diff") - F.signum("diff") * 0.5, sigma)
-    return d.select(*keys, "v", "n", z.alias("z"))
+    return d.select(*keys, "v", "n", z.alias("z"), "ties")
+
+
+def rank_sum_tails(n: int) -> np.ndarray:
+    """``P(V <= v)`` of the signed-rank sum of ``n`` draws, ``v`` from 0 to n (n + 1) / 2.
+
+    The distribution by dynamic programming: rank k is either in the sum or not.
+    """
+    counts = np.zeros(n * (n + 1) // 2 + 1)
+    counts[0] = 1.0
+    for k in range(1, n + 1):
+        counts[k:] += counts[:-k].copy()
+    return np.cumsum(counts) / 2.0 ** n
+
+
+def signed_rank_p(v: Column, n: Column) -> Column:
+    """Exact two-sided p-value of a signed-rank sum without ties, for fewer than ``EXACT_BELOW`` draws."""
+    @F.pandas_udf("double")
+    def fn(v: pd.Series, n: pd.Series) -> pd.Series:
+        out = pd.Series(np.nan, index=v.index)
+        for k, rows in v.groupby(n):
+            below, x, k = rank_sum_tails(int(k)), np.rint(rows.to_numpy()).astype(int), int(k)
+            low, high = below[x], 1.0 - np.where(x > 0, below[x - 1], 0.0)
+            out[rows.index] = np.minimum(1.0, 2.0 * np.where(4 * x > k * (k + 1), high, low))
+        return out
+    return fn(v.cast("double"), n.cast("int"))
 
 
 def wilcoxon_test(df: DataFrame, keys: list[str], x: str) -> DataFrame:
-    return wilcoxon_statistic(df, keys, x).withColumn("pval", normal_p(F.col("z")))
+    """Signed-rank test against zero per key: ``v, n, z, pval``.
+
+    Below ``EXACT_BELOW`` draws without zeros and ties ``pval`` is exact, else it is
+    that of ``z``.
+    """
+    v = F.col(x)
+    zeros = df.filter(v == 0).groupBy(*keys).agg(F.count(F.lit(1)).alias("_zeros"))
+    d = _signed_ranks(df, keys, x).join(zeros, keys, "left")
+    exact = F.col("_zeros").isNull() & (F.col("ties") == 0) & (F.col("n") < EXACT_BELOW)
+    safe = [F.when(exact, F.col(c)).otherwise(F.lit(1.0)) for c in ("v", "n")]
+    return d.select(*keys, "v", "n", "z", F.when(exact, signed_rank_p(*safe)).otherwise(
+        normal_p(F.col("z"))).alias("pval"))
 
 
 def error_metrics(df: DataFrame, truth: str = "y_true", pred: str = "y_pred",

@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -262,3 +264,20 @@ def test_missing_chunks_are_unknown_bases(spark):
     genome = spark.createDataFrame([("c", 0, "AAAA"), ("c", 8, "CCCC")], "chrom string, offset long, seq string")
     region = spark.createDataFrame([("r", "c", 1, 12)], "region_id string, chrom string, start long, end long")
     assert motifs.region_sequences(region, genome, 4).first()["seq"] == "AAAANNNNCCCC"
+
+
+def test_exact_signed_rank(spark):
+    from itertools import product
+
+    from regweave.operators import metrics
+    for n in (1, 4, 9):
+        sums = sorted(sum(k + 1 for k in range(n) if s[k]) for s in product((0, 1), repeat=n))
+        expected = [sum(x <= v for x in sums) / 2 ** n for v in range(n * (n + 1) // 2 + 1)]
+        assert metrics.rank_sum_tails(n) == pytest.approx(expected)
+    rows = [("a", x) for x in (1.0, 2.0, 3.0, -4.0, 5.0, 6.0)] + [("ties", x) for x in (1.0, 1.0, -2.0)]
+    rows += [("zero", x) for x in (0.0, 1.0, -2.0)] + [("long", float(x + 1)) for x in range(60)]
+    got = {r.k: r for r in metrics.wilcoxon_test(spark.createDataFrame(rows, "k string, x double"), ["k"], "x").collect()}
+    sums = [sum(k + 1 for k in range(6) if s[k]) for s in product((0, 1), repeat=6)]
+    assert got["a"].v == 17 and got["a"].pval == pytest.approx(2 * sum(x >= 17 for x in sums) / 64)
+    for k in ("ties", "zero", "long"):
+        assert got[k].pval == pytest.approx(math.erfc(abs(got[k].z) / math.sqrt(2)))
