@@ -3,14 +3,15 @@
 import collections
 import hashlib
 import re
+import zlib
 
 import numpy as np
 import pytest
 
-from regweave.llm import decontaminate
+from regweave.llm import decontaminate, language
 from regweave.llm.chat import format_conversations, loss_text
 from regweave.llm.decontaminate import benchmark_hits, without_hits
-from regweave.llm.language import UNKNOWN, identify_languages
+from regweave.llm.language import UNKNOWN, calibrate, identify_languages
 from regweave.llm.mixing import fill, mix_sources, targets
 from regweave.llm.quality import ABSTAIN, BAD, GOOD, TOXIC_TERMS, classify, estimate, filter_quality, signals, votes
 from pyspark.sql import functions as F
@@ -145,6 +146,76 @@ def test_languages(spark, odd_documents, no_documents):
     assert identify_languages(no_documents).count() == 0
 
 
+def kneser_ney(weighted, order):
+    """Probability function of one language by plain dictionaries; ``weighted`` are (word, count)."""
+    count, before = collections.Counter(), collections.defaultdict(set)
+    for w, k in weighted:
+        w = f" {w} "
+        for i in range(1, len(w)):
+            for n in range(1, min(order, i + 1) + 1):
+                count[w[i - n + 1:i + 1]] += k
+                if n > 1:
+                    before[w[i - n + 2:i + 1]].add(w[i - n + 1])
+    c = {g: k if len(g) == order else len(before[g]) or k for g, k in count.items()}
+    total, kinds, by_size = collections.Counter(), collections.Counter(), collections.defaultdict(collections.Counter)
+    for g, k in c.items():
+        key = (len(g), g[:-1])
+        total[key] += k
+        kinds[key] += 1
+        by_size[len(g)][k] += 1
+    d = {n: x[1] / (x[1] + 2 * x[2]) if x[1] and x[2] else 0.5 for n, x in by_size.items()}
+
+    def p(g, letters):
+        n, context = len(g), g[:-1]
+        if n == 0:
+            return 1 / (letters + 1)
+        if n == 1 and g not in c:
+            return 1e-7
+        if (n, context) not in total:
+            return p(g[1:], letters)
+        t = total[n, context]
+        return max(c.get(g, 0) - d[n], 0) / t + d[n] * kinds[n, context] / t * p(g[1:], letters)
+    return p, {g for g in c if len(g) == 1}
+
+
+def test_kneser_ney(spark, monkeypatch):
+    """Entropies equal those of a plain dictionary model, in one block or in many."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60).cache()
+    rows = [(r.doc_id, r.text or "", r.lang) for r in docs.collect()]
+    words = {i: re.findall(r"[^\W\d_]+", t.lower()) for i, t, _ in rows}
+    expected = {}
+    for order in (1, 3):
+        models, letters = {}, set()
+        for lang in {x for _, _, x in rows if x}:
+            known = collections.Counter(w for i, _, x in rows if x == lang and zlib.crc32(str(i).encode()) % 5 for w in words[i])
+            models[lang], own = kneser_ney(known.items(), order)
+            letters |= own
+        for i, own in words.items():
+            if own:
+                n = sum(len(w) + 1 for w in own)
+                expected[order, i] = min(-sum(
+                    np.log(p(f" {w} "[max(0, k - order + 1):k + 1], len(letters)))
+                    for w in own for k in range(1, len(w) + 2)) / n for p in models.values())
+    for order, size in ((1, 8 << 20), (3, 8 << 20), (3, 2000)):
+        monkeypatch.setattr(language, "BLOCK_BYTES", size)
+        got = {r.doc_id: r.entropy for r in identify_languages(docs, order, sample=0).collect()}
+        assert {i: e for i, e in got.items() if e is not None} == pytest.approx(
+            {i: e for (o, i), e in expected.items() if o == order}, abs=1e-5)
+
+
+def test_calibration():
+    """Scores stay below one without errors, and fall with the share of errors."""
+    r = np.random.default_rng(1)
+    lang = r.integers(0, 3, 500)
+    entropy = np.full((500, 3), 3.0)
+    entropy[np.arange(500), lang] = 2.0
+    sharp, limit = calibrate(entropy, lang)
+    assert 0.9 < limit < 1
+    wrong = np.where(np.arange(500) % 5 == 0, (lang + 1) % 3, lang)
+    assert calibrate(entropy, wrong)[0] > sharp
+    assert calibrate(np.zeros((0, 3)), np.zeros(0, np.int64)) == (1.0, 0.0)
+
+
 def test_estimate():
     patterns = {"0" * 8 + "0": 900, "2" + "0" * 7 + "0": 5, "1" + "0" * 7 + "1": 40, "1" + "0" * 7 + "0": 60,
                 "0" * 7 + "2" + "2": 300, "0" * 7 + "2" + "0": 500}
