@@ -208,8 +208,11 @@ def send(blocks: DataFrame, answers: list[DataFrame],
 
 
 def relay(sent: DataFrame, level: int,
-          fn: Callable[[list[int], list[bytes]], Iterable[tuple[int, bytes]]]) -> DataFrame:
-    """What each bucket says to blocks: ``fn(blocks, messages)`` gives (block, data)."""
+          fn: Callable[[list[int], list[bytes]], Iterable[tuple[int, bytes]]], written: bool = True) -> DataFrame:
+    """What each bucket says to blocks: ``fn(blocks, messages)`` gives (block, data).
+
+    Answers that are read once need not be ``written``.
+    """
     def run(batches):
         def rows():
             for bucket, got in grouped(batches):
@@ -219,8 +222,8 @@ def relay(sent: DataFrame, level: int,
         release()
 
     n = int(sent.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return cut_lineage(sent.repartition(n, "bucket").sortWithinPartitions("bucket", "block")
-                       .mapInArrow(run, ANSWERS))
+    out = sent.repartition(n, "bucket").sortWithinPartitions("bucket", "block").mapInArrow(run, ANSWERS)
+    return cut_lineage(out) if written else out
 
 
 def resolve(sent: DataFrame, level: int,

@@ -46,7 +46,7 @@ from regweave.session import cut_lineage, discard
 
 ORDER = 5
 CALIBRATION = 20_000
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 16 << 20
 #: Characters of words that are scored at once.
 PART = 1 << 18
 #: Log probability of a character that a language never has.
@@ -68,29 +68,49 @@ def _words(text: str) -> list[str]:
 
 def _write_blocks(docs: DataFrame) -> DataFrame:
     """(block, payload, n_bytes) of (id, text, held, lab, part)."""
+    types = {"id": pa.int64(), "held": pa.bool_(), "lab": pa.int32(), "part": pa.int32()}
+
     def build(batches):
         number = TaskContext.get().partitionId() << 24
-        for b in B.text_slices(batches, 1, BLOCK_BYTES):
-            texts = [_words(t or "") for t in b.column(1).to_pylist()]
-            place: dict[str, int] = {}
-            codes = np.fromiter((place.setdefault(w, len(place)) for w in chain.from_iterable(texts)), np.int32)
-            counts = np.fromiter(map(len, texts), np.int32, len(texts))
-            whole = pa.RecordBatch.from_arrays(
-                [pa.array([c.to_pylist()], t) for c, t in zip(
-                    (b.column(0), b.column(2), b.column(3), b.column(4)),
-                    map(pa.list_, (pa.int64(), pa.bool_(), pa.int32(), pa.int32())))]
-                + [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (
-                    pa.array(counts), pa.array(list(place), pa.string()), pa.array(codes))],
-                ["id", "held", "lab", "part", "count", "word", "code"])
-            yield pa.RecordBatch.from_arrays(
+        columns: list[list] = [[] for _ in types]
+        place: dict[str, int] = {}
+        counts, codes, size = [], [], 0
+
+        def flush():
+            code = np.concatenate(codes)
+            one = [pa.array([x], pa.list_(t)) for x, t in zip(columns, types.values())]
+            one += [pa.array([np.concatenate(counts)], pa.list_(pa.int32())),
+                    pa.array([list(place)], pa.list_(pa.string())),
+                    # byte by byte, which compresses better
+                    pa.array([code.view(np.uint8).reshape(-1, 4).T.tobytes()], pa.binary())]
+            whole = pa.RecordBatch.from_arrays(one, [*types, "count", "word", "code"])
+            return pa.RecordBatch.from_arrays(
                 [pa.array([number], pa.int64()), pa.array([B.packed(whole)], pa.binary()),
-                 pa.array([b.column(1).nbytes], pa.int64())], ["block", "payload", "n_bytes"])
-            number += 1
+                 pa.array([size], pa.int64())], ["block", "payload", "n_bytes"])
+
+        for b in B.text_slices(batches, 1):
+            texts = [_words(t or "") for t in b.column(1).to_pylist()]
+            codes.append(np.fromiter((place.setdefault(w, len(place)) for w in chain.from_iterable(texts)), "<i4"))
+            counts.append(np.fromiter(map(len, texts), np.int32, len(texts)))
+            for held, c in zip(columns, (0, 2, 3, 4)):
+                held.extend(b.column(c).to_pylist())
+            size += b.column(1).nbytes
+            if size >= BLOCK_BYTES:
+                yield flush()
+                columns, place, counts, codes, size = [[] for _ in types], {}, [], [], 0
+                number += 1
+        if counts:
+            yield flush()
         B.release()
 
     return cut_lineage(docs.mapInArrow(build, "block long, payload binary, n_bytes long"))
 
 
+def _own_codes(docs: pa.Table) -> np.ndarray:
+    data = docs["code"][0].as_py()
+    return np.frombuffer(data, np.uint8).reshape(4, -1).T.copy().view("<i4").ravel()
+
+
 def _own(docs: pa.Table, column: str):
     return docs[column].combine_chunks().values
 
@@ -98,7 +118,7 @@ def _own(docs: pa.Table, column: str):
 def _count_words(_: int, docs: pa.Table, got: B.Answers) -> Iterator[pa.RecordBatch]:
     """Words per language of the training documents of a block."""
     words = _own(docs, "word")
-    count, code = _own(docs, "count").to_numpy(), _own(docs, "code").to_numpy()
+    count, code = _own(docs, "count").to_numpy(), _own_codes(docs)
     lab, part = (_own(docs, c).to_numpy() for c in ("lab", "part"))
     used = np.repeat(part == _TRAIN, count)
     key, n = np.unique(np.repeat(lab, count)[used].astype(np.int64) * max(1, len(words)) + code[used],
@@ -318,7 +338,7 @@ def _scorer(languages: int, order: int, buckets: int):
         words = _own(docs, "word").to_pylist()
         model = Model.of(_wanted(words, order), got.get(0, {}), languages, buckets, order)
         table = np.concatenate([np.zeros((0, languages))] + [model.scores(part) for part in _parts(words)])
-        count, code = _own(docs, "count").to_numpy(), _own(docs, "code").to_numpy()
+        count, code = _own(docs, "count").to_numpy(), _own_codes(docs)
         some = np.flatnonzero(count)
         begins = (np.cumsum(count, dtype=np.int64) - count)[some]
         chars, entropy = np.zeros(len(count), np.int64), np.zeros((len(count), languages))
@@ -385,14 +405,15 @@ def identify_languages(docs: DataFrame, order: int = ORDER, id_col: str = "doc_i
     words = cut_lineage(B.each_block(blocks, [], _count_words, "lang int, word string, n long")
                         .groupBy("lang", "word").agg(F.sum("n").alias("n")))
     table = _log_table(words, order)
+    discard(words)
     buckets = B.bucket_count(blocks, 0.4)
     sent = B.send(blocks, [], _sender(order, buckets)).unionByName(
         table.mapInArrow(_model_messages(buckets), B.MESSAGES))
-    answers = B.relay(sent, 0, _look_up)
+    answers = B.relay(sent, 0, _look_up, written=False)
     scored = cut_lineage(B.each_block(
         blocks, [answers], _scorer(len(langs), order, buckets),
         "doc_id long, held_out boolean, lab int, part int, chars long, entropies array<double>"))
-    for written in (blocks, words, table, answers):
+    for written in (blocks, table):
         discard(written)
     fold = scored.filter((F.col("part") == _FOLD) & (F.col("chars") > 0)).select("lab", "entropies").toArrow()
     temperature, limit = calibrate(
