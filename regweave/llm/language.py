@@ -46,7 +46,7 @@ from regweave.session import cut_lineage, discard
 
 ORDER = 5
 CALIBRATION = 20_000
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 32 << 20
 #: Characters of words that are scored at once.
 PART = 1 << 18
 #: Log probability of a character that a language never has.
@@ -281,7 +281,8 @@ def _look_up(blocks: list[int], messages: list[bytes]) -> Iterator[tuple[int, by
         lo, hi = (np.searchsorted(model["key"], asked, side) for side in ("left", "right"))
         n = hi - lo
         at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        yield block, n.astype(np.uint32).tobytes() + model["code"][at].tobytes() + model["value"][at].tobytes()
+        data = n.astype(np.uint32).tobytes() + model["code"][at].tobytes() + model["value"][at].tobytes()
+        yield block, len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
 
 
 class Model:
@@ -295,7 +296,8 @@ class Model:
         logs = np.full((len(keys), languages), np.nan, np.float32)
         backs = np.zeros((len(keys), languages), np.float32)
         for bucket, idx in B.route(B.buckets_of(keys, buckets)):
-            data = answers[bucket]
+            answer = answers[bucket]
+            data = pa.decompress(answer[8:], int.from_bytes(answer[:8], "little"), "zstd", asbytes=True)
             n = np.frombuffer(data, np.uint32, len(idx))
             code = np.frombuffer(data, np.int32, int(n.sum()), 4 * len(idx))
             value = np.frombuffer(data, np.float32, len(code), 4 * (len(idx) + len(code)))
