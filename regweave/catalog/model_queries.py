@@ -207,12 +207,15 @@ _METACELLS = {
 }
 
 
-@query("glm_metacells", with_views("pairs expr acc n", S.least_squares(S.PAIR_TERMS, S.COEFFICIENTS), _METACELLS))
-def glm_metacells(v):
+def _metacell_network(v: Views, **options) -> P.Network:
     s = study(v)
     s.cells = v.cells().withColumn("meta", F.concat_ws("_", "pool", "batch"))
-    return _estimates(P.infer_network(s, aggregate_rna_col="meta", aggregate_peaks_col="meta",
-                                      **OPTIONS).coefs)
+    return P.infer_network(s, aggregate_rna_col="meta", aggregate_peaks_col="meta", **OPTIONS, **options)
+
+
+@query("glm_metacells", with_views("pairs expr acc n", S.least_squares(S.PAIR_TERMS, S.COEFFICIENTS), _METACELLS))
+def glm_metacells(v):
+    return _estimates(_metacell_network(v).coefs)
 
 
 @query("glm_gof", with_views("pairs expr acc n", S.least_squares(S.MAIN_TERMS, S.FITS)))
@@ -220,9 +223,19 @@ def glm_gof(v):
     return _network(v, "glm", interaction="+").gof.select("target", r6("rsq").alias("rsq"), "nvariables")
 
 
-@query("glm_poisson")
+@query("glm_poisson", with_views("pairs expr acc n cells", S.reweighted(S.PAIR_TERMS, "poisson", False)))
 def glm_poisson(v):
-    return _network(v, "glm", family="poisson").coefs
+    return _estimates(_network(v, "glm", family="poisson").coefs)
+
+
+@query("glm_quasipoisson", with_views("pairs expr acc n cells", S.reweighted(S.PAIR_TERMS, "poisson", True), _METACELLS))
+def glm_quasipoisson(v):
+    return _estimates(_metacell_network(v, family="quasipoisson").coefs)
+
+
+@query("glm_gamma", with_views("pairs expr acc n cells", S.reweighted(S.PAIR_TERMS, "Gamma", True), _METACELLS))
+def glm_gamma(v):
+    return _estimates(_metacell_network(v, family="Gamma").coefs)
 
 
 @query("glmnet")

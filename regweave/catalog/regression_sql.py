@@ -80,6 +80,55 @@ COEFFICIENTS = """select target, tf, region_id region, round(est, 6)+0.0 estimat
 FITS = "select target, round(1-rss/tss, 6)+0.0 rsq, (select count(*) from pairs where pairs.target=fit.target) nvariables from fit"
 
 
+#: Start of the linear predictor, mean, working weight, slope of the mean and variance by family.
+_FAMILIES = {
+    "poisson": ("ln(y+0.1)", "exp(eta)", "mu", "mu", "mu"),
+    "binomial": ("ln((y+0.5)/(1.5-y))", "1/(1+exp(-eta))", "mu*(1-mu)", "mu*(1-mu)", "mu*(1-mu)"),
+    "Gamma": ("1/y", "1/eta", "mu*mu", "-mu*mu", "mu*mu"),
+}
+
+
+def reweighted(terms: str, family: str, dispersed: bool, rounds: int = 12) -> str:
+    """Iteratively reweighted least squares: each round weighs the dense design rows and clears all pivots.
+
+    The matrix of a round has the cross-products, an identity, the right side and
+    the raw diagonal, which turns to -1 where the pivot vanishes.
+    """
+    start, mean, weight, slope, var = _FAMILIES[family]
+    return f"""+with {terms},
+whole as (select target from d where j=-1 {"and v > 0" if family == "Gamma" else ""} group by 1
+  {"having count(*) = (select n from n)" if family == "Gamma" else ""}),
+tj as (select distinct target, cast(0 as bigint) j from t join whole using (target) union all select target, j from t join whole using (target)),
+x0 as (select g.target, g.cell, list(case when g.j=0 then cast(1 as double) else coalesce(v, cast(0 as double)) end order by g.j) x
+  from (select target, j, cell from tj cross join cells) g left join d on d.target=g.target and d.cell=g.cell and d.j=g.j group by 1, 2),
+dm as materialized (select x0.target, x, coalesce(v, cast(0 as double)) y from x0 left join d on d.target=x0.target and d.cell=x0.cell and d.j=-1),
+rec as (select cast(0 as bigint) it, target, cast([] as double[]) b, cast([] as double[][]) m, cast(0 as double) ps from whole union all
+  select it+1, target, list_transform(m, lambda r: case when r[len(r)]=-1 then cast(0 as double) else r[len(r)-1] end), m, ps from (
+    select it, target, ps, list_reduce(list_concat([aug], list_transform(range(1, len(aug)+1), lambda k: [[cast(k as double)]])),
+      lambda a, kk: case when a[cast(kk[1][1] as int)][cast(kk[1][1] as int)] <= 1e-9*a[cast(kk[1][1] as int)][2*len(a)+2]
+        then list_transform(a, lambda rw, i: case when i=cast(kk[1][1] as int)
+          then list_transform(rw, lambda e, q: case when q=len(rw) then cast(-1 as double) else e end) else rw end)
+        else list_transform(a, lambda rw, i: list_transform(rw, lambda e, q: case when q=len(rw) then e
+          when i=cast(kk[1][1] as int) then e/a[i][i]
+          else e-rw[cast(kk[1][1] as int)]*a[cast(kk[1][1] as int)][q]/a[cast(kk[1][1] as int)][cast(kk[1][1] as int)] end)) end) m from (
+      select it, target, max(ps) ps, list(row_ order by i) aug from (
+        select it, target, i, max(ps) ps, list_concat(list_concat(list(s order by j),
+          list_transform(range(1, max(p)+1), lambda q: case when q=i then cast(1 as double) else cast(0 as double) end)),
+          [max(rhs), max(case when i=j then s end)]) row_ from (
+          select it, target, i, j, p, sum(w*x[i]*x[j]) s, sum(w*x[i]*z) rhs, sum(pr) ps from (
+            select *, unnest(range(1, p+1)) j from (
+              select it, target, x, len(x) p, {weight} w, eta+(y-mu)/({slope}) z, (y-mu)*(y-mu)/({var}) pr, unnest(range(1, len(x)+1)) i from (
+                select *, {mean} mu from (
+                  select it, rec.target, x, y, case when it=0 then {start} else list_dot_product(x, b) end eta
+                  from rec join dm on dm.target=rec.target where it < {rounds}) e1) e2) e3) e4
+          group by 1, 2, 3, 4, 5) e5 group by 1, 2, 3) e6 group by 1, 2) e7) e8),
+fin as (select target, m, ps, unnest(range(1, len(m)+1)) i from rec where it={rounds}),
+rk as (select target, count(*) r from fin where m[i][len(m[i])] <> -1 group by 1),
+coef as (select target, i-1 j, m[i][len(m[i])-1] est, sqrt(m[i][len(m)+i]{"*ps/(n-r)" if dispersed else ""}) se
+  from fin join rk using (target) cross join n where m[i][len(m[i])] <> -1)
+{COEFFICIENTS}"""
+
+
 def principal_scores(k: int, sweeps: int = 12) -> str:
     """Scores of the columns of the gene correlation matrix by cyclic Jacobi rotations of its covariance."""
     scores = ", ".join(f"round(s[{q}], 6)+0.0 pc_{q}" for q in range(1, k + 1))

@@ -52,23 +52,27 @@ def _binned(design: DataFrame, bins: int) -> DataFrame:
     return b.withColumn("bin", F.when(F.col("v") > 0, above + 1).otherwise(-below - 1))
 
 
-def _rows(design: DataFrame, obs: DataFrame, bins: int) -> DataFrame:
-    """``(target, cell, y, w, js, bins)``: terms and bins of the stored values."""
+def _rows(design: DataFrame, obs: DataFrame, bins: int, zero: DataFrame | None = None) -> DataFrame:
+    """``(target, cell, y, w, js, bins)``: terms and bins of the stored values.
+
+    ``zero(target, zero)`` is the response of cells where none is stored, else 0.
+    """
     feats = (_binned(design, bins).groupBy("target", "cell").agg(
         F.collect_list(F.struct("j", "bin")).alias("x")))      # bounded by the term count
     y = design.filter(F.col("j") == RESPONSE).select("target", "cell", F.col("v").alias("y"))
     w = design.groupBy("target", "cell").agg(F.first("w").alias("w"))
-    rows = (w.join(feats, ["target", "cell"], "left").join(y, ["target", "cell"], "left")
-            .select("target", "cell", F.coalesce("y", F.lit(0.0)).alias("y"), "w",
+    rows = w.join(feats, ["target", "cell"], "left").join(y, ["target", "cell"], "left")
+    rows = rows.withColumn("zero", F.lit(0.0)) if zero is None else rows.join(zero, "target")
+    rows = (rows.select("target", "cell", F.coalesce("y", "zero").alias("y"), "w", "zero",
                     F.transform("x", lambda s: s["j"]).alias("js"),
                     F.transform("x", lambda s: s["bin"]).alias("bins")))
     ctype = design.schema["cell"].dataType
-    rest = (rows.groupBy("target").agg(F.sum("w").alias("sw"))
+    rest = (rows.groupBy("target").agg(F.sum("w").alias("sw"), F.first("zero").alias("zero"))
             .withColumn("w", observation_count(obs) - F.col("sw")).filter("w > 0")
-            .select("target", F.lit(None).cast(ctype).alias("cell"), F.lit(0.0).alias("y"), "w",
+            .select("target", F.lit(None).cast(ctype).alias("cell"), F.col("zero").alias("y"), "w",
                     F.lit(None).cast("array<int>").alias("js"),
                     F.lit(None).cast("array<int>").alias("bins")))
-    return rows.unionByName(rest)
+    return rows.drop("zero").unionByName(rest)
 
 
 class Options(NamedTuple):
@@ -282,18 +286,20 @@ def _slices(large: list[tuple[str, list[int], int]], o: Options, tasks: int) ->
 
 def fit_boosting(design: DataFrame, obs: DataFrame, max_depth: int = 3, eta: float = 0.01,
                  nrounds: int = 1000, reg_lambda: float = 1.0, min_child_weight: float = 1.0,
-                 base_score: float = 0.5, bins: int = 64, objective: str = "gaussian") -> DataFrame:
+                 base_score: float = 0.5, bins: int = 64, objective: str = "gaussian",
+                 zero: DataFrame | None = None) -> DataFrame:
     """Importance ``gain, cover, frequency`` per term (shares of the target's
     total) and training R2, in the common solution layout.
 
     ``objective`` is gaussian, poisson or binomial; the response of the last lies in
-    0..1. Of the large targets the driver holds names and terms, not rows.
+    0..1. ``zero(target, zero)`` is the response of cells where none is stored, 0 if
+    not given. Of the large targets the driver holds names and terms, not rows.
     """
     from regweave.operators.models import _superset
     if objective not in ("gaussian", "poisson", "binomial"):
         raise ValueError("objective must be gaussian, poisson or binomial")
     o = Options(max_depth, eta, nrounds, reg_lambda, min_child_weight, base_score, bins, objective)
-    rows = cut_lineage(_rows(design, obs, bins))
+    rows = cut_lineage(_rows(design, obs, bins, zero))
     sizes = rows.groupBy("target").agg(F.sum(F.greatest(F.size("js"), F.lit(1))).alias("n")).filter(F.col("n") > HELD)
     names = [(r.target, r.n) for r in sizes.orderBy("target").collect()]
     out = _fit_small(rows.filter(~F.col("target").isin([t for t, _ in names])) if names else rows, o)

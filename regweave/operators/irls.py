@@ -12,51 +12,112 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from regweave.functions.columns import all_salts
 from regweave.functions.solvers import independent_columns, lambda_path
+from regweave.functions.tails import normal_two_sided, student_two_sided
 from regweave.operators.correlation import observation_count
 from regweave.operators.gram import RESPONSE, spread_design
 from regweave.session import cut_lineage, discard
 
-FAMILIES = ("poisson", "binomial")
-_DEVIANCE, _CELLS = -3, -4      # labels of the deviance and stored-cell entries
+#: Families with their usual links; those of ``_DISPERSED`` have an estimated dispersion and t statistics.
+FAMILIES = {"poisson": "log", "binomial": "logit", "quasipoisson": "log", "quasibinomial": "logit",
+            "Gamma": "inverse", "inverse.gaussian": "1/mu^2"}
+_DISPERSED = ("quasipoisson", "quasibinomial", "Gamma", "inverse.gaussian")
+_DEVIANCE, _CELLS, _PEARSON = -3, -4, -5      # labels of the entries beside the Gram
 _SALT = 16
 _BLOCK_ENTRIES = 4_000_000
 
 
-def _mean(eta: np.ndarray, family: str) -> np.ndarray:
-    if family == "poisson":
-        return np.exp(np.clip(eta, -30, 30))
-    return 1.0 / (1.0 + np.exp(-np.clip(eta, -30, 30)))
-
-
-def _start(y: np.ndarray, family: str) -> np.ndarray:
-    if family == "poisson":
-        return np.log(y + 0.1)
-    mu = (y + 0.5) / 2.0
-    return np.log(mu / (1.0 - mu))
-
-
-def _working(eta, y, family):
-    mu = _mean(eta, family)
-    var = np.maximum(mu if family == "poisson" else mu * (1 - mu), 1e-10)
-    return var, eta + (y - mu) / var, mu
-
-
-def _deviance(y, mu, family):
-    with np.errstate(divide="ignore", invalid="ignore"):
-        part = np.where(y > 0, y * np.log(np.where(y > 0, y, 1.0) / mu), 0.0)
-        if family == "poisson":
-            return 2.0 * (part - (y - mu))
-        rest = np.where(y < 1, (1 - y) * np.log(np.where(y < 1, 1 - y, 1.0)
-                                                / np.maximum(1 - mu, 1e-300)), 0.0)
-        return 2.0 * (part + rest)
-
-
-def _pass(family: str, reps: int, started: bool):
+class Family:
+    """Mean, variance and deviance of a response, and the link to the linear predictor."""
+
+    def __init__(self, name: str, link: str | None = None):
+        if name not in FAMILIES:
+            raise ValueError(f"family must be gaussian or one of {tuple(FAMILIES)}")
+        self.name, self.kind = name, name.removeprefix("quasi")
+        self.link, self.dispersed = link or FAMILIES[name], name in _DISPERSED
+        if self.link not in ("log", "logit", "identity", "inverse", "1/mu^2"):
+            raise ValueError("link must be log, logit, identity, inverse or 1/mu^2")
+        #: Responses of zero, which are not stored, have no place in a positive family.
+        self.positive = self.kind in ("Gamma", "inverse.gaussian")
+
+    def mean(self, eta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Mean and its slope along the linear predictor."""
+        if self.link == "log":
+            mu = np.exp(np.clip(eta, -30, 30))
+            return mu, mu
+        if self.link == "logit":
+            mu = 1.0 / (1.0 + np.exp(-np.clip(eta, -30, 30)))
+            return mu, np.maximum(mu * (1 - mu), 1e-10)
+        if self.link == "identity":
+            return eta, np.ones_like(eta)
+        if self.link == "inverse":
+            return 1 / eta, -1 / eta**2
+        return 1 / np.sqrt(eta), -0.5 * eta**-1.5
+
+    def valid(self, eta: np.ndarray) -> bool:
+        """Whether all predictors have a mean that the family can take."""
+        if not np.isfinite(eta).all() or self.link == "inverse" and (eta == 0).any():
+            return False
+        if self.link == "1/mu^2" and (eta <= 0).any():
+            return False
+        mu, _ = self.mean(eta)
+        return bool((mu > 0).all()) and (self.kind != "binomial" or bool((mu < 1).all()))
+
+    def variance(self, mu: np.ndarray) -> np.ndarray:
+        v = {"poisson": lambda: mu, "binomial": lambda: mu * (1 - mu), "Gamma": lambda: mu**2,
+             "inverse.gaussian": lambda: mu**3}[self.kind]()
+        return np.maximum(v, 1e-10)
+
+    def start(self, y: np.ndarray) -> np.ndarray:
+        mu = {"poisson": lambda: y + 0.1, "binomial": lambda: (y + 0.5) / 2.0}.get(self.kind, lambda: y)()
+        return {"log": lambda: np.log(mu), "logit": lambda: np.log(mu / (1.0 - mu)), "identity": lambda: mu,
+                "inverse": lambda: 1 / mu, "1/mu^2": lambda: mu**-2.0}[self.link]()
+
+    def working(self, eta: np.ndarray, y: np.ndarray):
+        """Working weights and responses, and the means."""
+        mu, slope = self.mean(eta)
+        return np.maximum(slope**2 / self.variance(mu), 1e-10), eta + (y - mu) / slope, mu
+
+    def deviance(self, y: np.ndarray, mu: np.ndarray) -> np.ndarray:
+        with np.errstate(divide="ignore", invalid="ignore"):
+            if self.kind == "Gamma":
+                return 2.0 * ((y - mu) / mu - np.log(y / mu))
+            if self.kind == "inverse.gaussian":
+                return (y - mu) ** 2 / (y * mu**2)
+            part = np.where(y > 0, y * np.log(np.where(y > 0, y, 1.0) / mu), 0.0)
+            if self.kind == "poisson":
+                return 2.0 * (part - (y - mu))
+            rest = np.where(y < 1, (1 - y) * np.log(np.where(y < 1, 1 - y, 1.0)
+                                                    / np.maximum(1 - mu, 1e-300)), 0.0)
+            return 2.0 * (part + rest)
+
+    def outside(self, y: Column) -> Column:
+        """Whether a response is none of the family."""
+        if self.positive:
+            return y <= 0
+        return y < 0 if self.kind == "poisson" else (y < 0) | (y > 1)
+
+    def null_deviance(self) -> tuple[Column, Column]:
+        """Of the intercept-only model: what is summed over ``v``, and the deviance from
+        that sum ``sl``, the responses' ``s1`` and the count ``n``."""
+        v, m, s1, sl, n = F.col("v"), F.col("s1") / F.col("n"), F.col("s1"), F.col("sl"), F.col("n")
+
+        def entropy(x):
+            return F.when(x > 0, x * F.log(x)).otherwise(0.0)
+        if self.kind == "poisson":
+            return entropy(v), 2 * (sl - s1 * F.log(m))
+        if self.kind == "binomial":
+            return entropy(v) + entropy(1 - v), 2 * (sl - s1 * F.log(m) - (n - s1) * F.log(1 - m))
+        if self.kind == "Gamma":
+            return F.log(v), 2 * (n * F.log(m) - sl)
+        return 1 / v, sl - n / m
+
+
+def _pass(family: Family, reps: int, started: bool):
     """Weighted cross-products of complete cells, batch by batch, per target."""
     def block(target, pdf: pd.DataFrame) -> pd.DataFrame:
         row, cells = pd.factorize(pdf["cell"].to_numpy())
@@ -76,16 +137,20 @@ def _pass(family: str, reps: int, started: bool):
             b0 = np.asarray(pdf["b0"].iloc[0], float)
         out = []
         for r in range(reps):
-            eta = (b0[r] + np.bincount(x, v[~is_y] * b[:, r], n)) if started else _start(y, family)
-            var, z, mu = _working(eta, y, family)
-            m[:, 0] = z
-            g = m.T @ (m * (var * w)[:, None])
-            dev = float((_deviance(y, mu, family) * w).sum())
+            eta = (b0[r] + np.bincount(x, v[~is_y] * b[:, r], n)) if started else family.start(y)
+            if family.valid(eta):
+                var, z, mu = family.working(eta, y)
+                m[:, 0] = z
+                g = m.T @ (m * (var * w)[:, None])
+                dev = float((family.deviance(y, mu) * w).sum())
+                pearson = float(((y - mu) ** 2 / family.variance(mu) * w).sum())
+            else:      # an infinite deviance tells the solve to step back
+                g, dev, pearson = np.zeros((m.shape[1],) * 2), np.inf, np.inf
             out.append(pd.DataFrame({
                 "target": target, "rep": np.int32(r),
-                "i": np.r_[names[iu], _DEVIANCE, _CELLS].astype("int32"),
-                "j": np.r_[names[ju], _DEVIANCE, _CELLS].astype("int32"),
-                "s": np.r_[g[iu, ju], dev, w.sum()]}))
+                "i": np.r_[names[iu], _DEVIANCE, _CELLS, _PEARSON].astype("int32"),
+                "j": np.r_[names[ju], _DEVIANCE, _CELLS, _PEARSON].astype("int32"),
+                "s": np.r_[g[iu, ju], dev, w.sum(), pearson]}))
         return pd.concat(out, ignore_index=True)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -116,14 +181,15 @@ def _pieces(part: pd.DataFrame):
 class _Passes:
     """Design rows spread once and re-used by every iteration."""
 
-    def __init__(self, design: DataFrame, obs: DataFrame, family: str):
-        if family not in FAMILIES:
-            raise ValueError(f"family must be gaussian or one of {FAMILIES}")
+    def __init__(self, design: DataFrame, obs: DataFrame, family: Family):
         self.family, self.obs = family, obs
         # a response outside the family's range has no fit
         y = F.when(F.col("j") == RESPONSE, F.col("v"))
-        wrong = y < 0 if family == "poisson" else (y < 0) | (y > 1)
-        bad = design.filter(F.coalesce(wrong | F.isnan(y), F.lit(False))).select("target").distinct()
+        bad = design.filter(F.coalesce(family.outside(y) | F.isnan(y), F.lit(False))).select("target").distinct()
+        if family.positive:
+            held = design.groupBy("target").agg(F.sum(F.when(F.col("j") == RESPONSE, F.col("w"))).alias("sw"))
+            short = F.coalesce("sw", F.lit(0.0)) < observation_count(obs) - 1e-6
+            bad = bad.unionByName(held.filter(short).select("target"))
         design = design.join(bad, "target", "left_anti")
         self.rows = cut_lineage(spread_design(design, _SALT), keep_layout=True)
         self.ttype = design.schema["target"].dataType.simpleString()
@@ -150,22 +216,17 @@ class _Passes:
     def null_deviance(self) -> DataFrame:
         """``(target, null_dev)`` of the intercept-only model."""
         y = self.rows.filter(F.col("j") == RESPONSE)
-        yl = F.when(F.col("v") > 0, F.col("v") * F.log("v")).otherwise(0.0)
+        summed, dev = self.family.null_deviance()
         d = (y.groupBy("target").agg(F.sum(F.col("w") * F.col("v")).alias("s1"),
-                                     F.sum(F.col("w") * yl).alias("sl"))
+                                     F.sum(F.col("w") * summed).alias("sl"))
              .withColumn("n", observation_count(self.obs)))
-        m = F.col("s1") / F.col("n")
-        if self.family == "poisson":
-            dev = 2 * (F.col("sl") - F.col("s1") * F.log(m))
-        else:
-            dev = -2 * (F.col("s1") * F.log(m) + (F.col("n") - F.col("s1")) * F.log(1 - m))
         return d.filter("s1 > 0").select("target", dev.alias("null_dev"))
 
 
-def _assemble(pdf: pd.DataFrame, family: str, b0: float | None):
-    """Dense weighted Gram of one target and replicate, zero cells included."""
+def _assemble(pdf: pd.DataFrame, family: Family, b0: float | None):
+    """Dense weighted Gram of one target and replicate, zero cells included; deviance and Pearson sum."""
     i, j, s = pdf["i"].to_numpy(), pdf["j"].to_numpy(), pdf["s"].to_numpy()
-    dev = float(s[i == _DEVIANCE].sum())
+    dev, pearson = float(s[i == _DEVIANCE].sum()), float(s[i == _PEARSON].sum())
     rest = float(pdf["n"].iloc[0]) - float(s[i == _CELLS].sum())
     ok = i >= RESPONSE
     i, j, s = i[ok] + 1, j[ok] + 1, s[ok]
@@ -173,23 +234,47 @@ def _assemble(pdf: pd.DataFrame, family: str, b0: float | None):
     g = np.zeros((size, size))
     g[i, j] = s
     g[j, i] = s
-    zero = np.zeros(1)
-    eta = _start(zero, family) if b0 is None else np.array([b0])
-    var, z, mu = _working(eta, zero, family)
-    g[1, 1] += rest * var[0]
-    g[0, 1] += rest * var[0] * z[0]
-    g[1, 0] = g[0, 1]
-    return g, dev + rest * float(_deviance(zero, mu, family)[0])
+    if rest > 1e-6:
+        zero = np.zeros(1)
+        eta = family.start(zero) if b0 is None else np.array([b0])
+        if not family.valid(eta):
+            return g, np.inf, np.inf
+        var, z, mu = family.working(eta, zero)
+        g[1, 1] += rest * var[0]
+        g[0, 1] += rest * var[0] * z[0]
+        g[1, 0] = g[0, 1]
+        dev += rest * float(family.deviance(zero, mu)[0])
+        pearson += rest * float(mu[0] ** 2 / family.variance(mu)[0])
+    return g, dev, pearson
 
 
 def fit_glm(design: DataFrame, obs: DataFrame, family: str = "poisson", max_iter: int = 25,
-            tol: float = 1e-8) -> DataFrame:
-    """Maximum likelihood fits of all targets; z statistics and normal p-values."""
-    passes = _Passes(design, obs, family)
+            tol: float = 1e-8, link: str | None = None) -> DataFrame:
+    """Maximum likelihood fits of all targets.
+
+    Poisson and binomial fits have z statistics and normal p-values; the quasi
+    families, ``Gamma`` and ``inverse.gaussian`` estimate their dispersion by
+    Pearson's sum and have t statistics. ``link`` (log, logit, identity, inverse
+    or 1/mu^2) replaces the usual link. A step to means that the family cannot
+    take is halved until it can. A response outside the family, for the positive
+    families also one with zeros, has no fit.
+    """
+    fam = Family(family, link)
+    passes = _Passes(design, obs, fam)
 
     def step(pdf: pd.DataFrame) -> pd.DataFrame:
-        b0 = pdf["b0"].iloc[0]
-        g, dev = _assemble(pdf, family, None if pd.isna(b0) else float(b0))
+        beta0, last0 = pdf["beta0"].iloc[0], pdf["last0"].iloc[0]
+        here = None if beta0 is None else np.array([float(x) for x in beta0])
+        g, dev, pearson = _assemble(pdf, fam, None if here is None else float(here[0]))
+        target, n = pdf["target"].iloc[0], float(pdf["n"].iloc[0])
+        none = pd.DataFrame({"target": [], "beta": [], "last": [], "se": [], "p": [], "dev": []})
+        if here is not None and not np.isfinite(dev):
+            if last0 is None:      # no valid coefficients are known
+                return none
+            back = (here + np.array([float(x) for x in last0])) / 2
+            nan = np.full(len(here), np.nan).tolist()
+            return pd.DataFrame({"target": [target], "beta": [[back.tolist()]], "last": [list(last0)],
+                                 "se": [nan], "p": [nan], "dev": [np.inf]})
         a, c = g[1:, 1:], g[1:, 0]
         try:
             if not np.isfinite(g).all():
@@ -197,22 +282,32 @@ def fit_glm(design: DataFrame, obs: DataFrame, family: str = "poisson", max_iter
             keep = independent_columns(a, np.diag(a))
             inv = np.linalg.inv(a[np.ix_(keep, keep)])
         except np.linalg.LinAlgError:      # a fit that fails leaves the table
-            return pd.DataFrame({"target": [], "beta": [], "se": [], "dev": []})
+            return none
+        free = n - len(keep)
+        scale = 1.0 if not fam.dispersed else pearson / free if free > 0 else np.nan
         beta, se = np.zeros(len(c)), np.full(len(c), np.nan)
-        beta[keep], se[keep] = inv @ c[keep], np.sqrt(np.maximum(np.diag(inv), 0))
-        return pd.DataFrame({"target": [pdf["target"].iloc[0]], "beta": [[beta.tolist()]],
-                             "se": [se.tolist()], "dev": [dev]})
-    schema = f"target {passes.ttype}, beta array<array<double>>, se array<double>, dev double"
+        beta[keep], se[keep] = inv @ c[keep], np.sqrt(np.maximum(np.diag(inv), 0) * scale)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            z = beta / se
+        p = student_two_sided(z, free) if fam.dispersed else normal_two_sided(z)
+        return pd.DataFrame({"target": [target], "beta": [[beta.tolist()]],
+                             "last": [None if here is None else here.tolist()],
+                             "se": [se.tolist()], "p": [np.asarray(p, float).tolist()], "dev": [dev]})
+    schema = (f"target {passes.ttype}, beta array<array<double>>, last array<double>, se array<double>, "
+              "p array<double>, dev double")
     state = None
     for it in range(max_iter + 1):
         s = passes.sums(None if state is None else state.select("target", "beta"), 1)
         if state is None:
-            s = s.withColumn("b0", F.lit(None).cast("double"))
+            nothing = F.lit(None).cast("array<double>")
+            s = s.withColumns({"beta0": nothing, "last0": nothing})
         else:
-            s = s.join(state.select("target", F.col("beta")[0][0].alias("b0")), "target")
+            s = s.join(state.select("target", F.col("beta")[0].alias("beta0"), F.col("last").alias("last0")), "target")
         new = cut_lineage(s.groupBy("target").applyInPandas(step, schema))
         if state is not None and it > 1:
-            gap = F.abs(F.col("dev") - F.col("old")) / (F.abs("dev") + 0.1)
+            inf = F.lit(float("inf"))
+            gap = F.when((F.col("dev") == inf) | (F.col("old") == inf), inf).otherwise(
+                F.abs(F.col("dev") - F.col("old")) / (F.abs("dev") + 0.1))
             moved = new.join(state.select("target", F.col("dev").alias("old")), "target")
             worst = moved.agg(F.max(gap)).first()[0]
             if worst is not None and worst >= tol and it == max_iter:
@@ -230,13 +325,13 @@ def fit_glm(design: DataFrame, obs: DataFrame, family: str = "poisson", max_iter
 
 
 def _glm_rows(state: DataFrame) -> DataFrame:
-    from regweave.operators.metrics import normal_p
     z = F.col("estimate") / F.col("std_err")
     coefs = (state.select("target", F.posexplode(F.arrays_zip(
-        F.col("beta")[0].alias("e"), F.col("se").alias("s"))).alias("j", "t"))
-        .select("target", "j", F.col("t.e").alias("estimate"), F.col("t.s").alias("std_err"))
+        F.col("beta")[0].alias("e"), F.col("se").alias("s"), F.col("p").alias("p"))).alias("j", "t"))
+        .select("target", "j", F.col("t.e").alias("estimate"), F.col("t.s").alias("std_err"),
+                F.col("t.p").alias("pval"))
         .filter(~F.isnan("std_err"))
-        .withColumn("statistic", z).withColumn("pval", normal_p(F.col("statistic"))))
+        .withColumn("statistic", z))
     gof = state.select("target", F.lit(-1).alias("j"),
                        (1 - F.col("dev") / F.col("null_dev")).alias("rsq"))
     return coefs.unionByName(gof, allowMissingColumns=True)
@@ -252,7 +347,10 @@ def fit_penalised(design: DataFrame, obs: DataFrame, family: str, cv: bool = Fal
     """
     if cv:
         raise ValueError("cross-validation is available for the gaussian family only")
-    passes = _Passes(design, obs, family)
+    if family not in ("poisson", "binomial"):
+        raise ValueError("penalised fits are available for gaussian, poisson and binomial")
+    fam = Family(family)
+    passes = _Passes(design, obs, fam)
     moments = (passes.rows.filter("j > 0").groupBy("target", "j")
                .agg(F.sum(F.col("w") * F.col("v")).alias("s1"),
                     F.sum(F.col("w") * F.col("v") * F.col("v")).alias("s2"))
@@ -280,7 +378,7 @@ def fit_penalised(design: DataFrame, obs: DataFrame, family: str, cv: bool = Fal
         lambdas, new, devs = pdf["lambdas"].iloc[0], old.copy(), []
         for r, part in pdf.groupby("rep"):
             b0 = old[r, 0]
-            g, dev = _assemble(part, family, b0)
+            g, dev, _ = _assemble(part, fam, b0)
             full = np.zeros((old.shape[1] + 1, old.shape[1] + 1))
             full[:len(g), :len(g)] = g
             devs.append(dev)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -51,12 +53,11 @@ def gram_with_size(design: DataFrame, obs: DataFrame, salt: int = 16) -> DataFra
     return g.withColumn("s", F.when(both, F.col("n")).otherwise(F.col("s")))
 
 
-def scaled_gram(gram: DataFrame, base_terms: DataFrame, terms: DataFrame,
-                expression: DataFrame, accessibility: DataFrame, obs: DataFrame) -> DataFrame:
-    """Gram of z-transformed variables from the Gram of the crossed raw design.
+def _scaling(base_terms: DataFrame, terms: DataFrame, expression: DataFrame,
+             accessibility: DataFrame, obs: DataFrame) -> DataFrame:
+    """``(target, j, b, coef)``: z-transformed variables ``j`` as sums of crossed raw ones ``b``.
 
-    ``(t-mt)(a-ma)/(st*sa)`` is linear in 1, t, a and t*a, so the scaled Gram is
-    a linear map of the raw one; nothing is densified. Constant variables have
+    ``(t-mt)(a-ma)/(st*sa)`` is linear in 1, t, a and t*a. Constant variables have
     no z-score and their terms disappear.
     """
     n = observation_count(obs)
@@ -102,20 +103,54 @@ def scaled_gram(gram: DataFrame, base_terms: DataFrame, terms: DataFrame,
     m = maps[0]
     for extra in maps[1:]:
         m = m.unionByName(extra)
-    off = gram.filter("i <> j").select("target", F.col("j").alias("i"), F.col("i").alias("j"),
+    return m
+
+
+def scaled_gram(gram: DataFrame, base_terms: DataFrame, terms: DataFrame,
+                expression: DataFrame, accessibility: DataFrame, obs: DataFrame,
+                by: tuple = ()) -> DataFrame:
+    """Gram of z-transformed variables from the Gram of the crossed raw design.
+
+    The scaled Gram is a linear map of the raw one; nothing is densified. ``by``
+    names columns beside the target that number several Grams of one target;
+    their (0, 0) entries must count all cells.
+    """
+    m = _scaling(base_terms, terms, expression, accessibility, obs)
+    off = gram.filter("i <> j").select("target", *by, F.col("j").alias("i"), F.col("i").alias("j"),
                                        "s", "n")
-    full = gram.select("target", "i", "j", "s", "n").unionByName(off)
+    full = gram.select("target", *by, "i", "j", "s", "n").unionByName(off)
     left = m.select("target", F.col("b").alias("i"), F.col("j").alias("fi"),
                     F.col("coef").alias("ci"))
     right = m.select("target", F.col("b").alias("j"), F.col("j").alias("fj"),
                      F.col("coef").alias("cj"))
     return (full.join(left, ["target", "i"]).join(right, ["target", "j"])
             .filter("fi <= fj")
-            .groupBy("target", F.col("fi").alias("i"), F.col("fj").alias("j"))
+            .groupBy("target", *by, F.col("fi").alias("i"), F.col("fj").alias("j"))
             .agg(F.sum(F.col("s") * F.col("ci") * F.col("cj")).alias("s"),
                  F.first("n").alias("n")))
 
 
+def scaled_rows(design: DataFrame, base_terms: DataFrame, terms: DataFrame, expression: DataFrame,
+                accessibility: DataFrame, obs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Design rows of z-transformed variables for trees, from the crossed raw rows.
+
+    Terms are shifted so that cells without stored factors keep zero and no row;
+    trees do not see shifts. The response is exact; ``zero(target, zero)`` is that
+    of cells where it is not stored.
+    """
+    m = _scaling(base_terms, terms, expression, accessibility, obs)
+    zero = m.filter((F.col("j") == RESPONSE) & (F.col("b") == INTERCEPT)).select("target", F.col("coef").alias("zero"))
+    unit = m.filter((F.col("j") == RESPONSE) & (F.col("b") == RESPONSE)).select("target", F.col("coef").alias("unit"))
+    parts = m.filter("j > 0 and b > 0").join(zero.select("target"), "target", "left_semi")
+    raw = design.filter("j > 0").withColumnRenamed("j", "b")
+    x = (salted_join(raw, parts, ["target", "b"], ["cell"])
+         .groupBy("target", "cell", "j").agg(F.sum(F.col("v") * F.col("coef")).alias("v"), F.first("w").alias("w"))
+         .filter("v <> 0").select("target", "cell", "j", "v", "w"))
+    y = (design.filter(F.col("j") == RESPONSE).join(zero.join(unit, "target"), "target")
+         .select("target", "cell", "j", (F.col("v") * F.col("unit") + F.col("zero")).alias("v"), "w"))
+    return x.unionByName(y), zero
+
+
 def solve_grams(gram: DataFrame, method: str = "glm", **options) -> DataFrame:
     """One small solve per target; a target whose solve fails is left out.
 
@@ -138,14 +173,24 @@ def solve_grams(gram: DataFrame, method: str = "glm", **options) -> DataFrame:
 
 
 def fit_cv_elastic_net(design: DataFrame, obs: DataFrame, folds: int = 10, seed: int = 1,
-                       **options) -> DataFrame:
-    """Cross-validated elastic net from one Gram per fold (a single data pass)."""
+                       scaling: Callable | None = None, **options) -> DataFrame:
+    """Cross-validated elastic net from one Gram per fold (a single data pass).
+
+    ``scaling(gram, by)`` maps the Gram of a crossed design to that of z-scores.
+    """
     w = F.col("weight").cast("double") if "weight" in obs.columns else F.lit(1.0)
     fold = F.pmod(F.xxhash64("cell", F.lit(seed)), F.lit(folds)).cast("int")
     sizes = obs.groupBy(fold.alias("fold")).agg(F.sum(w).alias("m"))
     size_map = sizes.agg(F.map_from_entries(
         F.collect_list(F.struct("fold", "m"))).alias("m")).scalar()      # one entry per fold
-    rows = gram_by_fold(design, folds, seed).withColumn("sizes", F.to_json(size_map))
+    rows = gram_by_fold(design, folds, seed)
+    if scaling is not None:
+        # a fold without stored cells of a target still has its count
+        counts = (rows.select("target").distinct().select("target", F.explode(size_map).alias("fold", "s"))
+                  .select("target", "fold", F.lit(INTERCEPT).alias("i"), F.lit(INTERCEPT).alias("j"), "s"))
+        rows = rows.filter("i <> 0 or j <> 0").unionByName(counts).withColumn("n", F.lit(0.0))
+        rows = scaling(rows, ("fold",)).drop("n")
+    rows = rows.withColumn("sizes", F.to_json(size_map))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         import json
@@ -168,10 +213,16 @@ def fit_cv_elastic_net(design: DataFrame, obs: DataFrame, folds: int = 10, seed:
 
 def fit_bagging_ridge(design: DataFrame, obs: DataFrame, alpha: float = 1.0,
                       bagging_number: int = 200, max_features: float = 0.8, seed: int = 123,
-                      p_method: str = "wilcox") -> DataFrame:
-    """Ridge on bootstrap replicates and random term subsets, tested over bags."""
+                      p_method: str = "wilcox", scaling: Callable | None = None) -> DataFrame:
+    """Ridge on bootstrap replicates and random term subsets, tested over bags.
+
+    ``scaling(gram, by)`` maps the Gram of a crossed design to that of z-scores.
+    """
     bags = gram_sums(design, bags=bagging_number, seed=seed)
     bags = bags.join(bag_totals(obs, bagging_number, seed), "rep")
+    if scaling is not None:
+        both = (F.col("i") == INTERCEPT) & (F.col("j") == INTERCEPT)
+        bags = scaling(bags.withColumn("s", F.when(both, F.col("n")).otherwise(F.col("s"))), ("rep",))
     ttype = design.schema["target"].dataType.simpleString()
 
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -192,6 +243,8 @@ def fit_bagging_ridge(design: DataFrame, obs: DataFrame, alpha: float = 1.0,
              .withColumn("neglog10p", F.when(F.col("pval") == 0, F.lit(float("inf")))
                          .otherwise(-F.log10(F.coalesce("pval", F.lit(1.0))))))
     gram = gram_with_size(design, obs)
+    if scaling is not None:
+        gram = scaling(gram, ())
     est = coefs.select("target", F.col("j").alias("i"), F.col("estimate").alias("s"),
                        F.lit(-2).alias("j"), F.lit(0.0).alias("n"))
     both = gram.select("target", "i", "s", "j", "n").unionByName(est)

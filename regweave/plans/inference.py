@@ -161,13 +161,21 @@ def infer_network(study: Study, genes: DataFrame | None = None, network_name: st
     options = dict(fit_options or {})
     terms = D.model_terms(c.pairs, interaction)
     if scale:
-        if family != "gaussian" or method not in ("glm", "glmnet", "brms", "bayesian_ridge"):
-            raise ValueError("scaling is available for gaussian models solved from one Gram")
+        if family != "gaussian":
+            raise ValueError("a z-transformed response is outside every family but the gaussian")
         base = D.model_terms(c.pairs, "*")
         rows = D.design_rows(base, c.expression, c.accessibility, c.obs)
-        gram = M.scaled_gram(M.gram_with_size(rows, c.obs), base, terms, c.expression,
-                             c.accessibility, c.obs)
-        solution = M.solve_grams(gram, method, **options)
+        tables = (base, terms, c.expression, c.accessibility, c.obs)
+
+        def scaling(gram, by):
+            return M.scaled_gram(gram, *tables, by=by)
+        if method == "xgb":
+            rows, zero = M.scaled_rows(rows, *tables)
+            solution = M.fit_models(rows, c.obs, method, zero=zero, **options)
+        elif method in ("cv.glmnet", "bagging_ridge"):
+            solution = M.fit_models(rows, c.obs, method, scaling=scaling, **options)
+        else:
+            solution = M.solve_grams(scaling(M.gram_with_size(rows, c.obs), ()), method, **options)
     else:
         rows = D.design_rows(terms, c.expression, c.accessibility, c.obs)
         solution = M.fit_models(rows, c.obs, method, family, **options)

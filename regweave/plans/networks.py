@@ -21,6 +21,7 @@ class ModuleResult:
     modules: DataFrame
     members: DataFrame
     params: dict
+    targets: DataFrame | None = None      # gene: the attempted targets
 
 
 def extract_modules(net: Network, regions: DataFrame | None = None,
@@ -35,10 +36,22 @@ def extract_modules(net: Network, regions: DataFrame | None = None,
     if regions is not None:
         members = members.unionByName(modules.module_peaks(members, regions))
     return ModuleResult(table, members, {
-        **limits, "min_genes_per_module": min_genes_per_module})
+        **limits, "min_genes_per_module": min_genes_per_module}, net.targets)
 
 
-def network_graph(mods: DataFrame, expression: DataFrame | None = None,
+def attempted_features(net: Network) -> DataFrame:
+    """``(feature)``: the targets for which a model was attempted, the default nodes of a graph."""
+    return net.targets.select(F.col("gene").alias("feature")).distinct()
+
+
+def tf_graph(net: Network, edges: DataFrame, tfs: DataFrame, features: DataFrame | None = None,
+             **options) -> DataFrame:
+    """Subnetwork around each of ``tfs(tf)``; its ends are the attempted targets if no features are given."""
+    roots = tfs.select(F.col("tf").alias("root")).distinct()
+    return graph.tf_network(edges, roots, attempted_features(net) if features is None else features, **options)
+
+
+def network_graph(mods: DataFrame | ModuleResult, expression: DataFrame | None = None,
                   obs: DataFrame | None = None, features: DataFrame | None = None,
                   layout: str = "weighted", n_pcs: int = 2, max_iter: int = 100,
                   tol: float = 1e-9, targets: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -47,10 +60,14 @@ def network_graph(mods: DataFrame, expression: DataFrame | None = None,
     ``weighted`` embeds co-expression weighted by the coefficients, ``corr``
     plain co-expression, ``coef`` the coefficients. Nodes without coordinates
     are dropped, as in an inner join. Without ``features`` the graph is that of
-    the attempted ``targets(gene)``, where they are given.
+    the attempted targets: those of a result of :func:`extract_modules`, or
+    ``targets(gene)`` beside a plain table of modules.
     """
     if layout not in ("weighted", "corr", "coef", "none"):
         raise ValueError("layout must be weighted, corr, coef or none")
+    if isinstance(mods, ModuleResult):
+        targets = mods.targets if targets is None else targets
+        mods = mods.modules
     if features is None and targets is not None:
         features = targets.select(F.col("gene").alias("feature"))
     use = features

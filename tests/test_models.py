@@ -281,3 +281,67 @@ def test_exact_signed_rank(spark):
     assert got["a"].v == 17 and got["a"].pval == pytest.approx(2 * sum(x >= 17 for x in sums) / 64)
     for k in ("ties", "zero", "long"):
         assert got[k].pval == pytest.approx(math.erfc(abs(got[k].z) / math.sqrt(2)))
+
+
+@pytest.mark.parametrize("family,link", [("Gamma", None), ("Gamma", "log"), ("inverse.gaussian", None),
+                                         ("inverse.gaussian", "log"), ("quasipoisson", None), ("poisson", "identity")])
+def test_families_with_estimated_dispersion(spark, data, family, link):
+    """Score equations, and standard errors from Fisher's information and Pearson's sum."""
+    tf, acc, y = data
+    ex, ac, obs, pairs = tables(spark, (tf, acc, y + 2.0))
+    rows = D.design_rows(D.model_terms(pairs), ex, ac, obs)
+    got = {r["j"]: r for r in M.fit_models(rows, obs, "glm", family, link=link).collect()}
+    x, y = dense((tf, acc, y + 2.0), ":")
+    beta = np.array([got[j]["estimate"] for j in range(x.shape[1])])
+    eta = x @ beta
+    link = link or {"Gamma": "inverse", "inverse.gaussian": "1/mu^2", "quasipoisson": "log"}[family]
+    mu, slope = {"inverse": lambda: (1 / eta, -eta**-2.0), "log": lambda: (np.exp(eta), np.exp(eta)),
+                 "1/mu^2": lambda: (eta**-0.5, -0.5 * eta**-1.5), "identity": lambda: (eta, np.ones_like(eta))}[link]()
+    var = mu ** {"Gamma": 2, "inverse.gaussian": 3}.get(family, 1)
+    assert np.abs(x.T @ ((y - mu) * slope / var)).max() < 1e-4 * np.abs(x.T @ np.abs(slope / var)).max()
+    phi = 1.0 if family == "poisson" else ((y - mu) ** 2 / var).sum() / (N_CELLS - x.shape[1])
+    se = np.sqrt(np.diag(np.linalg.inv(x.T @ (x * (slope**2 / var)[:, None]))) * phi)
+    assert np.allclose([got[j]["std_err"] for j in range(x.shape[1])], se, rtol=1e-4)
+    assert 0 < got[-1]["rsq"] < 1
+    if family == "Gamma":
+        m = y.mean()
+        fit = 2 * ((y - mu) / mu - np.log(y / mu)).sum() / (2 * ((y - m) / m - np.log(y / m)).sum())
+        assert got[-1]["rsq"] == pytest.approx(1 - fit, abs=1e-6)
+
+
+def test_positive_families_need_positive_responses(spark, data):
+    ex, ac, obs, pairs = tables(spark, data)          # the response has zeros
+    rows = D.design_rows(D.model_terms(pairs), ex, ac, obs)
+    assert 0 in data[2] and M.fit_models(rows, obs, "glm", "Gamma").count() == 0
+    with pytest.raises(ValueError):
+        M.fit_models(rows, obs, "glm", "multinomial")
+    with pytest.raises(ValueError):
+        M.fit_models(rows, obs, "glm", "Gamma", link="probit")
+
+
+@pytest.mark.parametrize("method,kw", [("cv.glmnet", {"folds": 4}), ("bagging_ridge", {"bagging_number": 20}),
+                                       ("xgb", {"nrounds": 5, "eta": 0.3}), ("glmnet", {}), ("bayesian_ridge", {})])
+@pytest.mark.parametrize("interaction", [":", "*"])
+def test_scaled_fits_equal_fits_of_scaled_columns(spark, data, method, kw, interaction):
+    """All methods on z-scores: the same as the method on a dense table of their products."""
+    s = study(spark, data)
+    net = P.infer_network(s, method=method, interaction=interaction, scale=True, tf_cor=0.0, fit_options=kw)
+    c = P.find_candidates(s, tf_cor=0.0)
+    terms = D.model_terms(c.pairs, interaction)
+    tf, acc, y = ((m - m.mean(0)) / m.std(0, ddof=1) for m in data)
+    rows = [("G", i, -1, float(y[i]), 1.0) for i in range(N_CELLS)]
+    for r in terms.collect():
+        v = np.ones(N_CELLS)
+        if r["tf"]:
+            v = v * tf[:, int(r["tf"][1:]) - 1]
+        if r["region_id"]:
+            v = v * acc[:, int(r["region_id"].split("-")[1]) - 1]
+        rows += [("G", i, r["j"], float(v[i]), 1.0) for i in range(N_CELLS)]
+    d = spark.createDataFrame(rows, "target string, cell long, j int, v double, w double")
+    expected = {r["j"]: r for r in M.fit_models(d, c.obs, method, **kw).collect()}
+    names = {r["term"]: r["j"] for r in terms.collect()}
+    column = M.COEF_COLUMNS[method][0]
+    got = {names[r["term"]]: r[column] for r in net.coefs.collect()}
+    want = {j: r[column] for j, r in expected.items() if j > 0}
+    assert got == pytest.approx(want, abs=1e-6)
+    assert net.gof.first()["rsq"] == pytest.approx(expected[-1]["rsq"], abs=1e-6)
