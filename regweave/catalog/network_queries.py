@@ -385,6 +385,5 @@ def gene_pca(v):
 
 @query("network_graph")
 def network_graph(v):
-    nodes, _ = N.network_graph(cut_lineage(_gene_modules(v)), cut_lineage(v.expr()), v.cells(),
-                               layout="weighted", max_iter=20, tol=1e-6)
+    nodes, _ = N.network_graph(cut_lineage(_gene_modules(v)), cut_lineage(v.expr()), v.cells(), layout="weighted")
     return nodes

@@ -211,6 +211,29 @@ def initiate_regions(v):
     return R.initiate_regions(v.peaks(), v.annotation())
 
 
+def _conserved(v: Views):
+    """Supplied regions: one of 81 bases for each supplier, most of them within a peak."""
+    at = (F.col("s_suppkey") % 50) * 1000 + F.floor(F.abs("s_acctbal")) % 200
+    return v.table("supplier").select(
+        F.concat(F.lit("chr"), (F.col("s_suppkey") % 5).cast("string")).alias("chrom"),
+        at.cast("bigint").alias("start"), (at + 80).cast("bigint").alias("end"))
+
+
+_HEAD, _, _LAST = _INITIATED.replace("from peaks", "from pieces").rpartition("\nselect ")
+
+
+@query("initiate_conserved_regions", with_views("peaks annotation", f"""+with
+conserved as (select concat('chr', s_suppkey%5) chrom, s_suppkey%50*1000+cast(floor(abs(s_acctbal)) as bigint)%200 a
+  from supplier),
+pieces as (select distinct concat(peak_id, '|', greatest(a, "start"), '|', least(a+80, "end")) peak_id, p.chrom,
+  greatest(a, "start") as "start", least(a+80, "end") as "end" from peaks p join conserved c
+    on c.chrom=p.chrom and a <= "end" and a+80 >= "start"),
+{_HEAD}
+select distinct region_id, chrom, "start", "end", split_part(peak_id, '|', 1) peak_id from (select {_LAST}) q"""))
+def initiate_conserved_regions(v):
+    return R.initiate_regions(v.peaks(), v.annotation(), regions=_conserved(v))
+
+
 @query("exon_features", with_views("annotation", """
 select gene, chrom, "start", "end" from annotation where type='exon'"""))
 def exon_features(v):

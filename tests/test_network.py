@@ -228,3 +228,20 @@ def test_attempted_targets_are_the_features_of_a_graph(spark, net):
     assert nodes.count() == 0      # the TF is no attempted target
     both = net.targets.unionByName(spark.createDataFrame([("T",)], "gene string"))
     assert N.network_graph(mods, layout="none", targets=both)[0].count() == 4
+
+
+def test_results_of_modules_bring_their_targets(spark, net):
+    res = N.extract_modules(net, min_genes_per_module=1)
+    assert N.network_graph(res, layout="none")[0].count() == 0      # the TF is no attempted target
+    assert N.network_graph(res.modules, layout="none")[0].count() == 4
+    named = spark.createDataFrame([("T",), ("g0",)], "feature string")
+    assert N.network_graph(res, features=named, layout="none")[0].count() == 2
+
+
+def test_ends_of_a_tf_graph_are_attempted_targets(spark, net):
+    e = spark.createDataFrame([("T", f"g{i}", 1.0, "r") for i in range(4)] + [("T", "q", 1.0, "r")],
+                              "from_node string, to_node string, estimate double, regions string")
+    tfs = spark.createDataFrame([("T",)], "tf string")
+    assert {r["end_node"] for r in N.tf_graph(net, e, tfs).collect()} == {"g0", "g1", "g2", "g3"}
+    one = spark.createDataFrame([("q",)], "feature string")
+    assert {r["end_node"] for r in N.tf_graph(net, e, tfs, one, min_paths=1).collect()} == {"q"}

@@ -11,7 +11,7 @@ import check_oracle  # noqa: E402
 import __spark_entry__ as entry  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["interval_overlap", "interval_subtract", "initiate_regions", "great_links", "motif_hits",
+NAMES = ["interval_overlap", "interval_subtract", "initiate_regions", "initiate_conserved_regions", "great_links", "motif_hits",
          "agg_median", "agg_minmax", "sparse_cor_pearson", "cross_cor", "skip_reasons", "gram",
          "padj_methods", "format_coefs", "find_modules", "module_genes", "pagerank", "tf_network",
          "wilcoxon", "gof_histogram", "weighted_coex"]
