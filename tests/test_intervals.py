@@ -128,3 +128,23 @@ def test_extension_and_names(spark):
     d = split_region(g.select(region_name(sep=(":", "_")).alias("n")).distinct(), "n", (":", "_"))
     assert tuple(d.first()) == ("chr-1:100_200", "chr-1", 100, 200)
     assert I.to_tss(g).filter(F.col("gene") == "B").first()["start"] == 200
+
+
+def test_overlap_join_sends_no_repeated_side_through_the_driver(spark):
+    _, a = _random(spark, 300, 1, "ia", [0, 1, 40, 3000])
+    _, b = _random(spark, 200, 2, "ib", [0, 90, 20_000, 150_000])
+    plan = I.overlap_join(a, b)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_equal_regions_are_joined_once(spark):
+    peaks = spark.createDataFrame([("p", "chr1", 10, 50)], "peak_id string, chrom string, start long, end long")
+    regions = spark.createDataFrame([("chr1", 20, 30)] * 5 + [("chr1", 40, 70)], "chrom string, start long, end long")
+    seen = []
+    join = R.overlap_join
+    try:
+        R.overlap_join = lambda l, r, *k: seen.append(r.count()) or join(l, r, *k)
+        got = {tuple(r) for r in R.candidate_regions(peaks, regions).select("peak_id", "start", "end").collect()}
+    finally:
+        R.overlap_join = join
+    assert seen == [2] and got == {("p", 20, 30), ("p", 40, 50)}
