@@ -146,14 +146,18 @@ def path_edges(paths: DataFrame, carry: list[str] = ()) -> DataFrame:
             .select(*head, "pos", F.col("e.a").alias("from_node"), F.col("e.b").alias("to_node")))
 
 
-def score_paths(paths: DataFrame, edges: DataFrame) -> DataFrame:
-    """Direction, mean estimate, regions and mean -log10(padj) of every path."""
-    cols = ["from_node", "to_node", "estimate", "regions"]
-    has_p = "padj" in edges.columns
+def score_paths(paths: DataFrame, edges: DataFrame, only: str | None = None) -> DataFrame:
+    """Direction, mean estimate, regions and mean -log10(padj) of every path.
+
+    ``only`` names the one mean that is wanted beside the direction; nothing else travels then.
+    """
+    cols = ["from_node", "to_node", "estimate", *(["regions"] if only is None else [])]
+    has_p = "padj" in edges.columns and only in (None, "mean_log_padj")
     e = edges.select(*cols, *(["padj"] if has_p else []))
     aggs = [(F.product(F.signum("estimate")) + F.lit(0.0)).alias("dir"),
-            F.avg("estimate").alias("mean_estimate"),
-            F.array_sort(F.collect_list(F.struct("pos", "regions"))).alias("r")]  # <= order items
+            F.avg("estimate").alias("mean_estimate")]
+    if only is None:
+        aggs.append(F.array_sort(F.collect_list(F.struct("pos", "regions"))).alias("r"))  # <= order items
     if has_p:
         strength = F.when(F.col("padj") > 0, -F.log10("padj")).when(
             F.col("padj") == 0, F.lit(float("inf")))
@@ -161,6 +165,8 @@ def score_paths(paths: DataFrame, edges: DataFrame) -> DataFrame:
         aggs.append(F.when(F.count("padj") == F.count(F.lit(1)), F.avg(strength)).alias("mean_log_padj"))
     d = path_edges(paths).join(e, ["from_node", "to_node"])
     d = d.groupBy("root", "end_node", "order", "path").agg(*aggs)
+    if only is not None:
+        return d.withColumnRenamed("root", "start_node").select("start_node", "end_node", "order", "path", "dir", only)
     return (d.withColumn("path_regions", F.concat_ws(";", F.transform("r", lambda s: s["regions"])))
             .drop("r").withColumnRenamed("root", "start_node"))
 
@@ -195,7 +201,7 @@ def tf_network(edges: DataFrame, roots: DataFrame, features: DataFrame | None =
     out; for a single root that is an error.
     """
     paths = shortest_paths(edges, roots, features, order)
-    scored = cut_lineage(score_paths(paths, edges))
+    scored = cut_lineage(score_paths(paths, edges, by))
     enough = (scored.groupBy("start_node").agg(F.count(F.lit(1)).alias("_n"))
               .filter(F.col("_n") >= min_paths).select("start_node"))
     single = roots.limit(2).count() == 1

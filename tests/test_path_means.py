@@ -35,3 +35,18 @@ def test_halfway_means_match_sql(spark, halves, name):
     con.execute(f"create view lineitem as select * from '{halves}/lineitem.parquet/*.parquet'")
     msg, ok = check_oracle.compare(spark, con, name, halves, entry.oracle_sql()[name])
     assert ok, msg
+
+
+def test_networks_write_no_regions_of_paths(spark, monkeypatch):
+    from regweave.operators import graph
+    edges = spark.createDataFrame([("a", "b", 1.0, "r1", 0.01), ("b", "c", -2.0, "r2", 0.02), ("a", "c", 0.5, "r3", 0.04)],
+                                  "from_node string, to_node string, estimate double, regions string, padj double")
+    cut, written = graph.cut_lineage, []
+    monkeypatch.setattr(graph, "cut_lineage", lambda d, *k: written.append(d.columns) or cut(d, *k))
+    roots = spark.createDataFrame([("a",)], "root string")
+    for by in ("mean_estimate", "mean_log_padj"):
+        got = graph.tf_network(edges, roots, min_paths=1, by=by)
+        assert {(r["end_node"], r["from_node"], r["to_node"], r["comb_dir"]) for r in got.collect()} == {
+            ("b", "a", "b", 1.0), ("c", "a", "c", 1.0)}
+    scored = [c for c in written if "path" in c]
+    assert scored and all(len(c) == 6 and "path_regions" not in c for c in scored)
