@@ -1,9 +1,11 @@
 """Generalised linear models: one weighted Gram per iteration for all targets.
 
-Each pass attaches the current coefficients to the design rows, computes
-working weights and responses per block of cells inside the tasks and adds up
-weighted cross-products. Cells without any stored value share one linear
-predictor, so they enter as ``count x constant`` in the per-target solve.
+Each pass brings the current coefficients to the cells, computes working
+weights and responses per block of cells inside the tasks and adds up weighted
+cross-products. The blocks are slices of stored values, written once, from which
+the tasks form the design, so its rows are never shuffled or written; designs
+that are given as rows are spread once. Cells without any stored value share one
+linear predictor, so they enter as ``count x constant`` in the per-target solve.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ from regweave.functions.solvers import independent_columns, lambda_path
 from regweave.functions.tails import normal_two_sided, student_two_sided
 from regweave.operators.correlation import observation_count
 from regweave.operators.gram import RESPONSE, spread_design
+from regweave.operators.packed import Design, Slices, grams
+from regweave.operators.skew import salted_join
 from regweave.session import cut_lineage, discard
 
 #: Families with their usual links; those of ``_DISPERSED`` have an estimated dispersion and t statistics.
@@ -117,6 +121,28 @@ class Family:
         return 1 / v, sl - n / m
 
 
+def _weighted(family: Family, names: np.ndarray, m: np.ndarray, y: np.ndarray, w: np.ndarray, etas: list):
+    """(replicate, labels i, labels j, sums) of cells with the design ``m``; its column 0 is overwritten.
+
+    A linear predictor of None stands for the start of the fit.
+    """
+    iu, ju = np.triu_indices(len(names))
+    beside = [_DEVIANCE, _CELLS, _PEARSON]
+    i, j = (np.r_[names[at], beside].astype("int32") for at in (iu, ju))
+    for r, eta in enumerate(etas):
+        if eta is None:
+            eta = family.start(y)
+        if family.valid(eta):
+            var, z, mu = family.working(eta, y)
+            m[:, 0] = z
+            g = m.T @ (m * (var * w)[:, None])
+            dev = float((family.deviance(y, mu) * w).sum())
+            pearson = float(((y - mu) ** 2 / family.variance(mu) * w).sum())
+        else:      # an infinite deviance tells the solve to step back
+            g, dev, pearson = np.zeros((m.shape[1],) * 2), np.inf, np.inf
+        yield r, i, j, np.r_[g[iu, ju], dev, w.sum(), pearson]
+
+
 def _pass(family: Family, reps: int, started: bool):
     """Weighted cross-products of complete cells, batch by batch, per target."""
     def block(target, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -131,27 +157,13 @@ def _pass(family: Family, reps: int, started: bool):
         m[:, 1] = 1.0
         np.add.at(m, (x, np.searchsorted(labels, j[~is_y]) + 2), v[~is_y])
         names = np.r_[RESPONSE, 0, labels]
-        iu, ju = np.triu_indices(len(names))
+        etas = [None] * reps
         if started:
             b = np.stack(pdf["b"].to_numpy())[~is_y]
             b0 = np.asarray(pdf["b0"].iloc[0], float)
-        out = []
-        for r in range(reps):
-            eta = (b0[r] + np.bincount(x, v[~is_y] * b[:, r], n)) if started else family.start(y)
-            if family.valid(eta):
-                var, z, mu = family.working(eta, y)
-                m[:, 0] = z
-                g = m.T @ (m * (var * w)[:, None])
-                dev = float((family.deviance(y, mu) * w).sum())
-                pearson = float(((y - mu) ** 2 / family.variance(mu) * w).sum())
-            else:      # an infinite deviance tells the solve to step back
-                g, dev, pearson = np.zeros((m.shape[1],) * 2), np.inf, np.inf
-            out.append(pd.DataFrame({
-                "target": target, "rep": np.int32(r),
-                "i": np.r_[names[iu], _DEVIANCE, _CELLS, _PEARSON].astype("int32"),
-                "j": np.r_[names[ju], _DEVIANCE, _CELLS, _PEARSON].astype("int32"),
-                "s": np.r_[g[iu, ju], dev, w.sum(), pearson]}))
-        return pd.concat(out, ignore_index=True)
+            etas = [b0[r] + np.bincount(x, v[~is_y] * b[:, r], n) for r in range(reps)]
+        return pd.concat([pd.DataFrame({"target": target, "rep": np.int32(r), "i": i, "j": j, "s": s})
+                          for r, i, j, s in _weighted(family, names, m, y, w, etas)], ignore_index=True)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
@@ -183,16 +195,29 @@ class _Passes:
 
     def __init__(self, design: DataFrame, obs: DataFrame, family: Family):
         self.family, self.obs = family, obs
-        # a response outside the family's range has no fit
-        y = F.when(F.col("j") == RESPONSE, F.col("v"))
-        bad = design.filter(F.coalesce(family.outside(y) | F.isnan(y), F.lit(False))).select("target").distinct()
-        if family.positive:
-            held = design.groupBy("target").agg(F.sum(F.when(F.col("j") == RESPONSE, F.col("w"))).alias("sw"))
-            short = F.coalesce("sw", F.lit(0.0)) < observation_count(obs) - 1e-6
-            bad = bad.unionByName(held.filter(short).select("target"))
-        design = design.join(bad, "target", "left_anti")
-        self.rows = cut_lineage(spread_design(design, _SALT), keep_layout=True)
         self.ttype = design.schema["target"].dataType.simpleString()
+        bad = self._unfit(design.filter(F.col("j") == RESPONSE).select("target", "v", "w"),
+                          design.select("target").distinct())
+        self.rows = cut_lineage(spread_design(design.join(bad, "target", "left_anti"), _SALT), keep_layout=True)
+
+    def _unfit(self, y: DataFrame, targets: DataFrame) -> DataFrame:
+        """Targets with a response outside the family's range, which have no fit."""
+        bad = y.filter(F.coalesce(self.family.outside(F.col("v")) | F.isnan("v"), F.lit(False))).select("target").distinct()
+        if self.family.positive:
+            held = targets.join(y.groupBy("target").agg(F.sum("w").alias("sw")), "target", "left")
+            short = F.coalesce("sw", F.lit(0.0)) < observation_count(self.obs) - 1e-6
+            bad = bad.unionByName(held.filter(short).select("target"))
+        return bad
+
+    def responses(self) -> DataFrame:
+        """``(target, v, w)`` of the stored responses."""
+        return self.rows.filter(F.col("j") == RESPONSE).select("target", "v", "w")
+
+    def moments(self) -> DataFrame:
+        """``(target, j, s1, s2)``: weighted sums and sums of squares of the terms."""
+        return (self.rows.filter("j > 0").groupBy("target", "j")
+                .agg(F.sum(F.col("w") * F.col("v")).alias("s1"),
+                     F.sum(F.col("w") * F.col("v") * F.col("v")).alias("s2")))
 
     def sums(self, beta: DataFrame | None, reps: int) -> DataFrame:
         """``(target, rep, i, j, s, n)`` at the given coefficients."""
@@ -215,14 +240,57 @@ class _Passes:
 
     def null_deviance(self) -> DataFrame:
         """``(target, null_dev)`` of the intercept-only model."""
-        y = self.rows.filter(F.col("j") == RESPONSE)
         summed, dev = self.family.null_deviance()
-        d = (y.groupBy("target").agg(F.sum(F.col("w") * F.col("v")).alias("s1"),
+        d = (self.responses().groupBy("target").agg(F.sum(F.col("w") * F.col("v")).alias("s1"),
                                      F.sum(F.col("w") * summed).alias("sl"))
              .withColumn("n", observation_count(self.obs)))
         return d.filter("s1 > 0").select("target", dev.alias("null_dev"))
 
 
+class _SlicedPasses(_Passes):
+    """Slices of stored values, packed once; the tasks form the design again in every iteration."""
+
+    def __init__(self, design: Design, obs: DataFrame, family: Family):
+        self.family, self.obs = family, obs
+        self.ttype = design.schema["target"].dataType.simpleString()
+        ex = design.expression.select("cell", F.col("feature").alias("target"), F.col("value").cast("double").alias("v"))
+        targets = design.terms.select("target").distinct()
+        y = salted_join(ex.filter("v <> 0"), targets, ["target"], ["cell"], how="left_semi")
+        if "weight" in obs.columns:
+            y = y.join(obs.select("cell", F.col("weight").cast("double").alias("w")), "cell")
+        else:
+            y = y.withColumn("w", F.lit(1.0))
+        self.y = y.select("target", "v", "w")
+        bad = cut_lineage(self._unfit(self.y, targets))
+        terms = design.terms.join(bad, "target", "left_anti")
+        self.design = Design(terms, design.expression, design.accessibility, obs)
+        self.slices = Slices(self.design)
+
+    def responses(self) -> DataFrame:
+        return self.y.join(self.slices.models.select("target"), "target", "left_semi")
+
+    def moments(self) -> DataFrame:
+        s1 = F.sum(F.when(F.col("i") == 0, F.col("s")))
+        s2 = F.sum(F.when(F.col("i") == F.col("j"), F.col("s")))
+        return (grams(self.design).filter("j > 0").groupBy("target", "j")
+                .agg(s1.alias("s1"), s2.alias("s2")).filter("s2 <> 0"))
+
+    def sums(self, beta: DataFrame | None, reps: int) -> DataFrame:
+        """``(target, rep, i, j, s, n)`` at the given coefficients."""
+        family = self.family
+
+        def products(m: np.ndarray, w: np.ndarray, at: list | None):
+            etas = [None] * reps
+            if at is not None:      # terms that no cell stores have no coefficients
+                etas = [m[:, 1:len(b) + 1] @ np.array(b, float) for b in at]
+            return _weighted(family, np.arange(m.shape[1]) + RESPONSE, m, m[:, 0].copy(), w, etas)
+        return self.slices.sums(products, beta).withColumn("n", observation_count(self.obs))
+
+
+def _passes(design: DataFrame | Design, obs: DataFrame, family: Family) -> _Passes:
+    return (_SlicedPasses if isinstance(design, Design) else _Passes)(design, obs, family)
+
+
 def _assemble(pdf: pd.DataFrame, family: Family, b0: float | None):
     """Dense weighted Gram of one target and replicate, zero cells included; deviance and Pearson sum."""
     i, j, s = pdf["i"].to_numpy(), pdf["j"].to_numpy(), pdf["s"].to_numpy()
@@ -248,7 +316,7 @@ def _assemble(pdf: pd.DataFrame, family: Family, b0: float | None):
     return g, dev, pearson
 
 
-def fit_glm(design: DataFrame, obs: DataFrame, family: str = "poisson", max_iter: int = 25,
+def fit_glm(design: DataFrame | Design, obs: DataFrame, family: str = "poisson", max_iter: int = 25,
             tol: float = 1e-8, link: str | None = None) -> DataFrame:
     """Maximum likelihood fits of all targets.
 
@@ -260,7 +328,7 @@ def fit_glm(design: DataFrame, obs: DataFrame, family: str = "poisson", max_iter
     families also one with zeros, has no fit.
     """
     fam = Family(family, link)
-    passes = _Passes(design, obs, fam)
+    passes = _passes(design, obs, fam)
 
     def step(pdf: pd.DataFrame) -> pd.DataFrame:
         beta0, last0 = pdf["beta0"].iloc[0], pdf["last0"].iloc[0]
@@ -337,7 +405,7 @@ def _glm_rows(state: DataFrame) -> DataFrame:
     return coefs.unionByName(gof, allowMissingColumns=True)
 
 
-def fit_penalised(design: DataFrame, obs: DataFrame, family: str, cv: bool = False,
+def fit_penalised(design: DataFrame | Design, obs: DataFrame, family: str, cv: bool = False,
                   alpha: float = 0.5, n_lambda: int = 100, max_iter: int = 100,
                   tol: float = 1e-5) -> DataFrame:
     """Elastic net for counts or classes: every penalty of the path at once.
@@ -350,16 +418,13 @@ def fit_penalised(design: DataFrame, obs: DataFrame, family: str, cv: bool = Fal
     if family not in ("poisson", "binomial"):
         raise ValueError("penalised fits are available for gaussian, poisson and binomial")
     fam = Family(family)
-    passes = _Passes(design, obs, fam)
-    moments = (passes.rows.filter("j > 0").groupBy("target", "j")
-               .agg(F.sum(F.col("w") * F.col("v")).alias("s1"),
-                    F.sum(F.col("w") * F.col("v") * F.col("v")).alias("s2"))
-               .withColumn("n", observation_count(obs)))
+    passes = _passes(design, obs, fam)
+    moments = passes.moments().withColumn("n", observation_count(obs))
     mean = F.col("s1") / F.col("n")
     sds = moments.groupBy("target").agg(F.map_from_entries(F.collect_list(F.struct(
         "j", F.sqrt(F.greatest(F.col("s2") / F.col("n") - mean * mean,
                                F.lit(0.0)))))).alias("sd"))      # one entry per term
-    ybar = (passes.rows.filter(F.col("j") == RESPONSE).groupBy("target")
+    ybar = (passes.responses().groupBy("target")
             .agg(F.sum(F.col("w") * F.col("v")).alias("sy"))
             .withColumn("m", F.col("sy") / observation_count(obs)))
     link = F.log("m") if family == "poisson" else F.log(F.col("m") / (1 - F.col("m")))

@@ -179,8 +179,8 @@ def infer_network(study: Study, genes: DataFrame | None = None, network_name: st
             solution = M.solve_grams(scaling(M.gram_with_size(rows, c.obs), ()), method, **options)
     else:
         whole = (terms, c.expression, c.accessibility, c.obs)
-        # Trees and reweighted fits need the rows, all others only their products.
-        rows = D.design_rows(*whole) if method == "xgb" or family != "gaussian" else Design(*whole)
+        # Trees need the rows, all others only their products.
+        rows = D.design_rows(*whole) if method == "xgb" else Design(*whole)
         solution = M.fit_models(rows, c.obs, method, family, **options)
     solution = cut_lineage(solution)
     coefs = attach_terms(solution, terms, M.COEF_COLUMNS[method], adjust, count_intercepts)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from regweave.operators import correlation as C
 from regweave.operators import design as D
 from regweave.operators import gram as G
+from regweave.operators import models as M
 from regweave.operators import packed
 
 
@@ -64,3 +65,20 @@ def test_pair_products_send_sums_only(spark, parts, weighted, monkeypatch):
         assert {(r["x"], r["y"]): r["sxy"] for r in got.collect()} == pytest.approx(want)
         plan = got._jdf.queryExecution().optimizedPlan().toString()
         assert "FlatMapCoGroupsInArrow" in plan      # no join of values with values
+
+
+@pytest.mark.parametrize("method,family,weighted,options", [
+    ("glm", "poisson", True, {"max_iter": 4, "tol": 0.1}), ("glm", "Gamma", False, {"max_iter": 2}),
+    ("glmnet", "poisson", True, {"n_lambda": 3, "max_iter": 3, "tol": 1.0})])
+def test_reweighted_fits_from_slices_equal_those_of_design_rows(spark, parts, method, family, weighted, options, monkeypatch):
+    monkeypatch.setattr(packed, "SLICE_VALUES", 300)
+    monkeypatch.setattr(packed, "CHUNK_TERMS", 30)
+    ex, ac, pairs, obs = parts
+    whole = (D.model_terms(pairs, ":"), ex, ac, obs if weighted else obs.drop("weight"))
+    fits = []
+    for design in (D.design_rows(*whole), packed.Design(*whole)):
+        fits.append({(r["target"], r["j"]): (r["estimate"], r["pval"], r["rsq"], r["lambda"])
+                     for r in M.fit_models(design, whole[-1], method, family, **options).collect()})
+    assert fits[0].keys() == fits[1].keys() and bool(fits[0]) == (family == "poisson")
+    for k, want in fits[0].items():
+        assert fits[1][k] == pytest.approx(want, abs=1e-6, nan_ok=True)
