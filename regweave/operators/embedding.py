@@ -61,12 +61,15 @@ def principal_components(matrix: DataFrame, n_pcs: int = 30, max_iterations: int
     asked for (all of them where there are few) and ends when the eigenvalues
     asked for move by less than ``tol``; it is an error if they still do after
     ``max_iterations``. The sign of a component makes its largest sum positive.
+    Without any direction, as of an empty matrix or a single gene, all scores are 0.
     """
     m = cut_lineage(matrix.select("gene", "col", F.col("value").cast("double").alias("value")))
     genes = cut_lineage(m.select("gene").distinct())
     n = genes.count()
     means = cut_lineage(m.groupBy("col").agg((F.sum("value") / F.lit(float(n))).alias("mu")))
     rank = min(n - 1, means.count())
+    if rank < 1:
+        return genes.select("gene", *[F.lit(0.0).alias(f"pc_{i + 1}") for i in range(n_pcs)])
     wanted = min(n_pcs, rank)
     k = rank if rank <= _ALL else min(wanted + extra, rank)
     q, y = _cols("q", k), _cols("y", k)

@@ -111,6 +111,15 @@ def test_principal_components_of_a_flat_spectrum(spark, monkeypatch):
             spark.createDataFrame(rows, "gene string, col string, value double"), 3, max_iterations=1)
 
 
+@pytest.mark.parametrize("rows", [[], [("a", "b", 1.0)]])
+def test_graphs_without_any_direction_have_scores_of_zero(spark, rows):
+    ex = spark.createDataFrame([(c, f, float(c * k % 5)) for c in range(9) for k, f in enumerate("ab", 1)],
+                               "cell long, feature string, value double")
+    mods = spark.createDataFrame(rows, "tf string, target string, estimate double")
+    nodes, _ = N.network_graph(mods, ex, spark.range(12).withColumnRenamed("id", "cell"))
+    assert [(r["name"], r["pc_1"], r["pc_2"]) for r in nodes.collect()] == [(y, 0.0, 0.0) for _, y, _ in rows]
+
+
 @pytest.fixture(scope="module")
 def net(spark):
     coefs = spark.createDataFrame(
