@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from regweave.operators import boosting
@@ -105,3 +106,25 @@ def test_empty_design(spark, design):
     assert M.fit_models(rows.filter("false"), obs, "xgb").count() == 0
     with pytest.raises(ValueError):
         M.fit_models(rows, obs, "xgb", "other")
+
+
+def test_histograms_are_sums_by_place_and_root_weights_are_added_once():
+    rng, bins = np.random.default_rng(5), 4
+    js = [np.flatnonzero(rng.random(3) < 0.6) + 1 for _ in range(40)]
+    own = [rng.integers(-bins, bins + 1, len(j)) for j in js]
+    table = pa.table({"y": rng.random(40), "w": rng.random(40), "js": pa.array(js, pa.list_(pa.int32())),
+                      "bins": pa.array(own, pa.list_(pa.int32()))})
+    held = boosting.Held(table, np.arange(1, 4), bins)
+    slot, g = rng.integers(-1, 2, 40), rng.normal(size=40)
+    for slots, n, values in ((np.zeros(40, int), 1, (g, held.w)), (slot, 2, (g, held.w)), (slot, 2, (g, g * g))):
+        want = np.zeros((n, 2, 3 * (2 * bins + 1) + 1))
+        for k, v in enumerate(values):
+            for r in np.flatnonzero(slots >= 0):
+                want[slots[r], k, -1] += v[r]
+                for j, b in zip(js[r], own[r]):
+                    want[slots[r], k, (j - 1) * (2 * bins + 1) + b + bins] += v[r]
+        assert np.allclose(held.histograms(slots, n, values), want)
+    assert held.weights is not None      # not summed again by the next tree
+    for cut in range(-bins, bins + 1):
+        left = [dict(zip(j, b)).get(2, 0) <= cut for j, b in zip(js, own)]
+        assert (held.goes_left(np.zeros(40, int), 0, 1, cut) == left).all()
