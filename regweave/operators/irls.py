@@ -270,7 +270,7 @@ class _SlicedPasses(_Passes):
         return self.y.join(self.slices.models.select("target"), "target", "left_semi")
 
     def moments(self) -> DataFrame:
-        s1 = F.sum(F.when(F.col("i") == 0, F.col("s")))
+        s1 = F.coalesce(F.sum(F.when(F.col("i") == 0, F.col("s"))), F.lit(0.0))      # sums of 0 have no row
         s2 = F.sum(F.when(F.col("i") == F.col("j"), F.col("s")))
         return (grams(self.design).filter("j > 0").groupBy("target", "j")
                 .agg(s1.alias("s1"), s2.alias("s2")).filter("s2 <> 0"))
