@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from regweave.operators import coefficients, embedding, graph, modules
 from regweave.plans import networks as N
 from regweave.plans.inference import Network
@@ -66,6 +67,24 @@ def test_all_shortest_paths(spark, edges, order):
     assert got == {p for p in want if p[-1] in ("n1", "n3")}
 
 
+def test_modules_count_their_written_rows(spark):
+    rows = [("a", "x", "r1", 1.0), ("a", "x", "r2", 2.0), ("a", "y", "r1", 1.0), ("b", "x", "r1", -1.0),
+            (None, "x", "r9", 3.0), ("b", "z", None, 1.0)]
+    d = spark.createDataFrame(rows, "tf string, target string, region string, estimate double")
+    cols = ["tf", "target", "estimate", "regions", "n_regions", "n_genes", "n_tfs"]
+    got = {tuple(map(str, r)) for r in modules.reduce_modules(d).select(*cols).collect()}
+    assert got == {("a", "x", "3.0", "['r1', 'r2']", "3", "2", "2"), ("a", "y", "1.0", "['r1']", "1", "2", "1"),
+                   ("b", "x", "-1.0", "['r1']", "3", "2", "2"), ("b", "z", "1.0", "[]", "0", "2", "1")}
+    few = modules.reduce_modules(d, counts=False)
+    assert {tuple(map(str, r)) for r in few.select(*cols[:4]).collect()} == {r[:4] for r in got}
+
+
+@pytest.mark.parametrize("name", ["find_modules_glmnet", "find_modules_xgb"])
+def test_modules_without_counts_read_sales_at_most_twice(spark, name):
+    d = entry.queries()[name](spark, "/root/testdata/sf0.001")
+    assert d._jdf.queryExecution().optimizedPlan().toString().count("Relation [l_orderkey") <= 2
+
+
 def test_subnetwork_keeps_direct_and_best_paths(spark):
     rows = [("a", "b", 1.0, "r1"), ("a", "c", -2.0, "r2"), ("b", "d", 3.0, "r3"),
             ("c", "d", -1.0, "r4"), ("d", "a", 1.0, "r5")]
