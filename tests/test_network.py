@@ -67,6 +67,21 @@ def test_all_shortest_paths(spark, edges, order):
     assert got == {p for p in want if p[-1] in ("n1", "n3")}
 
 
+def test_levels_repeat_the_smaller_side(spark, monkeypatch):
+    e = edge_list(k=60)
+    d = spark.createDataFrame(e, "from_node string, to_node string, estimate double, regions string")
+    roots, repeated = d.select(F.col("from_node").alias("root")).distinct(), []
+
+    def join(big, small, *args, **kw):
+        repeated.append((big.count(), small.count()))
+        return salted_join(big, small, *args, **kw)
+    salted_join = graph.salted_join
+    monkeypatch.setattr(graph, "salted_join", join)
+    got = {tuple(r["path"]) for r in graph.shortest_paths(d, roots).collect()}
+    assert got == set(itertools.chain.from_iterable(brute_paths(e, r[0], 3) for r in roots.collect()))
+    assert all(small <= big for big, small in repeated), repeated
+
+
 def test_modules_count_their_written_rows(spark):
     rows = [("a", "x", "r1", 1.0), ("a", "x", "r2", 2.0), ("a", "y", "r1", 1.0), ("b", "x", "r1", -1.0),
             (None, "x", "r9", 3.0), ("b", "z", None, 1.0)]
