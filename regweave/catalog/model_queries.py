@@ -14,7 +14,6 @@ from regweave.operators import models as M
 from regweave.operators.design import target_features
 from regweave.operators.packed import Design
 from regweave.plans import inference as P
-from regweave.session import cut_lineage
 
 QUERIES, ORACLES = {}, {}
 
@@ -32,9 +31,8 @@ OPTIONS = {"upstream": UPSTREAM, "peak_cor": PEAK_COR, "tf_cor": TF_COR}
 
 
 def inputs(v: Views, annotation) -> P.Study:
-    """A study on stored assays; sales tables are turned into assays only once."""
-    return P.Study(cut_lineage(v.expr()), cut_lineage(v.acc()), v.cells(), v.features(),
-                   annotation)
+    """A study on stored assays, made from the sales in one pass."""
+    return P.Study(*v.assays(), v.cells(), v.features(), annotation)
 
 
 def study(v: Views) -> P.Study:

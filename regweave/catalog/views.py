@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from regweave.operators.modules import find_modules
+from regweave.session import cut_lineage
 
 
 def r6(c) -> Column:
@@ -53,6 +54,22 @@ class Views:
             F.count(F.lit(1)).cast("double").alias("value"))
         return d.select("cell", _peak_name().alias("feature"), "value")
 
+    def assays(self) -> tuple[DataFrame, DataFrame]:
+        """``expr`` and ``acc`` from one pass over the sales, stored as one table.
+
+        The sales travel once, by cell; both sums of a cell are made where its sales are.
+        """
+        brand, size = F.col("p_brand").alias("brand"), F.col("p_size").alias("size")
+        none = [F.lit(None).cast(t) for t in ("string", "int")]
+        sums = (self._sales().select("cell", "p_brand", "p_size", "l_quantity").repartition("cell")
+                .select("cell", F.inline(F.array(
+                    F.struct(F.lit(True).alias("first"), brand, none[1].alias("size"), F.col("l_quantity").alias("v")),
+                    F.struct(F.lit(False).alias("first"), none[0].alias("brand"), size, F.lit(1.0).alias("v")))))
+                .groupBy("cell", "first", "brand", "size").agg(F.sum("v").alias("value")))
+        name = F.when(F.col("first"), F.col("brand")).otherwise(_peak_name("size"))
+        both = cut_lineage(sums.select("cell", "first", name.alias("feature"), "value"))
+        return both.filter("first").drop("first"), both.filter("not first").drop("first")
+
     def features(self) -> DataFrame:
         return self.table("part").select(F.col("p_brand").alias("feature")).distinct().withColumn(
             "is_variable", F.lit(True))
@@ -145,8 +162,8 @@ class Views:
         return r.select("region_id", F.concat(chrom, F.lit("-1-1000")).alias("peak_id"))
 
 
-def _peak_name() -> Column:
-    s = F.col("p_size")
+def _peak_name(size: str = "p_size") -> Column:
+    s = F.col(size)
     return F.concat(F.lit("chr"), (s % 5).cast("string"), F.lit("-"), (s * 1000).cast("string"),
                     F.lit("-"), (s * 1000 + 200 + (s % 7) * 10).cast("string"))
 
