@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -121,16 +121,84 @@ def _levels(edges: DataFrame, roots: DataFrame, order: int | None) -> list[DataF
     return levels
 
 
+def _grown(edges: DataFrame, roots: DataFrame, order: int | None, carry: list[str] = (),
+           best: Column | None = None) -> list[DataFrame]:
+    """All shortest paths, one table per distance: ``root, node, path`` up to the parent, ``steps``, ``on``, ``kept``.
+
+    Paths take the columns ``carry`` of their links along (``steps``), so that they are never taken apart
+    and put together again; new ones travel once, by root and node, to meet the pairs reached before.
+    All levels but that of the last ``order`` are written. ``kept`` is the number of paths of the pair whose
+    score ``best`` is the largest, 0 for the others; the links from the root are all kept.
+    """
+    step = F.array(F.struct(*carry)) if carry else F.lit(None).cast("boolean")
+    pairs = cut_lineage(edges.filter("from_node <> to_node").select("from_node", "to_node", step.alias("own")).distinct())
+    heads = pairs.select(F.col("from_node").alias("to_node")).distinct().withColumn("on", F.lit(True))
+    links = cut_lineage(salted_join(pairs, heads, ["to_node"], ["from_node"], how="left").fillna(False, ["on"]))
+    discard(pairs)
+    n_links = links.count()
+    start = roots.select(F.col("root").alias("from_node")).distinct()
+    level = salted_join(links, start, ["from_node"], ["to_node"], how="left_semi").select(
+        F.col("from_node").alias("root"), F.col("to_node").alias("node"), F.array("from_node").alias("path"),
+        F.col("own").alias("steps"), "on", F.lit(1).alias("kept"))
+    pair = W.partitionBy("root", "node")
+    visited, levels = None, []
+    while order is None or len(levels) < order:
+        if levels and best is not None:
+            top = F.col("score") == F.max("score").over(pair)
+            level = level.withColumn("score", best).withColumn("top", F.coalesce(top.cast("int"), F.lit(0)))
+            level = level.withColumn("kept", F.col("top") * F.sum("top").over(pair)).drop("score", "top")
+        last = order is not None and len(levels) == order - 1
+        if not last:
+            level = cut_lineage(level)
+            if level.isEmpty():
+                break
+        levels.append(level)
+        if last:
+            break
+        seen = level.select("root", "node")
+        visited = seen if visited is None else visited.unionByName(seen)
+        front = level.filter("on").select("root", F.col("node").alias("from_node"), "path", "steps")
+        # the larger side is spread, the smaller one repeated
+        if front.count() > n_links:
+            found = salted_join(front, links, ["from_node"], ["root"])
+        else:
+            found = salted_join(links, front, ["from_node"], ["to_node"])
+        found = found.filter("to_node <> root").select(
+            "root", F.col("to_node").alias("node"), F.array_append("path", F.col("from_node")).alias("path"),
+            (F.concat("steps", "own") if carry else F.col("own")).alias("steps"), "on", F.lit(1).alias("kept"))
+        level = found.join(visited, ["root", "node"], "left_anti")
+    return levels
+
+
+def _shown_paths(levels: list[DataFrame], *more: str | Column) -> DataFrame:
+    """``(root, end_node, order, path)`` of grown levels, and ``more`` of their columns."""
+    out = None
+    for k, lv in enumerate(levels):
+        part = lv.select("root", F.col("node").alias("end_node"), F.lit(k + 1).alias("order"),
+                         F.array_append("path", F.col("node")).alias("path"), *more)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _one_per_pair(edges: DataFrame) -> bool:
+    """Whether no two edges have the same ends."""
+    return edges.groupBy("from_node", "to_node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
+
+
 def shortest_paths(edges: DataFrame, roots: DataFrame, features: DataFrame | None = None,
                    order: int | None = 3) -> DataFrame:
     """All unweighted outgoing shortest paths ``(root, end_node, order, path)``.
 
     Breadth-first levels for every root together; all parents one level up are
-    kept, so equally short paths are all found. Before paths are written out,
-    levels are trimmed backwards to nodes that lead to a requested end.
-    ``order=None`` follows the graph to its end.
+    kept, so equally short paths are all found. With ``features``, levels are
+    trimmed backwards to nodes that lead to a requested end before paths are
+    written out. ``order=None`` follows the graph to its end.
     """
-    levels = _levels(edges, roots, order)
+    if features is None and (order is None or order > 0):
+        levels = _grown(edges, roots, order)
+        if levels:
+            return _shown_paths(levels)
+    levels = _levels(edges, roots, order) if features is not None else []
     if features is not None:
         wanted = features.select(F.col("feature").alias("node")).distinct()
         later = None
@@ -196,6 +264,43 @@ def score_paths(paths: DataFrame, edges: DataFrame, only: str | None = None) ->
             .drop("r").withColumnRenamed("root", "start_node"))
 
 
+def _step_values(column: str) -> Column:
+    return F.filter(F.transform("steps", lambda s: s[column]), lambda x: x.isNotNull())
+
+
+def _step_scores(has_p: bool) -> dict[str, Column]:
+    """Direction and means of the carried ``steps`` of a path, as :func:`score_paths` has them."""
+    def mean(x):
+        return F.when(F.size(x) > 0, F.aggregate(x, F.lit(0.0), lambda a, v: a + v) / F.size(x))
+    e = _step_values("estimate")
+    out = {"dir": F.when(F.size(e) > 0, F.aggregate(e, F.lit(1.0), lambda a, v: a * F.signum(v)) + F.lit(0.0)),
+           "mean_estimate": mean(e)}
+    if has_p:
+        strength = F.transform(_step_values("padj"), lambda p: F.when(p > 0, -F.log10(p)).when(p == 0, F.lit(float("inf"))))
+        whole = F.size(_step_values("padj")) == F.size("steps")      # one missing value makes the mean missing
+        out["mean_log_padj"] = F.when(whole, mean(F.filter(strength, lambda x: x.isNotNull())))
+    return out
+
+
+def scored_paths(edges: DataFrame, roots: DataFrame, order: int | None = 3, by: str | None = None) -> DataFrame:
+    """:func:`score_paths` of all shortest paths, in one go: scores are taken along while the paths grow.
+
+    ``by`` keeps the direct edges and the best paths to each end node only, as :func:`prune_paths` does.
+    """
+    if not _one_per_pair(edges):
+        scored = score_paths(shortest_paths(edges, roots, None, order), edges)
+        return scored if by is None else prune_paths(cut_lineage(scored), order, by=by)
+    has_p = "padj" in edges.columns
+    scores = _step_scores(has_p)
+    levels = _grown(edges, roots, order, ["estimate", "regions", *(["padj"] if has_p else [])],
+                    None if by is None else F.round(scores[by], 12))
+    if not levels:
+        return score_paths(shortest_paths(edges, roots, None, order), edges)
+    out = _shown_paths([lv.filter("kept > 0") for lv in levels], *[c.alias(n) for n, c in scores.items()],
+                       F.concat_ws(";", F.transform("steps", lambda s: s["regions"])).alias("path_regions"))
+    return out.withColumnRenamed("root", "start_node")
+
+
 def path_text(scored: DataFrame) -> DataFrame:
     """Show paths as ``a;b;c``."""
     return scored.withColumn("path", F.concat_ws(";", F.transform(
@@ -225,6 +330,8 @@ def tf_network(edges: DataFrame, roots: DataFrame, features: DataFrame | None =
     (sign of the whole path). Roots with fewer than ``min_paths`` paths are left
     out; for a single root that is an error.
     """
+    if features is None and _one_per_pair(edges):
+        return _grown_network(edges, roots, order, keep_all, by, min_paths)
     paths = shortest_paths(edges, roots, features, order)
     scored = cut_lineage(score_paths(paths, edges, by))
     enough = (scored.groupBy("start_node").agg(F.count(F.lit(1)).alias("_n"))
@@ -238,3 +345,41 @@ def tf_network(edges: DataFrame, roots: DataFrame, features: DataFrame | None =
                        ["comb_dir"])
             .select("root", "end_node", "comb_dir", "from_node", "to_node").distinct())
     return used.join(edges, ["from_node", "to_node"])
+
+
+def _grown_network(edges: DataFrame, roots: DataFrame, order: int | None, keep_all: bool, by: str,
+                   min_paths: int) -> DataFrame:
+    """:func:`tf_network` of all end nodes; edges of kept paths come from the paths themselves."""
+    carry = ["estimate", *(["padj"] if by == "mean_log_padj" else [])]
+    score = _step_scores(by == "mean_log_padj")
+    levels = _grown(edges, roots, order, carry, None if keep_all else F.round(score[by], 12))
+    single = roots.limit(2).count() == 1
+    if single or min_paths > 1:
+        levels = [lv if "_table_path" in lv.__dict__ else cut_lineage(lv) for lv in levels]
+    if min_paths > 1 and levels:
+        enough = (_shown_paths(levels).groupBy("root").agg(F.count(F.lit(1)).alias("_n"))
+                  .filter(F.col("_n") >= min_paths).select("root"))
+        levels = [salted_join(lv, enough, ["root"], ["node"], how="left_semi") for lv in levels]
+    if single and all(lv.isEmpty() for lv in levels):
+        raise ValueError("the selected TF has too few targets")
+    used = None
+    for k, lv in enumerate(levels):
+        d = lv.filter("kept > 0").select(
+            "root", F.col("node").alias("end_node"), score["dir"].alias("comb_dir"), "kept",
+            F.explode(F.arrays_zip("path", F.array_append(F.slice("path", 2, k), F.col("node")).alias("to"), "steps"))
+            .alias("e"))
+        d = d.select("root", "end_node", "comb_dir", "kept", F.col("e.path").alias("from_node"), F.col("e.to").alias("to_node"),
+                     *[F.col(f"e.steps.{c}").alias(c) for c in carry])
+        if k:      # paths to one end may share edges; in the last level they lie together
+            alone = d.filter("kept = 1").drop("kept") if k < len(levels) - 1 and not keep_all else None
+            d = (d if alone is None else d.filter("kept > 1")).drop("kept").distinct()
+            d = d if alone is None else d.unionByName(alone)
+        else:
+            d = d.drop("kept")
+        used = d if used is None else used.unionByName(d)
+    if used is None:
+        return edges.limit(0).select(F.col("from_node").alias("root"), F.col("from_node").alias("end_node"),
+                                     F.lit(0.0).alias("comb_dir"), *edges.columns)
+    if set(edges.columns) == {"from_node", "to_node", *carry}:
+        return used.select("from_node", "to_node", "root", "end_node", "comb_dir", *carry)
+    return used.drop(*carry).join(edges, ["from_node", "to_node"])
