@@ -1,9 +1,11 @@
 """Paths that take scores along as they grow, against paths that are scored afterwards."""
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from regweave.operators import graph
 
 COLUMNS = "from_node string, to_node string, estimate double, regions string, padj double"
@@ -76,3 +78,16 @@ def test_paths_travel_once(spark, edges, name):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
         spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
+def test_shortest_paths_of_any_length(spark, tmp_path):
+    """Suppliers 1 to 7 sell the next one's part, so the longest way has seven links."""
+    rows = [(i, k + 1, k, 1, 1.0, 0.06, 0.0) for k in range(7) for i in range(26 * k, 26 * k + 26)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, "
+                          "l_discount double, l_tax double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet/*.parquet'")
+    d = entry.queries()["shortest_paths"](spark, str(tmp_path))
+    got = sorted(map(tuple, d.select("root", "end_node", "order", "path").collect()))
+    assert got == sorted(con.execute(entry.oracle_sql()["shortest_paths"]).fetchall())
+    assert len(got) == 28 and max(r[2] for r in got) == 7
