@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from regweave.functions.columns import region_name, split_region
 from regweave.operators.intervals import (
-    merge_intervals, overlap_join, pair_intersection, subtract_intervals)
+    merge_intervals, overlap_join, pair_intersection, subtract_intervals, within_one)
+from regweave.session import cut_lineage
 
 
 def peak_table(features: DataFrame, column: str = "feature", sep=("-", "-")) -> DataFrame:
@@ -19,13 +21,29 @@ def peak_table(features: DataFrame, column: str = "feature", sep=("-", "-")) ->
 def candidate_regions(peaks: DataFrame, regions: DataFrame | None = None) -> DataFrame:
     """Parts of peaks covered by the supplied regions; all peaks when none are given.
 
-    Equal regions leave equal parts, so each is joined once.
+    Equal regions leave equal parts, so each is joined once. Of the regions that leave
+    the same part of a peak, the pair of one is kept, so the pairs need not be compared:
+    the last start of those that end together and start before the peak, the first end
+    of those that start together and end behind it. Whole peaks are found without pairs.
     """
     peaks = peaks.select("peak_id", "chrom", "start", "end")
     if regions is None:
         return peaks
-    pairs = overlap_join(peaks, regions.select("chrom", "start", "end").distinct())
-    return pair_intersection(pairs).distinct()
+    spans = cut_lineage(peaks.distinct().withColumn("spans", F.count(F.lit(1)).over(W.partitionBy("peak_id"))))
+    marked = cut_lineage(
+        regions.select("chrom", "start", "end").distinct()
+        .withColumn("next_start", F.lead("start").over(W.partitionBy("chrom", "end").orderBy("start")))
+        .withColumn("prev_end", F.lag("end").over(W.partitionBy("chrom", "start").orderBy("end"))))
+    one = spans.filter("spans = 1").drop("spans")
+    pairs = overlap_join(one, marked).filter(
+        "(r_start > l_start or r_end < l_end)"
+        " and (r_start > l_start or next_start is null or next_start > l_start)"
+        " and (r_end < l_end or prev_end is null or prev_end < l_end)").drop("next_start", "prev_end")
+    parts = pair_intersection(pairs).unionByName(within_one(one, marked.select("chrom", "start", "end")))
+    more = spans.filter("spans > 1").drop("spans")      # equal parts may come from several spans of a peak
+    if not more.isEmpty():
+        parts = parts.unionByName(pair_intersection(overlap_join(more, marked.select("chrom", "start", "end"))).distinct())
+    return parts
 
 
 def initiate_regions(peaks: DataFrame, annotation: DataFrame,

@@ -148,3 +148,34 @@ def test_equal_regions_are_joined_once(spark):
     finally:
         R.overlap_join = join
     assert seen == [2] and got == {("p", 20, 30), ("p", 40, 50)}
+
+
+@pytest.mark.parametrize("most", [None, 40, 1])
+def test_dense_tiles_are_dealt_to_parts(spark, most):
+    ra, a = _random(spark, 150, 5, "ia", [0, 40, 3000])
+    rb, b = _random(spark, 200, 6, "ib", [0, 90, 20_000])
+    got = I.overlap_join(a, b, most=most).select("ia", "ib").collect()
+    want = {(x[0], y[0]) for x in ra for y in rb if x[1] == y[1] and min(x[3], y[3]) >= max(x[2], y[2])}
+    assert len(got) == len(want) and {(r[0], r[1]) for r in got} == want
+
+
+def test_rows_travel_once_where_no_tile_is_dense(spark):
+    rows = [(i, "c", 1000 * i, 1000 * i + 5) for i in range(50)]
+    a, b = (spark.createDataFrame(rows, f"{n} long, chrom string, start long, end long") for n in ("ia", "ib"))
+    plan = I.overlap_join(a, b)._jdf.queryExecution().optimizedPlan().toString()
+    assert "salt" not in plan and "sequence(0, 7" not in plan
+
+
+def test_candidate_regions_compare_no_pairs(spark):
+    rng = np.random.default_rng(8)
+    peaks = [(f"p{i}", "cd"[i % 2], s, s + int(rng.integers(0, 12))) for i, s in enumerate(map(int, rng.integers(0, 60, 50)))]
+    peaks += [("twice", "c", 5, 20), ("twice", "c", 10, 30), ("far", "c", 200_000, 200_004), peaks[0]]
+    regions = [("cd"[i % 2], s, s + int(rng.integers(0, 12))) for i, s in enumerate(map(int, rng.integers(0, 60, 200)))]
+    regions += [("c", 100, 300_000), ("c", 3, 40)]
+    p = spark.createDataFrame(peaks, "peak_id string, chrom string, start long, end long")
+    r = spark.createDataFrame(regions, "chrom string, start long, end long")
+    got = sorted(map(tuple, R.candidate_regions(p, r).select("peak_id", "chrom", "start", "end").collect()))
+    want = {(i, c, max(s, a), min(e, b)) for i, c, s, e in peaks for d, a, b in regions if c == d and max(s, a) <= min(e, b)}
+    assert got == sorted(want)
+    plan = R.candidate_regions(p.filter("peak_id like 'p%'"), r)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan.split("Join Inner")[0]      # nothing is grouped above the pairs
