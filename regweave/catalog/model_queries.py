@@ -244,7 +244,7 @@ def glmnet(v):
 
 @query("glmnet_poisson")
 def glmnet_poisson(v):
-    return _network(v, "glmnet", {"n_lambda": 10}, family="poisson").coefs
+    return _network(v, "glmnet", family="poisson").coefs
 
 
 @query("cv_glmnet")

@@ -161,7 +161,7 @@ def _pass(family: Family, reps: int, started: bool):
         if started:
             b = np.stack(pdf["b"].to_numpy())[~is_y]
             b0 = np.asarray(pdf["b0"].iloc[0], float)
-            etas = [b0[r] + np.bincount(x, v[~is_y] * b[:, r], n) for r in range(reps)]
+            etas = [b0[r] + np.bincount(x, v[~is_y] * b[:, r], n) for r in range(len(b0))]
         return pd.concat([pd.DataFrame({"target": target, "rep": np.int32(r), "i": i, "j": j, "s": s})
                           for r, i, j, s in _weighted(family, names, m, y, w, etas)], ignore_index=True)
 
@@ -410,8 +410,8 @@ def fit_penalised(design: DataFrame | Design, obs: DataFrame, family: str, cv: b
                   tol: float = 1e-5) -> DataFrame:
     """Elastic net for counts or classes: every penalty of the path at once.
 
-    One pass computes a weighted Gram per penalty; the coordinate descent then
-    runs on those small matrices.
+    One pass computes a weighted Gram for each penalty whose fit still moves; the
+    coordinate descent then runs on those small matrices.
     """
     if cv:
         raise ValueError("cross-validation is available for the gaussian family only")
@@ -432,21 +432,27 @@ def fit_penalised(design: DataFrame | Design, obs: DataFrame, family: str, cv: b
     null = (ybar.filter("m > 0").join(p, "target")
             .select("target", F.array_repeat(F.concat(
                 F.array(link), F.array_repeat(F.lit(0.0), F.col("p"))), n_lambda).alias("beta"),
-                F.lit(None).cast("array<double>").alias("lambdas")))
-
-    def step(pdf: pd.DataFrame) -> pd.DataFrame:
+                F.lit(None).cast("array<double>").alias("lambdas"),
+                F.array_repeat(F.lit(None).cast("double"), n_lambda).alias("dev"),
+                F.array_repeat(F.lit(float("inf")), n_lambda).alias("shift")))
+
+    def step(pdf: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        """One step of the penalties of a target that still move."""
+        if not len(own) or not len(pdf):
+            return own[["target", "beta", "lambdas", "dev", "shift"]]
         target, n = pdf["target"].iloc[0], float(pdf["n"].iloc[0])
-        old = np.array([list(x) for x in pdf["beta"].iloc[0]])
-        entries = dict(pdf["sd"].iloc[0])
+        old = np.array([list(x) for x in own["beta"].iloc[0]])
+        entries = dict(own["sd"].iloc[0])
         terms = np.array(sorted(k for k, s in entries.items() if s > 0), dtype=int)
         sd = np.array([entries[k] for k in terms])
-        lambdas, new, devs = pdf["lambdas"].iloc[0], old.copy(), []
-        for r, part in pdf.groupby("rep"):
+        devs, shift = (np.array(own[c].iloc[0], float) for c in ("dev", "shift"))
+        lambdas, new, moving = own["lambdas"].iloc[0], old.copy(), np.flatnonzero(shift >= tol)
+        for at, part in pdf.groupby("rep"):
+            r = int(moving[at])
             b0 = old[r, 0]
-            g, dev, _ = _assemble(part, fam, b0)
+            g, devs[r], _ = _assemble(part, fam, b0)
             full = np.zeros((old.shape[1] + 1, old.shape[1] + 1))
             full[:len(g), :len(g)] = g
-            devs.append(dev)
             a, c = full[1:, 1:], full[1:, 0]
             sw = a[0, 0]
             cx = a[np.ix_(terms, terms)] - np.outer(a[0, terms], a[0, terms]) / sw
@@ -454,26 +460,26 @@ def fit_penalised(design: DataFrame | Design, obs: DataFrame, family: str, cv: b
             cx, cy = cx / np.outer(sd, sd) / n, cy / sd / n
             if lambdas is None:
                 lambdas = lambda_path(cy, n, len(terms), alpha, n_lambda)
-            lam = lambdas[int(r)]
-            b = _weighted_descent(cx, cy, lam, alpha, old[r, terms] * sd)
+            b = _weighted_descent(cx, cy, lambdas[r], alpha, old[r, terms] * sd)
             new[r, terms] = b / sd
             new[r, 0] = (c[0] - a[0, terms] @ new[r, terms]) / sw
-        shift = float(np.max(np.abs(new - old)))
-        return pd.DataFrame({"target": [target], "beta": [new.tolist()],
-                             "lambdas": [list(map(float, lambdas))],
-                             "dev": [devs], "shift": [shift]})
+            shift[r] = np.max(np.abs(new[r] - old[r]))
+        return pd.DataFrame({"target": [target], "beta": [new.tolist()], "lambdas": [list(map(float, lambdas))],
+                             "dev": [devs.tolist()], "shift": [shift.tolist()]})
     schema = (f"target {passes.ttype}, beta array<array<double>>, lambdas array<double>, "
-              "dev array<double>, shift double")
+              "dev array<double>, shift array<double>")
     state = cut_lineage(null)
+    still = F.exists("shift", lambda x: x >= tol)
+    beta = F.transform(F.filter(F.arrays_zip("beta", "shift"), lambda x: x["shift"] >= tol), lambda x: x["beta"])
     for _ in range(max_iter):
-        s = passes.sums(state.select("target", "beta"), n_lambda)
-        s = s.join(state.select("target", "beta", "lambdas"), "target").join(sds, "target")
-        old, state = state, cut_lineage(s.groupBy("target").applyInPandas(step, schema))
+        s = passes.sums(state.filter(still).select("target", beta.alias("beta")), n_lambda)
+        old, state = state, cut_lineage(
+            s.groupBy("target").cogroup(state.join(sds, "target").groupBy("target")).applyInPandas(step, schema))
         discard(old)
-        if (state.agg(F.max("shift")).first()[0] or 0.0) < tol:
+        if state.filter(still).isEmpty():
             break
     # fits that still move are no result
-    d = state.filter(F.col("shift") < tol).join(passes.null_deviance(), "target")
+    d = state.filter(F.forall("shift", lambda x: x < tol)).join(passes.null_deviance(), "target")
     ratio = F.transform("dev", lambda x: 1 - x / F.col("null_dev"))
     d = d.withColumn("ratio", ratio)
     k = F.array_position(F.transform(

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from regweave.operators import correlation as C
 from regweave.operators import design as D
 from regweave.operators import gram as G
@@ -82,3 +83,17 @@ def test_reweighted_fits_from_slices_equal_those_of_design_rows(spark, parts, me
     assert fits[0].keys() == fits[1].keys() and bool(fits[0]) == (family == "poisson")
     for k, want in fits[0].items():
         assert fits[1][k] == pytest.approx(want, abs=1e-6, nan_ok=True)
+
+
+def test_the_query_of_penalised_counts_has_the_whole_path(spark, monkeypatch):
+    """All 100 penalties, of which only those that still move are computed again."""
+    from regweave.operators import irls
+    asked, sums = [], irls._SlicedPasses.sums
+
+    def counted(self, beta, reps):
+        asked.append([len(r.beta) for r in beta.collect()])
+        return sums(self, beta, reps)
+    monkeypatch.setattr(irls._SlicedPasses, "sums", counted)
+    d = entry.queries()["glmnet_poisson"](spark, "/root/testdata/sf0.001")
+    assert asked and set(asked[0]) == {100} and min(min(a) for a in asked) < 100
+    assert d.count() > 0
